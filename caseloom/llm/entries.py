@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.llm import tokens
+from caseloom.llm import media, tokens
 
-MODULES = [tokens]
+MODULES = [media, tokens]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
