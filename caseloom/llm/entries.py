@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.llm import language, media, pii, tokens
+from caseloom.llm import language, media, neardup, pii, tokens
 
-MODULES = [media, tokens, language, pii]
+MODULES = [neardup, media, tokens, language, pii]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

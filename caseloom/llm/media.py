@@ -336,5 +336,4 @@ def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_jpeg_media": op3_jpeg_media}
-#: The columns that do not hang on the image format, for tests: DuckDB has no JPEG.
 ORACLE: dict[str, str] = {}
