@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.llm import decontaminate, language, media, neardup, pii, tokens
+from caseloom.llm import decontaminate, language, media, neardup, packing, pii, tokens
 
-MODULES = [neardup, decontaminate, media, tokens, language, pii]
+MODULES = [neardup, decontaminate, media, tokens, language, pii, packing]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
