@@ -218,6 +218,7 @@ class Model:
                 ratio = math.log(counts[f][1] / total[1]) - math.log(counts[f][0] / total[0])
                 most = LIMITS[group[0] == "away"] * (4 if f == "away" else 1)
                 self.own[f] = max(-most, min(most, ratio))
+        self.own |= {"length 0": 0.0, "links -": 0.0}  # no text of its own says nothing either way
         self.pair: dict[str, tuple[float, float, float, float]] = {}
         for r in _ROLES:
             n = {k: pair[(r, *k)] + _PAIR_PRIOR[(r, *k)] for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
