@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.llm import decontaminate, extract, language, media, neardup, packing, pii, tokens
+from caseloom.llm import decontaminate, extract, language, media, neardup, packing, pii, tokens, urls
 
-MODULES = [neardup, decontaminate, media, tokens, extract, language, pii, packing]
+MODULES = [neardup, decontaminate, media, tokens, urls, extract, language, pii, packing]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
