@@ -1,0 +1,120 @@
+"""Text functions as column expressions: quality, content signals, extraction, dates and JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseloom.sources.tables import table
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("bigint")
+
+
+def quality_columns(text: Column) -> dict[str, Column]:
+    """Counts that the quality classes rest on; letters are ASCII letters and everything beyond ASCII."""
+    return {
+        "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("bigint"),
+        "n_words": count_of(text, r"[^ \t\r\n]+"),
+        "n_letters": count_of(text, r"[A-Za-z]|[^\x00-\x7F]"),
+        "n_digits": count_of(text, r"[0-9]"),
+        "n_odd": count_of(text, r"[#$%&*|~^<>{}\[\]\\]"),
+        "n_lines": count_of(text, r"\n") + 1,
+    }
+
+
+def quality_of() -> Column:
+    """BAD, SUSPECT or GOOD from the columns of ``quality_columns``."""
+    letters, odd = F.col("n_letters") / F.greatest("n_chars", F.lit(1)), F.col("n_odd") / F.greatest("n_chars", F.lit(1))
+    n, words = F.col("n_chars"), F.col("n_words")
+    bad = (n <= 24) | ((n >= 300) & (letters < 0.2) & (odd >= 0.08)) | ((n >= 500) & (words < 12))
+    suspect = ((n >= 250) & (letters < 0.32) & (odd >= 0.04)) | ((n >= 300) & (words < 25)) | (odd >= 0.2)
+    return F.when(bad, "BAD").when(suspect, "SUSPECT").otherwise("GOOD")
+
+
+# Signals and their patterns; the first three weigh heavily.
+SIGNALS = {
+    "override": r"(?i)ignore (all |any )?(previous|earlier) (rules|instructions)",
+    "secret": r"(?i)(api[_ ]?key|password|secret|token) *[=:]",
+    "exfiltrate": r"(?i)(send|post|upload) .{0,40}https?://",
+    "address": r"https?://",
+    "markup": r"</?[a-zA-Z][^>]*>",
+}
+
+
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in quality_columns(F.col("text")).items()))
+
+
+def quality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_metrics(spark, sf_dir).select("doc_id", quality_of().alias("quality_class"))
+
+
+def security_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of a conversation's turns, and its risk: high with two heavy ones, medium with any."""
+    hit = {k: F.bool_or(F.coalesce(F.col("text").rlike(p), F.lit(False))).alias(k) for k, p in SIGNALS.items()}
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*hit.values())
+    heavy = sum((F.col(k).cast("int") for k in ("override", "secret", "exfiltrate")), F.lit(0))
+    anything = F.col("override") | F.col("secret") | F.col("exfiltrate") | F.col("address") | F.col("markup")
+    return g.withColumn("risk", F.when(heavy >= 2, "high").when(anything, "medium").otherwise("low"))
+
+
+def regex_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    first = lambda p: F.regexp_extract(text, p, 0)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", first(r"[a-z0-9]+@[a-z0-9]+\.[a-z]+").alias("first_email"), first(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}").alias("first_ip"), first(r"(SPDX|Copyright|License)[^\n]*").alias("license_line"), count_of(text, "[0-9]{4,}").alias("n_long_numbers")
+    )
+
+
+def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user's turn asks for, by the first pattern that fits; ambiguous ones stay unclassified."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    date, amount, list_ = low.rlike(r"\b(when|date|deadline|quand|wann)\b"), low.rlike(r"\b(how much|amount|value|price|total)\b|[0-9]+,[0-9]{2}"), low.rlike(r"(^|\n)[-*] ")
+    fits = date.cast("int") + amount.cast("int") + list_.cast("int")
+    intent = F.when(fits > 1, "AMBIGUOUS").when(date, "DATE").when(amount, "AMOUNT").when(list_, "LIST").otherwise("OTHER")
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", intent.alias("intent"), F.length(low).cast("bigint").alias("n_chars"))
+
+
+def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of mixed spelling to ISO with their precision; what is no date keeps its raw form."""
+    raw = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")).when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.concat(F.lit("31/02/"), F.date_format("o_orderdate", "yyyy")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    day = F.coalesce(F.try_to_date(F.regexp_extract("raw", "^[0-9]{2}/[0-9]{2}/[0-9]{4}", 0), "dd/MM/yyyy"), F.try_to_date(F.regexp_extract("raw", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", 0), "yyyy-MM-dd"))
+    precision = F.when(day.isNull(), "UNKNOWN").when(F.col("raw").rlike(" [0-9]{2}:[0-9]{2}$"), "DATETIME").otherwise("DATE")
+    return o.select("o_orderkey", "raw", F.date_format(day, "yyyy-MM-dd").alias("iso"), precision.alias("precision"))
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
+
+
+QUERIES = {f.__name__: f for f in (quality_metrics, quality_class, security_signals, regex_extract_fields, intent_classify, date_normalise, json_props)}
+
+_METRICS = r"""m AS (SELECT doc_id, length(t) AS n_chars, len(regexp_extract_all(t, '[^ \t\r\n]+')) AS n_words, length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters,
+  length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, length(regexp_replace(t, '[^#$%&*|~^<>{}\[\]\\]', '', 'g')) AS n_odd, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+ORACLE = {
+    "quality_metrics": f"WITH {_METRICS} SELECT * FROM m",
+    "quality_class": f"""WITH {_METRICS}, r AS (SELECT *, n_letters::DOUBLE / greatest(n_chars, 1) AS l, n_odd::DOUBLE / greatest(n_chars, 1) AS o FROM m)
+SELECT doc_id, CASE WHEN n_chars <= 24 OR (n_chars >= 300 AND l < 0.2 AND o >= 0.08) OR (n_chars >= 500 AND n_words < 12) THEN 'BAD'
+  WHEN (n_chars >= 250 AND l < 0.32 AND o >= 0.04) OR (n_chars >= 300 AND n_words < 25) OR o >= 0.2 THEN 'SUSPECT' ELSE 'GOOD' END AS quality_class FROM r""",
+    "security_signals": """
+WITH a AS (SELECT conv_id, coalesce(text, '') AS t FROM conversations),
+g AS (SELECT conv_id, bool_or(regexp_matches(t, '(?i)ignore (all |any )?(previous|earlier) (rules|instructions)')) AS override, bool_or(regexp_matches(t, '(?i)(api[_ ]?key|password|secret|token) *[=:]')) AS secret,
+  bool_or(regexp_matches(t, '(?i)(send|post|upload) .{0,40}https?://')) AS exfiltrate, bool_or(regexp_matches(t, 'https?://')) AS address, bool_or(regexp_matches(t, '</?[a-zA-Z][^>]*>')) AS markup FROM a GROUP BY conv_id)
+SELECT *, CASE WHEN override::INT + secret::INT + exfiltrate::INT >= 2 THEN 'high' WHEN override OR secret OR exfiltrate OR address OR markup THEN 'medium' ELSE 'low' END AS risk FROM g""",
+    "regex_extract_fields": r"""
+SELECT doc_id, regexp_extract(t, '[a-z0-9]+@[a-z0-9]+\.[a-z]+') AS first_email, regexp_extract(t, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') AS first_ip, regexp_extract(t, '(SPDX|Copyright|License)[^\n]*') AS license_line,
+  len(regexp_extract_all(t, '[0-9]{4,}')) AS n_long_numbers FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "intent_classify": r"""
+WITH a AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user'),
+b AS (SELECT *, regexp_matches(t, '\b(when|date|deadline|quand|wann)\b') AS d, regexp_matches(t, '\b(how much|amount|value|price|total)\b|[0-9]+,[0-9]{2}') AS m, regexp_matches(t, '(^|\n)[-*] ') AS l FROM a)
+SELECT conv_id, turn, CASE WHEN d::INT + m::INT + l::INT > 1 THEN 'AMBIGUOUS' WHEN d THEN 'DATE' WHEN m THEN 'AMOUNT' WHEN l THEN 'LIST' ELSE 'OTHER' END AS intent, length(t) AS n_chars FROM b""",
+    "date_normalise": """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%d/%m/%Y %H:%M') WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '31/02/' || strftime(o_orderdate, '%Y') END AS raw,
+  CASE WHEN o_orderstatus IN ('F', 'O') THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso, CASE o_orderstatus WHEN 'F' THEN 'DATETIME' WHEN 'O' THEN 'DATE' ELSE 'UNKNOWN' END AS precision FROM orders""",
+    "json_props": "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total, max(CAST(props->>'$.k' AS BIGINT)) AS most FROM events GROUP BY event_type",
+}

@@ -1,0 +1 @@
+"""Rule-driven computations: calendars, deadlines, rule choice and evidence states."""
