@@ -91,7 +91,7 @@ class Model:
             np.add.at(d, of, seen > 0)
             np.add.at(held, of, np.where(seen > 0, below, 0))
             escape = np.where(n > 0, d / np.maximum(n + d, 1) / np.maximum(1 - held, 1e-6), 1.0)
-            escape = np.minimum(escape, 1.0)
+            # over 1 where the shorter context leaves little to the rest; the product is a probability all the same
             p = np.where(seen > 0, seen / np.maximum(n + d, 1)[of], escape[of] * below)
             self.grams.append(Grams(keys, self.length(p)))
             self.escapes.append(Grams(contexts, self.length(escape)))

@@ -144,6 +144,8 @@ class Rewritten:
             low += self.low[at:a] + [self.low[a]] * len(put)
             high += self.high[at:a] + [self.high[b - 1]] * len(put)
             new += self.new[at:a] + b"\1" * len(put)
+            if not put and new:
+                new[-1] = 1  # what was between this character and the next is gone
             at = b
         if not at:
             return False
