@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from caseloom.functions import text
-from caseloom.operators import linkage, merge, retrieval, sequence
+from caseloom.operators import catalog, linkage, merge, retrieval, sequence
 from caseloom.plans import calendar, evidence
 from caseloom.streaming import events
 
-MODULES = [retrieval, sequence, merge, linkage, calendar, evidence, text, events]
+MODULES = [retrieval, sequence, merge, linkage, catalog, calendar, evidence, text, events]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
