@@ -7,11 +7,13 @@
    the latest all are filled; a coordinate keeps the least value of the first round that reached it. Two
    sketches agree in a coordinate with a chance of their similarity, with the concentration of sampling
    without replacement. Rows of ``ROWS`` coordinates are hashed to band keys.
-3. Nodes that share a band key are a bucket. No bucket is ever expanded into pairs: each gets a pivot, and
-   every member is compared with the pivot on full sets. A link between two members that are not both linked
-   to the pivot shows in what they have beyond it: such members must share one of few shingles (a prefix
-   filter on the rest after the pivot is taken out). Those shared shingles make the buckets of the next
-   round, until no bucket holds two components.
+3. Nodes that share a band key are a bucket. The pairs of a bucket of up to ``SMALL`` nodes are compared on
+   full sets if their sketches agree well enough. A larger bucket is never expanded into pairs: it gets a
+   pivot, and every member is compared with the pivot on full sets. A link between two members that are not
+   both linked to the pivot shows in what they have beyond it: such members must share one of few shingles
+   (a prefix filter on the rest after the pivot is taken out). Nodes that hang together by such shingles are
+   a family. Its members meet block against block, in tasks of bounded size that hold full sets and give
+   out no more links than they join components.
 4. Components are found by alternating star contraction.
 
 Hashes have 64 bits; "full sets" are sets of such hashes.
@@ -20,7 +22,6 @@ Hashes have 64 bits; "full sets" are sets of such hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,13 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import table, written
 from caseloom.llm.tokens import slices
 
-#: Two sets of similarity 0.85 share none of the band keys with a chance of (1 - 0.85**6)**30, under 1e-6.
+#: Two sets of similarity 0.85 share none of the band keys with a chance of (1 - 0.85**6)**30, under 1e-6; for
+#: 0.8, the default of ``near_duplicates``, 36 bands of 5 rows do the same.
 BANDS, ROWS = 30, 6
+#: Nodes of a bucket whose pairs are looked at one by one, and nodes in a block of a family.
+SMALL, BLOCK = 8, 1024
+#: Standard deviations by which the agreement of two sketches may fall short of the least similarity.
+DEVIATIONS = 6
 SLICE_BYTES = 1_000_000
 
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
@@ -123,8 +129,15 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def node_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each whole set, whatever the order of its members."""
+    total = np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return mixed(total + np.array([len(s) for s in sets], np.uint64)).view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, node, bands``: set size, hash of the whole set and band keys of every text."""
+    """``doc_id, n_shingles, node, bands, sketch``: set size, hash of the whole set, band keys and one byte
+    of each coordinate for every text."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,14 +145,31 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
             for i, j in slices(sizes, SLICE_BYTES):
                 sets = shingle_sets(batch.column(1)[i:j].to_pylist(), width)
                 n = np.array([len(s) for s in sets], np.int64)
-                node = np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                node = mixed(node + n.astype(np.uint64)).view(np.int64)
-                keys = band_keys(sketches(sets, bands * rows), bands, rows)
+                node = node_hashes(sets)
+                filled = sketches(sets, bands * rows)
+                keys, low = band_keys(filled, bands, rows), filled.astype(np.uint8)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), pa.array(node, mask=n == 0), keys], ["doc_id", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), pa.array(node, mask=n == 0), keys, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>, sketch binary")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches agree in as many coordinates as a similarity of ``percent`` gives, less
+    ``DEVIATIONS`` standard deviations; a link is lost with a chance of about one in a billion."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            keep = pa.array((a == b).sum(axis=1) >= _least_agreement(a.shape[1], percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["node", "pivot"])
+
+    own = nodes.select("node", "sketch")
+    both = pairs.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+    return both.select("node", "pivot", "sketch", "other").mapInArrow(judged, "node bigint, pivot bigint")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -147,18 +177,20 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in slices(pa.compute.binary_length(batch.column(1)).to_pylist(), SLICE_BYTES):
+            for i, j in slices(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist(), SLICE_BYTES):
                 sets = shingle_sets(batch.column(1)[i:j].to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                same = pa.array(node_hashes(sets)).equals(batch.column(0)[i:j]) or np.equal(node_hashes(sets), batch.column(0)[i:j].to_numpy())
+                out = pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                yield out if same is True else out.filter(pa.array(same))  # one id may come with several texts
 
-    picked = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return picked.mapInArrow(packed, "node bigint, shingles binary")
+    picked = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    return picked.mapInArrow(packed, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare each node with its pivot on full sets.
 
-    ``node, pivot, linked, novel, whole``: the shingles by which a link to another node of this pivot would
+    ``node, pivot, open, linked, novel, whole``; the last two, where ``open``, are the shingles by which a link to another node of this pivot would
     show. With need = the overlap that any partner must have minus the overlap with the pivot: if need is
     positive, a partner shares that many of the shingles beyond the pivot, so all but need - 1 of these
     suffice (``novel``); else all of them (they are few), and a prefix of the set (``whole``) for partners
@@ -168,7 +200,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, novel, whole = [], [], []
-            for a, b in zip(batch.column(2), batch.column(3)):
+            for a, b, go_on in zip(batch.column(3), batch.column(4), batch.column(2).to_pylist()):
                 x, p = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(p, x), len(p) - 1)
                 beyond = x[p[at] != x]
@@ -176,13 +208,15 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok = 100 * inter >= percent * (len(x) + len(p) - inter)
                 need = -(-percent * len(x) // 100) - inter
                 linked.append(ok)
+                if not go_on:
+                    x = beyond = x[:0]
                 novel.append((beyond[: len(beyond) - need + 1] if need > 0 else beyond).view(np.int64))
                 whole.append((x[:0] if need > 0 else x[: len(x) - -(-percent * len(x) // 100) + 1]).view(np.int64))
             lists = [pa.array(v, pa.list_(pa.int64())) for v in (novel, whole)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *lists], ["node", "pivot", "linked", "novel", "whole"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_()), *lists], ["node", "pivot", "open", "linked", "novel", "whole"])
 
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
-    return both.select("node", "pivot", "shingles", "of_pivot").mapInArrow(judged, "node bigint, pivot bigint, linked boolean, novel array<bigint>, whole array<bigint>")
+    return both.select("node", "pivot", "open", "shingles", "of_pivot").mapInArrow(judged, "node bigint, pivot bigint, open boolean, linked boolean, novel array<bigint>, whole array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star contraction; every step is written to the shared folder.
     """
-    stars = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     state = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -206,32 +240,106 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _first_pairs(bands: DataFrame) -> DataFrame:
-    """``node, pivot`` from ``key, node``: all members of a bucket get the same pivot.
+def _pairs(closed: DataFrame, open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``node, pivot, open``: pairs of small buckets, for their link only, and pairs with a pivot."""
+    sizes = nodes.select("node", "n_shingles")
+    near = closed.distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("n")), "pivot")
+    near = near.filter(100 * F.least("n", "n_shingles") >= percent * F.greatest("n", "n_shingles")).select("node", "pivot")
+    near = _alike(near, nodes, percent)
+    both = near.withColumn("open", F.lit(False)).unionByName(open_.withColumn("open", F.lit(True)))
+    return both.groupBy("node", "pivot").agg(F.max("open").alias("open"))
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """``node, pivot`` (the lesser) for all pairs of each ``key``: small buckets only."""
+    other = members.select("key", F.col("node").alias("pivot"))
+    return members.join(other, "key").filter("pivot < node").select("node", "pivot")
 
-    A node's first choice is the least node of all its buckets, a bucket's pivot the least first choice of
-    its members; so a large group of near copies agrees on very few pivots.
-    """
-    many = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
-    members = written(bands.join(many, "key").select("key", "node", "low"), "buckets")
-    choice = members.groupBy("node").agg(F.min("low").alias("choice"))
-    pivots = members.select("key", "node").join(choice, "node").groupBy("key").agg(F.min("choice").alias("pivot"))
-    return members.join(pivots, "key").select("node", "pivot").filter("node <> pivot").distinct()
 
+def _with_pivots(large: DataFrame) -> DataFrame:
+    """``node, pivot`` from ``key, node, c`` of large buckets: all members of a bucket get the same pivot.
 
-def _next_pairs(judged: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """``node, pivot`` of the next round: members of one pivot that share a shingle and no component."""
-    open_ = judged.filter("not linked").groupBy("pivot").agg(F.max(F.size("whole") > 0).alias("contained"))
-    rows = judged.join(open_, "pivot")
+    The pivot should be the middle of its group, as what all others have in common beyond a pivot keeps them
+    together in a family. A text in the middle agrees with many others, so it stands in many and large
+    buckets: nodes are ranked by the sum of the sizes of their buckets. A bucket's pivot is the highest of
+    any bucket that one of its members is in, so that a large group of near copies agrees on few pivots.
+    """
+    rank = large.groupBy("node").agg(F.sum("c").alias("weight"))
+    ranked = large.join(rank, "node").select("key", "node", F.struct("weight", "node").alias("r"))
+    highest = ranked.groupBy("key").agg(F.max("r").alias("high"))
+    choice = ranked.join(highest, "key").groupBy("node").agg(F.max("high").alias("choice"))
+    pivots = ranked.join(choice, "node").groupBy("key").agg(F.max("choice").alias("pivot"))
+    return ranked.join(pivots, "key").select("node", F.col("pivot.node").alias("pivot")).filter("node <> pivot").distinct()
+
+
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs to compare, from the band keys of all nodes."""
+    bands = nodes.select("node", F.explode("bands").alias("key"))
+    many = bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    members = written(bands.join(many, "key").select("key", "node", "c"), "buckets")
+    open_ = _with_pivots(members.filter(F.col("c") > SMALL))
+    closed = _within(members.filter(F.col("c") <= SMALL).select("key", "node"))
+    return _pairs(closed, open_, nodes, percent)
+
+
+def _least_agreement(size: int, percent: int) -> float:
+    p = percent / 100
+    return size * p - DEVIATIONS * (size * p * (1 - p)) ** 0.5
+
+
+def _families(judged: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, family`` of the nodes that may have links which the pivots don't show: nodes of one pivot that
+    share a shingle, not all of them linked to it, and are in several components."""
+    rows = judged.filter("open")
+    unsettled = rows.filter("not linked").groupBy("pivot").agg(F.max(F.size("whole") > 0).alias("contained"))
+    rows = rows.join(unsettled, "pivot")
     keys = rows.select("node", "linked", F.explode("novel").alias("e"), "pivot", F.lit(0).alias("kind")).unionByName(rows.filter("contained").select("node", "linked", F.explode("whole").alias("e"), "pivot", F.lit(1).alias("kind")))
     keys = keys.select(F.xxhash64("pivot", "kind", "e").alias("key"), "node", "linked").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    many = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all_linked"))
-    many = many.filter("low < high and not all_linked").select("key", "pivot")
-    pairs = keys.select("key", "node").join(many, "key").select("node", "pivot").filter("node <> pivot").distinct()
-    return pairs.join(done.select("node", "pivot"), ["node", "pivot"], "left_anti")
+    many = keys.groupBy("key").agg(F.min("node").alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all_linked"))
+    spokes = keys.join(many.filter("low < high and not all_linked").select("key", "hub"), "key").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    return components(spokes).withColumnRenamed("root", "family")
+
 
+def _links_within(families: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that join the components of each family, found on full sets.
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    A family's blocks meet two by two, each meeting a task. In a meeting all pairs whose sketches agree well
+    enough and whose components are still apart are verified; a link joins theirs, so that at most one link
+    comes out for each component that is joined.
+    """
+    rows = families.join(families.groupBy("family").agg(F.count("*").alias("c")), "family").join(roots, "node", "left")
+    rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
+    blocks = F.ceil(F.col("c") / BLOCK)
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "node"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.select("family", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "sketch", "shingles")
+
+    def met(block: pa.Table) -> pa.Table:
+        b, node, root, n = (block[c].to_numpy() for c in ("b", "node", "root", "n_shingles"))
+        sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        held = [np.frombuffer(x, np.uint64) for x in block["shingles"].to_pylist()]
+        least = _least_agreement(sketch.shape[1], percent)
+        _, root = np.unique(root, return_inverse=True)  # from here on the component as it grows in this meeting
+        here, there = np.flatnonzero(b == block["i"][0].as_py()), np.flatnonzero(b == block["j"][0].as_py())
+        out = []
+        for x in here:
+            apart = there[(root[there] != root[x]) & (100 * np.minimum(n[there], n[x]) >= percent * np.maximum(n[there], n[x]))]
+            agree = (sketch[apart] == sketch[x]).sum(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for y in apart[order[agree[order] >= least]]:
+                if root[y] == root[x]:
+                    continue
+                at = np.minimum(np.searchsorted(held[y], held[x]), n[y] - 1)
+                both = int((held[y][at] == held[x]).sum())
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    out.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(met, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word
@@ -243,22 +351,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     signed = written(signatures(docs, width, bands, rows), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
     nodes = written(nodes, "nodes")
-    pairs = written(_first_pairs(nodes.select("node", F.explode("bands").alias("key"))), "pairs")
-    roots, edges, sets, done = None, [], None, None
-    while not pairs.isEmpty():
-        if sets is None:
-            wanted = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
-            wanted = nodes.filter("doc_id is not null").join(wanted, "node", "left_semi").select("doc_id", "node")
-            sets = written(_full_sets(docs, wanted, width).dropDuplicates(["node"]), "sets")
-        judged = written(_compared(pairs, sets, percent), "judged")
-        edges.append(judged.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        roots = written(components(reduce(DataFrame.unionByName, edges)), "roots")
-        done = pairs if done is None else done.unionByName(pairs)
-        pairs = written(_next_pairs(judged, roots, done), "pairs")
-    if roots is None:
-        roots = spark.createDataFrame([], "node bigint, root bigint")
+    pairs = written(_candidates(nodes, percent), "pairs")
+    involved = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
+    sets = written(_full_sets(docs, nodes.join(involved, "node", "left_semi").select("doc_id", "node"), width), "sets")
+    judged = written(_compared(pairs, sets, percent), "judged")
+    links = judged.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    roots = written(components(links), "roots")
+    more = written(_links_within(_families(judged, roots), nodes, sets, roots, percent), "links")
+    if not more.isEmpty():
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = named.join(least, "root").select("node", "component_id")
@@ -275,7 +378,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, bands=BANDS, rows=ROWS)
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates}

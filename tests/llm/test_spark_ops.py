@@ -66,9 +66,9 @@ def test_near_duplicates_against_all_pairs(spark, width, percent):
     rnd.shuffle(texts)
     docs = docs_of(spark, texts).repartition(3)
     docs = docs.unionByName(docs.filter("doc_id in (3, 4)"))
-    small, later = neardup.SMALL, neardup.LATER_SMALL
+    small, block = neardup.SMALL, neardup.BLOCK
     try:
-        for neardup.SMALL, neardup.LATER_SMALL in ((small, later), (3, 5)):
+        for neardup.SMALL, neardup.BLOCK in ((small, block), (3, 25)):
             bands = {"bands": 30, "rows": 6} if percent == 85 else {}
             got = neardup.near_duplicates(docs, width, percent, **bands).collect()
             assert len(got) == len(texts) + 2
@@ -76,7 +76,7 @@ def test_near_duplicates_against_all_pairs(spark, width, percent):
             assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
             assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     finally:
-        neardup.SMALL, neardup.LATER_SMALL = small, later
+        neardup.SMALL, neardup.BLOCK = small, block
 
 
 def test_near_duplicates_of_nothing(spark):
