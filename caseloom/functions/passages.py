@@ -87,14 +87,22 @@ _UNITS = {"BUSINESS_DAYS": "(?:working|business) days?", "DAYS": "days?|jours?|t
 _TERM = r"(?:^|[^0-9a-z])([0-9]{1,4}) +(" + "|".join(_UNITS.values()) + r")(?:[^a-z]|$)"
 
 
-def explicit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first term of a text in words like ``15 business days``: its value and unit."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    found = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(low, _TERM, 1).alias("v"), F.regexp_extract(low, _TERM, 2).alias("u"))
-    unit = F.when(F.col("v") == "", "UNSPECIFIED")
+def terms(text: Column) -> tuple[Column, Column]:
+    """The first term of a text in words like ``15 business days``: its value (null without one) and unit."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    value, word = F.regexp_extract(low, _TERM, 1), F.regexp_extract(low, _TERM, 2)
+    unit = F.when(value == "", "UNSPECIFIED")
     for name, pattern in _UNITS.items():
-        unit = unit.when(F.col("u").rlike(f"^(?:{pattern})$"), name)
-    return found.select("doc_id", F.when(F.col("v") != "", F.col("v")).cast("bigint").alias("value"), unit.alias("unit"))
+        unit = unit.when(word.rlike(f"^(?:{pattern})$"), name)
+    return F.when(value != "", value).cast("bigint"), unit
+
+
+def explicit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of orders, written out by their priority and read back."""
+    unit = F.when(F.col("o_orderpriority").startswith("1"), "Stunden").when(F.col("o_orderpriority").startswith("2"), "business days").when(F.col("o_orderpriority").startswith("3"), "jours").when(F.col("o_orderpriority").startswith("4"), "Months")
+    order = F.concat(F.lit("Within "), (F.col("o_orderkey") % 60).cast("string"), F.lit(" "), F.coalesce(unit, F.lit("steps")), F.lit("."))
+    value, found = terms(order)
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), found.alias("unit"))
 
 
 def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,16 +114,20 @@ def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", identity.alias("identity"), F.when(number != "", number).cast("bigint").alias("page_number"), count_of(url, "[?&][a-z]+=").alias("n_params"))
 
 
-def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that an answer cites, held against the turns of its conversation: verified and invented ones."""
-    turns = table(spark, sf_dir, "conversations")
-    cited = turns.filter("role = 'assistant'").select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{1,3}"), F.lit(0)))).alias("n"))
-    cited = cited.select("conv_id", "turn", F.col("n").cast("bigint").alias("n")).distinct()
-    known = turns.select("conv_id", F.col("turn").alias("n")).distinct().withColumn("known", F.lit(True))
-    held = cited.join(known, ["conv_id", "n"], "left").groupBy("conv_id", "turn").agg(F.count("known").alias("n_verified"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("n")))), ",").alias("invented"))
+def verified_citations(texts: DataFrame, sources: DataFrame, key: str, number: str) -> DataFrame:
+    """Numbers of one to three digits that each text cites, held against the numbers of ``sources``."""
+    cited = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{1,3}"), F.lit(0)))).alias("n"))
+    cited = cited.select(key, F.col("n").cast("bigint").alias("n")).distinct()
+    known = sources.select(F.col(number).alias("n")).distinct().withColumn("known", F.lit(True))
+    held = cited.join(known, "n", "left").groupBy(key).agg(F.count("known").alias("n_verified"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("n")))), ",").alias("invented"))
     return held.withColumn("all_verified", F.col("invented") == "")
 
 
+def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that a text cites, held against the benchmark's items: verified and invented ones."""
+    return verified_citations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
 QUERIES = {f.__name__: f for f in (text_chunks, accent_fold, context_windows, clip_turns, furniture_families, explicit_terms, url_identity, citation_verify)}
 
 ORACLE = {
@@ -136,15 +148,15 @@ SELECT doc_id, trim(regexp_replace(substr(text, greatest(1, p - 40), p - greates
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 s AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(line)), '(^|[^a-z0-9])(pages?|pag|p|fls?|seite) *[0-9]+', '\1 ', 'g'), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), ' ') AS g FROM l)
 SELECT source, sha256(g) AS signature_hash, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM s WHERE length(g) >= 4 GROUP BY source, g HAVING count(DISTINCT doc_id) >= 2""",
-    "explicit_terms": f"""
-WITH a AS (SELECT doc_id, regexp_extract(lower(coalesce(text, '')), '{_TERM}', 1) AS v, regexp_extract(lower(coalesce(text, '')), '{_TERM}', 2) AS u FROM documents)
-SELECT doc_id, TRY_CAST(nullif(v, '') AS BIGINT) AS value, CASE WHEN v = '' THEN 'UNSPECIFIED' {' '.join(f"WHEN regexp_full_match(u, '{p}') THEN '{n}'" for n, p in _UNITS.items())} END AS unit FROM a""",
+    "explicit_terms": """
+SELECT o_orderkey, CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3', '4') THEN o_orderkey % 60 END AS value,
+  CASE left(o_orderpriority, 1) WHEN '1' THEN 'HOURS' WHEN '2' THEN 'BUSINESS_DAYS' WHEN '3' THEN 'DAYS' WHEN '4' THEN 'MONTHS' ELSE 'UNSPECIFIED' END AS unit FROM orders""",
     "url_identity": r"""
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '([?&])ref=[^&]*', '\1', 'g'), '[?&]+$', ''), '^https?://', '') AS identity,
   TRY_CAST(nullif(regexp_extract(u, '[?&]page=([0-9]+)', 1), '') AS BIGINT) AS page_number, len(regexp_extract_all(u, '[?&][a-z]+=')) AS n_params FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)""",
     "citation_verify": """
-WITH c AS (SELECT DISTINCT conv_id, turn, CAST(n AS BIGINT) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[0-9]{1,3}')) AS n FROM conversations WHERE role = 'assistant')),
-k AS (SELECT DISTINCT conv_id, turn AS n, true AS known FROM conversations),
-h AS (SELECT conv_id, turn, count(known) AS n_verified, coalesce(string_agg(CASE WHEN known IS NULL THEN CAST(n AS VARCHAR) END, ',' ORDER BY n), '') AS invented FROM c LEFT JOIN k USING (conv_id, n) GROUP BY ALL)
+WITH c AS (SELECT DISTINCT doc_id, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}')) AS n FROM documents)),
+k AS (SELECT DISTINCT item_id AS n, true AS known FROM benchmark),
+h AS (SELECT doc_id, count(known) AS n_verified, coalesce(string_agg(CASE WHEN known IS NULL THEN CAST(n AS VARCHAR) END, ',' ORDER BY n), '') AS invented FROM c LEFT JOIN k USING (n) GROUP BY doc_id)
 SELECT *, invented = '' AS all_verified FROM h""",
 }

@@ -65,3 +65,17 @@ def test_versions_periods_and_scores(spark):
     assert [x[0] for x in days.select(contracts.wraps(F.col("d"), "12-20", "01-20")).collect()] == [True, True, False, False]
     pairs = spark.createDataFrame([("x", True, True), ("x", True, False), ("y", False, False)], "k string, expected boolean, actual boolean")
     assert {tuple(r) for r in contracts.set_scores(pairs, ["k"]).collect()} == {("x", 1, 0, 1, 1.0, 0.5), ("y", 0, 0, 0, None, None)}
+
+
+def test_terms(spark):
+    texts = ["within 15 Business Days, or 3 months", "10 jours", "7 Tagen.", "2 Stunden", "x12 days", "5 daysies", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    value, unit = passages.terms(F.col("t"))
+    none = (None, "UNSPECIFIED")
+    assert [tuple(r) for r in rows.orderBy("i").select(value, unit).collect()] == [(15, "BUSINESS_DAYS"), (10, "DAYS"), (7, "DAYS"), (2, "HOURS"), none, none, none, none]
+
+
+def test_citations(spark):
+    texts = spark.createDataFrame([(1, "see [1], [1] and [9]"), (2, "[2]"), (3, "none"), (4, None)], "k int, text string")
+    got = {tuple(r) for r in passages.verified_citations(texts, spark.createDataFrame([(1,), (2,), (None,)], "n int"), "k", "n").collect()}
+    assert got == {(1, 1, "9", False), (2, 1, "", True)}
