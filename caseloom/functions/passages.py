@@ -22,7 +22,8 @@ def _folds() -> tuple[str, str]:
 
 def folded(text: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(text), *_folds())
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_folds())).otherwise(low)
 
 
 def one_spaced(text: Column) -> Column:
@@ -75,8 +76,8 @@ def clip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def furniture_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that differ only in numbers, marks and page references, in two documents or more of a source."""
-    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    signed = lines.select("source", "doc_id", "line", furniture_signature(F.col("line")).alias("signature")).filter(F.length("signature") >= 4)
+    # signed before the lines are exploded, so that the filter does not work every signature out again
+    signed = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.transform(F.split("text", "\n"), furniture_signature)).alias("signature")).filter(F.length("signature") >= 4)
     # documents are counted after the rows of one document have been combined, so a hot line costs no task more
     own = signed.groupBy("source", F.sha2("signature", 256).alias("signature_hash"), "doc_id").agg(F.count("*").alias("n"))
     return own.groupBy("source", "signature_hash").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines")).filter("n_docs >= 2")
