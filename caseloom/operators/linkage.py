@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from caseloom.sources.tables import table
 
@@ -65,10 +68,32 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_links(c, s, "c_custkey", "s_suppkey", [("NATION_AND_NAME", "strong"), ("NAME", "weak")])
 
 
+@F.pandas_udf(StringType())
+def normalised(text: pd.Series) -> pd.Series:
+    """Compatibility forms, white space and case evened out; null stays null."""
+    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+
+def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """``item_id, doc_id`` where the whole normalised text of an item stands in that of a document, inside words too.
+
+    An item of four words or more is looked up by two neighbouring words of it, not its first or last, which are
+    whole words wherever it stands; shorter ones are held against every document. Items without text are nowhere.
+    """
+    words = F.split("quote", " ")
+    inner = F.transform(F.sequence(F.lit(2), F.size("w") - 2), lambda i: F.struct((F.length(F.element_at("w", i)) + F.length(F.element_at("w", i + 1))).alias("n"), i.alias("i")))
+    at = F.array_max(inner)["i"]
+    key = F.when(F.size("w") >= 4, F.xxhash64(F.element_at("w", at), F.element_at("w", at + 1))).otherwise(F.lit(0).cast("bigint"))
+    asked = items.select("item_id", normalised("text").alias("quote")).filter("quote <> ''").withColumn("w", words).select("item_id", "quote", key.alias("key"))
+    own = docs.select("doc_id", normalised("text").alias("text")).filter("text <> ''").withColumn("w", F.split("text", " "))
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64(a, b))
+    keyed = own.select("doc_id", "text", F.explode(F.array_distinct(F.array_append(pairs, F.lit(0).cast("bigint")))).alias("key"))
+    return keyed.join(F.broadcast(asked), "key").filter(F.contains("text", "quote")).select("item_id", "doc_id")
+
+
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole line of a benchmark item as a line of theirs: an equality join on its hash."""
-    lines = lambda df, k: df.select(k, F.explode(F.split("text", "\n")).alias("line")).select(k, F.trim("line").alias("line")).filter(F.length("line") >= 25).select(k, F.sha2("line", 256).alias("h")).distinct()
-    hit = lines(table(spark, sf_dir, "benchmark"), "item_id").join(lines(table(spark, sf_dir, "documents"), "doc_id"), "h")
+    """Documents that hold the whole text of a benchmark item, white space and case aside."""
+    hit = contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
     return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
