@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
-from caseloom.operators.retrieval import _query, _scored_docs, occurrences
+from caseloom.operators.retrieval import WORD, _query, _scored_docs, occurrences
 from caseloom.sources.tables import table
 
 
@@ -58,17 +58,24 @@ def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.countDistinct("l_suppkey").alias("n_suppliers"), F.grouping_id().cast("bigint").alias("level"))
 
 
+def phrases(docs: DataFrame, longest: int = 4) -> DataFrame:
+    """``lang, doc_id, n_words, phrase``: different runs of one to ``longest`` neighbouring words of each text."""
+    df = docs.select("lang", "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD + "+"), F.lit(0)).alias("p1")).filter(F.size("p1") > 0)
+    for n in range(2, longest + 1):  # null where the words end
+        df = df.withColumn(f"p{n}", F.zip_with(f"p{n - 1}", F.slice("p1", n, F.size("p1")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    by_length = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n_words"), F.array_distinct(f"p{n}").alias("p")) for n in range(1, longest + 1)])
+    df = df.select("lang", "doc_id", F.explode(by_length).alias("x")).select("lang", "doc_id", "x.n_words", F.explode("x.p").alias("phrase"))
+    return df.filter("phrase is not null")
+
+
 def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight word pairs that stand in most documents of each language."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", words.alias("w")).filter(F.size("w") >= 2)
-    pairs = docs.select("lang", "doc_id", F.explode(F.array_distinct(F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))))).alias("phrase")).filter("phrase is not null")
-    counts = pairs.groupBy("lang", "phrase").agg(F.count("*").alias("n_docs"))
+    """The eight phrases of one, two, three and four words that stand in most documents of each language."""
+    counts = phrases(table(spark, sf_dir, "documents")).groupBy("lang", "n_words", "phrase").agg(F.count("*").alias("n_docs"))
     # the best eight of each language are among those of each part of it, so no task gets a language whole
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(F.desc("n_docs"), "phrase")
+    part = Window.partitionBy("lang", "n_words", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(F.desc("n_docs"), "phrase")
     few = counts.withColumn("r", F.row_number().over(part)).filter("r <= 8")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_docs"), "phrase"))
-    return few.withColumn("rank", rank).filter("rank <= 8").select("lang", "phrase", "n_docs", "rank")
+    rank = F.row_number().over(Window.partitionBy("lang", "n_words").orderBy(F.desc("n_docs"), "phrase"))
+    return few.withColumn("rank", rank).filter("rank <= 8").select("lang", "n_words", "phrase", "n_docs", "rank")
 
 
 def hierarchical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

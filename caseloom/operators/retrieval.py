@@ -10,10 +10,13 @@ from caseloom.sources.tables import table
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
 
+#: A word: letters and digits of all scripts, as the reference's tokenizer takes them.
+WORD = r"[\p{L}\p{N}_]"
+
 
 def query_tokens(text: Column) -> Column:
-    """Different lower-case ASCII words of two letters or more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), 0))
+    """Different lower-case words of two letters or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD + "{2,}"), F.lit(0)))
 
 
 def occurrences(text: Column, token: Column) -> Column:
@@ -116,7 +119,7 @@ def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over whole words; the corpus statistics are one aggregate, the query terms a broadcast."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD + "{2,}"), F.lit(0))
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     size = F.broadcast(docs.agg(F.count("*").alias("n_all"), F.avg(F.size("w")).alias("mean")))
     asked = _query(spark, sf_dir).select(F.explode("tokens").alias("term"))

@@ -1,10 +1,13 @@
 """Whole results, held against brute force: what the lines, words and single questions of earlier versions missed."""
 
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from caseloom.operators import linkage
+from caseloom.operators import catalog, linkage, retrieval
 
 
 def frame(sf_dir, name, *columns):
@@ -31,3 +34,30 @@ def test_quote_verify_finds_every_item(spark, sf_dir):
         if held:
             want[item] = (len(held), min(held))
     assert {r.item_id: (r.n_docs, r.first_doc) for r in linkage.quote_verify(spark, sf_dir).collect()} == want
+
+
+def test_words_of_all_scripts(spark):
+    rows = spark.createDataFrame([("Ação ñandú a x1 Łódź 日本語 snake_case, Ação",)], "t string")
+    assert rows.select(retrieval.query_tokens(F.col("t"))).first()[0] == ["ação", "ñandú", "x1", "łódź", "日本語", "snake_case"]
+
+
+def test_phrases_join_neighbours_only(spark):
+    rows = spark.createDataFrame([("pt", 1, "Um é ação só. Um é"), ("pt", 2, None), ("pt", 3, "só")], "lang string, doc_id long, text string")
+    want = {(1, 1, w) for w in ("um", "é", "ação", "só")} | {(3, 1, "só")}
+    want |= {(1, 2, p) for p in ("um é", "é ação", "ação só", "só um")}
+    want |= {(1, 3, p) for p in ("um é ação", "é ação só", "ação só um", "só um é")}
+    want |= {(1, 4, p) for p in ("um é ação só", "é ação só um", "ação só um é")}
+    assert sorted((r.doc_id, r.n_words, r.phrase) for r in catalog.phrases(rows).collect()) == sorted(want)
+
+
+def test_phrase_mining_counts_documents(spark, sf_dir):
+    seen = {}
+    for lang, text in frame(sf_dir, "documents", "lang", "text").itertuples(index=False):
+        words = re.findall(r"\w+", text.lower()) if text else []
+        for n in range(1, 5):
+            seen.setdefault((lang, n), Counter()).update({" ".join(words[i : i + n]) for i in range(len(words) - n + 1)})
+    got = {}
+    for r in catalog.phrase_mining(spark, sf_dir).orderBy("rank").collect():
+        got.setdefault((r.lang, r.n_words), []).append((r.phrase, r.n_docs))
+    assert {k: [n for _, n in v] for k, v in got.items()} == {k: sorted(c.values(), reverse=True)[:8] for k, c in seen.items() if c}
+    assert all(seen[k][p] == n for k, v in got.items() for p, n in v)
