@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
-from caseloom.operators.retrieval import WORD, _query, _scored_docs, occurrences
+from caseloom.operators.retrieval import WORD, _query, _scored_docs, best_of, occurrences
 from caseloom.sources.tables import table
 
 
@@ -79,21 +79,22 @@ def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tiers: the five sources with the best document, then the three best documents of each."""
+    """Two tiers for each question: the five sources with the best document, then the three best documents of each."""
     scored = _scored_docs(spark, sf_dir).filter("lexical > 0").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    top = scored.groupBy("source").agg(F.max("lexical").alias("best")).orderBy(F.desc("best"), "source").limit(5)
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("lexical"), "doc_id"))
-    return scored.join(F.broadcast(top), "source").withColumn("rank", rank).filter("rank <= 3").select("source", "doc_id", "lexical", "rank")
+    best = scored.groupBy("query_id", "source").agg(F.max("lexical").alias("best"))
+    top = best_of(best, ["query_id"], [F.desc("best"), F.asc("source")], 5).drop("best")
+    rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("lexical"), "doc_id"))
+    return scored.join(F.broadcast(top), ["query_id", "source"]).withColumn("rank", rank).filter("rank <= 3").select("query_id", "source", "doc_id", "lexical", "rank")
 
 
 def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the question's words that each source's documents hold."""
+    """Share of each question's words that each source's documents hold."""
     asked = _query(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("source", F.lower("text").alias("low")).join(asked)
-    held = docs.select("source", F.filter("tokens", lambda t: occurrences(F.col("low"), t) > 0).alias("held"), F.size("tokens").alias("n"))
-    words = held.groupBy("source").agg(F.collect_set(F.array_join(F.array_sort("held"), " ")).alias("s"), F.first("n").alias("n"))
+    held = docs.select("query_id", "source", F.filter("tokens", lambda t: occurrences(F.col("low"), t) > 0).alias("held"), F.size("tokens").alias("n"))
+    words = held.groupBy("query_id", "source").agg(F.collect_set(F.array_join(F.array_sort("held"), " ")).alias("s"), F.first("n").alias("n"))
     covered = F.size(F.array_remove(F.array_distinct(F.split(F.array_join("s", " "), " ")), ""))
-    return words.select("source", covered.cast("bigint").alias("n_covered"), F.round(covered / F.col("n"), 6).alias("coverage"))
+    return words.select("query_id", "source", covered.cast("bigint").alias("n_covered"), F.round(covered / F.col("n"), 6).alias("coverage"))
 
 
 def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.sources.tables import table
+from caseloom.sources.tables import kept, table
 
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
@@ -30,11 +34,11 @@ def lexical_score(text: Column, query: Column, tokens: Column) -> Column:
     ``text`` must be a column that is lower-case already: what stands in the loop runs for every token.
     """
 
-    def one(total: Column, token: Column) -> Column:
-        n = occurrences(text, token)
+    def one(total: Column, n: Column) -> Column:
         return total + F.when(n > 0, 1.0 + 0.2 * F.least(n, F.lit(5.0))).otherwise(0.0)
 
-    return F.when(F.contains(text, F.lower(query)), 10.0).otherwise(0.0) + F.aggregate(tokens, F.lit(0.0), one)
+    counts = F.transform(tokens, lambda token: occurrences(text, token))
+    return F.when(F.contains(text, F.lower(query)), 10.0).otherwise(0.0) + F.aggregate(counts, F.lit(0.0), one)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,50 +51,111 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """Rank in ``scored`` (falling score, rising key) of the few rows in ``wanted (key)``.
+def best_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group; Spark keeps ``k`` rows of a group in every task before the shuffle."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+
+
+def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, keys: list[str], name: str) -> DataFrame:
+    """1-based rank of the ``wanted`` rows in ``scored``, ordered by ``score`` from the top and the last of ``keys``,
+    apart for each value of the others.
 
     A count of the rows before each instead of a window over the whole table: no task ever sorts everything.
-    ``wanted`` must be small; it is a top-k list in all uses here.
+    ``wanted`` must be small; it is top-k lists in all uses here.
     """
-    mine = F.broadcast(wanted.join(scored, key).select(F.col(key).alias("_k"), F.col(score).alias("_s")))
-    ahead = scored.join(mine, (F.col(score) > F.col("_s")) | ((F.col(score) == F.col("_s")) & (F.col(key) <= F.col("_k"))))
-    return ahead.groupBy(F.col("_k").alias(key)).agg(F.count("*").alias(name))
+    *by, key = keys
+    mine = F.broadcast(wanted.join(scored, keys).select(*by, F.col(key).alias("_k"), F.col(score).alias("_s")))
+    before = (F.col(score) > F.col("_s")) | ((F.col(score) == F.col("_s")) & (F.col(key) <= F.col("_k")))
+    return scored.join(mine, by).filter(before).groupBy(*by, F.col("_k").alias(key)).agg(F.count("*").alias(name))
 
 
-def hybrid(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """Reciprocal rank fusion of columns ``lexical`` and ``semantic``; the lexical leg counts where it is over 0,
-    the semantic one where it is not null.
+def hybrid_of_each(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """Reciprocal rank fusion of columns ``lexical`` and ``semantic`` for each query; the lexical leg counts where it
+    is over 0, the semantic one where it is not null.
 
     A row under rank 2 * (60 + k) - 60 in both legs scores less than any of the first k of a leg, so only the
     heads of the legs can be in the result.
     """
-    head = 2 * (RRF_K + k) - RRF_K
+    head, keys = 2 * (RRF_K + k) - RRF_K, [query, key]
     lex, sem = scored.filter("lexical > 0"), scored.filter("semantic is not null")
-    few = lex.orderBy(F.desc("lexical"), key).limit(head).select(key).union(sem.orderBy(F.desc("semantic"), key).limit(head).select(key)).distinct()
-    fused = few.join(ranks_from(lex, few, "lexical", key, "rank_lex"), key, "left").join(ranks_from(sem, few, "semantic", key, "rank_sem"), key, "left")
+    few = best_of(lex, [query], [F.desc("lexical"), F.asc(key)], head).select(*keys).union(best_of(sem, [query], [F.desc("semantic"), F.asc(key)], head).select(*keys)).distinct()
+    fused = few.join(ranks_from(lex, few, "lexical", keys, "rank_lex"), keys, "left").join(ranks_from(sem, few, "semantic", keys, "rank_sem"), keys, "left")
     score = F.coalesce(1 / (RRF_K + F.col("rank_lex")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("rank_sem")), F.lit(0.0))
-    return fused.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), key).limit(k)
+    return best_of(fused.withColumn("score", F.round(score, 6)), [query], [F.desc("score"), F.asc(key)], k)
 
 
-def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first benchmark item as the question: one row, broadcast."""
-    first = table(spark, sf_dir, "benchmark").agg(F.min(F.struct("item_id", "text"))["text"].alias("query"))
-    return F.broadcast(first.select("query", query_tokens(F.col("query")).alias("tokens")))
+def hybrid(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """``hybrid_of_each`` for one query, best first."""
+    one = hybrid_of_each(scored.withColumn("_q", F.lit(0)), k, "_q", key)
+    return one.drop("_q").orderBy(F.desc("score"), key)
 
 
-def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return F.broadcast(table(spark, sf_dir, "embeddings").agg(F.min(F.struct("vec_id", "embedding")).alias("p")).select(F.col("p.vec_id").alias("probe_id"), F.col("p.embedding").alias("probe")))
+def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions: every benchmark item whose id is divisible by 100."""
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0")
+    return F.broadcast(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), query_tokens(F.col("text")).alias("tokens")))
 
 
 def _scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")).join(_query(spark, sf_dir))
-    return docs.select("doc_id", F.round(lexical_score(F.col("text"), F.col("query"), F.col("tokens")), 6).alias("lexical"))
+    return kept(docs.select("query_id", "doc_id", F.round(lexical_score(F.col("text"), F.col("query"), F.col("tokens")), 6).alias("lexical")), "lexical")
 
 
-def _scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vec = table(spark, sf_dir, "embeddings").join(_probe(spark, sf_dir))
-    return vec.select("vec_id", "label", "probe_id", F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
+def _matrices(vectors: DataFrame) -> DataFrame:
+    """``vec_ids, labels, dim, data``: a row for each length of vector in a batch; null vectors have length 0."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            own = [np.asarray([] if v is None else v, dtype="float64") for v in df["embedding"]]
+            sizes = np.array([v.size for v in own], dtype="int64")
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                rows = np.stack([own[i] for i in at])
+                norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+                unit = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+                yield pd.DataFrame({"vec_ids": [df["vec_id"].to_numpy()[at].tolist()], "labels": [df["label"].astype(object).to_numpy()[at].tolist()], "dim": [int(dim)], "data": [unit.tobytes()]})
+
+    label = vectors.schema["label"].dataType.simpleString()
+    return vectors.select("vec_id", "label", "embedding").mapInPandas(pack, f"vec_ids array<bigint>, labels array<{label}>, dim bigint, data binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    """``query_id, vec_id, label, score``: the ``k`` rows of ``vectors`` of highest cosine for each of ``queries``.
+
+    Blocks of vectors meet blocks of queries as matrices, and each pair of blocks keeps ``k`` rows a query. The
+    cosine is 0 for empty vectors, different lengths and zero norms; ties go to the lower id. Without ``itself``
+    a query's own row is not among its neighbours.
+    """
+    asked = _matrices(queries).select(F.col("vec_ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("data").alias("query_data"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for r in df.itertuples(index=False):
+                ids, own = np.asarray(r.vec_ids), np.asarray(r.query_ids)
+                alike = r.dim == r.query_dim and r.dim > 0
+                mine = np.frombuffer(r.data).reshape(len(ids), -1) if alike else None
+                for start in range(0, len(own), 256):
+                    some = own[start : start + 256]
+                    cos = np.frombuffer(r.query_data).reshape(len(own), -1)[start : start + 256] @ mine.T if alike else np.zeros((len(some), len(ids)))
+                    cos = np.round(cos, 6) + 0.0
+                    if not itself:
+                        cos[some[:, None] == ids[None, :]] = -np.inf
+                    n = min(k, len(ids))
+                    least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
+                    for q, line, low in zip(some, cos, least):
+                        at = np.flatnonzero((line >= low) & (line > -np.inf))
+                        at = at[np.lexsort((ids[at], -line[at]))[:n]]
+                        yield pd.DataFrame({"query_id": q, "vec_id": ids[at], "label": [r.labels[i] for i in at], "score": line[at]})
+
+    label = vectors.schema["label"].dataType.simpleString()
+    found = _matrices(vectors).crossJoin(F.broadcast(asked)).mapInPandas(score, f"query_id bigint, vec_id bigint, label {label}, score double")
+    return best_of(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors, vectors.filter("vec_id % 100 = 0")
 
 
 def pages_scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,22 +164,25 @@ def pages_scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored_docs(spark, sf_dir).filter("lexical > 0").orderBy(F.desc("lexical"), "doc_id").limit(20)
+    return best_of(_scored_docs(spark, sf_dir).filter("lexical > 0"), ["query_id"], [F.desc("lexical"), F.asc("doc_id")], 20)
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored_vectors(spark, sf_dir).select("vec_id", "label", "score").orderBy(F.desc("score"), "vec_id").limit(20)
+    return nearest(*_vectors(spark, sf_dir), 20)
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _scored_vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("semantic"))
-    return hybrid(_scored_docs(spark, sf_dir).join(vectors, "doc_id", "left"), 20).select("doc_id", "rank_lex", "rank_sem", "score")
+    """The questions are those of the benchmark; the vector of a question is that of its number, if there is one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    probes = F.broadcast(vectors.join(_query(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("probe")))
+    semantic = vectors.join(probes).select("query_id", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("semantic"))
+    both = _scored_docs(spark, sf_dir).join(semantic, ["query_id", "doc_id"], "left")
+    return hybrid_of_each(both, 20).select("query_id", "doc_id", "rank_lex", "rank_sem", "score")
 
 
 def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _scored_vectors(spark, sf_dir).filter("vec_id <> probe_id").orderBy(F.desc("score"), "vec_id").limit(20)
-    best = F.max("score").over(Window.partitionBy("probe_id"))  # of at most twenty rows
-    return top.withColumn("best", best).filter("score >= greatest(0.30, 0.82 * best)").select("vec_id", "label", "score")
+    best = F.max("score").over(Window.partitionBy("query_id"))  # of at most twenty rows
+    return nearest(*_vectors(spark, sf_dir), 20, itself=False).withColumn("best", best).filter("score >= greatest(0.30, 0.82 * best)").select("query_id", "vec_id", "label", "score")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,13 +190,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD + "{2,}"), F.lit(0))
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     size = F.broadcast(docs.agg(F.count("*").alias("n_all"), F.avg(F.size("w")).alias("mean")))
-    asked = _query(spark, sf_dir).select(F.explode("tokens").alias("term"))
-    tf = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(asked), "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    asked = _query(spark, sf_dir).select("query_id", F.explode("tokens").alias("term"))
+    tf = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    both = tf.join(F.broadcast(df), "term").join(size)
+    both = tf.join(F.broadcast(df), "term").join(size).join(F.broadcast(asked), "term")
     idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    return both.groupBy("doc_id").agg(F.round(F.sum(part), 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
+    return best_of(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20)
 
 
 def compose_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:

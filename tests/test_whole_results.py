@@ -4,7 +4,9 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import catalog, linkage, retrieval
@@ -61,3 +63,79 @@ def test_phrase_mining_counts_documents(spark, sf_dir):
         got.setdefault((r.lang, r.n_words), []).append((r.phrase, r.n_docs))
     assert {k: [n for _, n in v] for k, v in got.items()} == {k: sorted(c.values(), reverse=True)[:8] for k, c in seen.items() if c}
     assert all(seen[k][p] == n for k, v in got.items() for p, n in v)
+
+
+def cosines(sf_dir):
+    df = frame(sf_dir, "embeddings", "vec_id", "embedding").sort_values("vec_id")
+    m = np.stack(df["embedding"]).astype("float64")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = df["vec_id"].to_numpy()
+    return {int(q): dict(zip(ids.tolist(), np.round(m @ m[i], 6).tolist())) for i, q in enumerate(ids) if q % 100 == 0}
+
+
+def first(scores, k):
+    return sorted(((i, s) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def listed(df, key):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, -r.score, r[key])):
+        out.setdefault(r.query_id, []).append((r[key], pytest.approx(r.score, abs=2e-6)))
+    return out
+
+
+def test_every_hundredth_vector_is_searched(spark, sf_dir):
+    every = cosines(sf_dir)
+    assert len(every) > 1
+    assert listed(retrieval.cosine_topk(spark, sf_dir), "vec_id") == {q: first(s, 20) for q, s in every.items()}
+    near = {q: first({i: x for i, x in s.items() if i != q}, 20) for q, s in every.items()}
+    near = {q: [(i, x) for i, x in s if x >= max(0.30, 0.82 * s[0][1])] for q, s in near.items()}
+    assert listed(retrieval.relative_threshold_neighbours(spark, sf_dir), "vec_id") == {q: s for q, s in near.items() if s}
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [(1, 5, [1.0, 0.0]), (2, 6, [0.0, 0.0]), (3, 7, [1.0]), (4, 8, []), (5, 9, None), (6, 9, [2.0, 0.0]), (7, None, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)
+    got = retrieval.nearest(df, df.filter("vec_id in (1, 4)"), 3, itself=False).collect()
+    assert sorted((r.query_id, -r.score, r.vec_id, r.label) for r in got) == [(1, -1.0, 6, 9), (1, 0.0, 2, 6), (1, 0.0, 3, 7), (4, 0.0, 1, 5), (4, 0.0, 2, 6), (4, 0.0, 3, 7)]
+    assert {(r.vec_id, r.score) for r in retrieval.nearest(df, df.filter("vec_id = 1"), 9).collect()} == {(1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 1.0), (7, -1.0)}
+
+
+@pytest.fixture(scope="module")
+def asked(spark, sf_dir, tmp_path_factory):
+    """The tables with three questions, of which one has no vector."""
+    home = str(tmp_path_factory.mktemp("asked"))
+    items = frame(sf_dir, "benchmark", "item_id", "text").sort_values("item_id").head(4)
+    items["item_id"] = [0, 100, 101, 1_000_000]
+    items.to_parquet(f"{home}/benchmark.parquet")
+    for name in ("documents", "embeddings"):
+        pd.read_parquet(f"{sf_dir}/{name}.parquet").to_parquet(f"{home}/{name}.parquet")
+    return home
+
+
+def lexical(home):
+    docs = [(d, (t or "").lower()) for d, t in frame(home, "documents", "doc_id", "text").itertuples(index=False)]
+    out = {}
+    for q, text in frame(home, "benchmark", "item_id", "text").itertuples(index=False):
+        if q % 100 == 0:
+            words = set(re.findall(r"\w{2,}", text.lower()))
+            each = {d: (10.0 if text.lower() in t else 0.0) + sum(1 + 0.2 * min(n, 5) for n in map(t.count, words) if n) for d, t in docs}
+            out[q] = {d: round(s, 6) for d, s in each.items() if s > 0}
+    return out
+
+
+def test_every_hundredth_item_is_asked(spark, asked):
+    lex, sem = lexical(asked), cosines(asked)
+    got = retrieval.lexical_score_topk(spark, asked).withColumnRenamed("lexical", "score")
+    assert listed(got, "doc_id") == {q: first(s, 20) for q, s in lex.items()} and set(lex) == {0, 100, 1_000_000}
+    docs = set(frame(asked, "documents", "doc_id")["doc_id"])
+    want = {}
+    for q in lex:
+        total = {}
+        for leg in (lex[q], {i: s for i, s in sem.get(q, {}).items() if i in docs}):
+            for n, (i, _) in enumerate(first(leg, len(leg)), 1):
+                total[i] = total.get(i, 0) + 1 / (60 + n)
+        want[q] = first({i: round(s, 6) for i, s in total.items()}, 20)
+    assert listed(retrieval.hybrid_rrf(spark, asked), "doc_id") == want
+    for query in (retrieval.bm25_topk, catalog.hierarchical_topk, catalog.subject_coverage):
+        assert {r.query_id for r in query(spark, asked).collect()} == set(lex)
