@@ -98,12 +98,16 @@ def terms(text: Column) -> tuple[Column, Column]:
     return F.when(value != "", value).cast("bigint"), unit
 
 
+def all_terms(text: Column) -> Column:
+    """Every term of a text in its order, as structs of its place from 1, value and unit."""
+    # what follows a term is only looked at, so that it can begin the next one
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM.replace("(?:[^a-z]|$)", "(?![a-z])").replace("(?:^|[^0-9a-z])", "(?<![0-9a-z])")), F.lit(0))
+    return F.transform(found, lambda t, i: F.struct((i + 1).cast("bigint").alias("term_no"), *(c.alias(n) for c, n in zip(terms(t), ("value", "unit")))))
+
+
 def explicit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of orders, written out by their priority and read back."""
-    unit = F.when(F.col("o_orderpriority").startswith("1"), "Stunden").when(F.col("o_orderpriority").startswith("2"), "business days").when(F.col("o_orderpriority").startswith("3"), "jours").when(F.col("o_orderpriority").startswith("4"), "Months")
-    order = F.concat(F.lit("Within "), (F.col("o_orderkey") % 60).cast("string"), F.lit(" "), F.coalesce(unit, F.lit("steps")), F.lit("."))
-    value, found = terms(order)
-    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), found.alias("unit"))
+    """All terms of each document; a document without one has no row."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(all_terms(F.col("text"))))
 
 
 def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +119,17 @@ def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", identity.alias("identity"), F.when(number != "", number).cast("bigint").alias("page_number"), count_of(url, "[?&][a-z]+=").alias("n_params"))
 
 
+_CITATION = r"(?i)\[(?:Fonte\s*)?[0-9]+(?:\s*,\s*(?:Fonte\s*)?[0-9]+)*\]"
+
+
 def verified_citations(texts: DataFrame, sources: DataFrame, key: str, number: str) -> DataFrame:
-    """Numbers of one to three digits that each text cites, held against the numbers of ``sources``."""
-    cited = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{1,3}"), F.lit(0)))).alias("n"))
-    cited = cited.select(key, F.col("n").cast("bigint").alias("n")).distinct()
-    known = sources.select(F.col(number).alias("n")).distinct().withColumn("known", F.lit(True))
-    held = cited.join(known, "n", "left").groupBy(key).agg(F.count("known").alias("n_verified"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("n")))), ",").alias("invented"))
+    """Numbers that each text cites as ``[n]``, ``[Fonte n]`` or ``[n, m]``, held against the numbers of ``sources``."""
+    groups = F.regexp_extract_all("text", F.lit(_CITATION), F.lit(0))
+    numbers = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit("[0-9]+"), F.lit(0))))
+    # compared as text without leading zeros, as a cited number can have more digits than a bigint holds
+    cited = texts.select(key, F.explode(numbers).alias("n")).select(key, F.expr("coalesce(nullif(ltrim('0', n), ''), '0')").alias("n")).distinct()
+    known = sources.select(F.col(number).cast("string").alias("n")).distinct().withColumn("known", F.lit(True))
+    held = cited.join(known, "n", "left").groupBy(key).agg(F.count("known").alias("n_verified"), F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.struct(F.length("n").alias("size"), F.col("n"))))), lambda x: x["n"]), ",").alias("invented"))
     return held.withColumn("all_verified", F.col("invented") == "")
 
 

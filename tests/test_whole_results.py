@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom.functions import passages
 from caseloom.operators import catalog, linkage, retrieval
 
 
@@ -139,3 +140,20 @@ def test_every_hundredth_item_is_asked(spark, asked):
     assert listed(retrieval.hybrid_rrf(spark, asked), "doc_id") == want
     for query in (retrieval.bm25_topk, catalog.hierarchical_topk, catalog.subject_coverage):
         assert {r.query_id for r in query(spark, asked).collect()} == set(lex)
+
+
+def test_citations_are_bracketed_whole_numbers(spark):
+    texts = [(1, "In 2024 see [4] and [Fonte 7, 12]."), (2, "202 and 4, [x1], [2024] [99999999999999999999] [04] [30]"), (3, "no 123"), (4, None)]
+    got = passages.verified_citations(spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame([(4,), (7,), (202,)], "n long"), "k", "n")
+    assert {(r.k, r.n_verified, r.invented, r.all_verified) for r in got.collect()} == {(1, 2, "12", False), (2, 1, "30,2024,99999999999999999999", False)}
+
+
+def test_all_terms_of_a_text(spark):
+    rows = spark.createDataFrame([("Within 15 business days 2 Monate, 10 days; x3 days, 12345 days, 4 daysy",), (None,), ("none",)], "text string")
+    got = [[tuple(t) for t in r[0]] for r in rows.select(passages.all_terms(F.col("text"))).collect()]
+    assert got == [[(1, 15, "BUSINESS_DAYS"), (2, 2, "MONTHS"), (3, 10, "DAYS")], [], []]
+
+
+def test_terms_of_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "3 jours or 5 Stunden"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, passages.explicit_terms(spark, str(tmp_path)).collect())) == [(1, 1, 3, "DAYS"), (1, 2, 5, "HOURS")]
