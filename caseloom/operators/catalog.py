@@ -91,10 +91,10 @@ def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each question's words that each source's documents hold."""
     asked = _query(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("source", F.lower("text").alias("low")).join(asked)
-    held = docs.select("query_id", "source", F.filter("tokens", lambda t: occurrences(F.col("low"), t) > 0).alias("held"), F.size("tokens").alias("n"))
-    words = held.groupBy("query_id", "source").agg(F.collect_set(F.array_join(F.array_sort("held"), " ")).alias("s"), F.first("n").alias("n"))
-    covered = F.size(F.array_remove(F.array_distinct(F.split(F.array_join("s", " "), " ")), ""))
-    return words.select("query_id", "source", covered.cast("bigint").alias("n_covered"), F.round(covered / F.col("n"), 6).alias("coverage"))
+    held = F.filter("tokens", lambda t: occurrences(F.col("low"), t) > 0)
+    # an explicit null keeps sources that hold no word; different words are few, however many documents a source has
+    words = docs.select("query_id", "source", F.size("tokens").alias("n"), F.explode_outer(held).alias("word")).distinct()
+    return words.groupBy("query_id", "source").agg(F.count("word").alias("n_covered"), F.round(F.count("word") / F.first("n"), 6).alias("coverage"))
 
 
 def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:

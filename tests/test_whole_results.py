@@ -157,3 +157,14 @@ def test_all_terms_of_a_text(spark):
 def test_terms_of_documents(spark, tmp_path):
     spark.createDataFrame([(1, "3 jours or 5 Stunden"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, passages.explicit_terms(spark, str(tmp_path)).collect())) == [(1, 1, 3, "DAYS"), (1, 2, 5, "HOURS")]
+
+
+def test_coverage_has_no_set_of_a_source(spark, asked):
+    query = catalog.subject_coverage(spark, asked)
+    assert "collect_set" not in query._jdf.queryExecution().optimizedPlan().toString()
+    docs = [(s, (t or "").lower()) for s, t in frame(asked, "documents", "source", "text").itertuples(index=False)]
+    want = set()
+    for q, text in frame(asked, "benchmark", "item_id", "text").itertuples(index=False):
+        words = set(re.findall(r"\w{2,}", text.lower()))
+        want |= {(q, s, sum(any(w in t for o, t in docs if o == s) for w in words), len(words)) for s in {s for s, _ in docs} if q % 100 == 0}
+    assert {(r.query_id, r.source, r.n_covered, r.coverage) for r in query.collect()} == {(q, s, n, round(n / m, 6)) for q, s, n, m in want}
