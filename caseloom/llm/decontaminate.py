@@ -1,14 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame functions only.
 
-1. The benchmark's phrases (windows of consecutive words) name the terms to look up. The corpus is counted
-   once for how often each of these terms stands in it; a phrase's anchor is its rarest term, and a phrase
-   with a term that the corpus lacks cannot occur.
-2. The index stores the postings of the anchor terms: document, position and the terms around it, as far as
-   any phrase of that anchor reaches. It is a table in the shared folder, and questions are answered from it
-   without going back to the texts.
-3. A phrase occurs where the lists of all its terms agree after each is moved by its offset in the phrase.
-   The lists are intersected from the rarest term on: its postings are the candidates, and the stored terms
-   around a posting say at which offsets the others stand. Proximity asks for the terms within a distance.
+1. The index has a posting for every word of every training text: term, document, position. It is written
+   once to the shared folder, each task sorting its own part by term, so that a part is a segment of the index
+   with its own posting lists, as in any distributed index. It does not depend on the benchmark; any number of
+   benchmarks can be held against it without going back to the texts.
+2. The benchmark's phrases (windows of consecutive words) name the terms to look up. Their counts come from the
+   index; a phrase with a term that the corpus lacks cannot occur. A phrase's terms are ranked by their counts.
+3. Lists are intersected from the rarest term on. The postings of a phrase's rarest term are its candidates; those
+   near which no posting of the second rarest stands are gone; of the rest, all other lists are looked up in
+   the candidates' documents. A term at the distance that its offset in the phrase asks for counts for the exact
+   phrase, one within ``distance`` words for proximity.
 """
 
 from __future__ import annotations
@@ -44,69 +45,107 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
 
 
-def anchors(phrase_terms: DataFrame, docs: DataFrame, n_bytes: int) -> DataFrame:
-    """``phrase, terms, anchor, offset``: the rarest term of each phrase, by its count in the whole corpus."""
-    spread = phrase_terms.select("phrase", F.posexplode("terms").alias("offset", "term"))
-    wanted = _small(spread.select("term").distinct(), n_bytes)
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = spread.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("r"))
-    return phrase_terms.join(ranked.filter("r.n > 0"), "phrase").select("phrase", "terms", F.col("r.term").alias("anchor"), F.col("r.offset").alias("offset"))
+def term_key(term: Column) -> Column:
+    """The 64-bit hash by which the index knows a term."""
+    return F.xxhash64(term)
 
 
-def positional_index(docs: DataFrame, reach: DataFrame, n_bytes: int) -> DataFrame:
-    """``doc_id, text_key, term, pos, first, near``: postings of the terms in ``reach (term, before, after)``.
+def positional_index(docs: DataFrame) -> DataFrame:
+    """``term, doc_id, text_key, pos``: a posting for every word of every text; ``pos`` counts words from 0."""
+    own = docs.select("doc_id", text_key().alias("text_key"), words(F.col("text")).alias("w"))  # hashed before the words are exploded
+    own = own.select("doc_id", "text_key", F.posexplode("w").alias("pos", "word"))
+    return own.select(term_key(F.col("word")).alias("term"), "doc_id", "text_key", "pos").sortWithinPartitions("term")
 
-    ``pos`` counts words from 0; ``near`` holds the words from position ``first`` on, ``before`` words before
-    the posting to ``after`` words after it.
-    """
-    own = docs.select("doc_id", text_key().alias("text_key"), words(F.col("text")).alias("w"))
-    at = own.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "term")).join(_small(reach, n_bytes), "term")
-    first = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
-    return at.select("doc_id", "text_key", "term", "pos", first.alias("first"), F.slice("w", first + 1, F.col("pos") + F.col("after") - first + 1).alias("near"))
-
-
-def exact_matches(index: DataFrame, anchored: DataFrame, n_bytes: int) -> DataFrame:
-    """``doc_id, text_key, start, length, phrase`` of every occurrence of every anchored phrase."""
-    asked = _small(anchored, n_bytes)
-    start, length = F.col("pos") - F.col("offset"), F.size("terms")
-    both = index.join(asked, index["term"] == asked["anchor"])
-    hit = both.filter((start >= F.col("first")) & (F.slice("near", start - F.col("first") + 1, length) == F.col("terms")))
-    return hit.select("doc_id", "text_key", start.alias("start"), length.alias("length"), "phrase")
 
+def ranked_terms(phrase_terms: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
+    """``no, phrase, length, n_terms, ranked`` of the phrases whose terms all have postings: their different terms
+    from the rarest to the most frequent in the whole index, as structs of count, term and offsets in the phrase."""
+    spread = phrase_terms.select("phrase", F.posexplode("terms").alias("offset", "word")).groupBy("phrase", term_key(F.col("word")).alias("term")).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    wanted = spread.select("term").distinct()
+    counts = index.join(_small(wanted, n_bytes), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    own = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offsets")))
+    ranked = spread.join(counts, "term", "left").groupBy("phrase").agg(own.alias("ranked")).filter(F.col("ranked")[0]["n"] > 0)
+    length = F.aggregate("ranked", F.lit(0), lambda n, r: n + F.size(r["offsets"]))
+    return ranked.select(F.monotonically_increasing_id().alias("no"), "phrase", length.alias("length"), F.size("ranked").alias("n_terms"), "ranked")
 
-def proximity_matches(index: DataFrame, anchored: DataFrame, distance: int, n_bytes: int) -> DataFrame:
-    """``doc_id, text_key, pos, phrase``: postings of an anchor with all terms of its phrase, in any order,
-    at most ``distance`` words away from it. The index must reach that far."""
-    asked = _small(anchored, n_bytes)
-    low = F.greatest(F.col("pos") - distance, F.col("first"))
-    around = F.slice("near", low - F.col("first") + 1, F.col("pos") + distance - low + 1)
-    both = index.join(asked, index["term"] == asked["anchor"]).withColumn("around", around)
-    return both.filter(F.size(F.array_except("terms", "around")) == 0).select("doc_id", "text_key", "pos", "phrase")
 
+def _near(candidates: DataFrame, lists: DataFrame, distance: int) -> DataFrame:
+    """Candidates (id, doc_id, text_key, at, term, offsets and more) with each posting in ``lists`` of their term in
+    their document at most ``distance`` words from ``at``.
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``docs``.
+    An equality join: a posting lies in one stretch of ``distance`` words, a candidate asks in three.
+    """
+    width = max(distance, 1)
+    stretch = F.explode(F.sequence(F.floor((F.col("at") - distance) / width), F.floor((F.col("at") + distance) / width))).alias("stretch")
+    asked = candidates.select("*", stretch)
+    held = lists.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("term").alias("_term"), "pos", F.floor(F.col("pos") / width).alias("_stretch"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")) & (F.col("term") == F.col("_term")) & (F.col("stretch") == F.col("_stretch"))
+    both = asked.join(held, same & (F.abs(F.col("pos") - F.col("at")) <= distance))
+    return both.drop("_doc", "_key", "_term", "_stretch", "stretch")
+
+
+def matches(index: DataFrame, ranked: DataFrame, n_bytes: int, distance: int = WINDOW) -> DataFrame:
+    """``doc_id, text_key, phrase, at, length, start, exact``: phrases found by intersecting posting lists.
+
+    A row for each posting of a phrase's rarest term with all of the phrase's terms at most ``distance`` words
+    away from it, in any order (proximity), and for each place of that term in the phrase. ``exact`` says that the
+    phrase itself stands there, from word ``start`` on. Every exact occurrence is among the rows if ``distance`` is
+    no less than the phrase's length, and it must be.
+    """
+    one, two = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    heads = ranked.select(F.explode(F.array_compact(F.array(one["term"], F.when(F.col("n_terms") > 1, two["term"])))).alias("term")).distinct()
+    rare = written(index.join(_small(heads, n_bytes), "term", "left_semi"), "lists")  # the lists of the two rarest terms of each phrase
+    first = ranked.select("no", "n_terms", "length", F.explode(one["offsets"]).alias("first"), one["term"].alias("anchor"), two["term"].alias("second"))
+    found = rare.join(_small(first, n_bytes), F.col("term") == F.col("anchor"))
+    place = ["no", "doc_id", "text_key", "at", "start"]
+    found = found.select("no", "n_terms", "length", "second", "doc_id", "text_key", F.col("pos").alias("at"), (F.col("pos") - F.col("first")).alias("start"))
+    single = found.filter("n_terms = 1")
+    alone = single.filter("length = 1").select(*place, F.lit(1).cast("bigint").alias("near"), F.lit(1).cast("bigint").alias("placed"))
+
+    seconds = ranked.filter("n_terms > 1").select(two["term"].alias("term")).distinct()
+    pairs = _near(found.filter("n_terms > 1").withColumnRenamed("second", "term"), rare.join(_small(seconds, n_bytes), "term", "left_semi"), distance)
+    left = written(pairs.select(*place).unionByName(single.filter("length > 1").select(*place)).distinct(), "candidates")
+
+    where = left.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    where = _small(where, 32 * where.count())
+    lists = index.join(_small(ranked.select(F.explode("ranked.term").alias("term")).distinct(), n_bytes), "term", "left_semi")
+    lists = lists.join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left_semi")
+    asked = ranked.select("no", F.explode("ranked").alias("r")).select("no", F.col("r.term").alias("term"), F.col("r.offsets").alias("offsets"))
+    hits = _near(left.join(_small(asked, n_bytes), "no"), lists, distance)
+    placed = F.when(F.array_contains("offsets", F.col("pos") - F.col("start")), F.col("pos"))
+    # a place counts once, however often a document is repeated
+    tally = hits.groupBy(*place).agg(F.size(F.collect_set("term")).cast("bigint").alias("near"), F.size(F.collect_set(placed)).cast("bigint").alias("placed"))
+    whole = tally.unionByName(alone).join(_small(ranked.select("no", "phrase", "length", "n_terms"), n_bytes), "no").filter("near = n_terms")
+    return whole.select("doc_id", "text_key", "phrase", "at", "length", "start", (F.col("placed") == F.col("length")).alias("exact"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, index: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text_key, n_words, n_hit, n_items, n_near, items_sha256, contaminated`` for every row of ``docs``.
 
     A word is hit if an occurrence of a phrase covers it; a document is contaminated if it has hits and they
-    are at least a twentieth of its words. Null and empty texts have no words; items without words have no
-    phrase. Repeated rows give equal results, rows of one id with different texts each their own; other
-    columns are ignored.
+    are at least a twentieth of its words. ``n_near`` counts the items of which all words of a phrase stand
+    within ``window`` words of its rarest one, in any order and each once. ``index`` is the postings of ``docs`` if they are
+    written already.
+
+    Null and empty texts have no words; items without words have no phrase; an empty table on either side has
+    no hits. Repeated rows give equal results, rows of one id with different texts each their own; texts may have
+    any length; other columns are ignored.
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
+    if index is None:
+        index = written(positional_index(docs), "postings", "zstd")
     listed = written(phrases(items, window), "phrases")
-    n_bytes = 2 * (listed.agg(F.sum(F.octet_length("phrase")).alias("n")).first()["n"] or 0)
-    distinct = listed.select("phrase", "terms").distinct()
-    anchored = written(anchors(distinct, docs, n_bytes), "anchors")
-    reach = anchored.groupBy(F.col("anchor").alias("term")).agg(F.max("offset").alias("before"), F.max(F.size("terms") - F.col("offset") - 1).alias("after"))
-    index = written(positional_index(docs, reach, n_bytes), "postings")
-    hits = exact_matches(index, anchored, n_bytes)
-    named = hits.join(_small(listed.select("item_id", "phrase"), n_bytes), "phrase")
-    spans = F.collect_set(F.struct("start", "length"))
+    n_bytes = 4 * (listed.agg(F.sum(F.octet_length("phrase")).alias("n")).first()["n"] or 0)
+    ranked = written(ranked_terms(listed.select("phrase", "terms").distinct(), index, n_bytes), "ranked")
+    found = written(matches(index, ranked, n_bytes, window), "matches")
+    named = found.join(_small(listed.select("item_id", "phrase"), n_bytes), "phrase")
+    item = F.col("item_id").cast("string")
+    spans = F.collect_set(F.when(F.col("exact"), F.struct("start", "length")))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    found = named.groupBy("doc_id", "text_key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"), "ids")
+    hits = named.groupBy("doc_id", "text_key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.when(F.col("exact"), item))).alias("ids"), F.count_distinct(item).alias("n_near"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"), "ids", "n_near")
     sizes = docs.select("doc_id", text_key().alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(_ANY_WORD)), F.lit(0)).cast("bigint").alias("n_words"))
-    every = sizes.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    every = sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("ids", F.array().cast("array<string>"))
     return every.select(
         "doc_id",
@@ -114,19 +153,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("bigint").alias("n_items"),
+        F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; columns stay as they are."""
-    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", text_key())
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_text_key"] == bad["_key"]), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated; columns stay as they are, whatever their names.
+
+    Rows with null or empty texts stay, as do all rows if a table is empty; a repeated row goes or stays with
+    its copies.
+    """
+    bad = contamination(docs, items, window).filter("contaminated").select("doc_id", "text_key").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"]), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what it shares with the benchmark: a row for each row of ``documents``.
+
+    Null and empty texts have no words and no hits; texts of any length are taken whole; repeated rows give
+    equal rows; an empty table of documents gives no row, an empty benchmark no hit; no other column is read.
+    """
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 

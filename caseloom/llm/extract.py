@@ -5,13 +5,15 @@ Every block element is a node with two states, content or not. A node's own pote
 depends on the parent's role. Sum-product messages go up the tree and down again, which gives each node's
 exact marginal; text of nodes that are more likely content than not is the page's text.
 
-The potentials are counted on labelled pages: those whose markup names its article (``article`` or
-``main``), with the nodes inside it as content unless their role says otherwise. Pseudo-counts keep the
-potentials sound where few pages are labelled.
+The potentials are counted on labelled pages: those whose markup names its article. The label of a node is
+whether it stands in that element (``article`` or ``main``), unless its very text recurs on other labelled pages,
+as menus and notices do. No feature shows the label: while learning, the element that names the article and its
+class words count as a nameless box. Pseudo-counts of a few nodes stand in where no page has taught anything.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -22,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import table
+from caseloom.llm.common import table, written
 from caseloom.llm.tokens import slices
 
 #: About so many pages are learned from; all of them where there are fewer.
 TRAIN_PAGES = 1000
+#: A block's text that stands on so many of them recurs and is no content.
+RECURS = 3
+#: Tags with quotes around a ">" are read so far; longer ones end at the first ">".
+TAG_CHARS = 10_000
 SLICE_CHARS = 4_000_000
 
 # HTML elements by their kind.
@@ -53,20 +59,41 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def role_of(tag: str, attributes: str) -> str:
-    """What an element is for, by its tag and the words in its class, id and role."""
-    if tag in _AWAY_TAGS:
-        return "away"
+# Words that make a class name a statement about the page and not a name of what is inside.
+_STATES = (frozenset("has no with without is not".split()), frozenset("open closed enabled disabled on off visible".split()))
+
+
+def role_of(tag: str, attributes: str, masked: bool = False) -> str:
+    """What an element is for, by its tag and the names in its class, id and role; ``masked`` looks away from what
+    names the article.
+
+    Each name counts by itself: ``has-sidebar`` or ``comments-open`` say nothing about the element, ``entry-comments``
+    is a part that is not content. Names of both kinds, or of neither, leave a plain box.
+    """
+    named = tag in ("article", "main")
+    if masked and named:
+        return "box"
+    if tag in ("html", "body"):
+        return "root"
+    away = main = False
     if attributes:
-        names = [w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")]
-        if not _AWAY.isdisjoint(names) or _HIDDEN.search(attributes):
+        for m in _NAMES.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").split():
+                words = [w.lower() for w in _WORDS.findall(name)]
+                if len(words) > 1 and (words[0] in _STATES[0] or words[-1] in _STATES[1]):
+                    continue
+                if not _AWAY.isdisjoint(words):
+                    away = True
+                elif not _MAIN.isdisjoint(words):
+                    main = not masked
+        if _HIDDEN.search(attributes):
             return "away"
-        if tag in ("article", "main") or not _MAIN.isdisjoint(names):
-            return "main"
-    if tag in ("article", "main"):
+    if tag in _AWAY_TAGS or (away and not main and not named):
+        return "away"
+    if away and not (main and named):
+        return "box"
+    if named or main:
         return "main"
-    if tag in ("html", "body"):
-        return "root"
     if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
         return "heading"
     if tag in ("p", "pre", "blockquote", "figcaption", "dd"):
@@ -79,7 +106,7 @@ def role_of(tag: str, attributes: str) -> str:
 class Tree:
     """The block elements of a page in document order, parents before children, and its runs of text."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, masked: bool = False):
         self.tag, self.role, self.parent, self.main = ["html"], ["root"], [-1], [False]
         self.chars, self.linked = [0], [0]
         self.runs: list[tuple[int, str]] = []  # node, text as written; "" ends a block
@@ -87,6 +114,7 @@ class Tree:
         named: Counter = Counter()  # open elements by tag
         node, links, at, end = 0, 0, 0, len(page)
         last = page.rfind(">")
+        endless: set[str] = set()  # elements whose end is not on the rest of the page
         while at < end:
             i = page.find("<", at)
             if i < 0:
@@ -96,10 +124,10 @@ class Tree:
             if i == end:
                 break
             if page.startswith("<!--", i):
-                j = page.find("-->", i + 4)
+                j = page.find("-->", i + 2)  # "<!-->" and "<!--->" are comments without content
                 at = end if j < 0 else j + 3
                 continue
-            m = None if i > last else _TAG.match(page, i) or _PLAIN_TAG.match(page, i)
+            m = None if i > last else _TAG.match(page, i, i + TAG_CHARS) or _PLAIN_TAG.match(page, i)
             if m is None:
                 if i + 1 < end and page[i + 1] in "!?/":
                     j = page.find(">", i)
@@ -117,13 +145,14 @@ class Tree:
                         self.runs.append((node, ""))
                 continue
             if tag in _SILENT:
-                if tag in _RAW or tag == "head":
-                    close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-                    body = None if close or tag != "head" else re.compile(r"<body[\s>]", re.I).search(page, at)
-                    at = body.start() if body else end if close is None else page.find(">", close.start()) + 1 or end
-                elif not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-                    at = at if close is None else page.find(">", close.start()) + 1 or end
+                if tag in _RAW or tag == "head" or not m[3].endswith("/"):
+                    close = None if tag in endless else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                    if close is not None:
+                        at = page.find(">", close.start()) + 1 or end
+                    else:
+                        endless.add(tag)
+                        body = re.compile(r"<body[\s>]", re.I).search(page, at) if tag == "head" else None
+                        at = body.start() if body else end if tag in _RAW or tag == "head" else at
                 continue
             if tag in _VOID:
                 if tag in ("br", "hr"):
@@ -144,7 +173,7 @@ class Tree:
                 continue
             node = len(self.tag)
             self.tag.append(tag)
-            self.role.append(role_of(tag, m[3]))
+            self.role.append(role_of(tag, m[3], masked))
             self.parent.append(up)
             self.main.append(self.main[up] or tag in ("article", "main"))
             self.chars.append(0)
@@ -183,26 +212,23 @@ class Tree:
             out.append((role, "length " + length, "links " + ("-" if n == 0 else "0" if a == 0 else "1" if 2 * a < n else "2")))
         return out
 
-    def labels(self) -> list[bool] | None:
-        """Content or not by the page's own markup; None if it names no article."""
-        if not any(self.main):
-            return None
-        out, away = [], []
-        for i, p in enumerate(self.parent):
-            away.append(self.role[i] == "away" or (p >= 0 and away[p]))
-            out.append(self.main[i] and not away[i])
-        return out
+    def texts(self) -> list[str]:
+        """The text of each node's own runs, white space as one space."""
+        out: list[list[str]] = [[] for _ in self.tag]
+        for node, text in self.runs:
+            out[node].append(text or " ")
+        return [" ".join("".join(x).split()) for x in out]
 
 
 #: Bounds on a log ratio, of length and links and of the role: labelled pages of one make agree too well.
 LIMITS = (2.0, 5.0)
-#: Least chance of a change of state from parent to child, for the same reason. What stands in an element that
-#: is there for something else is never content, whatever the element's own state.
+#: Least chance of a change of state from parent to child, for the same reason. An element that is there for
+#: something else is bound by what the pages teach alone.
 CHANGE = 0.05
 #: Pseudo-counts: (feature, not content, content) and (parent's role, parent's state, child's state).
-_OWN_PRIOR = {"away": (400, 0.05), "main": (0.5, 20), "root": (50, 0.5), "heading": (2, 4), "paragraph": (2, 8), "list": (6, 3), "cell": (3, 3), "box": (4, 2), "length 0": (8, 6), "length 1": (8, 3), "length 2": (4, 4), "length 3": (2, 8), "length 4": (1, 10), "links -": (4, 4), "links 0": (4, 12), "links 1": (4, 3), "links 2": (12, 1)}
+_OWN_PRIOR = {"away": (8, 0.05), "main": (0.5, 8), "root": (8, 0.5), "heading": (1, 2), "paragraph": (1, 4), "list": (4, 2), "cell": (2, 2), "box": (3, 2), "length 0": (4, 3), "length 1": (4, 2), "length 2": (2, 2), "length 3": (1, 4), "length 4": (0.5, 5), "links -": (2, 2), "links 0": (2, 6), "links 1": (2, 2), "links 2": (6, 0.5)}
 _ROLES = ("away", "main", "root", "heading", "paragraph", "list", "cell", "box")
-_PAIR_PRIOR = {(r, p, c): n for r in _ROLES for (p, c), n in {(0, 0): 20, (0, 1): 10 if r in ("root", "box") else 2, (1, 0): 2, (1, 1): 20}.items()} | {("away", p, c): (2000, 1e-4)[c] for p in (0, 1) for c in (0, 1)}
+_PAIR_PRIOR = {(r, p, c): n for r in _ROLES for (p, c), n in {(0, 0): 8, (0, 1): 4 if r in ("root", "box") else 1, (1, 0): 1, (1, 1): 8}.items()} | {("away", p, c): (8, 1e-3)[c] for p in (0, 1) for c in (0, 1)}
 
 
 class Model:
@@ -227,6 +253,7 @@ class Model:
             if r != "away":
                 to0, to1 = (min(max(x, CHANGE), 1 - CHANGE) for x in (to0, to1))
             self.pair[r] = (1 - to0, to0, 1 - to1, to1)
+        self.pair["main"] = self.pair["box"]  # what names the article was a box while learning
 
     def marginals(self, tree: Tree) -> list[float]:
         """Chance of content for every node: sum-product up the tree, then down."""
@@ -286,31 +313,34 @@ def train(pages: DataFrame, n_pages: int = TRAIN_PAGES) -> Model:
     usable = pages.select("html").filter(F.col("html").isNotNull())
     total = usable.count()
     chosen = usable.filter(F.pmod(F.xxhash64(F.lit("train"), "html"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, n_pages / max(total, 1)))))
+    feature = ["role", "length", "links"]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page in batch.column(0).to_pylist():
-                tree = Tree(page)
-                if (labels := tree.labels()) is None:
+            for page, html_text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tree = Tree(html_text, masked=True)
+                if not any(tree.main):
                     continue
-                under = [False]  # an element for something else: the pair potential says all there is to say
-                for i in range(1, len(labels)):
-                    under.append(under[tree.parent[i]] or tree.role[tree.parent[i]] == "away")
-                for features, y, known in zip(tree.features(), labels, under):
-                    if not known:
-                        seen.update((f, -1, int(y)) for f in features)
-                for p, y in zip(tree.parent[1:], labels[1:]):
-                    seen[tree.role[p], int(labels[p]), int(y)] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["name", "p", "y", "n"])
-
+                n = len(tree.tag)
+                texts = [hashlib.md5(t.encode()).digest() if t else None for t in tree.texts()]
+                columns = list(zip(*tree.features()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([page] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(tree.parent, pa.int32()), pa.array(tree.main, pa.bool_()), pa.array(texts, pa.binary()), *(pa.array(c, pa.string()) for c in columns)],
+                    ["page", "node", "parent", "main", "text", *feature],
+                )
+
+    numbered = chosen.select(F.xxhash64("html").alias("page"), "html").dropDuplicates(["page"])
+    nodes = written(numbered.mapInArrow(listed, "page bigint, node int, parent int, main boolean, text binary, role string, length string, links string"), "nodes")
+    often = nodes.filter("text is not null").select("page", "text").distinct().groupBy("text").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS).select("text", F.lit(True).alias("often"))
+    known = nodes.join(often, "text", "left").select("page", "node", "parent", *feature, (F.col("main") & F.col("often").isNull()).alias("y"))
+    above = known.select("page", F.col("node").alias("parent"), F.col("role").alias("above"), F.col("y").alias("p"))
+    both = known.join(above, ["page", "parent"], "left")
+    counts = both.filter("node > 0").groupBy(*feature, "above", "p", "y").agg(F.count("*").alias("n"))
     own, pair = Counter(), Counter()
-    for r in chosen.mapInArrow(counted, "name string, p int, y int, n bigint").groupBy("name", "p", "y").agg(F.sum("n").alias("n")).collect():
-        if r["p"] < 0:
-            own[r["name"], r["y"]] = r["n"]
-        else:
-            pair[r["name"], r["p"], r["y"]] = r["n"]
+    for r in counts.collect():  # at most a few hundred combinations
+        for name in feature:
+            own[r[name], int(r["y"])] += r["n"]
+        pair[r["above"], int(r["p"]), int(r["y"])] += r["n"]
     return Model(own, pair)
 
 
@@ -333,6 +363,12 @@ def extracted(pages: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: a row for each row of ``pages``.
+
+    A null or empty html has an empty text, and so has a page without content; pages of any length are read
+    whole; a block that is as likely content as not is left out; repeated rows give equal rows; an empty table
+    gives none; no other column is read, whatever its name.
+    """
     pages = table(spark, sf_dir, "pages")
     return extracted(pages, train(pages))
 

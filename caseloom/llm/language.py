@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import table
@@ -25,6 +25,8 @@ from caseloom.llm.tokens import slices
 ORDER = 3
 #: About so many labelled texts of each language are learned from; all of them where there are fewer.
 TRAIN_ROWS = 1500
+#: Texts of more bytes than this are not among those learned from: with TRAIN_ROWS it bounds what is counted.
+TRAIN_BYTES = 1_000_000
 #: Code lengths are whole numbers of 1/256 bit.
 UNIT = 256
 #: Texts are worked on together up to so many bytes.
@@ -177,11 +179,11 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, key: str = "doc_id", rows: int = TRAIN_ROWS, order: int = ORDER) -> Model | None:
     """Fit the trees on labelled texts: ``text`` and ``lang`` not null, remainder of the key's CRC-32 not 0.
 
-    At most about ``rows`` texts of a language, chosen by a hash of the key and taken whole; this bound and
-    the number of byte strings of ``order + 1`` in so much text limit what reaches the driver. None if
-    there is nothing to learn from.
+    At most about ``rows`` texts of a language, of at most ``TRAIN_BYTES`` bytes each, chosen by a hash of the key
+    and taken whole; these bounds limit the byte strings of ``order + 1`` that reach the driver. None if there is
+    nothing to learn from.
     """
-    usable = docs.select(key, "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~held_out(key), F.lit(True)))
+    usable = docs.select(key, "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~held_out(key), F.lit(True)) & (F.octet_length("text") <= TRAIN_BYTES))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -201,7 +203,21 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    letters, judged = _judge(docs.sparkSession, model)
+    # the judgement is asked for once; no name that it needs on the way can clash with a column's
+    spare = next(f"judged_{i}" for i in range(len(names) + 1) if f"judged_{i}" not in names)
+    got = docs.select(*names, F.when(letters, judged).alias(spare))
+    return got.select(
+        *names,
+        F.coalesce(got[spare]["lang_pred"], F.lit(UNKNOWN)).alias("lang_pred"),
+        F.coalesce(got[spare]["score"], F.lit(0.0)).alias("score"),
+        got[spare]["bits_per_byte"].alias("bits_per_byte"),
+    )
+
+
+def _judge(spark: SparkSession, model: Model) -> tuple[Column, Column]:
+    """Whether ``text`` has a letter, and its language, score and bits a byte as a struct."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def judge(texts):
@@ -216,28 +232,30 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
         size = np.maximum([len(t) for t in raw], 1)
         return pd.DataFrame({"lang_pred": [m.languages[i] for i in best], "score": score, "bits_per_byte": least[:, 0] / UNIT / size})
 
-    letters = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
-    got = docs.select(*names).withColumn("_judged", judge(F.col("text"))).withColumn("_letters", letters)
-    return got.select(
-        *names,
-        F.when(F.col("_letters"), F.col("_judged.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("_letters"), F.col("_judged.score")).otherwise(0.0).alias("score"),
-        F.when(F.col("_letters"), F.col("_judged.bits_per_byte")).alias("bits_per_byte"),
-    )
+    return F.coalesce(F.col("text").rlike(_LETTER), F.lit(False)), judge(F.col("text"))
 
 
 def recognised(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text is in one of the languages that its labelled rows teach.
 
-    Rejected are texts without a letter and texts for which no language gives a code shorter than the plain
-    eight bits a byte. Columns and rows stay as they are.
+    Rejected are texts without a letter (null and empty ones among them) and texts for which no language gives
+    a code shorter than the plain eight bits a byte; without labelled rows all are. Of equal codes the language
+    first in the alphabet counts. Columns stay as they are, whatever their names; repeated rows stay.
     """
-    names = docs.columns
-    judged = predict(docs, train(docs, key), key)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < 8)).select(*names)
+    model = train(docs, key)
+    if model is None:
+        return docs.limit(0)
+    letters, judged = _judge(docs.sparkSession, model)
+    return docs.filter(letters).filter(judged["bits_per_byte"] < 8)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by models learned from those that are not held out.
+
+    Null and empty texts and texts without letters are ``und`` with score 0; texts of any length are read whole;
+    of equal code lengths the language first in the alphabet is predicted; repeated rows give equal rows; an
+    empty table gives no row; columns other than doc_id, text and lang are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     return predict(docs.select("doc_id", "text"), train(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 

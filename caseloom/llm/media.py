@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm.common import table
+from caseloom.llm.common import table, written
 from caseloom.llm.tokens import slices
 
 BLOCK = 64
@@ -332,7 +332,13 @@ def image_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_features(payload_images(table(spark, sf_dir, "documents")))
+    """Every document's text stored as an image in a table of the shared folder, and what is read back from there.
+
+    Null and empty texts are one block of zeros; texts of any length are one image; equal texts and repeated
+    rows give equal values and a row each; an empty table gives none; no other column is read, whatever its name.
+    """
+    stored = written(payload_images(table(spark, sf_dir, "documents")), "media", "zstd")
+    return image_features(stored)
 
 
 QUERIES = {"op3_jpeg_media": op3_jpeg_media}

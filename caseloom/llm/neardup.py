@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import table, written
+from caseloom.llm.common import dropped, hot_keys, joined_hot, table, written
 from caseloom.llm.tokens import slices
 
 #: Two sets of similarity 0.85 share none of the band keys with a chance of (1 - 0.85**6)**30, under 1e-6; for
@@ -225,7 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction; every step is written to the shared folder.
     """
     stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    state = None
+    last = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -233,10 +233,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         stars = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if now == state:
+        if last is not None:
+            dropped(last)
+        last = stars
+        # done when all are stars: no node has two parents, and none is a parent and a child
+        ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        state = now
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -264,12 +267,13 @@ def _with_pivots(large: DataFrame) -> DataFrame:
     buckets: nodes are ranked by the sum of the sizes of their buckets. A bucket's pivot is the highest of
     any bucket that one of its members is in, so that a large group of near copies agrees on few pivots.
     """
+    hot = written(hot_keys(large.groupBy("key").agg(F.first("c").alias("c")), "key", "c"), "hot")
     rank = large.groupBy("node").agg(F.sum("c").alias("weight"))
-    ranked = large.join(rank, "node").select("key", "node", F.struct("weight", "node").alias("r"))
+    ranked = written(large.join(rank, "node").select("key", "node", F.struct("weight", "node").alias("r")), "ranked")
     highest = ranked.groupBy("key").agg(F.max("r").alias("high"))
-    choice = ranked.join(highest, "key").groupBy("node").agg(F.max("high").alias("choice"))
+    choice = joined_hot(ranked, highest, "key", hot).groupBy("node").agg(F.max("high").alias("choice"))
     pivots = ranked.join(choice, "node").groupBy("key").agg(F.max("choice").alias("pivot"))
-    return ranked.join(pivots, "key").select("node", F.col("pivot.node").alias("pivot")).filter("node <> pivot").distinct()
+    return joined_hot(ranked, pivots, "key", hot).select("node", F.col("pivot.node").alias("pivot")).filter("node <> pivot").distinct()
 
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     signed = written(signatures(docs, width, bands, rows), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
     nodes = written(nodes, "nodes")
     pairs = written(_candidates(nodes, percent), "pairs")
     involved = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
@@ -360,24 +364,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = judged.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = written(components(links), "roots")
     more = written(_links_within(_families(judged, roots), nodes, sets, roots, percent), "links")
+    dropped(pairs, sets, judged)
     if not more.isEmpty():
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = named.join(least, "root").select("node", "component_id")
-    own = signed.select("doc_id", "n_shingles", "node").join(label, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", kept)
+    label = written(named.join(least, "root").select("node", "component_id"), "labels")
+    own = signed.select("doc_id", "n_shingles", "node")
+    # texts without words need no label; a text with a large share of all copies gets its label by broadcast
+    hot = written(hot_keys(nodes.select("node", "copies"), "node", "copies"), "hot")
+    labelled = joined_hot(own.filter("node is not null"), label, "node", hot).select("doc_id", "n_shingles", "component_id")
+    every = labelled.unionByName(own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps; columns stay as they are."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` that ``near_duplicates`` keeps; columns stay as they are, whatever their names.
+
+    Texts that are null or without words are like no other and stay; rows that repeat a kept document stay
+    with it; an empty table gives an empty table.
+    """
+    kept = near_duplicates(docs, width, percent).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of three-word shingles and the group it is in at 0.85.
+
+    Null and empty texts have no shingles and are alone; a text of any length is taken whole; of a group the
+    least doc_id is kept; repeated rows are the same document and give equal rows; an empty table gives none; no
+    other column is read, whatever its name.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, bands=BANDS, rows=ROWS)
 
 

@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
-Documents are dealt into shards of about ``SHARD_PIECES`` pieces by a hash, and each shard is packed on its
-own, by lengths alone: texts never move. Within a shard pieces go in order of falling length, each into the
+Documents are dealt into shards of about ``SHARD_PIECES`` pieces by a hash of the row, not of its id, so that rows
+with one id or none spread as all others do. Each shard is packed on its own, by lengths alone: texts never move. Within a shard pieces go in order of falling length, each into the
 open sequence with the least room that still holds it. Where none does, a sequence is opened at the length
 that costs least per unit that it can be expected to hold, given what is still to come; at the end every
 sequence shrinks to the shortest permitted length that holds its pieces.
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import table
+from caseloom.llm.common import table, written
 
 #: Permitted sequence lengths, in UTF-8 bytes with one separator for each piece.
 CAPACITIES = (2048, 4096, 8192, 16384)
@@ -69,22 +69,33 @@ def packed(docs: DataFrame, size: Column | None = None, capacities: tuple[int, .
     """Where every piece of every row of ``docs`` goes.
 
     ``doc_id, piece, piece_start, piece_length, shard, sequence, sequence_length, sequence_offset``: a
-    document longer than the largest capacity is cut into pieces of that size, the last one shorter;
-    ``piece_length`` counts units of ``size`` (by default UTF-8 bytes of ``text``) and each piece takes one
-    unit more for a separator. A null or empty text has one piece of length 0. A sequence is named by
-    shard and number. Repeated rows are packed as often as they come; other columns are ignored.
+    document longer than the largest capacity is cut into pieces of that size at most, the last one shorter;
+    ``piece_length`` counts units of ``size`` (by default UTF-8 bytes of ``text``, and cuts are where a character
+    begins) and each piece takes one unit more for a separator. A null or empty text has one piece of length 0.
+    A sequence is named by shard and number. Repeated rows are packed as often as they come, and pieces of equal
+    length go by id, number and row; rows without id are packed like others; other columns are ignored; an empty
+    table gives an empty table.
     """
     capacities = tuple(sorted(capacities))
     most = capacities[-1] - 1
     length = F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("bigint")
-    pieces = docs.select("doc_id", length.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(length - 1, F.lit(0)), F.lit(most).cast("bigint"))).alias("piece_start"))
-    pieces = pieces.select("doc_id", (F.col("piece_start") / most).cast("int").alias("piece"), "piece_start", F.least(F.col("n") - F.col("piece_start"), F.lit(most)).cast("bigint").alias("piece_length"))
-    total = pieces.agg(F.count("*").alias("n")).first()["n"]
-    shards = max(1, -(-total // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("bigint"))
+    own = docs.select("doc_id", length.alias("n"), *([F.col("text")] if size is None else []))
+    short = own.filter(F.col("n") <= most).select("doc_id", "n", F.array(F.lit(0).cast("bigint")).alias("starts"))
+    long = own.filter(F.col("n") > most)
+    if size is None:
+        starts = _starts(most)(F.col("text"))
+    else:
+        starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(most).cast("bigint"))
+    rows = short.unionByName(long.select("doc_id", "n", starts.alias("starts"))).withColumn("row", F.monotonically_increasing_id())
+    pieces = rows.select("doc_id", "row", "n", "starts", F.posexplode("starts").alias("piece", "piece_start"))
+    end = F.coalesce(F.try_element_at("starts", F.col("piece") + 2), F.col("n"))
+    # written, so that every row keeps its number whatever is run again
+    pieces = written(pieces.select("doc_id", "row", "piece", "piece_start", (end - F.col("piece_start")).alias("piece_length")), "pieces")
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards)).cast("bigint"))
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["piece_length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        shard = shard.sort_values(["piece_length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         bin_of, offset, lengths = pack((shard["piece_length"] + 1).tolist(), capacities)
         return shard.assign(sequence=bin_of, sequence_length=np.array(lengths, np.int64)[bin_of], sequence_offset=offset)
 
@@ -93,6 +104,25 @@ def packed(docs: DataFrame, size: Column | None = None, capacities: tuple[int, .
     return dealt.groupBy("shard").applyInPandas(lambda x: one(x)[["doc_id", "piece", "piece_start", "piece_length", "shard", "sequence", "sequence_length", "sequence_offset"]], schema)
 
 
+def cuts(data: bytes, most: int) -> list[int]:
+    """Starts of the pieces of UTF-8 ``data``: of at most ``most`` bytes each, every one at a character's start."""
+    out = [0]
+    while len(data) - out[-1] > most:
+        at = out[-1] + most
+        while data[at] & 0xC0 == 0x80 and at > out[-1] + 1:
+            at -= 1
+        out.append(at)
+    return out
+
+
+def _starts(most: int):
+    @F.pandas_udf("array<bigint>")
+    def starts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cuts(t.encode(), most))
+
+    return starts
+
+
 def sequences(assigned: DataFrame) -> DataFrame:
     """One row a sequence: ``shard, sequence, sequence_length, n_pieces, used, padding, doc_ids`` in order of offset."""
     by = F.array_sort(F.collect_list(F.struct("sequence_offset", "doc_id")))
@@ -102,6 +132,12 @@ def sequences(assigned: DataFrame) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes in sequences of the permitted lengths.
+
+    Null and empty texts are one piece of length 0; texts of any length are cut into pieces and lose no byte; ties
+    go by id, number of the piece and row; repeated rows and rows without id are packed each; an empty table
+    gives no row; no other column is read, whatever its name.
+    """
     return packed(table(spark, sf_dir, "documents"))
 
 

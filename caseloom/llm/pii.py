@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,14 +105,16 @@ _ODD = re.compile("[" + re.escape("".join(_LOOKALIKE)) + _INVISIBLE + "！-～٠
 _SPELLED = re.compile(rf"\b(?:{_WORD})(?:[\s,-]{{1,3}}(?:{_WORD}|[0-9]+))*[\s,-]{{1,3}}(?:{_WORD})(?:[\s,-]{{1,3}}(?:{_WORD}|[0-9]+))*\b", re.I)
 _SPELLED_PART = re.compile(rf"{_WORD}|[0-9]+", re.I)
 _PLUS = re.compile(r"\bplus\s+(?=[0-9])", re.I)
-_HELD_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
-_HELD_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
+#: Matched from the bracket; the blanks around it are taken in afterwards, so that no run of blanks is scanned twice.
+_HELD_AT = re.compile(rf"[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]", re.I)
+_HELD_DOT = re.compile(rf"[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]", re.I)
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_DOT})\s+(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}\b)", re.I)
 #: What a text must hold before the transducers are worth running: held words, a bare dot, digit words in a row.
 _HELD = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", re.I)
 _DOT_WORDS = frozenset(_DOT.split("|"))
 _CUES = _DOT_WORDS | _DIGIT_WORDS.keys()
+_NAME = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _TLD = re.compile(r"\.[A-Za-z]{2,}$")
 
 
@@ -128,29 +132,39 @@ class Rewritten:
 
     def __init__(self, text: str):
         self.text = text
-        self.low = list(range(len(text)))
-        self.high = list(range(1, len(text) + 1))
-        self.new = bytearray(len(text))
-
-    def step(self, pattern: re.Pattern, rewrite) -> bool:
-        """Rewrite every match; ``rewrite`` gives the new text, or None to leave a match alone."""
-        out, low, high, new, at = [], [], [], bytearray(), 0
-        for m in pattern.finditer(self.text):
+        self.low = np.arange(len(text), dtype=np.int32)
+        self.high = self.low + np.int32(1)
+        self.new = np.zeros(len(text), bool)
+
+    def step(self, pattern: re.Pattern, rewrite, blanks: bool = False) -> bool:
+        """Rewrite every match, with the blanks around it if ``blanks``; ``rewrite`` gives the new text, or None to
+        leave a match alone."""
+        text, out, low, high, new, at = self.text, [], [], [], [], 0
+        for m in pattern.finditer(text):
             put = rewrite(m)
             if put is None:
                 continue
             a, b = m.span()
-            out += [self.text[at:a], put]
-            low += self.low[at:a] + [self.low[a]] * len(put)
-            high += self.high[at:a] + [self.high[b - 1]] * len(put)
-            new += self.new[at:a] + b"\1" * len(put)
-            if not put and new:
-                new[-1] = 1  # what was between this character and the next is gone
+            while blanks and a > at and text[a - 1].isspace():
+                a -= 1
+            while blanks and b < len(text) and text[b].isspace():
+                b += 1
+            out += [text[at:a], put]
+            low += [self.low[at:a], np.full(len(put), self.low[a])]
+            high += [self.high[at:a], np.full(len(put), self.high[b - 1])]
+            kept = self.new[at:a]
+            if not put and a > at:
+                kept = kept.copy()
+                kept[-1] = True  # what was between this character and the next is gone
+            elif not put and new and len(new[-1]):
+                new[-1][-1] = True
+            new += [kept, np.ones(len(put), bool)]
             at = b
         if not at:
             return False
-        self.text = "".join([*out, self.text[at:]])
-        self.low, self.high, self.new = low + self.low[at:], high + self.high[at:], new + self.new[at:]
+        self.text = "".join([*out, text[at:]])
+        self.low, self.high = np.concatenate([*low, self.low[at:]]), np.concatenate([*high, self.high[at:]])
+        self.new = np.concatenate([*new, self.new[at:]])
         return True
 
 
@@ -180,26 +194,31 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
         t.step(_ODD, lambda m: _look(m[0]))
     t.step(_SPELLED, _digits)
     t.step(_PLUS, lambda m: "+")
-    t.step(_HELD_AT, lambda m: "@")
-    t.step(_HELD_DOT, lambda m: ".")
+    t.step(_HELD_AT, lambda m: "@", blanks=True)
+    t.step(_HELD_DOT, lambda m: ".", blanks=True)
     t.step(_BARE_DOT, lambda m: ".")
 
     def bare(m: re.Match) -> str | None:  # only before a domain whose dots are all disguised
-        domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match(t.text, m.end())
+        domain = _NAME.match(t.text, m.end())
         return "@" if domain and all(t.new[i] for i in range(*domain.span()) if t.text[i] == ".") else None
 
     t.step(_BARE_AT, bare)
     found = []
     for a, kind, b in plain_spans(t.text):
-        if any(t.new[a:b]) and (kind or _TLD.search(t.text[a:b])):
-            found.append((t.low[a], kind, t.high[b - 1]))
+        if t.new[a:b].any() and (kind or _TLD.search(t.text[a:b])):
+            found.append((int(t.low[a]), kind, int(t.high[b - 1])))
     return found
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Plain spans, and plain and added ones together; an added span inside a plain one of its kind is dropped."""
     base = plain_spans(text)
-    more = [x for x in disguised_spans(text) if not any(k == x[1] and a <= x[0] and x[2] <= b for a, k, b in base)]
+    ends = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]  # those of one kind do not overlap
+    more = []
+    for a, k, b in disguised_spans(text):
+        at = bisect_right(ends[k], (a, len(text))) - 1  # the last one that begins no later
+        if at < 0 or ends[k][at][1] < b:
+            more.append((a, k, b))
     return base, sorted({*base, *more})
 
 
@@ -208,29 +227,33 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every whole text.
+    """``key, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_email, all_ip, all_card, all_phone`` for every
+    whole text.
 
-    The counts and the digest are of the plain spans; ``spans`` has all, as kind:start:end in code points,
-    by start, then kind. A null text counts as empty. Repeated rows and other columns do no harm.
+    The first counts and the digest are of the plain spans; ``spans`` has all, as kind:start:end in code points,
+    by start, then kind, and the last counts are of these. A null text counts as empty. Repeated rows and other
+    columns do no harm; an empty table gives an empty table.
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "all_email", "all_ip", "all_card", "all_phone"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column(1)), 0).to_pylist()
             for i, j in slices(sizes, SLICE_CHARS):
                 counts: list[list[int]] = [[], [], [], []]
+                totals: list[list[int]] = [[], [], [], []]
                 digests, spans = [], []
                 for t in batch.column(1)[i:j].to_pylist():
                     base, every = all_spans(t or "")
                     for k in range(4):
                         counts[k].append(sum(x[1] == k for x in base))
+                        totals[k].append(sum(x[1] == k for x in every))
                     digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     spans.append(_joined(every))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), *(pa.array(c, pa.int64()) for c in totals)], names)
 
-    return docs.select(key, text).mapInArrow(found, f"`{key}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return docs.select(key, text).mapInArrow(found, f"`{key}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, all_email bigint, all_ip bigint, all_card bigint, all_phone bigint")
 
 
 def redact(text: str) -> str:
@@ -246,7 +269,8 @@ def redact(text: str) -> str:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text``, and ``n_chars`` (if there) the new length.
 
-    Null texts stay null; no row goes and every other column stays as it is.
+    Null texts stay null, empty ones empty; of overlapping spans the first is masked; no row goes, repeated rows
+    stay and every other column stays as it is, whatever its name; an empty table gives an empty table.
     """
 
     @F.pandas_udf("string")
@@ -258,6 +282,12 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: a row for each row of ``documents``.
+
+    Null and empty texts have none; texts of any length are read whole, in time that grows with their length; of
+    spans that begin together the kind listed first comes first; repeated rows give equal rows; an empty table
+    gives none; no other column is read, whatever its name.
+    """
     return personal_data(table(spark, sf_dir, "documents"))
 
 

@@ -9,6 +9,7 @@ tokenizer's batch call, in batches that are balanced by bytes rather than by row
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -30,6 +31,19 @@ _DOUBTFUL = re.compile(r"\s ")
 _LOADED: dict[str, "Counter"] = {}
 
 
+def _separable(path: str) -> bool:
+    """Whether the tokenizer in this file never joins or changes text across a space that follows another
+    character: byte-level with the usual word pattern, no prefix space, nothing normalised before, no truncation
+    or padding, no added token that takes the blanks beside it."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    whole = not told.get("normalizer") and not told.get("truncation") and not told.get("padding")
+    added = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in told.get("added_tokens") or [])
+    return bool(plain and whole and not added and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 class Counter:
     """Counts the tokens of texts with the tokenizer in one file; one of these lives in each worker."""
 
@@ -38,6 +52,7 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separable = _separable(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}  # lengths of words, each with the space that stands before it
         self.tails: dict[str, int] = {}
@@ -57,9 +72,10 @@ class Counter:
         """The head of ``text`` and the words after it, each to be read with one space before it.
 
         Cuts only before a space that follows a non-space character and has one after it. A text whose
-        spaces would cut through an added token stays whole.
+        spaces would cut through an added token stays whole, and so does every text if the tokenizer is not
+        known to keep such parts apart.
         """
-        if any(" " in s and s in text for s in self.specials):
+        if not self.separable or any(" " in s and s in text for s in self.specials):
             return text, []
         head, *words = text.split(" ")
         if words and (_DOUBTFUL.search(text) or text[0] == " " or text[-1] == " "):
@@ -146,6 +162,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document: a row for each row of ``documents``.
+
+    Null and empty texts have no bytes and no tokens; texts of any length are counted whole; repeated rows give
+    equal rows; an empty table gives none; no other column is read, whatever its name.
+    """
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

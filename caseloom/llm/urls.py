@@ -75,16 +75,22 @@ def _generalised(segments: Column, levels: Column) -> Column:
     return F.when(levels.isNull(), segments).otherwise(F.transform(segments, lambda s, i: F.when(F.array_contains(levels, i), "*").otherwise(s)))
 
 
+def _nodes(t: Column) -> Column:
+    """The nodes on a template's way, root first, as hashes of the segments up to each: one number for each."""
+    seed = F.array(F.lit(0).cast("bigint"))
+    return F.aggregate(t, seed, lambda way, segment: F.array_append(way, F.xxhash64(F.element_at(way, -1), segment)))
+
+
 def template_tree(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``host, node, purity`` of the nodes that stand out among their siblings (and of every host's root,
-    whose node is empty), and ``host, levels`` of the variable levels."""
+    whose node is 0), and ``host, levels`` of the variable levels."""
     seen = templates(pages, labels)
     levels = _variable_levels(seen)
-    found = seen.join(levels, "host", "left").select("host", _generalised(F.col("segments"), F.col("levels")).alias("t"), "n_good", "n_bad")
-    nodes = found.select("host", "n_good", "n_bad", F.explode(F.transform(F.sequence(F.lit(0), F.size("t")), lambda d: F.slice("t", F.lit(1), d))).alias("node"))
-    nodes = nodes.groupBy("host", "node").agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"))
-    depth = F.size("node")
-    nodes = nodes.withColumn("parent", F.slice("node", F.lit(1), F.greatest(depth - 1, F.lit(0))))
+    found = seen.join(levels, "host", "left").select("host", _nodes(_generalised(F.col("segments"), F.col("levels"))).alias("way"), "n_good", "n_bad")
+    nodes = found.select("host", "n_good", "n_bad", "way", F.posexplode("way").alias("depth", "node"))
+    nodes = nodes.select("host", "depth", "node", F.when(F.col("depth") > 0, F.get("way", F.col("depth") - 1)).alias("parent"), "n_good", "n_bad")
+    nodes = nodes.groupBy("host", "depth", "node", "parent").agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"))
+    depth = F.col("depth")
     level = nodes.filter(depth > 0).groupBy("host", "parent").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     roots = nodes.filter(depth == 0).select("host", F.col("good").alias("host_good"), F.col("bad").alias("host_bad"))
     whole = roots.agg(F.sum("host_good").alias("table_good"), F.sum("host_bad").alias("table_bad"))
@@ -113,8 +119,8 @@ def filtered(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     nodes, levels = template_tree(own, labels)
     routes = own.groupBy("host", _segments(F.col("path")).alias("segments")).agg(F.count("*").alias("n"))  # a template once, however many pages
     routes = routes.join(levels, "host", "left").select("host", "segments", _generalised(F.col("segments"), F.col("levels")).alias("t"))
-    ways = routes.select("host", "segments", "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("t")), lambda d: F.slice("t", F.lit(1), d))).alias("node"))
-    best = ways.join(nodes, ["host", "node"]).groupBy("host", "segments").agg(F.max(F.struct(F.size("node").alias("depth"), "purity", F.array_join("t", "/").alias("template"))).alias("j"))
+    ways = routes.select("host", "segments", "t", F.posexplode(_nodes(F.col("t"))).alias("depth", "node"))
+    best = ways.join(nodes, ["host", "node"]).groupBy("host", "segments").agg(F.max(F.struct("depth", "purity", F.array_join("t", "/").alias("template"))).alias("j"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = own.withColumn("segments", _segments(F.col("path"))).join(best, ["host", "segments"], "left")
     pure = F.when(F.coalesce(F.col("j.purity"), F.lit(1.0)) < MIN_PURITY, "block").otherwise("allow")
@@ -122,6 +128,13 @@ def filtered(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's address: a row for each row of ``pages``.
+
+    A url that is null, empty or has no ``://`` has an empty host and path and is judged as one of the nameless
+    host; urls of any length are read whole; of rules that fit the longest wins; repeated rows give equal rows;
+    an empty table gives none; an empty table of labels makes every template pure; no other column is read,
+    whatever its name.
+    """
     return filtered(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -7,7 +7,9 @@ multi-member files skip. Equal payloads are stored once and revisited.
 The index has a line for each record: reversed-host URL key, page, file, offset, length. The lines are
 sorted over the whole archive and cut into compressed blocks; a sparse directory holds the first key of each
 block. A look-up finds the block by binary search in the directory, the line by binary search in the block,
-and then reads only the record's bytes of its file.
+and then reads only the record's bytes of its file: the places are dealt to tasks by file and offset, and a
+task seeks to them through a file-system handle. No file is ever read whole into memory, so archives and
+records may have any size that one record's own bytes allow.
 """
 
 from __future__ import annotations
@@ -17,25 +19,37 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import scratch, table, written
+from caseloom.llm.common import dropped, scratch, table, written
 
 #: Payloads of fewer bytes are never revisited.
 REVISIT_BYTES = 1000
-#: Records of one archive file; a file is read into one task.
+#: Records of one archive file.
 FILE_RECORDS = 1000
 #: Index lines of a block; more where the directory would pass its bound otherwise.
 BLOCK_LINES, DIRECTORY_ENTRIES = 256, 100_000
+#: The directory holds so much of the first key of a block.
+DIRECTORY_CHARS = 200
+#: Bytes of one read of a file that is scanned, and of a run of neighbouring places that are read together.
+READ_BYTES, RUN_BYTES = 1 << 20, 8 << 20
 #: The tables have no time of capture; records carry this one.
 DATE = "1970-01-01T00:00:00Z"
 
 _ID = "urn:caseloom:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CONTROL = re.compile(r"[\x00-\x20\x7f]")
+#: What may not stand in a header line or would be lost at its ends: control characters and blanks of any kind.
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+
+
+def safe(url: str) -> str:
+    """``url`` with every blank and control character as percent-encoded UTF-8."""
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
 def _member(data: bytes) -> bytes:
@@ -59,7 +73,7 @@ def record(page_id: str, url: str | None, payload: bytes, digest: str, refers_to
         "Content-Type: application/http;msgtype=response",
     ]
     if url is not None:
-        fields.append("WARC-Target-URI: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))
+        fields.append("WARC-Target-URI: " + safe(url))
     if refers_to is None:
         block += payload
     else:
@@ -74,7 +88,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    fields = {k.strip(" \t").lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in lines[1:])}
     return fields, rest[: int(fields["content-length"])]
 
 
@@ -92,7 +106,8 @@ def url_key(url: str | None) -> str:
 
 
 def _line_key(url: str | None, page_id: str) -> str:
-    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url_key(url)) + " " + page_id
+    """Key of an index line; the url must be as the record has it."""
+    return url_key(url) + " " + page_id
 
 
 def write_archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> str:
@@ -124,20 +139,31 @@ def write_archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> str:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """The archive's files by name only; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
 
+def _opened(path: str) -> pa.NativeFile:
+    """A random-access handle of a file on any file system that both Spark and Arrow know."""
+    if path.startswith("file:"):
+        path = "file://" + path.removeprefix("file:").removeprefix("//")
+    system, name = pyarrow.fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
 
-def members(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and data of every gzip member that holds something."""
-    at = 0
-    while at < len(content):
+
+def members(source: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and data of every gzip member that holds something, from one pass over a file."""
+    piece, at = memoryview(source.read(READ_BYTES)), 0
+    while len(piece):
         z, start, out = zlib.decompressobj(31), at, []
         while not z.eof:
-            piece = content[at : at + 65536]
             if not len(piece):
                 raise ValueError("an archive ends within a record")
             out.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
+            used = len(piece) - len(z.unused_data)
+            at, piece = at + used, piece[used:]
+            if not len(piece):
+                piece = memoryview(source.read(READ_BYTES))
         data = b"".join(out)
         if data:
             yield start, at - start, data
@@ -148,11 +174,12 @@ def write_index(spark: SparkSession, archive: str) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for path in batch.column(0).to_pylist():
                 rows = []
-                for offset, length, data in members(memoryview(content.as_buffer())):
-                    fields, _ = parse(data)
-                    rows.append((_line_key(fields.get("warc-target-uri"), _page(fields["warc-record-id"])), path, offset, length))
+                with _opened(path) as source:
+                    for offset, length, data in members(source):
+                        fields, _ = parse(data)
+                        rows.append((_line_key(fields.get("warc-target-uri"), _page(fields["warc-record-id"])), path, offset, length))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "path", "offset", "length"])
 
@@ -175,22 +202,26 @@ def write_index(spark: SparkSession, archive: str) -> DataFrame:
             yield out(held)
 
     ordered = captures.orderBy("key", "path", "offset").mapInArrow(blocked, "first string, n bigint, lines binary")
-    return written(ordered.withColumn("block", F.monotonically_increasing_id()), "index")
+    blocks = written(ordered.withColumn("block", F.monotonically_increasing_id()), "index")
+    dropped(captures)
+    return blocks
 
 
 def look_up(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """``path, offset, length`` of every record of the pages in ``requests`` (page_id, url), once each."""
-    # the directory has at most DIRECTORY_ENTRIES entries, and one more for each task of the sort
-    directory = sorted((r["first"], r["block"]) for r in blocks.select("first", "block").collect())
-    firsts, numbers = [d[0] for d in directory], [d[1] for d in directory]
+    # at most DIRECTORY_ENTRIES entries, and one more for each task of the sort, of at most DIRECTORY_CHARS characters
+    directory = sorted((r["first"], r["block"]) for r in blocks.select(F.left("first", F.lit(DIRECTORY_CHARS)).alias("first"), "block").collect())
+    shared = requests.sparkSession.sparkContext.broadcast(([d[0] for d in directory], [d[1] for d in directory]))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, numbers = shared.value
         for batch in batches:
             keys, found = [], []
             for page_id, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = _line_key(None if url is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url), page_id)
-                # lines of one key may begin in the block before the first that starts with it
-                for at in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
+                key = _line_key(None if url is None else safe(url), page_id)
+                head = key[:DIRECTORY_CHARS]
+                # the key's lines may begin in the block before the first that starts like it
+                for at in range(max(0, bisect_left(firsts, head) - 1), bisect_right(firsts, head)):
                     keys.append(key)
                     found.append(numbers[at])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.int64())], ["key", "block"])
@@ -211,41 +242,74 @@ def look_up(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     return asked.join(blocks, "block").select("keys", "lines").mapInArrow(located, "path string, offset bigint, length bigint")
 
 
-def read_records(spark: SparkSession, archive: str, places: DataFrame, page_type: str = "bigint") -> DataFrame:
+def read_records(spark: SparkSession, places: DataFrame, page_type: str = "bigint") -> DataFrame:
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload`` at the places given.
 
     Size and digest of a response are computed from its payload and must be those of its header; a revisit
-    has those of the payload that it refers to, and no payload of its own.
+    has those of the payload that it refers to, and no payload of its own. Places that lie together in a file
+    are read together, up to ``RUN_BYTES``.
     """
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+
+    def judged(data: bytes) -> tuple:
+        fields, block = parse(data)
+        head, _, payload = block.partition(b"\r\n\r\n")
+        digest = fields["warc-payload-digest"].removeprefix("sha1:")
+        size = int(re.search(rb"(?im)^content-length:\s*([0-9]+)", head)[1])
+        kind, refers = fields["warc-type"], fields.get("warc-refers-to")
+        if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+            raise ValueError(f"record {fields['warc-record-id']} does not hold what its header says")
+        return (_page(fields["warc-record-id"]) or None, fields.get("warc-target-uri"), size, digest, kind, _page(refers) if refers else None, payload if kind == "response" else None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, source = None, None
         for batch in batches:
-            for content, spans in zip(batch.column(0), batch.column(1).to_pylist()):
-                view, rows = memoryview(content.as_buffer()), []
-                for span in sorted(spans, key=lambda s: s["offset"]):
-                    fields, block = parse(zlib.decompress(view[span["offset"] : span["offset"] + span["length"]], 31))
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    size = int(re.search(rb"(?im)^content-length:\s*([0-9]+)", head)[1])
-                    kind, refers = fields["warc-type"], fields.get("warc-refers-to")
-                    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError(f"record {fields['warc-record-id']} does not hold what its header says")
-                    rows.append((_page(fields["warc-record-id"]) or None, fields.get("warc-target-uri"), size, digest, kind, _page(refers) if refers else None, payload if kind == "response" else None))
-                if rows:
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    by_file = places.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))  # at most FILE_RECORDS
-    held = _files(spark, archive).join(by_file, "path").select("content", "spans")
-    out = held.mapInArrow(read, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
+            for run in _runs(zip(*(c.to_pylist() for c in batch.columns))):
+                if run[0][0] != path:
+                    if source is not None:
+                        source.close()
+                    path = run[0][0]
+                    source = _opened(path)
+                low = run[0][1]
+                source.seek(low)
+                held = memoryview(source.read(run[-1][1] + run[-1][2] - low))
+                rows = [judged(zlib.decompress(held[offset - low : offset - low + length], 31)) for _, offset, length in run]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        if source is not None:
+            source.close()
+
+    dealt = places.repartition("path", F.floor(F.col("offset") / RUN_BYTES)).sortWithinPartitions("path", "offset")
+    out = dealt.mapInArrow(read, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
     return out.withColumn("page_id", F.col("page_id").cast(page_type)).withColumn("refers_to", F.col("refers_to").cast(page_type))
 
 
+def _runs(places: Iterator[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
+    """Sorted places in runs that are worth one read: of one file, with gaps of no more than a record's size."""
+    run: list[tuple[str, int, int]] = []
+    for place in places:
+        if run and (place[0] != run[0][0] or place[1] + place[2] - run[0][1] > RUN_BYTES or place[1] - run[-1][1] - run[-1][2] > 65536):
+            yield run
+            run = []
+        run.append(place)
+    if run:
+        yield run
+
+
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back through the index: one row a page, or an error.
+
+    A null html is an empty payload; a null url is one without a host; payloads and urls may have any length and
+    hold any character; of rows that repeat the stored page each has its record; an empty table gives no row;
+    no other column is read, whatever its name.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archive = write_archive(pages)
-    places = look_up(pages, write_index(spark, archive))
-    return read_records(spark, archive, places, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    places = written(look_up(pages, write_index(spark, archive)), "places")
+    asked, found = pages.count(), places.count()
+    if asked != found:
+        raise ValueError(f"{asked} pages were archived and {found} records found")
+    return read_records(spark, places, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op5_warc_archive": op5_warc_archive}

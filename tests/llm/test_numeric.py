@@ -177,6 +177,88 @@ def test_packing_is_best_fit():
             used[b] = o + s
 
 
+def test_long_disguised_texts_take_time_by_length():
+    import time
+
+    odd = "jоhn (at) ехаmple (dot) com " + " " * 400_000 + "[at]" + " " * 400_000 + " x"
+    began = time.time()
+    _, spans = pii.all_spans(odd)
+    assert ("email", 0) in [(pii.KINDS[k], a) for a, k, _ in spans] and time.time() - began < 20
+    many = "ab [at] c [dot] de, a@b.cd " * 20_000
+    base, spans = pii.all_spans(many)
+    assert len(base) == 20_000 and len(spans) == 40_000 and time.time() - began < 60
+    text = "x " * 3 + "me\u200b (at) b (dot) org"
+    ((a, _, b),) = pii.all_spans(text)[1]
+    assert text[a:b] == "me\u200b (at) b (dot) org"
+
+
+def slow_code(text, seen, order):
+    """Code length in bits by prediction by partial matching with full exclusion, byte by byte."""
+    data, total = bytes(order) + text, 0.0
+
+    def chance(context, symbol):
+        if context is None:
+            return 1 / 256
+        after = {s: n for s, n in seen.get(context, {}).items()}
+        shorter = context[1:] if context else None
+        if not after:
+            return chance(shorter, symbol)
+        n, d = sum(after.values()), len(after)
+        if symbol in after:
+            return after[symbol] / (n + d)
+        rest = 1 - sum(chance(shorter, s) for s in after)
+        return d / (n + d) * chance(shorter, symbol) / max(rest, 1e-6)
+
+    for i in range(order, len(data)):
+        total -= np.log2(chance(data[i - order : i], data[i]))
+    return total
+
+
+def test_code_lengths_are_those_of_a_slow_coder():
+    rnd, order = random.Random(10), 2
+    texts = ["".join(rnd.choice("abcd ") for _ in range(120)).encode(), "".join(rnd.choice("aez ") for _ in range(90)).encode()]
+    trees, counts = [], []
+    for t in texts:
+        seen, data = {}, bytes(order) + t
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                after = seen.setdefault(data[i - k : i], {})
+                after[data[i]] = after.get(data[i], 0) + 1
+        trees.append(seen)
+    for k in range(order + 1):
+        n = {}
+        for which, seen in enumerate(trees):
+            for context, after in seen.items():
+                if len(context) == k:
+                    for s, c in after.items():
+                        n.setdefault(int.from_bytes(context + bytes([s]), "big"), [0, 0])[which] = c
+        counts.append((np.array(sorted(n)), np.array([n[x] for x in sorted(n)], float)))
+    model = language.Model(["x", "y"], counts)
+    for text in (b"abc", b"zea dcb", texts[0][:30], b"a\xffq", b""):
+        got = model.code_lengths([text])[0] / language.UNIT
+        want = [slow_code(text, seen, order) for seen in trees]
+        assert np.allclose(got, want, atol=0.01 * (len(text) + 1) + 1e-9)
+
+
+def test_other_tokenizers_read_texts_whole(tmp_path):
+    import json
+
+    told = json.load(open(tokenizer()))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    counter = Counter(str(tmp_path / "t.json"))
+    assert not counter.separable and Counter(tokenizer()).separable
+    texts = ["one two  three", " a b", ""]
+    assert counter.count(texts) == [len(counter.tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_class_names_count_one_by_one():
+    role = lambda tag, names: extract.role_of(tag, f' class="{names}"')
+    assert role("article", "post comments-open") == "main" and role("div", "content has-sidebar") == "main"
+    assert role("div", "entry-comments") == "away" and role("div", "main-nav") == "away" and role("article", "comment") == "box"
+    assert extract.role_of("article", ' class="post"', masked=True) == "box" and role("body", "sidebar") == "root"
+
+
 def test_plain_identifiers_are_those_of_the_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -225,9 +307,15 @@ def test_warc_records_and_keys():
     fields, block = warc.parse(warc.record("6", None, payload, digest, "7"))
     assert fields["warc-refers-to"] == "<urn:caseloom:page:7>" and payload not in block
     assert warc.url_key("https://Www.Example.org/x?y#z") == "org,example,www)/x?y"
-    data = [b"one", b"", b"three" * 50000]
+    import io
+
+    data = [b"one", b"", b"three" * 50000, np.random.default_rng(1).bytes(3_000_000), b"end"]
     packed = warc._BETWEEN.join(warc._member(d) for d in data)
-    assert [d for *_, d in warc.members(memoryview(packed))] == [data[0], data[2]]
+    got = list(warc.members(io.BytesIO(packed)))
+    assert [d for *_, d in got] == [d for d in data if d]
+    assert [__import__("zlib").decompress(packed[a : a + n], 31) for a, n, _ in got] == [d for d in data if d]
+    fields, _ = warc.parse(warc.record("7", "http://a/\u00a0\u3000", b"", hashlib.sha1(b"").hexdigest(), None))
+    assert fields["warc-target-uri"] == "http://a/%C2%A0%E3%80%80" == warc.safe("http://a/\u00a0\u3000")
 
 
 def slow_marginals(model, tree):
@@ -265,5 +353,9 @@ def test_broken_pages_do_not_crash():
     from collections import Counter as Bag
 
     model = extract.Model(Bag(), Bag())
+    page = "<p>" + "before and after the comment " * 5 + "<!-->" + "goes on " * 20
+    assert "goes on" in extract.main_text(page, model)
+    for page in ("<button>" * 100_000, "<a 'x" * 50_000 + ">", "<svg>" * 50_000 + "</p>"):
+        extract.main_text(page, model)
     for page in ("", "<", "<p", "a < b", "<!--", "</p></p>", "<script>x", "<p>&amp &#x41; &nope;", "<div>" * 3000, "<a 'x" * 2000):
         extract.main_text(page, model)

@@ -123,12 +123,17 @@ def test_contamination_against_brute_force(spark):
 
 
 def test_proximity(spark):
-    docs = docs_of(spark, ["x b c a y", "a z z z z z z z z b c", "c b a"])
-    listed = decontaminate.phrases(spark.createDataFrame([(1, "a b c")], "item_id int, text string")).select("phrase", "terms")
-    anchored = decontaminate.anchors(listed, docs, 100)
-    index = decontaminate.positional_index(docs, anchored.select(F.col("anchor").alias("term"), F.lit(4).alias("before"), F.lit(4).alias("after")).distinct(), 100)
-    assert {r["doc_id"] for r in decontaminate.proximity_matches(index, anchored, 3, 100).collect()} == {0, 2}
-    assert decontaminate.exact_matches(index, anchored, 100).count() == 0
+    docs = docs_of(spark, ["x b c a y", "a z z z z z z z z b c", "c b a", "a b c", "b b", "q a a q", "a q a"])
+    index = decontaminate.positional_index(docs)
+    assert index.count() == 31
+    items = spark.createDataFrame([(1, "a b c"), (2, "a a"), (3, "b nowhere")], "item_id int, text string")
+    ranked = decontaminate.ranked_terms(decontaminate.phrases(items).select("phrase", "terms"), index, 100)
+    for n_bytes in (100, 1 << 40):  # broadcast and shuffled
+        got = decontaminate.matches(index, ranked, n_bytes, 3)
+        assert {(r["doc_id"], r["phrase"]) for r in got.filter("phrase = 'a b c'").collect()} == {(0, "a b c"), (2, "a b c"), (3, "a b c")}
+        assert {(r["doc_id"], r["phrase"], r["start"]) for r in got.filter("exact").collect()} == {(3, "a b c", 0), (5, "a a", 1)}
+    out = decontaminate.contamination(docs, items, 3).filter("n_near > 0").collect()
+    assert {(r["doc_id"], r["n_items"], r["n_near"]) for r in out if r["doc_id"] in (0, 3)} == {(0, 0, 2), (3, 1, 2)}  # every text with one "a" is near "a a", whose one word it has
 
 
 ODD = [None, "", " ", "a", "é" * 100, "x " * 60000, "dup", "dup", "null id"]
@@ -166,6 +171,39 @@ def test_language_rows(spark, sf_dir):
     assert language.predict(docs_of(spark, ["a"]), None).first()["lang_pred"] == "und"
 
 
+def test_packing_spreads_one_key_and_cuts_at_characters(spark):
+    docs = docs_of(spark, ["null id"] * 1000)
+    got = packing.packed(docs, shard_pieces=100)
+    most = got.groupBy("shard").count().agg(F.max("count"), F.count("*")).first()
+    assert got.count() == 1000 and most[0] < 250 and most[1] >= 9
+    same = packing.packed(spark.createDataFrame([(1, "x", "y")] * 1000, "doc_id int, text string, row string"), shard_pieces=100)
+    assert same.groupBy("shard").count().agg(F.max("count")).first()[0] < 250
+    text = "aé漢😀" * 60
+    parts = packing.packed(docs_of(spark, [text, "b"]), capacities=(32, 64)).filter("doc_id = 0").orderBy("piece").collect()
+    data = text.encode()
+    assert "".join(data[r["piece_start"] : r["piece_start"] + r["piece_length"]].decode() for r in parts) == text
+    assert max(r["piece_length"] for r in parts) <= 63 and [r["piece"] for r in parts] == list(range(len(parts)))
+    by_words = packing.packed(docs_of(spark, ["w " * 150]), F.size(F.split("text", " ")), capacities=(64,))
+    assert sorted(r["piece_length"] for r in by_words.collect()) == [25, 63, 63]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, sf_dir):
+    names = ["_kept", "_id", "_key", "_text_key", "_judged", "_letters", "score", "lang_pred", "bits_per_byte", "kept", "component_id", "text_key", "judged_0", "row", "copies", "contaminated"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
+    wide = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("text_key", F.lit("x"))
+    stages = {"language": language.recognised, "near": neardup.deduplicated, "bench": lambda d: decontaminate.decontaminated(d, bench), "pii": pii.redacted}
+    for stage in stages.values():
+        out, plain = stage(wide), stage(docs)
+        assert out.columns == wide.columns
+        assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in plain.collect()}
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+    told = language.predict(wide.drop("score", "lang_pred", "bits_per_byte"), language.train(docs))
+    assert all(r["judged_0"] == f"judged_0{r['doc_id']}" for r in told.collect())
+    packed = packing.packed(wide.withColumn("shard", F.lit("s")).withColumn("piece", F.lit("p")))
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 def test_packing_rows(spark):
     got = packing.packed(docs_of(spark, ODD), capacities=(64, 256), shard_pieces=100)
     rows = got.collect()
@@ -183,7 +221,7 @@ def test_archive_rows(spark):
     rows = [(1, "http://a.b/x", big), (2, "http://a.b/y?q", big), (3, None, None), (4, "odd url", ""), (5, "http://a.b/x", "é" * 700), (6, "HTTP://C.d", "small"), (7, "http://c.d", "small"), (None, "http://e.f/", big), (8, "http://t\tab/\n", "t" * 3000000)]
     pages = spark.createDataFrame([(*r, "p", "k", "b", "h") for r in rows], PAGES)
     archive = warc.write_archive(pages)
-    got = {r["page_id"]: r for r in warc.read_records(spark, archive, warc.look_up(pages, warc.write_index(spark, archive))).collect()}
+    got = {r["page_id"]: r for r in warc.read_records(spark, warc.look_up(pages, warc.write_index(spark, archive))).collect()}
     assert len(got) == len(rows)
     for page_id, _, html in rows:
         data = (html or "").encode()
@@ -191,7 +229,19 @@ def test_archive_rows(spark):
     assert (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 2) and {got[i]["record_type"] for i in (2, 6, 7, None)} == {"response"}
     empty = spark.createDataFrame([], PAGES)
     archive = warc.write_archive(empty)
-    assert warc.read_records(spark, archive, warc.look_up(empty, warc.write_index(spark, archive))).count() == 0
+    assert warc.read_records(spark, warc.look_up(empty, warc.write_index(spark, archive))).count() == 0
+
+
+def test_no_page_of_an_archive_is_lost(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 7)
+    monkeypatch.setattr(warc, "DIRECTORY_CHARS", 9)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 5)
+    ends = ["\u00a0", "\u3000", "\u0085", "\u2028", " ", "\t", "%20", "\n", "\ufeff", "é"]
+    rows = [(i, f"http://same.host/path/{i}{x}", f"<p>{i}</p>") for i, x in enumerate(ends)]
+    rows += [(100 + i, "http://same.host/" + "long" * 3000, "z" * (9_000_000 if i == 3 else 1200 + i)) for i in range(12)] + [(200, "http://twice/", "q")] * 3
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op5_warc_archive(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == sorted((i, len(h)) for i, _, h in rows)
 
 
 def test_url_rows(spark):
@@ -218,6 +268,33 @@ def test_extraction_rows(spark, sf_dir):
     assert [(r["text"], r["n_chars"]) for r in extract.extracted(odd, extract.train(odd)).collect()] == [("", 0), ("", 0)]
 
 
+def held_out_share(spark, sf_dir, change):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = extract.train(pages.filter("page_id % 2 = 0"))
+    rest = [r["html"] for r in pages.filter("page_id % 2 = 1").collect()]
+    return sum(extract.main_text(change(h), model) == article(h) for h in rest) / len(rest)
+
+
+def article(h):
+    inside = re.search(r"<article>(.*?)(</article>|$)", h, re.S)[1]
+    return " ".join(__import__("html").unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", inside))).split())
+
+
+def test_extraction_without_the_markup_that_labels(spark, sf_dir):
+    assert held_out_share(spark, sf_dir, lambda h: h) == 1
+    assert held_out_share(spark, sf_dir, lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")) == 1
+    assert held_out_share(spark, sf_dir, lambda h: re.sub("</?article>", "", h)) >= 0.9
+
+
+def test_extraction_of_empty_tables_and_long_pages(spark, sf_dir):
+    empty = spark.createDataFrame([], PAGES)
+    assert extract.extracted(empty, extract.train(empty)).count() == 0 and urls.filtered(empty, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).count() == 0
+    model = extract.train(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    long = "<article>" + "<p>" + "some words " * 40 + "</p>" * 3 + "<button>x " * 3000 + "</article>"
+    page = spark.createDataFrame([(1, "u", long * 30, "p", "k", "b", "h")] * 2, PAGES)
+    assert {r["n_chars"] > 30 * 400 for r in extract.extracted(page, model).collect()} == {True}
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
@@ -229,7 +306,10 @@ def test_pipeline_stages(spark, sf_dir):
             assert set(after) == set(before)
             break
         assert out.columns == docs.columns and set(after) <= set(before)
-        if name == "near_dedup":
+        if name == "language_id":
+            model = language.train(docs)
+            assert set(after) == {i for i, t in before.items() if t and re.search(r"[^\W\d_]", t) and model.code_lengths([t.encode()]).min() < 8 * language.UNIT * len(t.encode())}
+        elif name == "near_dedup":
             comp = slow_components(list(before.items()), 5, 80)
             assert set(after) == {i for i, (_, c) in comp.items() if i == c}
         elif name == "decontaminate":
