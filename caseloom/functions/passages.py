@@ -158,15 +158,18 @@ SELECT doc_id, trim(regexp_replace(substr(text, greatest(1, p - 40), p - greates
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 s AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(line)), '(^|[^a-z0-9])(pages?|pag|p|fls?|seite) *[0-9]+', '\1 ', 'g'), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), ' ') AS g FROM l)
 SELECT source, sha256(g) AS signature_hash, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM s WHERE length(g) >= 4 GROUP BY source, g HAVING count(DISTINCT doc_id) >= 2""",
-    "explicit_terms": """
-SELECT o_orderkey, CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3', '4') THEN o_orderkey % 60 END AS value,
-  CASE left(o_orderpriority, 1) WHEN '1' THEN 'HOURS' WHEN '2' THEN 'BUSINESS_DAYS' WHEN '3' THEN 'DAYS' WHEN '4' THEN 'MONTHS' ELSE 'UNSPECIFIED' END AS unit FROM orders""",
+    "explicit_terms": r"""
+WITH m AS (SELECT doc_id, unnest(x) AS hit, unnest(range(1, len(x) + 1)) AS term_no FROM (SELECT doc_id, regexp_extract_all(lower(text), '\b[0-9]{1,4} +(?:(?:working|business) days?|days?|jours?|tagen?|tage|hours?|heures?|stunden?|months?|mois|monaten?|monate)\b') AS x FROM documents)),
+p AS (SELECT *, regexp_extract(hit, ' +(.*)$', 1) AS word FROM m)
+SELECT doc_id, term_no, CAST(regexp_extract(hit, '^[0-9]+') AS BIGINT) AS value,
+  CASE WHEN regexp_full_match(word, '(working|business) days?') THEN 'BUSINESS_DAYS' WHEN regexp_full_match(word, 'days?|jours?|tagen?|tage') THEN 'DAYS' WHEN regexp_full_match(word, 'hours?|heures?|stunden?') THEN 'HOURS' ELSE 'MONTHS' END AS unit FROM p""",
     "url_identity": r"""
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '([?&])ref=[^&]*', '\1', 'g'), '[?&]+$', ''), '^https?://', '') AS identity,
   TRY_CAST(nullif(regexp_extract(u, '[?&]page=([0-9]+)', 1), '') AS BIGINT) AS page_number, len(regexp_extract_all(u, '[?&][a-z]+=')) AS n_params FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)""",
-    "citation_verify": """
-WITH c AS (SELECT DISTINCT doc_id, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}')) AS n FROM documents)),
-k AS (SELECT DISTINCT item_id AS n, true AS known FROM benchmark),
-h AS (SELECT doc_id, count(known) AS n_verified, coalesce(string_agg(CASE WHEN known IS NULL THEN CAST(n AS VARCHAR) END, ',' ORDER BY n), '') AS invented FROM c LEFT JOIN k USING (n) GROUP BY doc_id)
+    "citation_verify": r"""
+WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\[(?:Fonte\s*)?[0-9]+(?:\s*,\s*(?:Fonte\s*)?[0-9]+)*\]')) AS mark FROM documents),
+c AS (SELECT DISTINCT doc_id, coalesce(nullif(ltrim(n, '0'), ''), '0') AS n FROM (SELECT doc_id, unnest(regexp_extract_all(mark, '[0-9]+')) AS n FROM g)),
+k AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS n, true AS known FROM benchmark),
+h AS (SELECT doc_id, count(known) AS n_verified, coalesce(string_agg(CASE WHEN known IS NULL THEN n END, ',' ORDER BY length(n), n), '') AS invented FROM c LEFT JOIN k USING (n) GROUP BY doc_id)
 SELECT *, invented = '' AS all_verified FROM h""",
 }

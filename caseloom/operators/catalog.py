@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
-from caseloom.operators.retrieval import WORD, _query, _scored_docs, best_of, occurrences
+from caseloom.operators.retrieval import SQL_LEXICAL, SQL_TOKENS, SQL_WORD, WORD, _query, _scored_docs, best_of, occurrences
 from caseloom.sources.tables import table
 
 
@@ -80,21 +80,22 @@ def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hierarchical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tiers for each question: the five sources with the best document, then the three best documents of each."""
-    scored = _scored_docs(spark, sf_dir).filter("lexical > 0").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    best = scored.groupBy("query_id", "source").agg(F.max("lexical").alias("best"))
-    top = best_of(best, ["query_id"], [F.desc("best"), F.asc("source")], 5).drop("best")
     rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("lexical"), "doc_id"))
-    return scored.join(F.broadcast(top), ["query_id", "source"]).withColumn("rank", rank).filter("rank <= 3").select("query_id", "source", "doc_id", "lexical", "rank")
+    heads = _scored_docs(spark, sf_dir, "source").withColumn("rank", rank).filter("rank <= 3")  # three of a source; all else is small
+    best = heads.filter("rank = 1").select("query_id", "source", F.col("lexical").alias("best"))
+    top = best_of(best, ["query_id"], [F.desc("best"), F.asc("source")], 5).drop("best")
+    return heads.join(top, ["query_id", "source"], "left_semi").select("query_id", "source", "doc_id", "lexical", "rank")
 
 
 def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each question's words that each source's documents hold."""
-    asked = _query(spark, sf_dir)
+    queries = _query(spark, sf_dir).select("query_id", "tokens")
+    asked = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "tokens")).alias("asked")))
     docs = table(spark, sf_dir, "documents").select("source", F.lower("text").alias("low")).join(asked)
-    held = F.filter("tokens", lambda t: occurrences(F.col("low"), t) > 0)
-    # an explicit null keeps sources that hold no word; different words are few, however many documents a source has
-    words = docs.select("query_id", "source", F.size("tokens").alias("n"), F.explode_outer(held).alias("word")).distinct()
-    return words.groupBy("query_id", "source").agg(F.count("word").alias("n_covered"), F.round(F.count("word") / F.first("n"), 6).alias("coverage"))
+    # one pass over a text; an explicit null keeps sources that hold no word
+    held = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(q["tokens"]).alias("n"), F.filter(q["tokens"], lambda t: F.contains("low", t)).alias("held")))
+    rows = docs.select("source", F.explode(held).alias("h")).select("source", "h.query_id", "h.n", F.explode_outer("h.held").alias("word")).distinct()
+    return rows.groupBy("query_id", "source").agg(F.count("word").alias("n_covered"), F.round(F.count("word") / F.first("n"), 6).alias("coverage"))
 
 
 def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,28 +116,25 @@ QUERIES = {f.__name__: f for f in (interval_compress, interval_explode, keyset_p
 
 _RANGES = """i AS (SELECT l_orderkey, l_linenumber AS v, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
 r AS (SELECT l_orderkey, min(v) AS a, max(v) AS b FROM i GROUP BY l_orderkey, g)"""
-_Q = """q AS (SELECT arg_min(text, item_id) AS query FROM benchmark),
-t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(query), '[a-z]{2,}')) AS tok FROM q)"""
 ORACLE = {
     "interval_compress": f"WITH {_RANGES} SELECT l_orderkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS ranges, CAST(sum(b - a + 1) AS BIGINT) AS n FROM r GROUP BY l_orderkey",
     "interval_explode": "SELECT l_linenumber AS line, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY 1",
     "keyset_page": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey > (SELECT CAST(trunc(max(o_orderkey) / 2) AS BIGINT) FROM orders) ORDER BY o_orderkey LIMIT 50",
     "search_scan": "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]{4,}')) AS n_hits, CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'UNAVAILABLE' WHEN regexp_matches(text, '[0-9]{4,}') THEN 'HIT' ELSE 'MISS' END AS state FROM documents",
     "rollup_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, count(DISTINCT l_suppkey) AS n_suppliers, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
-    "phrase_mining": """
-WITH d AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents),
-p AS (SELECT DISTINCT lang, doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT lang, doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) >= 2)),
-c AS (SELECT lang, phrase, count(*) AS n_docs FROM p GROUP BY ALL)
-SELECT lang, phrase, n_docs, row_number() OVER (PARTITION BY lang ORDER BY n_docs DESC, phrase) AS rank FROM c QUALIFY rank <= 8""",
-    "hierarchical_topk": f"""WITH {_Q},
-c AS (SELECT doc_id, tok, (length(low) - length(replace(low, tok, ''))) / length(tok)::DOUBLE AS n FROM (SELECT doc_id, lower(text) AS low FROM documents), t),
-l AS (SELECT doc_id, round(max(whole) + sum(CASE WHEN n > 0 THEN 1.0::DOUBLE + 0.2::DOUBLE * least(n, 5.0) ELSE 0 END), 6) AS lexical
-      FROM c JOIN (SELECT doc_id, CASE WHEN contains(lower(text), lower(query)) THEN 10.0::DOUBLE ELSE 0.0 END AS whole FROM documents, q) USING (doc_id) GROUP BY doc_id),
-s AS (SELECT source, doc_id, lexical FROM l JOIN documents USING (doc_id) WHERE lexical > 0),
-b AS (SELECT source FROM s GROUP BY source ORDER BY max(lexical) DESC, source LIMIT 5)
-SELECT source, doc_id, lexical, row_number() OVER (PARTITION BY source ORDER BY lexical DESC, doc_id) AS rank FROM s WHERE source IN (SELECT source FROM b) QUALIFY rank <= 3""",
-    "subject_coverage": f"""WITH {_Q}, h AS (SELECT DISTINCT source, tok FROM documents, t WHERE contains(lower(text), tok))
-SELECT source, count(tok) AS n_covered, round(count(tok)::DOUBLE / (SELECT count(*) FROM t), 6) AS coverage FROM (SELECT DISTINCT source FROM documents) LEFT JOIN h USING (source) GROUP BY source""",
+    "phrase_mining": f"""
+WITH d AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '{SQL_WORD}+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT lang, doc_id, n AS n_words, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT lang, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n)),
+c AS (SELECT lang, n_words, phrase, count(*) AS n_docs FROM p GROUP BY ALL)
+SELECT lang, CAST(n_words AS BIGINT) AS n_words, phrase, n_docs, row_number() OVER (PARTITION BY lang, n_words ORDER BY n_docs DESC, phrase) AS rank FROM c QUALIFY rank <= 8""",
+    "hierarchical_topk": f"""WITH {SQL_LEXICAL},
+s AS (SELECT query_id, source, doc_id, lexical FROM l JOIN documents USING (doc_id) WHERE lexical > 0),
+m AS (SELECT query_id, source, max(lexical) AS best FROM s GROUP BY ALL),
+b AS (SELECT query_id, source FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best DESC, source) <= 5)
+SELECT query_id, source, doc_id, lexical, row_number() OVER (PARTITION BY query_id, source ORDER BY lexical DESC, doc_id) AS rank FROM s SEMI JOIN b USING (query_id, source) QUALIFY rank <= 3""",
+    "subject_coverage": f"""WITH {SQL_TOKENS}, n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+h AS (SELECT query_id, source, count(DISTINCT tok) AS k FROM documents, t WHERE contains(lower(text), tok) GROUP BY ALL)
+SELECT n.query_id, source, coalesce(k, 0) AS n_covered, round(coalesce(k, 0)::DOUBLE / n, 6) AS coverage FROM n CROSS JOIN (SELECT DISTINCT source FROM documents) d LEFT JOIN h USING (query_id, source)""",
     "page_triage": r"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS alnum, length(regexp_replace(t, '[^#$%&*|~^<>{}\[\]\\+=_]', '', 'g')) AS s, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS body FROM a)

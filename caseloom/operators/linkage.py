@@ -146,10 +146,10 @@ SELECT event_id, user_id, prior_view FROM (SELECT *, last_value(CASE WHEN event_
 WITH d AS (SELECT doc_id, lang, source, trim(text, ' ') AS t FROM documents WHERE length(trim(text, ' ')) >= 25),
 f AS (SELECT t, min(doc_id) AS fid, arg_min(lang, doc_id) AS fl, arg_min(source, doc_id) AS fs FROM d GROUP BY t HAVING count(*) > 1)
 SELECT doc_id, fid AS canonical_id, CASE WHEN lang = fl AND source = fs THEN 'PROBABLE_SAME' ELSE 'CONFLICTS' END AS status FROM d JOIN f USING (t) WHERE doc_id <> fid""",
-    "quote_verify": """
-WITH a AS (SELECT DISTINCT item_id, trim(line, ' ') AS line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)),
-b AS (SELECT DISTINCT doc_id, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
-SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM a JOIN b USING (line) WHERE length(line) >= 25 GROUP BY item_id""",
+    "quote_verify": r"""
+WITH a AS (SELECT item_id, trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'), ' ') AS quote FROM benchmark),
+b AS (SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'), ' ') AS page FROM documents)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM a JOIN b ON quote <> '' AND contains(page, quote) GROUP BY item_id""",
     "candidate_dedup_ladder": r"""
 WITH p AS (SELECT page_id, regexp_replace(lower(url), '^https?://(www\.|m\.)?|[?#].*$|/$', '', 'g') AS address, html FROM pages),
 q AS (SELECT page_id, min(page_id) OVER (PARTITION BY address) AS a, min(page_id) OVER (PARTITION BY html) AS c FROM p)

@@ -14,13 +14,16 @@ from caseloom.sources.tables import kept, table
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
 
-#: A word: letters and digits of all scripts, as the reference's tokenizer takes them.
-WORD = r"[\p{L}\p{N}_]"
+#: A word's letter: letters and digits of all scripts, the low line, and everything from A-grave to y-diaeresis.
+WORD = r"[\p{L}\p{N}_\x{C0}-\x{FF}]"
+# Words that a question's tokens leave out.
+STOP_WORDS = "de da do das dos em no na nos nas para por com sem ou se que ao aos as os um uma".split()
 
 
 def query_tokens(text: Column) -> Column:
-    """Different lower-case words of two letters or more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD + "{2,}"), F.lit(0)))
+    """Different lower-case words of two letters or more, without stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD + "{2,}"), F.lit(0))
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def occurrences(text: Column, token: Column) -> Column:
@@ -57,16 +60,41 @@ def best_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
 
 
 def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, keys: list[str], name: str) -> DataFrame:
-    """1-based rank of the ``wanted`` rows in ``scored``, ordered by ``score`` from the top and the last of ``keys``,
-    apart for each value of the others.
+    """1-based rank of the ``wanted`` rows in ``scored``, ordered by ``score`` from the top and the last of ``keys``
+    (a whole number), apart for each value of the other key.
 
-    A count of the rows before each instead of a window over the whole table: no task ever sorts everything.
-    ``wanted`` must be small; it is top-k lists in all uses here.
+    No task ever sorts everything: every batch of rows is counted between the wanted ones, and counts combine.
+    ``wanted`` must be short; it is top-k lists in all uses here, so it fits the driver.
     """
-    *by, key = keys
-    mine = F.broadcast(wanted.join(scored, keys).select(*by, F.col(key).alias("_k"), F.col(score).alias("_s")))
-    before = (F.col(score) > F.col("_s")) | ((F.col(score) == F.col("_s")) & (F.col(key) <= F.col("_k")))
-    return scored.join(mine, by).filter(before).groupBy(*by, F.col("_k").alias(key)).agg(F.count("*").alias(name))
+    by, key = keys
+    lists: dict = {}
+    for r in wanted.join(scored, keys).select(by, key, score).distinct().collect():
+        lists.setdefault(r[0], []).append((-r[2], r[1]))
+    bounds = {q: (np.array([x for x, _ in sorted(rows)], float), np.array([i for _, i in sorted(rows)], np.int64)) for q, rows in lists.items()}
+    shared = scored.sparkSession.sparkContext.broadcast(bounds)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for df in batches:
+            for q, rows in df.groupby("by", sort=False):
+                if q not in shared.value:
+                    continue
+                at, ids = shared.value[q]
+                low, high = np.searchsorted(at, -rows["score"].to_numpy(), "left"), np.searchsorted(at, -rows["score"].to_numpy(), "right")
+                own = rows["key"].to_numpy()
+                for tie in np.unique(low[high > low]):  # of rows with a wanted score the lesser ids come first
+                    same = (low == tie) & (high > low)
+                    low[same] = tie + np.searchsorted(ids[tie : high[same][0]], own[same], "left")
+                total[q] = total.get(q, 0) + np.bincount(low, minlength=len(at) + 1)[: len(at)]
+        for q, n in total.items():
+            yield pd.DataFrame({"by": q, "slot": np.arange(len(n)), "n": n})
+
+    slots = [(q, n, int(i)) for q, (_, ids) in bounds.items() for n, i in enumerate(ids)]
+    kind = scored.schema[by].dataType.simpleString()
+    rows = scored.select(F.col(by).alias("by"), F.col(score).alias("score"), F.col(key).alias("key")).mapInPandas(counted, f"by {kind}, slot bigint, n bigint")
+    ranks = rows.groupBy("by", "slot").agg(F.sum("n").alias("n")).withColumn("rank", F.sum("n").over(Window.partitionBy("by").orderBy("slot")))  # of a list's places
+    named = scored.sparkSession.createDataFrame(slots, f"by {kind}, slot bigint, id bigint")
+    return named.join(ranks, ["by", "slot"]).select(F.col("by").alias(by), F.col("id").alias(key), F.col("rank").alias(name))
 
 
 def hybrid_of_each(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -92,13 +120,26 @@ def hybrid(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions: every benchmark item whose id is divisible by 100."""
-    asked = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0")
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0 and text is not null")
     return F.broadcast(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), query_tokens(F.col("text")).alias("tokens")))
 
 
-def _scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")).join(_query(spark, sf_dir))
-    return kept(docs.select("query_id", "doc_id", F.round(lexical_score(F.col("text"), F.col("query"), F.col("tokens")), 6).alias("lexical")), "lexical")
+def for_each_query(docs: DataFrame, queries: DataFrame, score, *columns: str) -> DataFrame:
+    """``query_id``, ``columns`` and ``score`` where ``score(query)`` is over 0: all questions are put to a text while it
+    is at hand, so that neither texts nor scores are worked out again for a question or a filter.
+
+    ``queries`` become one row of an array.
+    """
+    asked = F.broadcast(queries.agg(F.collect_list(F.struct(*queries.columns)).alias("_asked")))
+    told = F.transform("_asked", lambda q: F.struct(q["query_id"].alias("query_id"), score(q).alias("score")))
+    rows = docs.join(asked).select(*columns, F.explode(told).alias("_t"))
+    return rows.select("_t.query_id", *columns, "_t.score").filter("score > 0")
+
+
+def _scored_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", *columns, F.lower("text").alias("low"))
+    score = lambda q: F.round(lexical_score(F.col("low"), q["query"], q["tokens"]), 6)
+    return for_each_query(docs, _query(spark, sf_dir), score, "doc_id", *columns).withColumnRenamed("score", "lexical")
 
 
 def _matrices(vectors: DataFrame) -> DataFrame:
@@ -164,20 +205,44 @@ def pages_scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_of(_scored_docs(spark, sf_dir).filter("lexical > 0"), ["query_id"], [F.desc("lexical"), F.asc("doc_id")], 20)
+    return best_of(_scored_docs(spark, sf_dir), ["query_id"], [F.desc("lexical"), F.asc("doc_id")], 20)
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(*_vectors(spark, sf_dir), 20)
 
 
+def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, vec_id, semantic``: the cosine of every vector with every one of ``queries``, block by block."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for r in df.itertuples(index=False):
+                ids, own = np.asarray(r.vec_ids), np.asarray(r.query_ids)
+                alike = r.dim == r.query_dim and r.dim > 0
+                mine = np.frombuffer(r.data).reshape(len(ids), -1) if alike else None
+                for q, vector in zip(own, np.frombuffer(r.query_data).reshape(len(own), -1)):
+                    yield pd.DataFrame({"query_id": q, "vec_id": ids, "semantic": np.round(mine @ vector, 6) + 0.0 if alike else np.zeros(len(ids))})
+
+    asked = _matrices(queries).select(F.col("vec_ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("data").alias("query_data"))
+    return _matrices(vectors).crossJoin(F.broadcast(asked)).mapInPandas(score, "query_id bigint, vec_id bigint, semantic double")
+
+
+def excerpt(text: Column, size: int = 400) -> Column:
+    """The first characters of a text, and dots if there are more."""
+    bare = F.trim(text)
+    return F.when(F.length(bare) > size, F.concat(F.left(bare, F.lit(size)), F.lit("..."))).otherwise(bare)
+
+
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions are those of the benchmark; the vector of a question is that of its number, if there is one."""
-    vectors = table(spark, sf_dir, "embeddings")
-    probes = F.broadcast(vectors.join(_query(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("probe")))
-    semantic = vectors.join(probes).select("query_id", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("semantic"))
-    both = _scored_docs(spark, sf_dir).join(semantic, ["query_id", "doc_id"], "left")
-    return hybrid_of_each(both, 20).select("query_id", "doc_id", "rank_lex", "rank_sem", "score")
+    """The questions are those of the benchmark; the vector of a question is that of its number, if there is one.
+    Texts are scored once and written, for those that score only; the heads of the result get their excerpt."""
+    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    probes = vectors.join(_query(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi")
+    semantic = similarities(vectors, probes).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    both = kept(_scored_docs(spark, sf_dir).join(semantic, ["query_id", "doc_id"], "full").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))), "scored")
+    best = hybrid_of_each(both, 20).select("query_id", "doc_id", "rank_lex", "rank_sem", "score")
+    return docs.select("doc_id", excerpt(F.col("text")).alias("excerpt")).join(F.broadcast(best), "doc_id").select("query_id", "doc_id", "rank_lex", "rank_sem", "score", "excerpt")
 
 
 def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,12 +251,15 @@ def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over whole words; the corpus statistics are one aggregate, the query terms a broadcast."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD + "{2,}"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    size = F.broadcast(docs.agg(F.count("*").alias("n_all"), F.avg(F.size("w")).alias("mean")))
+    """BM25 over whole words. Of each text only the questions' words go on, counted; the corpus statistics are one
+    aggregate of the same pass."""
     asked = _query(spark, sf_dir).select("query_id", F.explode("tokens").alias("term"))
-    tf = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    terms = F.broadcast(asked.agg(F.collect_set("term").alias("terms")))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD + "{2,}"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).join(terms)
+    docs = kept(docs.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("len"), F.filter("w", lambda x: F.array_contains("terms", x)).alias("w")), "words")
+    size = F.broadcast(docs.agg(F.count("*").alias("n_all"), F.avg("len").alias("mean")))
+    tf = docs.select("doc_id", "len", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     both = tf.join(F.broadcast(df), "term").join(size).join(F.broadcast(asked), "term")
     idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -217,32 +285,39 @@ def compose_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (hybrid_rrf, pages_scan_evidence, lexical_score_topk, cosine_topk, relative_threshold_neighbours, bm25_topk, compose_diversified)}
 
-_LEX = """q AS (SELECT arg_min(text, item_id) AS query FROM benchmark),
-t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(query), '[a-z]{2,}')) AS tok FROM q),
-c AS (SELECT doc_id, tok, (length(low) - length(replace(low, tok, ''))) / length(tok)::DOUBLE AS n FROM (SELECT doc_id, lower(text) AS low FROM documents), t),
-l AS (SELECT doc_id, round(max(whole) + sum(CASE WHEN n > 0 THEN 1.0::DOUBLE + 0.2::DOUBLE * least(n, 5.0) ELSE 0 END), 6) AS lexical
-      FROM c JOIN (SELECT doc_id, CASE WHEN contains(lower(text), lower(query)) THEN 10.0::DOUBLE ELSE 0.0 END AS whole FROM documents, q) USING (doc_id) GROUP BY doc_id)"""
-_VEC = """p AS (SELECT min(vec_id) AS probe_id, arg_min(embedding, vec_id) AS probe FROM embeddings),
-v AS (SELECT vec_id, label, probe_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(probe AS DOUBLE[])), 6) AS score FROM embeddings, p)"""
+#: What the SQL takes for a word, and the words that it leaves out.
+SQL_WORD = r"[\p{L}\p{N}_\x{C0}-\x{FF}]"
+SQL_STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+SQL_TOKENS = f"""q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0 AND text IS NOT NULL),
+t AS (SELECT DISTINCT query_id, tok FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '{SQL_WORD}{{2,}}')) AS tok FROM q) WHERE tok NOT IN {SQL_STOP})"""
+SQL_LEXICAL = f"""{SQL_TOKENS},
+c AS (SELECT query_id, doc_id, tok, (length(low) - length(replace(low, tok, ''))) / length(tok)::DOUBLE AS n FROM (SELECT doc_id, lower(text) AS low FROM documents), t),
+w AS (SELECT query_id, doc_id, CASE WHEN contains(lower(text), lower(query)) THEN 10.0::DOUBLE ELSE 0.0 END AS whole FROM documents, q WHERE text IS NOT NULL),
+l AS (SELECT query_id, doc_id, round(max(whole) + coalesce(sum(CASE WHEN n > 0 THEN 1.0::DOUBLE + 0.2::DOUBLE * least(n, 5.0) ELSE 0 END), 0), 6) AS lexical
+      FROM w LEFT JOIN c USING (query_id, doc_id) GROUP BY query_id, doc_id)"""
+_VEC = """v AS (SELECT p.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings e, embeddings p WHERE p.vec_id % 100 = 0)"""
 ORACLE = {
     "pages_scan_evidence": "SELECT doc_id, lang, n_chars, quality, toxic, CASE WHEN quality IS NULL THEN 'UNLABELLED' WHEN toxic = 1 THEN 'EXCLUDED' ELSE 'USABLE' END AS evidence FROM documents LEFT JOIN labels USING (doc_id)",
-    "lexical_score_topk": f"WITH {_LEX} SELECT doc_id, lexical FROM l WHERE lexical > 0 ORDER BY lexical DESC, doc_id LIMIT 20",
-    "cosine_topk": f"WITH {_VEC} SELECT vec_id, label, score FROM v ORDER BY score DESC, vec_id LIMIT 20",
-    "hybrid_rrf": f"""WITH {_LEX}, {_VEC},
-a AS (SELECT doc_id, row_number() OVER (ORDER BY lexical DESC, doc_id) AS rank_lex FROM l WHERE lexical > 0),
-b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank_sem FROM v WHERE vec_id IN (SELECT doc_id FROM documents))
-SELECT doc_id, rank_lex, rank_sem, round(coalesce(1.0::DOUBLE / (60 + rank_lex), 0) + coalesce(1.0::DOUBLE / (60 + rank_sem), 0), 6) AS score
-FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20""",
-    "relative_threshold_neighbours": f"""WITH {_VEC}, w AS (SELECT * FROM v WHERE vec_id <> probe_id ORDER BY score DESC, vec_id LIMIT 20)
-SELECT vec_id, label, score FROM w WHERE score >= greatest(0.30::DOUBLE, 0.82::DOUBLE * (SELECT max(score) FROM w))""",
-    "bm25_topk": """WITH q AS (SELECT arg_min(text, item_id) AS query FROM benchmark),
-t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(query), '[a-z]{2,}')) AS term FROM q),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents),
+    "lexical_score_topk": f"WITH {SQL_LEXICAL} SELECT query_id, doc_id, lexical FROM l WHERE lexical > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) <= 20",
+    "cosine_topk": f"WITH {_VEC} SELECT query_id, vec_id, label, score FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20",
+    "hybrid_rrf": f"""WITH {SQL_LEXICAL}, {_VEC},
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS rank_lex FROM l WHERE lexical > 0),
+b AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank_sem FROM v WHERE vec_id IN (SELECT doc_id FROM documents) AND query_id IN (SELECT query_id FROM q)),
+f AS (SELECT query_id, doc_id, rank_lex, rank_sem, round(coalesce(1.0::DOUBLE / (60 + rank_lex), 0) + coalesce(1.0::DOUBLE / (60 + rank_sem), 0), 6) AS score FROM a FULL JOIN b USING (query_id, doc_id)),
+h AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)
+SELECT h.*, CASE WHEN length(trim(text, ' ')) > 400 THEN left(trim(text, ' '), 400) || '...' ELSE trim(text, ' ') END AS excerpt FROM h JOIN documents USING (doc_id)""",
+    "relative_threshold_neighbours": f"""WITH {_VEC}, w AS (SELECT * FROM v WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20),
+b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM w)
+SELECT query_id, vec_id, label, score FROM b WHERE score >= greatest(0.30::DOUBLE, 0.82::DOUBLE * best)""",
+    "bm25_topk": f"""WITH {SQL_TOKENS},
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{SQL_WORD}{{2,}}') AS w FROM documents),
 s AS (SELECT count(*) AS n_all, avg(len(w)) AS mean FROM d),
-f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) JOIN t USING (term) GROUP BY ALL),
-g AS (SELECT term, count(*) AS df FROM f GROUP BY term)
-SELECT doc_id, round(sum(ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 4) AS score
-FROM f JOIN g USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT tok FROM t) GROUP BY ALL),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 4) AS score
+  FROM f JOIN g USING (term) JOIN t ON tok = term, s GROUP BY query_id, doc_id)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""",
     "compose_diversified": """WITH a AS (SELECT doc_id, source, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY n_chars DESC, doc_id)) AS vote FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 50
   UNION ALL SELECT doc_id, source, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY n_chars, doc_id)) FROM documents QUALIFY row_number() OVER (ORDER BY n_chars, doc_id) <= 50),
 b AS (SELECT doc_id, source, sum(vote) AS votes FROM a GROUP BY ALL),

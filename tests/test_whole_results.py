@@ -119,7 +119,7 @@ def lexical(home):
     out = {}
     for q, text in frame(home, "benchmark", "item_id", "text").itertuples(index=False):
         if q % 100 == 0:
-            words = set(re.findall(r"\w{2,}", text.lower()))
+            words = set(re.findall(r"\w{2,}", text.lower())) - set(retrieval.STOP_WORDS)
             each = {d: (10.0 if text.lower() in t else 0.0) + sum(1 + 0.2 * min(n, 5) for n in map(t.count, words) if n) for d, t in docs}
             out[q] = {d: round(s, 6) for d, s in each.items() if s > 0}
     return out
@@ -165,6 +165,6 @@ def test_coverage_has_no_set_of_a_source(spark, asked):
     docs = [(s, (t or "").lower()) for s, t in frame(asked, "documents", "source", "text").itertuples(index=False)]
     want = set()
     for q, text in frame(asked, "benchmark", "item_id", "text").itertuples(index=False):
-        words = set(re.findall(r"\w{2,}", text.lower()))
+        words = set(re.findall(r"\w{2,}", text.lower())) - set(retrieval.STOP_WORDS)
         want |= {(q, s, sum(any(w in t for o, t in docs if o == s) for w in words), len(words)) for s in {s for s, _ in docs} if q % 100 == 0}
     assert {(r.query_id, r.source, r.n_covered, r.coverage) for r in query.collect()} == {(q, s, n, round(n / m, 6)) for q, s, n, m in want}
