@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from caseloom.functions import passages, text
-from caseloom.operators import catalog, linkage, merge, retrieval, sequence
+from caseloom.operators import catalog, linkage, merge, retrieval, sequence, timeline
 from caseloom.plans import calendar, contracts, evidence
 from caseloom.streaming import events
 
-MODULES = [retrieval, sequence, merge, linkage, catalog, calendar, evidence, contracts, text, passages, events]
+MODULES = [retrieval, sequence, merge, linkage, timeline, catalog, calendar, evidence, contracts, text, passages, events]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
