@@ -108,7 +108,7 @@ def length_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median length and median deviation from it, by flag; the exact median holds a counter for each different value."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
     mid = lines.groupBy("l_returnflag").agg(F.median("l_quantity").alias("median"))
-    return lines.join(F.broadcast(mid), "l_returnflag").groupBy("l_returnflag", "median").agg(F.median(F.abs(F.col("l_quantity") - F.col("median"))).alias("mad"))
+    return lines.join(mid, "l_returnflag").groupBy("l_returnflag", "median").agg(F.median(F.abs(F.col("l_quantity") - F.col("median"))).alias("mad"))
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:

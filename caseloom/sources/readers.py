@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A member of a bundle that would unpack to more bytes is reported and not unpacked: it meets in one task.
-MEMBER_BYTES = 256_000_000
+#: A member of a bundle is given in parts of so many bytes.
+PART_BYTES = 64_000_000
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -19,37 +20,62 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def bundle_members(spark: SparkSession, path: str, most: int = MEMBER_BYTES) -> DataFrame:
-    """``path, member, n_bytes, content, status`` of every file in every ZIP bundle.
+def bundle_members(spark: SparkSession, path: str, most: int = PART_BYTES) -> DataFrame:
+    """``path, member, part, n_bytes, content, status`` of every file in every ZIP bundle, unpacked as a stream.
 
-    A bundle that is no ZIP is one row with status BROKEN, a member that is too large one with OVERSIZE; both
-    without content. Names that would leave the bundle's folder are UNSAFE.
+    A member comes in parts of at most ``most`` bytes, numbered from 0; an empty one is one part. ``n_bytes`` is the
+    size that the bundle states. A bundle that is no ZIP is one row with status BROKEN; a member whose content does
+    not fit its checksum ends with a part DAMAGED without content, one that needs a password is ENCRYPTED, one packed
+    by a method unknown here UNSUPPORTED; a name that would leave the bundle's folder is UNSAFE; these have no content.
+    Bundles are opened where they lie and never read whole.
     """
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+    names = ["path", "member", "part", "n_bytes", "content", "status"]
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+    def parts(name: str, bundle: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[pa.RecordBatch]:
+        number = 0
+        try:
+            with bundle.open(info) as member:
+                while (content := member.read(most)) or not number:
+                    yield row(name, info.filename, number, info.file_size, content, "OK")
+                    number += 1
+        except (zipfile.BadZipFile, zlib.error, EOFError):
+            yield row(name, info.filename, number, info.file_size, None, "DAMAGED")
+        except NotImplementedError:
+            yield row(name, info.filename, number, info.file_size, None, "UNSUPPORTED")
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(*values):
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["path", "member", "n_bytes", "content", "status"])
-
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    bundle = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    yield row(name, None, len(content), None, "BROKEN")
-                    continue
-                for info in bundle.infolist():
-                    if info.is_dir():
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with opened(name) as source:
+                    try:
+                        bundle = zipfile.ZipFile(source)
+                    except (zipfile.BadZipFile, ValueError):  # the latter where a file is too short to look for its end
+                        yield row(name, None, 0, size, None, "BROKEN")
                         continue
-                    if info.filename.startswith("/") or ".." in info.filename.split("/"):
-                        yield row(name, info.filename, info.file_size, None, "UNSAFE")
-                    elif info.file_size > most:
-                        yield row(name, info.filename, info.file_size, None, "OVERSIZE")
-                    else:
-                        yield row(name, info.filename, info.file_size, bundle.read(info), "OK")
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(unpacked, "path string, member string, n_bytes bigint, content binary, status string")
+                    for info in bundle.infolist():
+                        if info.is_dir():
+                            continue
+                        if info.filename.startswith("/") or ".." in info.filename.split("/"):
+                            yield row(name, info.filename, 0, info.file_size, None, "UNSAFE")
+                        elif info.flag_bits & 1:
+                            yield row(name, info.filename, 0, info.file_size, None, "ENCRYPTED")
+                        else:
+                            yield from parts(name, bundle, info)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # names and sizes, no content
+    return files.mapInArrow(unpacked, "path string, member string, part bigint, n_bytes bigint, content binary, status string")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A random-access handle of a file on any file system that both Spark and Arrow know."""
+    if path.startswith("file:"):
+        path = "file://" + path.removeprefix("file:").removeprefix("//")
+    system, name = pyarrow.fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
 
 
 def pages_of(texts: DataFrame, key: str, text: str) -> DataFrame:

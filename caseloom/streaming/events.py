@@ -7,22 +7,15 @@ watermark.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.sources.tables import shared_path
+
 #: Long enough for a table that is read in one go: nothing is late.
 WATERMARK = "60 days"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the session names; a temporary one only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # as a pattern the path may be a file or a folder
@@ -32,7 +25,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_to_end(stream: DataFrame, name: str, complete: bool = False) -> DataFrame:
     """Run a stream over all that is there, and read the sink: appended rows, or the whole state after the last batch."""
     spark = stream.sparkSession
-    place = _folder(spark, name)
+    place = shared_path(spark, name)
     out = stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if complete:
         out = out.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/out"))

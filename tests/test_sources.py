@@ -17,8 +17,27 @@ def test_bundles(spark, tmp_path):
         z.writestr("../two.txt", "no")
         z.writestr("big.bin", b"0" * 100)
     (tmp_path / "b.zip").write_bytes(b"broken")
-    got = {(r["member"], r["status"], r["content"] and bytes(r["content"])) for r in bundle_members(spark, str(tmp_path / "*.zip"), 50).collect()}
-    assert got == {("one.txt", "OK", b"hello"), ("../two.txt", "UNSAFE", None), ("big.bin", "OVERSIZE", None), (None, "BROKEN", None)}
+    got = {(r["member"], r["part"], r["status"], r["content"] and bytes(r["content"])) for r in bundle_members(spark, str(tmp_path / "*.zip"), 50).collect()}
+    assert got == {("one.txt", 0, "OK", b"hello"), ("../two.txt", 0, "UNSAFE", None), ("big.bin", 0, "OK", b"0" * 50), ("big.bin", 1, "OK", b"0" * 50), (None, 0, "BROKEN", None)}
+
+
+def test_bundles_lose_nothing_and_survive_bad_members(spark, tmp_path):
+    data = bytes(range(256)) * 1000
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("whole.bin", data)
+        z.writestr("empty.txt", "")
+        z.writestr("bad.bin", b"x" * 5000)
+        z.writestr("locked.bin", b"y")
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[raw.index(b"xxxx") + 10] = 0
+    at = raw.rindex(b"locked.bin") - 46  # its entry in the directory
+    raw[at + 8] |= 1
+    (tmp_path / "a.zip").write_bytes(raw)
+    rows = bundle_members(spark, str(tmp_path / "a.zip"), 100_000).collect()
+    parts = sorted((r["part"], bytes(r["content"])) for r in rows if r["member"] == "whole.bin")
+    assert [n for n, _ in parts] == [0, 1, 2] and b"".join(c for _, c in parts) == data
+    assert {(r["member"], r["part"], r["status"]) for r in rows if r["member"] != "whole.bin" and r["status"] != "OK"} == {("bad.bin", 0, "DAMAGED"), ("locked.bin", 0, "ENCRYPTED")}
+    assert [bytes(r["content"]) for r in rows if r["member"] == "empty.txt"] == [b""]
 
 
 def test_pages_and_sink(spark, tmp_path):
