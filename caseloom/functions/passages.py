@@ -20,10 +20,17 @@ def _folds() -> tuple[str, str]:
     return "".join(marked), "".join(marked.values())
 
 
+# Letters that compatibility forms and case folding spell with several.
+_SPELLED = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ŉ": "ʼn", "ĳ": "ij"}
+
+
 def folded(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents; sharp s and ligatures as the letters that they stand for."""
     low = F.lower(text)
-    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_folds())).otherwise(low)
+    plain = F.translate(low, *_folds())
+    for one, several in _SPELLED.items():
+        plain = F.replace(plain, F.lit(one), F.lit(several))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), plain).otherwise(low)
 
 
 def one_spaced(text: Column) -> Column:
@@ -149,14 +156,14 @@ WITH RECURSIVE c AS (
   FROM (SELECT *, CASE WHEN length(rest) <= 600 THEN length(rest) WHEN s = 0 OR 601 - s < 200 THEN 600 ELSE 601 - s END AS cut
         FROM (SELECT *, strpos(reverse(substr(rest, 1, 601)), ' ') AS s FROM c WHERE rest <> '')))
 SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, length(chunk) AS n_chars, sha256(chunk) AS chunk_hash FROM c WHERE chunk_no >= 0""",
-    "accent_fold": "SELECT doc_id, sha256(strip_accents(lower(text))) AS fold_hash FROM documents",
+    "accent_fold": "SELECT doc_id, sha256(replace(strip_accents(lower(text)), 'ß', 'ss')) AS fold_hash FROM documents",
     "context_windows": r"""
 WITH a AS (SELECT doc_id, text, strpos(text, regexp_extract(text, '[0-9]{4,}')) AS p FROM documents WHERE regexp_matches(text, '[0-9]{4,}'))
 SELECT doc_id, trim(regexp_replace(substr(text, greatest(1, p - 40), p - greatest(1, p - 40) + 40), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ') AS context FROM a""",
     "clip_turns": "SELECT conv_id, turn, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(left(text, 80), ' ') || '…' END AS clip, length(text) > 80 AS cut FROM conversations",
     "furniture_families": r"""
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-s AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(line)), '(^|[^a-z0-9])(pages?|pag|p|fls?|seite) *[0-9]+', '\1 ', 'g'), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), ' ') AS g FROM l)
+s AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower(line)), 'ß', 'ss'), '(^|[^a-z0-9])(pages?|pag|p|fls?|seite) *[0-9]+', '\1 ', 'g'), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), ' ') AS g FROM l)
 SELECT source, sha256(g) AS signature_hash, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM s WHERE length(g) >= 4 GROUP BY source, g HAVING count(DISTINCT doc_id) >= 2""",
     "explicit_terms": r"""
 WITH m AS (SELECT doc_id, unnest(x) AS hit, unnest(range(1, len(x) + 1)) AS term_no FROM (SELECT doc_id, regexp_extract_all(lower(text), '\b[0-9]{1,4} +(?:(?:working|business) days?|days?|jours?|tagen?|tage|hours?|heures?|stunden?|months?|mois|monaten?|monate)\b') AS x FROM documents)),

@@ -99,12 +99,20 @@ def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must be read again by other means: blank, almost blank, mostly symbols."""
-    text = F.coalesce("text", F.lit(""))
-    n, alnum, symbols = F.length(text), count_of(text, r"[0-9A-Za-z]|[^\x00-\x7F]"), count_of(text, r"[#$%&*|~^<>{}\[\]\\+=_]")
-    body = F.length(F.regexp_replace(text, r"[ \t\r\n]", ""))
-    state = F.when(body == 0, "BLANK").when(body < 15, "ALMOST_BLANK").when((n >= 40) & (alnum / n < 0.35) & (symbols > 30), "SYMBOLS").otherwise("READABLE")
-    return table(spark, sf_dir, "documents").select("doc_id", state.alias("state"), symbols.alias("n_symbols"))
+    """What must be read again by other means: blank, almost blank, broken or unmapped characters, mostly symbols."""
+    t = F.coalesce("text", F.lit(""))
+    left = lambda outside: F.length(F.regexp_replace(t, outside, "")).cast("bigint")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.length(t).alias("n"), left("[ \\t\\r\\n]+").alias("body"), left(r"[^\p{L}\p{N}]+").alias("alnum"), left(r"[^#$%&*|~^<>{}\[\]\\+=_]+").alias("n_symbols"),
+        left(r"[^\x00-\x08\x0B\x0C\x0E-\x1F]+").alias("n_c0"), left(r"[^\x{E000}-\x{F8FF}\x{FFFD}]+").alias("n_unmapped"),
+    )
+    n = F.greatest("n", F.lit(1))
+    broken = (F.col("n_c0") >= 5) | (F.col("n_c0") > 0.01 * n)
+    unmapped = (F.col("n_unmapped") >= 5) | (F.col("n_unmapped") > 0.03 * n)
+    symbols = (F.col("n") >= 40) & (F.col("alnum") / n < 0.35) & (F.col("n_symbols") > 30)
+    state = F.when(F.col("body") == 0, "BLANK").when(F.col("body") < 15, "ALMOST_BLANK").when(broken, "CONTROL_CHARACTERS").when(unmapped, "UNMAPPED_GLYPHS").when(symbols, "SYMBOLS").otherwise("READABLE")
+    action = F.when(state == "BLANK", "SKIP").when(state == "READABLE", "KEEP").when(state == "ALMOST_BLANK", "LOOK").otherwise("READ_AGAIN")
+    return rows.select("doc_id", state.alias("state"), action.alias("action"), "n_symbols")
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +145,9 @@ h AS (SELECT query_id, source, count(DISTINCT tok) AS k FROM documents, t WHERE
 SELECT n.query_id, source, coalesce(k, 0) AS n_covered, round(coalesce(k, 0)::DOUBLE / n, 6) AS coverage FROM n CROSS JOIN (SELECT DISTINCT source FROM documents) d LEFT JOIN h USING (query_id, source)""",
     "page_triage": r"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS alnum, length(regexp_replace(t, '[^#$%&*|~^<>{}\[\]\\+=_]', '', 'g')) AS s, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS body FROM a)
-SELECT doc_id, CASE WHEN body = 0 THEN 'BLANK' WHEN body < 15 THEN 'ALMOST_BLANK' WHEN n >= 40 AND alnum::DOUBLE / n < 0.35 AND s > 30 THEN 'SYMBOLS' ELSE 'READABLE' END AS state, s AS n_symbols FROM m""",
+m AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS alnum, length(regexp_replace(t, '[^#$%&*|~^<>{}\[\]\\+=_]', '', 'g')) AS s, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS body,
+  length(regexp_replace(t, '[^\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS c, length(regexp_replace(t, '[^\x{E000}-\x{F8FF}\x{FFFD}]', '', 'g')) AS u FROM a),
+r AS (SELECT *, CASE WHEN body = 0 THEN 'BLANK' WHEN body < 15 THEN 'ALMOST_BLANK' WHEN c >= 5 OR c > 0.01::DOUBLE * n THEN 'CONTROL_CHARACTERS' WHEN u >= 5 OR u > 0.03::DOUBLE * n THEN 'UNMAPPED_GLYPHS' WHEN n >= 40 AND alnum::DOUBLE / n < 0.35 AND s > 30 THEN 'SYMBOLS' ELSE 'READABLE' END AS state FROM m)
+SELECT doc_id, state, CASE state WHEN 'BLANK' THEN 'SKIP' WHEN 'READABLE' THEN 'KEEP' WHEN 'ALMOST_BLANK' THEN 'LOOK' ELSE 'READ_AGAIN' END AS action, s AS n_symbols FROM r""",
     "sentence_stats": r"SELECT lang, CAST(sum(c) AS BIGINT) AS n_sentences, max(c) AS most, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM (SELECT lang, n_chars, len(regexp_extract_all(coalesce(text, ''), '[.!?](?: |\n|$)')) AS c FROM documents) GROUP BY lang",
 }
