@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from caseloom.functions import fields, passages, text
-from caseloom.operators import catalog, linkage, merge, retrieval, sequence, store, timeline
+from caseloom.operators import catalog, layout, linkage, merge, retrieval, sequence, store, timeline
 from caseloom.plans import calendar, contracts, deadlines, evidence
 from caseloom.streaming import events
 
-MODULES = [retrieval, sequence, merge, linkage, timeline, store, catalog, calendar, deadlines, evidence, contracts, text, fields, passages, events]
+MODULES = [retrieval, sequence, merge, linkage, timeline, store, layout, catalog, calendar, deadlines, evidence, contracts, text, fields, passages, events]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
