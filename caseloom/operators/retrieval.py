@@ -250,8 +250,8 @@ def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
     return nearest(*_vectors(spark, sf_dir), 20, itself=False).withColumn("best", best).filter("score >= greatest(0.30, 0.82 * best)").select("query_id", "vec_id", "label", "score")
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over whole words. Of each text only the questions' words go on, counted; the corpus statistics are one
+def bm25_heads(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The ``k`` best documents of each question by BM25 over whole words. Of each text only the questions' words go on, counted; the corpus statistics are one
     aggregate of the same pass."""
     asked = _query(spark, sf_dir).select("query_id", F.explode("tokens").alias("term"))
     terms = F.broadcast(asked.agg(F.collect_set("term").alias("terms")))
@@ -265,7 +265,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
     scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
-    return best_of(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20)
+    return best_of(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_heads(spark, sf_dir, 20)
 
 
 def compose_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +299,13 @@ c AS (SELECT query_id, doc_id, tok, (length(low) - length(replace(low, tok, ''))
 w AS (SELECT query_id, doc_id, CASE WHEN contains(lower(text), lower(query)) THEN 10.0::DOUBLE ELSE 0.0 END AS whole FROM documents, q WHERE text IS NOT NULL),
 l AS (SELECT query_id, doc_id, round(max(whole) + coalesce(sum(CASE WHEN n > 0 THEN 1.0::DOUBLE + 0.2::DOUBLE * least(n, 5.0) ELSE 0 END), 0), 6) AS lexical
       FROM w LEFT JOIN c USING (query_id, doc_id) GROUP BY query_id, doc_id)"""
+SQL_BM25 = f"""{SQL_TOKENS},
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{SQL_WORD}{{2,}}') AS w FROM documents),
+s AS (SELECT count(*) AS n_all, avg(len(w)) AS mean FROM d),
+f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT tok FROM t) GROUP BY ALL),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 4) AS score
+  FROM f JOIN g USING (term) JOIN t ON tok = term, s GROUP BY query_id, doc_id)"""
 _VEC = """v AS (SELECT p.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
   FROM embeddings e, embeddings p WHERE p.vec_id % 100 = 0)"""
 ORACLE = {
@@ -310,13 +321,7 @@ SELECT h.*, CASE WHEN length(trim(text, ' ')) > 400 THEN left(trim(text, ' '), 4
     "relative_threshold_neighbours": f"""WITH {_VEC}, w AS (SELECT * FROM v WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20),
 b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM w)
 SELECT query_id, vec_id, label, score FROM b WHERE score >= greatest(0.30::DOUBLE, 0.82::DOUBLE * best)""",
-    "bm25_topk": f"""WITH {SQL_TOKENS},
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '{SQL_WORD}{{2,}}') AS w FROM documents),
-s AS (SELECT count(*) AS n_all, avg(len(w)) AS mean FROM d),
-f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT tok FROM t) GROUP BY ALL),
-g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
-r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 4) AS score
-  FROM f JOIN g USING (term) JOIN t ON tok = term, s GROUP BY query_id, doc_id)
+    "bm25_topk": f"""WITH {SQL_BM25}
 SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""",
     "compose_diversified": """WITH a AS (SELECT doc_id, source, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY n_chars DESC, doc_id)) AS vote FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 50
   UNION ALL SELECT doc_id, source, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY n_chars, doc_id)) FROM documents QUALIFY row_number() OVER (ORDER BY n_chars, doc_id) <= 50),
