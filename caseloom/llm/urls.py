@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import table
+from caseloom.llm.common import hot_keys, joined_hot, table, written
 
 #: (host, path, verdict): a rule holds for the host and its subdomains and for paths that start with its own.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -58,9 +58,11 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """
     number = F.regexp_extract("path", r"/([0-9]{1,18})[^0-9/]*/?$", 1)
     ids = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    known = pages.withColumn("_number", F.when(number != "", number.cast("bigint"))).join(ids, F.col("_number") == F.col("doc_id"), "left")
-    good, bad = F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1)
-    return known.groupBy("host", _segments(F.col("path")).alias("segments")).agg(F.count("*").alias("n"), good.alias("n_good"), bad.alias("n_bad"))
+    # pages of one template and number are one row before they meet the labels
+    own = pages.select("host", _segments(F.col("path")).alias("segments"), F.when(number != "", number.cast("bigint")).alias("number")).groupBy("host", "segments", "number").agg(F.count("*").alias("n"))
+    known = own.join(ids, F.col("number") == F.col("doc_id"), "left")
+    of = lambda bad: F.sum(F.when(F.col("bad") == bad, F.col("n")).otherwise(0))
+    return known.groupBy("host", "segments").agg(F.sum("n").alias("n"), of(0).alias("n_good"), of(1).alias("n_bad"))
 
 
 def _variable_levels(seen: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def _nodes(t: Column) -> Column:
 def template_tree(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``host, node, purity`` of the nodes that stand out among their siblings (and of every host's root,
     whose node is 0), and ``host, levels`` of the variable levels."""
-    seen = templates(pages, labels)
+    seen = written(templates(pages, labels), "templates")
     levels = _variable_levels(seen)
     found = seen.join(levels, "host", "left").select("host", _nodes(_generalised(F.col("segments"), F.col("levels"))).alias("way"), "n_good", "n_bad")
     nodes = found.select("host", "n_good", "n_bad", "way", F.posexplode("way").alias("depth", "node"))
@@ -117,12 +119,14 @@ def filtered(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", host.alias("host"), path.alias("path"))
     nodes, levels = template_tree(own, labels)
-    routes = own.groupBy("host", _segments(F.col("path")).alias("segments")).agg(F.count("*").alias("n"))  # a template once, however many pages
-    routes = routes.join(levels, "host", "left").select("host", "segments", _generalised(F.col("segments"), F.col("levels")).alias("t"))
-    ways = routes.select("host", "segments", "t", F.posexplode(_nodes(F.col("t"))).alias("depth", "node"))
-    best = ways.join(nodes, ["host", "node"]).groupBy("host", "segments").agg(F.max(F.struct("depth", "purity", F.array_join("t", "/").alias("template"))).alias("j"))
+    keyed = own.withColumn("k", F.struct("host", _segments(F.col("path")).alias("segments")))
+    routes = written(keyed.groupBy("k").agg(F.count("*").alias("n")), "routes")  # a template once, however many pages
+    ways = routes.select("k", F.col("k.host").alias("host")).join(levels, "host", "left").select("k", "host", _generalised(F.col("k.segments"), F.col("levels")).alias("t"))
+    ways = ways.select("k", "host", "t", F.posexplode(_nodes(F.col("t"))).alias("depth", "node"))
+    best = ways.join(nodes, ["host", "node"]).groupBy("k").agg(F.max(F.struct("depth", "purity", F.array_join("t", "/").alias("template"))).alias("j"))
+    best = written(best, "judgements")  # every template has one, that of its host's root at least
+    judged = joined_hot(keyed, best, "k", written(hot_keys(routes, "k", "n"), "hot"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = own.withColumn("segments", _segments(F.col("path"))).join(best, ["host", "segments"], "left")
     pure = F.when(F.coalesce(F.col("j.purity"), F.lit(1.0)) < MIN_PURITY, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, pure).alias("verdict"), F.col("j.template").alias("template"), F.col("j.purity").alias("purity"))
 

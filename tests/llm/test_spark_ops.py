@@ -244,6 +244,38 @@ def test_no_page_of_an_archive_is_lost(spark, tmp_path, monkeypatch):
     assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == sorted((i, len(h)) for i, _, h in rows)
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from caseloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(90)], "k int, i int")
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k int, v string")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    hot = common.hot_keys(counts, "k", "n")
+    assert [r["k"] for r in hot.collect()] == [1]
+    want = {(r["k"], r["i"], r["v"]) for r in rows.join(few, "k").collect()}
+    for some in (hot, hot.limit(0), counts.select("k")):
+        got = common.joined_hot(rows, few, "k", some)
+        assert got.count() == len(want) and {(r["k"], r["i"], r["v"]) for r in got.collect()} == want
+
+
+def test_hot_templates_are_judged_like_others(spark, monkeypatch):
+    from caseloom.llm import common
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 5 % 2}.com/{'bad' if i % 2 else 'good'}/{'/'.join('ab'[: i % 3])}/{i}", "h", "p", "k", "b", "h") for i in range(300)], PAGES)
+    marks = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    plain = {tuple(r) for r in urls.filtered(pages, marks).collect()}
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert {tuple(r) for r in urls.filtered(pages, marks).collect()} == plain and len(plain) == 300
+
+
+def test_long_paths(spark):
+    path = "/".join("abc"[i % 3] for i in range(3000))
+    pages = spark.createDataFrame([(1, f"http://long.org/{path}", "h", "p", "k", "b", "h"), (2, "http://long.org/a", "h", "p", "k", "b", "h")], PAGES)
+    assert urls.filtered(pages, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).filter("verdict = 'allow'").count() == 2
+
+
 def test_url_rows(spark):
     cases = [(None, "", "", None), ("no scheme", "", "", None), ("http://Example.NET?x", "example.net", "", None), ("http://a.net/b#c", "a.net", "/b", "net/"), ("x://www.example.net/en/1?q", "www.example.net", "/en/1", "example.net/en/"), ("http://myexample.com/de/", "myexample.com", "/de/", None), ("http://example.com/de/", "example.com", "/de/", "example.com/de/"), ("http://a.org/fr/", "a.org", "/fr/", "org/fr/")]
     pages = spark.createDataFrame([(i, c[0], "h", "p", "k", "b", "h") for i, c in enumerate(cases)], PAGES)
