@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from caseloom.functions import fields, passages, text
 from caseloom.operators import answers, catalog, layout, linkage, listings, merge, retrieval, sequence, store, timeline
-from caseloom.plans import calendar, contracts, deadlines, evidence
+from caseloom.plans import calendar, contracts, deadlines, evidence, validators
 from caseloom.streaming import events
 
-MODULES = [retrieval, answers, sequence, merge, linkage, timeline, store, layout, listings, catalog, calendar, deadlines, evidence, contracts, text, fields, passages, events]
+MODULES = [retrieval, answers, sequence, merge, linkage, timeline, store, layout, listings, catalog, calendar, deadlines, evidence, validators, contracts, text, fields, passages, events]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
