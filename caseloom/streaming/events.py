@@ -7,8 +7,13 @@ watermark.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseloom.sources.tables import shared_path
 
@@ -60,7 +65,41 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(s.dropDuplicates(["user_id", "event_type", "day"]), "dedup").select("user_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-QUERIES = {f.__name__: f for f in (incremental_hwm, stream_window, stream_session, stream_dedup)}
+def _classified(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """CREATED, CHANGED or UNCHANGED for each row of one kind of event of a user, against the one before it; the last
+    payload is what the state keeps from batch to batch."""
+    last = state.get[0] if state.exists else None
+    # only the rows of one key in one micro-batch; an event's place is its time, then its id
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    before = rows["payload"].shift(1)
+    before.iloc[0] = last
+    change = np.where(before.isna(), "CREATED", np.where(before == rows["payload"], "UNCHANGED", "CHANGED"))
+    state.update((rows["payload"].iloc[-1],))
+    yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "change": change})
+
+
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every event's payload compares with the one before it of its user and kind, kept in the stream's state."""
+    rows = event_stream(spark, sf_dir).select("user_id", "event_type", "event_id", "ts", F.coalesce("props", F.lit("")).alias("payload"))
+    told = rows.groupBy("user_id", "event_type").applyInPandasWithState(_classified, "event_id bigint, change string", "payload string", "append", GroupStateTimeout.NoTimeout)
+    return run_to_end(told, "changes")
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each kind in windows of two days that begin every day."""
+    rows = event_stream(spark, sf_dir).withWatermark("ts", WATERMARK)
+    g = rows.groupBy(F.window("ts", "2 days", "1 day")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"))
+    return run_to_end(g, "sliding", complete=True).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of the stream with their party from a stored table, counted by segment once the stream has ended."""
+    rows = event_stream(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "user_id", "value")
+    party = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return run_to_end(rows.join(party, "user_id", "left"), "enriched").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (incremental_hwm, stream_window, stream_session, stream_dedup, stream_changes, stream_sliding, stream_enriched)}
 ORACLE = {
     "incremental_hwm": "SELECT event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS high_water FROM events GROUP BY event_type",
     "stream_window": "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
@@ -68,5 +107,10 @@ ORACLE = {
 WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS c FROM events),
 b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a)
 SELECT user_id, count(*) AS n, min(event_id) AS first_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM b GROUP BY user_id, s""",
+    "stream_changes": """
+SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'CREATED' WHEN coalesce(props, '') = lag(coalesce(props, '')) OVER w THEN 'UNCHANGED' ELSE 'CHANGED' END AS change FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""",
+    "stream_sliding": """
+SELECT strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) AS d FROM events) GROUP BY ALL""",
+    "stream_enriched": "SELECT c_mktsegment, count(*) AS n, round(sum(value), 2) AS total FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase' GROUP BY 1",
     "stream_dedup": "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",
 }
