@@ -87,3 +87,28 @@ def pages_of(texts: DataFrame, key: str, text: str) -> DataFrame:
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Write ``df`` so that the partitions it holds are replaced and all others stay: a repeat changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line; columns that are null are written as such, so that a reader finds every field."""
+    df.write.option("ignoreNullFields", "false").json(path)
+
+
+def store_objects(objects: DataFrame, path: str, content: str = "content") -> DataFrame:
+    """Add contents to a store where each is known by its SHA-256 and is never written twice or replaced.
+
+    ``sha, content`` in Parquet under ``path``, a folder for each first two digits. Contents that the store has, and
+    repeats among the new ones, are passed over; null is none. What was added is read back, and an error is raised if a
+    name does not fit its content. Returns ``sha, n_bytes`` of the contents given, each once.
+    """
+    spark = objects.sparkSession
+    own = objects.filter(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("sha"), F.col(content).cast("binary").alias("content"))
+    new = own.dropDuplicates(["sha"])
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        new = new.join(spark.read.parquet(path).select("sha"), "sha", "left_anti")
+    new.withColumn("head", F.left("sha", F.lit(2))).write.mode("append").partitionBy("head").parquet(path)
+    held = spark.read.parquet(path).join(own.select("sha").distinct(), "sha", "left_semi")
+    if not held.filter(F.sha2("content", 256) != F.col("sha")).isEmpty():
+        raise ValueError(f"a content in {path} does not fit its name")
+    return held.select("sha", F.octet_length("content").cast("bigint").alias("n_bytes"))

@@ -2,7 +2,7 @@
 
 import zipfile
 
-from caseloom.sources.readers import bundle_members, json_lines, pages_of, replace_partitions
+from caseloom.sources.readers import bundle_members, json_lines, pages_of, replace_partitions, store_objects, write_json_lines
 
 
 def test_json_lines_keep_what_does_not_fit(spark, tmp_path):
@@ -48,3 +48,17 @@ def test_pages_and_sink(spark, tmp_path):
     replace_partitions(pages, path, "k")
     replace_partitions(pages.filter("k = 3"), path, "k")
     assert spark.read.parquet(path).count() == 4
+
+
+def test_objects_are_stored_once(spark, tmp_path):
+    import hashlib
+
+    path = str(tmp_path / "objects")
+    first = spark.createDataFrame([(b"a",), (b"b",), (b"a",), (None,), (b"",)], "content binary")
+    assert {(r["sha"], r["n_bytes"]) for r in store_objects(first, path).collect()} == {(hashlib.sha256(x).hexdigest(), len(x)) for x in (b"a", b"b", b"")}
+    store_objects(spark.createDataFrame([(b"b",), (b"c",)], "content binary"), path)
+    assert sorted(bytes(r["content"]) for r in spark.read.parquet(path).collect()) == [b"", b"a", b"b", b"c"]
+    store_objects(first, path)
+    assert spark.read.parquet(path).count() == 4
+    write_json_lines(spark.createDataFrame([(1, None)], "id int, t string"), str(tmp_path / "lines"))
+    assert json_lines(spark, str(tmp_path / "lines"), "id int, t string").first()["_corrupt"] is None
