@@ -1,9 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame functions only.
 
 1. The index has a posting for every word of every training text: term, document, position. It is written
-   once to the shared folder, each task sorting its own part by term, so that a part is a segment of the index
-   with its own posting lists, as in any distributed index. It does not depend on the benchmark; any number of
-   benchmarks can be held against it without going back to the texts.
+   once to the shared folder, where each part is a segment of the index with the postings of its own documents in
+   their order; a term's list is what the parts hold under its hash. It does not depend on the benchmark; any number
+   of benchmarks can be held against it without going back to the texts.
 2. The benchmark's phrases (windows of consecutive words) name the terms to look up. Their counts come from the
    index; a phrase with a term that the corpus lacks cannot occur. A phrase's terms are ranked by their counts.
 3. Lists are intersected from the rarest term on. The postings of a phrase's rarest term are its candidates; those
@@ -54,7 +54,7 @@ def positional_index(docs: DataFrame) -> DataFrame:
     """``term, doc_id, text_key, pos``: a posting for every word of every text; ``pos`` counts words from 0."""
     own = docs.select("doc_id", text_key().alias("text_key"), words(F.col("text")).alias("w"))  # hashed before the words are exploded
     own = own.select("doc_id", "text_key", F.posexplode("w").alias("pos", "word"))
-    return own.select(term_key(F.col("word")).alias("term"), "doc_id", "text_key", "pos").sortWithinPartitions("term")
+    return own.select(term_key(F.col("word")).alias("term"), "doc_id", "text_key", "pos")
 
 
 def ranked_terms(phrase_terms: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:

@@ -30,7 +30,7 @@ TRAIN_BYTES = 1_000_000
 #: Code lengths are whole numbers of 1/256 bit.
 UNIT = 256
 #: Texts are worked on together up to so many bytes.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
@@ -40,7 +40,7 @@ class Grams:
     """Exact hash table from byte strings of one length (as numbers) to rows of code lengths."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.rows = np.zeros((1 << self.bits, rows.shape[1]), np.int32)
         at, left = self.home(keys), np.arange(len(keys))

@@ -153,6 +153,10 @@ def test_token_and_identifier_rows(spark):
     public = pytest.importorskip("public_tokenizers")
     got = {r["doc_id"]: r for r in tokens.token_counts(docs_of(spark, ODD), public.path("byte_bpe_50k.json")).collect()}
     assert (got[0]["n_bytes"], got[0]["n_tokens"], got[0]["over_limit"]) == (0, 0, False) and got[5]["over_limit"] and got[4]["n_bytes"] == 200
+    whole = __import__("tokenizers").Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    long = ["Long   text's words, " * 20000 + "é\n" * 5000, " ", "<|endoftext|> a" * 3]
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs_of(spark, long), public.path("byte_bpe_50k.json")).collect()}
+    assert counts == {i: len(whole.encode(t, add_special_tokens=False)) for i, t in enumerate(long)}
     assert tokens.token_counts(docs_of(spark, []), public.path("byte_bpe_50k.json")).count() == 0
     assert pii.personal_data(docs_of(spark, ODD)).filter("spans = '' and n_email + n_ip + n_card + n_phone = 0").count() == len(ODD)
     out = pii.redacted(docs_of(spark, ["to a@b.cd", None]))
