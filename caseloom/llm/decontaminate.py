@@ -59,11 +59,12 @@ def positional_index(docs: DataFrame) -> DataFrame:
 
 def ranked_terms(phrase_terms: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
     """``no, phrase, length, n_terms, ranked`` of the phrases whose terms all have postings: their different terms
-    from the rarest to the most frequent in the whole index, as structs of count, term and offsets in the phrase."""
-    spread = phrase_terms.select("phrase", F.posexplode("terms").alias("offset", "word")).groupBy("phrase", term_key(F.col("word")).alias("term")).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    from the rarest to the most frequent in the whole index, as structs of count, word, term and offsets in the phrase;
+    of words with one count the first in the alphabet comes first."""
+    spread = phrase_terms.select("phrase", F.posexplode("terms").alias("offset", "word")).groupBy("phrase", "word").agg(F.array_sort(F.collect_set("offset")).alias("offsets")).withColumn("term", term_key(F.col("word")))
     wanted = spread.select("term").distinct()
     counts = index.join(_small(wanted, n_bytes), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    own = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offsets")))
+    own = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "term", "offsets")))
     ranked = spread.join(counts, "term", "left").groupBy("phrase").agg(own.alias("ranked")).filter(F.col("ranked")[0]["n"] > 0)
     length = F.aggregate("ranked", F.lit(0), lambda n, r: n + F.size(r["offsets"]))
     return ranked.select(F.monotonically_increasing_id().alias("no"), "phrase", length.alias("length"), F.size("ranked").alias("n_terms"), "ranked")
@@ -197,9 +198,15 @@ g AS (
   FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
 h AS (SELECT g.r, g.i, g.n, p.item_id FROM g JOIN p USING (n, phrase)),
 c AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM h) GROUP BY r),
+dp AS (SELECT r, w[i] AS term, i AS pos FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+ct AS (SELECT term, count(*) AS n FROM dp GROUP BY term),
+rk AS (SELECT phrase, term, n, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(n, 0), term) AS k, count(*) OVER (PARTITION BY phrase) AS m FROM (SELECT DISTINCT phrase, unnest(string_split(phrase, ' ')) AS term FROM p) LEFT JOIN ct USING (term)),
+ca AS (SELECT dp.r, dp.pos AS at, phrase, m FROM dp JOIN rk ON dp.term = rk.term AND k = 1 AND n IS NOT NULL),
+nr AS (SELECT ca.r, ca.phrase FROM ca JOIN rk ON ca.phrase = rk.phrase JOIN dp ON dp.r = ca.r AND dp.term = rk.term AND abs(dp.pos - ca.at) <= 13 GROUP BY ca.r, ca.phrase, ca.at, ca.m HAVING count(DISTINCT dp.term) = ca.m),
+ni AS (SELECT r, count(DISTINCT item_id) AS n_near FROM nr JOIN p USING (phrase) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(n_near, 0) AS n_near,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN ni USING (r)""",
 }
