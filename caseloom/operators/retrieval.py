@@ -27,8 +27,10 @@ def query_tokens(text: Column) -> Column:
 
 
 def occurrences(text: Column, token: Column) -> Column:
-    """How often ``token`` stands in ``text``, inside words too."""
-    return (F.length(text) - F.length(F.replace(text, token, F.lit("")))) / F.length(token)
+    """How often ``token`` stands in ``text``, inside words too; bytes tell, and only a text that has it is taken apart."""
+    size = F.octet_length
+    n = (size(text) - size(F.replace(text, token, F.lit("")))) / size(token)
+    return F.when(F.contains(text, token), n).otherwise(0.0)
 
 
 def lexical_score(text: Column, query: Column, tokens: Column) -> Column:
