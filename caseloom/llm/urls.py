@@ -10,10 +10,10 @@ purity, smoothed towards the host's and that towards the whole table's, is under
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import hot_keys, joined_hot, table, written
+from caseloom.llm.common import dropped, hot_keys, joined_hot, table, written
 
 #: (host, path, verdict): a rule holds for the host and its subdomains and for paths that start with its own.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -50,8 +50,13 @@ def _segments(path: Column) -> Column:
     return F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.regexp_replace(s, "[0-9]+", "*"))
 
 
+def _number():
+    """64 bits of hash of a template as it stands in the pages: all that later stages carry of it."""
+    return F.xxhash64("host", "segments")
+
+
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``host, segments, n_good, n_bad``: labelled pages of each template before variable levels are known.
+    """``t, host, segments, n, n_good, n_bad``: pages and labelled pages of each template before variable levels are known.
 
     The label is that of the document whose number ends the path; a document is bad if any of its labels
     says so.
@@ -62,36 +67,38 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     own = pages.select("host", _segments(F.col("path")).alias("segments"), F.when(number != "", number.cast("bigint")).alias("number")).groupBy("host", "segments", "number").agg(F.count("*").alias("n"))
     known = own.join(ids, F.col("number") == F.col("doc_id"), "left")
     of = lambda bad: F.sum(F.when(F.col("bad") == bad, F.col("n")).otherwise(0))
-    return known.groupBy("host", "segments").agg(F.sum("n").alias("n"), of(0).alias("n_good"), of(1).alias("n_bad"))
+    counted = known.groupBy("host", "segments").agg(F.sum("n").alias("n"), of(0).alias("n_good"), of(1).alias("n_bad"))
+    return counted.select(_number().alias("t"), "*")
 
 
 def _variable_levels(seen: DataFrame) -> DataFrame:
-    """``host, levels``: numbers of the levels at which the host's paths vary."""
+    """``host, level``: the levels at which a host's paths vary."""
     values = seen.select("host", "n", F.posexplode("segments").alias("level", "segment")).groupBy("host", "level", "segment").agg(F.sum("n").alias("n"))
     levels = values.groupBy("host", "level").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
-    varied = levels.filter((F.col("values") >= MANY_VALUES) & (F.col("n") < PAGES_PER_VALUE * F.col("values")))
-    return varied.groupBy("host").agg(F.collect_set("level").alias("levels"))
-
+    return levels.filter((F.col("values") >= MANY_VALUES) & (F.col("n") < PAGES_PER_VALUE * F.col("values"))).select("host", "level")
 
-def _generalised(segments: Column, levels: Column) -> Column:
-    return F.when(levels.isNull(), segments).otherwise(F.transform(segments, lambda s, i: F.when(F.array_contains(levels, i), "*").otherwise(s)))
 
+def ways(seen: DataFrame) -> DataFrame:
+    """``t, host, depth, segment, node, parent, n_good, n_bad``: the nodes on every template's way, root (node 0) first.
 
-def _nodes(t: Column) -> Column:
-    """The nodes on a template's way, root first, as hashes of the segments up to each: one number for each."""
-    seed = F.array(F.lit(0).cast("bigint"))
-    return F.aggregate(t, seed, lambda way, segment: F.array_append(way, F.xxhash64(F.element_at(way, -1), segment)))
-
-
-def template_tree(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``host, node, purity`` of the nodes that stand out among their siblings (and of every host's root,
-    whose node is 0), and ``host, levels`` of the variable levels."""
-    seen = written(templates(pages, labels), "templates")
-    levels = _variable_levels(seen)
-    found = seen.join(levels, "host", "left").select("host", _nodes(_generalised(F.col("segments"), F.col("levels"))).alias("way"), "n_good", "n_bad")
-    nodes = found.select("host", "n_good", "n_bad", "way", F.posexplode("way").alias("depth", "node"))
-    nodes = nodes.select("host", "depth", "node", F.when(F.col("depth") > 0, F.get("way", F.col("depth") - 1)).alias("parent"), "n_good", "n_bad")
-    nodes = nodes.groupBy("host", "depth", "node", "parent").agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"))
+    A row is a number, a place and one segment, so a way costs what its length is. A node is the exclusive or of the
+    hashes of the places and segments up to it; a running one, as is its parent, which lacks the last of them.
+    """
+    counts = ["t", "host", "n_good", "n_bad"]
+    steps = seen.select(*counts, F.posexplode("segments").alias("level", "segment"))
+    varied = _variable_levels(seen).withColumn("varied", F.lit(True))
+    steps = steps.join(varied, ["host", "level"], "left").withColumn("segment", F.when(F.col("varied"), "*").otherwise(F.col("segment")))
+    steps = steps.withColumn("h", F.xxhash64("level", "segment"))
+    running = F.bit_xor("h").over(Window.partitionBy("t", "host").orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.select(*counts, (F.col("level") + 1).alias("depth"), "segment", running.alias("node"), "h")
+    steps = steps.withColumn("parent", F.col("node").bitwiseXOR(F.col("h"))).drop("h")
+    roots = seen.select(*counts, F.lit(0).alias("depth"), F.lit("").alias("segment"), F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("parent"))
+    return roots.unionByName(steps)
+
+
+def template_tree(way: DataFrame) -> DataFrame:
+    """``host, node, purity`` of the nodes that stand out among their siblings, and of every host's root."""
+    nodes = way.groupBy("host", "depth", "node", "parent").agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"))
     depth = F.col("depth")
     level = nodes.filter(depth > 0).groupBy("host", "parent").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     roots = nodes.filter(depth == 0).select("host", F.col("good").alias("host_good"), F.col("bad").alias("host_bad"))
@@ -106,29 +113,31 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     stands_out = (n > 0) & (rest > 0) & (gap * gap > Z * Z * share * (1 - share) * (1 / n + 1 / rest))
     judged = nodes.join(level, ["host", "parent"], "left").join(roots, "host")
     purity = F.when(depth == 0, F.col("host_purity")).otherwise((F.col("good") + SMOOTHING * F.col("host_purity")) / (n + SMOOTHING))
-    return judged.filter((depth == 0) | F.coalesce(stands_out, F.lit(False))).select("host", "node", purity.alias("purity")), levels
+    return judged.filter((depth == 0) | F.coalesce(stands_out, F.lit(False))).select("host", "node", purity.alias("purity"))
 
 
 def filtered(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, purity`` for every row of ``pages``.
 
     A rule's verdict comes first; else a page is blocked if the node that judges it is not pure enough. A
-    url that is null or has no ``://`` is judged as a page of the host without a name. Repeated rows give
-    repeated rows; other columns are ignored; without labels every template is pure.
+    url that is null or has no ``://`` is judged as a page of the host without a name; one of any length costs what
+    its length is. Repeated rows give repeated rows; other columns are ignored; without labels every template is pure.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", host.alias("host"), path.alias("path"))
-    nodes, levels = template_tree(own, labels)
-    keyed = own.withColumn("k", F.struct("host", _segments(F.col("path")).alias("segments")))
-    routes = written(keyed.groupBy("k").agg(F.count("*").alias("n")), "routes")  # a template once, however many pages
-    ways = routes.select("k", F.col("k.host").alias("host")).join(levels, "host", "left").select("k", "host", _generalised(F.col("k.segments"), F.col("levels")).alias("t"))
-    ways = ways.select("k", "host", "t", F.posexplode(_nodes(F.col("t"))).alias("depth", "node"))
-    best = ways.join(nodes, ["host", "node"]).groupBy("k").agg(F.max(F.struct("depth", "purity", F.array_join("t", "/").alias("template"))).alias("j"))
-    best = written(best, "judgements")  # every template has one, that of its host's root at least
-    judged = joined_hot(keyed, best, "k", written(hot_keys(routes, "k", "n"), "hot"))
+    seen = written(templates(own, labels), "templates")  # a template once, however many pages
+    way = written(ways(seen), "ways")
+    deepest = way.join(template_tree(way), ["host", "node"]).groupBy("t").agg(F.max(F.struct("depth", "purity")).alias("j"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("depth") > 0, F.struct("depth", "segment"))))
+    named = way.groupBy("t").agg(F.array_join(F.transform(parts, lambda x: x["segment"]), "/").alias("template"))
+    best = written(deepest.join(named, "t"), "judgements")  # every template has one, that of its host's root at least
+    hot = written(hot_keys(seen, "t", "n"), "hot")
+    dropped(seen, way)
+    keyed = own.withColumn("t", F.xxhash64("host", _segments(F.col("path"))))
+    judged = joined_hot(keyed, best, "t", hot)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     pure = F.when(F.coalesce(F.col("j.purity"), F.lit(1.0)) < MIN_PURITY, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, pure).alias("verdict"), F.col("j.template").alias("template"), F.col("j.purity").alias("purity"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, pure).alias("verdict"), "template", F.col("j.purity").alias("purity"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
