@@ -31,13 +31,11 @@ from caseloom.llm.tokens import slices
 TRAIN_PAGES = 1000
 #: A block's text that stands on so many of them recurs and is no content.
 RECURS = 3
-#: Tags with quotes around a ">" are read so far; longer ones end at the first ">".
-TAG_CHARS = 10_000
 SLICE_CHARS = 4_000_000
 
 # HTML elements by their kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video select button textarea title".split())
+_SILENT = frozenset("head script style noscript template iframe object canvas audio video select button textarea title".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
@@ -52,8 +50,8 @@ _AWAY = frozenset(
 _MAIN = frozenset("article content main post entry story body text page maincontent articlebody".split())
 _AWAY_TAGS = frozenset("nav header footer aside form menu dialog fieldset search".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -103,6 +101,26 @@ def role_of(tag: str, attributes: str, masked: bool = False) -> str:
     return "cell" if tag in ("td", "th", "tr", "table", "tbody", "thead", "tfoot") else "box"
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose name ends at ``at`` has its ">", which stands outside quotes if the quotes close, else the
+    first one; -1 if there is none.
+
+    ``dead`` holds the quotes of this page that were opened outside others on a way that found no end. A way that comes
+    to one of them finds none either, so a page is read a few times at the most, however its quotes are set.
+    """
+    opened, i = [], at
+    while m := _STOP.search(page, i):
+        if m[0] == ">":
+            return m.start()
+        opened.append(m.start())
+        i = -1 if m.start() in dead else page.find(m[0], m.end())
+        if i < 0:
+            break
+        i += 1
+    dead.update(opened)
+    return page.find(">", at)
+
+
 class Tree:
     """The block elements of a page in document order, parents before children, and its runs of text."""
 
@@ -114,6 +132,7 @@ class Tree:
         named: Counter = Counter()  # open elements by tag
         node, links, at, end = 0, 0, 0, len(page)
         last = page.rfind(">")
+        dead: set[int] = set()  # see tag_end
         endless: set[str] = set()  # elements whose end is not on the rest of the page
         while at < end:
             i = page.find("<", at)
@@ -127,7 +146,7 @@ class Tree:
                 j = page.find("-->", i + 2)  # "<!-->" and "<!--->" are comments without content
                 at = end if j < 0 else j + 3
                 continue
-            m = None if i > last else _TAG.match(page, i, i + TAG_CHARS) or _PLAIN_TAG.match(page, i)
+            m = None if i > last else _TAG.match(page, i)
             if m is None:
                 if i + 1 < end and page[i + 1] in "!?/":
                     j = page.find(">", i)
@@ -136,7 +155,8 @@ class Tree:
                     self._text(node, "<", links)
                     at = i + 1
                 continue
-            at, tag = m.end(), m[2].lower()
+            stop, tag = tag_end(page, m.end(), dead), m[2].lower()
+            at, attributes = stop + 1, page[m.end() : stop]
             if m[1]:
                 if named[tag]:
                     self._cut(open_, named, next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag))
@@ -145,7 +165,7 @@ class Tree:
                         self.runs.append((node, ""))
                 continue
             if tag in _SILENT:
-                if tag in _RAW or tag == "head" or not m[3].endswith("/"):
+                if tag in _RAW or tag == "head" or not attributes.endswith("/"):
                     close = None if tag in endless else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                     if close is not None:
                         at = page.find(">", close.start()) + 1 or end
@@ -173,7 +193,7 @@ class Tree:
                 continue
             node = len(self.tag)
             self.tag.append(tag)
-            self.role.append(role_of(tag, m[3], masked))
+            self.role.append(role_of(tag, attributes, masked))
             self.parent.append(up)
             self.main.append(self.main[up] or tag in ("article", "main"))
             self.chars.append(0)
