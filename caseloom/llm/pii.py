@@ -110,10 +110,16 @@ _HELD_AT = re.compile(rf"[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]", re.I)
 _HELD_DOT = re.compile(rf"[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]", re.I)
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_DOT})\s+(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}\b)", re.I)
-#: What a text must hold before the transducers are worth running: held words, a bare dot, digit words in a row.
+#: An at sign between blanks, before a domain of labels that dots join, all of them tight or all of them loose.
+_LABEL = "[A-Za-z0-9-]+"
+_LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])\s+@\s+(?=[A-Za-z0-9])")
+_LOOSE_DOMAIN = re.compile(rf"@{_LABEL}(?:\s+\.\s+[a-z0-9-]+)+")
+_BLANKS = re.compile(r"\s+")
 _HELD = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", re.I)
 _DOT_WORDS = frozenset(_DOT.split("|"))
-_CUES = _DOT_WORDS | _DIGIT_WORDS.keys()
+_TOKEN = re.compile(r"\w+")
+#: Characters that a pattern without regard to case takes for an ASCII letter though they are none.
+_FOLDED = re.compile("[ſKİı]")
 _NAME = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _TLD = re.compile(r"\.[A-Za-z]{2,}$")
 
@@ -169,34 +175,53 @@ class Rewritten:
 
 
 def _digits(m: re.Match) -> str | None:
+    """The digits of a run of words; a pattern without regard to case also takes long s, dotted and dotless i and the
+    Kelvin sign for letters."""
     parts = _SPELLED_PART.findall(m[0])
-    if sum(p.lower() in _DIGIT_WORDS for p in parts) < 3:
+    words = [unicodedata.normalize("NFKC", p).lower().replace("\u0307", "").replace("ı", "i") for p in parts]
+    if sum(w in _DIGIT_WORDS for w in words) < 3:
         return None
-    return "".join(p if p[0].isdigit() else str(_DIGIT_WORDS[p.lower()]) for p in parts)
+    return "".join(str(_DIGIT_WORDS.get(w, w)) for w in words)
 
 
 def hinted(text: str) -> bool:
-    words = text.lower().replace(",", " ").replace("-", " ").split()
-    cues = [i for i, w in enumerate(words) if w in _CUES]
-    for i, j in zip(cues, cues[1:]):
-        if j == i + 1 or all(w.isdigit() for w in words[i + 1 : j]):
+    """False only if no transducer can change ``text``: each of their patterns holds one of these cues. Digit words are
+    whole tokens, as blanks, commas, hyphens or the ends of words are around them."""
+    if not text.isascii() and (_ODD.search(text) or _FOLDED.search(text)):
+        return True
+    if _HELD.search(text) or ("@" in text and _LOOSE_AT.search(text)):
+        return True
+    low = text.lower()
+    if "plus" in low and _PLUS.search(text):
+        return True
+    run = 0
+    for w in _TOKEN.findall(low):
+        if w in _DIGIT_WORDS:
+            run += 1
+            if run == 3:
+                return True
+        elif w in _DOT_WORDS:
             return True
-    return any(words[i] in _DOT_WORDS for i in cues) or _HELD.search(text) is not None
+        elif not w.isdigit():
+            run = 0
+    return False
 
 
-def disguised_spans(text: str) -> list[tuple[int, int, int]]:
-    """``(start, number of kind, end)`` in ``text`` of identifiers that show only after rewriting."""
-    odd = not text.isascii() and _ODD.search(text) is not None
-    if not odd and not hinted(text):
+def disguised_spans(text: str, filtered: bool = True) -> list[tuple[int, int, int]]:
+    """``(start, number of kind, end)`` in ``text`` of identifiers that show only after rewriting. With ``filtered`` off,
+    texts without cues are rewritten too; they give nothing."""
+    if filtered and not hinted(text):
         return []
     t = Rewritten(text)
-    if odd:
+    if not text.isascii():
         t.step(_ODD, lambda m: _look(m[0]))
     t.step(_SPELLED, _digits)
     t.step(_PLUS, lambda m: "+")
     t.step(_HELD_AT, lambda m: "@", blanks=True)
     t.step(_HELD_DOT, lambda m: ".", blanks=True)
     t.step(_BARE_DOT, lambda m: ".")
+    t.step(_LOOSE_AT, lambda m: "@")
+    t.step(_LOOSE_DOMAIN, lambda m: _BLANKS.sub("", m[0]))
 
     def bare(m: re.Match) -> str | None:  # only before a domain whose dots are all disguised
         domain = _NAME.match(t.text, m.end())
