@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import dropped, hot_keys, joined_hot, table, written
+from caseloom.llm.common import dropped, hot_keys, joined_hot, table, text_key, written
 from caseloom.llm.tokens import slices
 
 #: Two sets of similarity 0.85 share none of the band keys with a chance of (1 - 0.85**6)**30, under 1e-6; for
@@ -136,8 +136,8 @@ def node_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, sketch``: set size, hash of the whole set, band keys and one byte
-    of each coordinate for every text."""
+    """``doc_id, text_key, n_shingles, node, bands, sketch``: hash of the text, set size, hash of the whole set, band keys
+    and one byte of each coordinate for every text."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +149,10 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 filled = sketches(sets, bands * rows)
                 keys, low = band_keys(filled, bands, rows), filled.astype(np.uint8)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), pa.array(node, mask=n == 0), keys, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(n), pa.array(node, mask=n == 0), keys, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>, sketch binary")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(signed, f"doc_id {kind}, text_key bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -173,17 +173,17 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` (packed, sorted) of the nodes in ``wanted (doc_id, node)``."""
+    """``node, shingles`` (packed, sorted) of the nodes in ``wanted (doc_id, text_key, node)``: ids alone are not enough,
+    as one may be missing from many rows, or come with many texts."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist(), SLICE_BYTES):
                 sets = shingle_sets(batch.column(1)[i:j].to_pylist(), width)
-                same = pa.array(node_hashes(sets)).equals(batch.column(0)[i:j]) or np.equal(node_hashes(sets), batch.column(0)[i:j].to_numpy())
-                out = pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-                yield out if same is True else out.filter(pa.array(same))  # one id may come with several texts
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    picked = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    own = docs.select("doc_id", "text", text_key().alias("text_key"))
+    picked = own.join(wanted, (own["text_key"] == wanted["text_key"]) & own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
     return picked.mapInArrow(packed, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
@@ -344,7 +344,8 @@ def _links_within(families: DataFrame, nodes: DataFrame, sets: DataFrame, roots:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_key`` for every row of ``docs``; ``text_key`` tells rows apart that
+    have one id, or none, and different texts.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word
     shingles; a component is named after its least doc_id, and the document of that id is kept. A text that
@@ -355,11 +356,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     signed = written(signatures(docs, width, bands, rows), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
-    nodes = written(nodes, "nodes")
+    found = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")  # a row of the node, with an id if any has one
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(found).alias("found"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    nodes = written(nodes.select("node", "found.doc_id", "found.text_key", "copies", "n_shingles", "bands", "sketch"), "nodes")
     pairs = written(_candidates(nodes, percent), "pairs")
     involved = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
-    sets = written(_full_sets(docs, nodes.join(involved, "node", "left_semi").select("doc_id", "node"), width), "sets")
+    sets = written(_full_sets(docs, nodes.join(involved, "node", "left_semi").select("doc_id", "text_key", "node"), width), "sets")
     judged = written(_compared(pairs, sets, percent), "judged")
     links = judged.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = written(components(links), "roots")
@@ -370,22 +372,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = written(named.join(least, "root").select("node", "component_id"), "labels")
-    own = signed.select("doc_id", "n_shingles", "node")
+    own = signed.select("doc_id", "text_key", "n_shingles", "node")
     # texts without words need no label; a text with a large share of all copies gets its label by broadcast
     hot = written(hot_keys(nodes.select("node", "copies"), "node", "copies"), "hot")
-    labelled = joined_hot(own.filter("node is not null"), label, "node", hot).select("doc_id", "n_shingles", "component_id")
-    every = labelled.unionByName(own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    labelled = joined_hot(own.filter("node is not null"), label, "node", hot).select("doc_id", "n_shingles", "component_id", "text_key")
+    every = labelled.unionByName(own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
+    return every.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_key")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps; columns stay as they are, whatever their names.
+    """The rows of ``docs`` that ``near_duplicates`` keeps, told by doc_id and text; columns stay as they are, whatever
+    their names.
 
     Texts that are null or without words are like no other and stay; rows that repeat a kept document stay
-    with it; an empty table gives an empty table.
+    with it; of rows with one doc_id and different texts, or without doc_id, each text has its own answer; an empty
+    table gives an empty table.
     """
-    kept = near_duplicates(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = near_duplicates(docs, width, percent).filter("kept").select("doc_id", "text_key").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_key"]), "left_semi")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
