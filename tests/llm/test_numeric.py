@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -359,3 +360,52 @@ def test_broken_pages_do_not_crash():
         extract.main_text(page, model)
     for page in ("", "<", "<p", "a < b", "<!--", "</p></p>", "<script>x", "<p>&amp &#x41; &nope;", "<div>" * 3000, "<a 'x" * 2000):
         extract.main_text(page, model)
+
+
+def test_long_tags_and_formulas_keep_their_text():
+    from collections import Counter as Bag
+
+    model, words = extract.Model(Bag(), Bag()), "some words of the article " * 8
+    image = f'<img src="data:{"x" * 20_000}" alt="a > b">'
+    page = f"<article><p>{words}{image}given by <math><mi>E</mi><mo>=</mo><mi>m</mi><mi>c2</mi></math> in every frame, <svg><text>as drawn</text></svg>.</p></article>"
+    got = extract.main_text(page, model)
+    assert "b\">" not in got and got.endswith("given by E=mc2 in every frame, as drawn.")
+
+
+def slow_tag_end(page, at):
+    i = at
+    while i < len(page):
+        if page[i] == ">":
+            return i
+        if page[i] in "\"'":
+            i = page.find(page[i], i + 1)
+            if i < 0:
+                break
+        i += 1
+    return page.find(">", at)
+
+
+def test_ends_of_tags():
+    rnd, began = random.Random(3), time.time()
+    for _ in range(3000):
+        page, dead = "".join(rnd.choice("<a>\"' ") for _ in range(rnd.randint(1, 30))), set()
+        for at in range(len(page)):
+            assert extract.tag_end(page, at, dead) == slow_tag_end(page, at), page
+    page = "<p>" + "<a \"b>c\" '>" * 60_000
+    assert extract.Tree(page) and time.time() - began < 60
+
+
+def test_cues_lose_no_find():
+    rnd = random.Random(4)
+    parts = ["plus", "Plus", "one", "two", "FÜNF", "un", "zéro", "7", "49", "170 1234567", "john", "example", "com", "@", ".", "dot", "(at)", "[dot]", "{ . }", "at", "(", ",", "-", "４", "＠", "pluſ", "ſix", "\u212a", "x_one", "one.", "+", "٣", "ät", "арроба"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) + rnd.choice([" ", " ", "  ", "", ",", "-", "\n"]) for _ in range(rnd.randint(1, 14)))
+        got = pii.disguised_spans(text)
+        assert got == pii.disguised_spans(text, filtered=False), text
+        found += len(got)
+    assert found > 50
+    for text, kind in (("call plus 49 170 1234567 today", "phone"), ("mail john @ example . com", "email"), ("john @ example.com", "email")):
+        assert [pii.KINDS[k] for _, k, _ in pii.all_spans(text)[1]] == [kind]
+    for text in ("thanks @john.doe for it", "a@b.com . Thanks to all"):
+        assert pii.disguised_spans(text) == []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -275,9 +276,11 @@ def test_hot_templates_are_judged_like_others(spark, monkeypatch):
 
 
 def test_long_paths(spark):
-    path = "/".join("abc"[i % 3] for i in range(3000))
-    pages = spark.createDataFrame([(1, f"http://long.org/{path}", "h", "p", "k", "b", "h"), (2, "http://long.org/a", "h", "p", "k", "b", "h")], PAGES)
-    assert urls.filtered(pages, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).filter("verdict = 'allow'").count() == 2
+    path = "/".join("abc"[i % 3] for i in range(20_000))
+    rows = [(i, f"http://long.org/{path}/{i}", "h", "p", "k", "b", "h") for i in range(3)] + [(3, f"http://long.org/{path}", "h", "p", "k", "b", "h"), (4, "http://long.org/a", "h", "p", "k", "b", "h"), (5, "http://long.org/" + "/" * 30_000, "h", "p", "k", "b", "h")]
+    got = {r["page_id"]: r for r in urls.filtered(spark.createDataFrame(rows, PAGES), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).collect()}
+    assert len(got) == 6 and {r["verdict"] for r in got.values()} == {"allow"}
+    assert got[3]["template"] == path and got[0]["template"] == got[2]["template"] == path + "/*" and got[5]["template"] == ""
 
 
 def test_url_rows(spark):
@@ -360,4 +363,30 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 14))
+
+
+def test_rows_without_ids_take_no_longer(spark):
+    words = lambda i: " ".join(f"w{i * 37 + k}" for k in range(30))
+    texts = [words(i // 2) + (" more" if i % 2 else "") for i in range(10_000)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string").repartition(4)
+    began = time.time()
+    got = neardup.near_duplicates(docs).agg(F.count("*"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (10_000, 10_000) and time.time() - began < 120
+
+
+def test_one_id_with_many_texts(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a), (5, a + " word"), (5, "quite another text of its own that no one else has here"), (None, a + " word"), (None, "and one more that is like none of the others at all"), (5, None), (5, a + " word")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    answers = {(r["doc_id"], r["text_key"]): r["kept"] for r in neardup.near_duplicates(docs).collect()}
+    want = sorted((r for r in rows if not (r[1] or "").endswith(" word")), key=str)
+    assert sorted((tuple(r) for r in neardup.deduplicated(docs).collect()), key=str) == want
+    assert sum(answers.values()) == len(want) and len(answers) == 6
+
+
+def test_operators_on_empty_documents(spark, sf_dir):
+    none, bench = docs_of(spark, []), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert pii.personal_data(none).count() == 0 and pii.redacted(none).count() == 0
+    assert decontaminate.decontaminated(none, bench).count() == 0
+    assert language.recognised(none).count() == 0
