@@ -75,7 +75,7 @@ def loaded(path_a: str, path_b: str) -> Pair:
 def _lists(ids: list[list[int]]) -> pa.LargeListArray:
     offsets = np.zeros(len(ids) + 1, np.int64)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
-    flat = np.fromiter((t for x in ids for t in x), np.int64, int(offsets[-1]))
+    flat = np.concatenate([np.array(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
     return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
