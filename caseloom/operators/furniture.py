@@ -4,7 +4,8 @@ Two lines are alike if their matching blocks (the longest common block, then wha
 in a hundred of their characters. No two lines are compared before they share a rare pair of letters: if 2 M / (la + lb)
 is to reach the bound, at most U = la + lb - 2 M characters lie between blocks, so there are at most U + 1 blocks and at
 least M - U - 1 common pairs of neighbouring letters. Lines that share so many must share one among the rarest few of
-each (a prefix filter); those pairs are verified exactly.
+each (a prefix filter); those pairs are verified exactly. Where a document has only a few lines in a region, the lines
+meet without that detour.
 
 Families are greedy: a line joins the earliest line before it that heads a family and is like it, else it heads one
 itself. Lines decide in rounds, as soon as what stands before them has.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from caseloom.functions.passages import furniture_signature
 from caseloom.sources.tables import kept, table
 
-#: Least similarity in percent, most pages between two of a run, fewest characters of a line that counts.
-SIMILARITY, PAGE_GAP, LEAST_CHARS = 85, 2, 4
+#: Least similarity in percent, most pages between two of a run, fewest characters of a line that counts, and lines of a
+#: document's region that are few.
+SIMILARITY, PAGE_GAP, LEAST_CHARS, FEW = 85, 2, 4, 16
 KEY = ["doc", "region"]
 
 
@@ -33,6 +35,19 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def pairs_of(line: str) -> Counter:
+    return Counter(map(str.__add__, line, line[1:]))
+
+
+def like(a: str, b: str, percent: int = SIMILARITY) -> bool:
+    """Whether the matching blocks of both lines hold ``percent`` of them; seldom asked where too few pairs are shared."""
+    total = len(a) + len(b)
+    matched = -(-percent * total // 200)
+    if a != b and (pairs_of(a) & pairs_of(b)).total() < 3 * matched - total - 1:
+        return False
+    return ratio(a, b) >= percent / 100
+
+
 def least_shared(length: int, percent: int = SIMILARITY) -> int:
     """Pairs of neighbouring letters that a line of ``length`` shares with any line like it."""
     total = length + -(-percent * length // (200 - percent))  # the shortest line that may be like it
@@ -54,7 +69,9 @@ def rarest(line: str, counts: dict[str, int], percent: int = SIMILARITY) -> list
 
 def alike(norms: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """``doc, region, a, b``: norms of one document and region that are alike, ``a`` the earlier by ``at``."""
-    letters = norms.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))).alias("pair"))
+    crowds = norms.groupBy(*KEY).agg(F.count("*").alias("c"))
+    many = norms.join(crowds.filter(F.col("c") > FEW).select(*KEY), KEY, "left_semi")
+    letters = many.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))).alias("pair"))
     counts = {r["pair"]: r["n"] for r in letters.groupBy("pair").agg(F.count("*").alias("n")).collect()}  # a-z, # and blank: 784 at most
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,15 +79,19 @@ def alike(norms: DataFrame, percent: int = SIMILARITY) -> DataFrame:
             lists = [rarest(x, counts, percent) for x in batch.column("norm").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], [*batch.schema.names, "keys"])
 
+    def met(rows: DataFrame, on: list[str]) -> DataFrame:
+        other = rows.select(*on, F.col("norm").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+        near = 100 * 2 * F.least("n", "n_b") >= percent * (F.col("n") + F.col("n_b"))
+        return rows.join(other, on).filter((F.col("at") < F.col("at_b")) & near).select(*KEY, F.col("norm").alias("a"), "b")
+
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in norms.schema)
-    rows = norms.mapInArrow(keyed, f"{fields}, keys array<string>").select(*KEY, "norm", "at", F.length("norm").alias("n"), F.explode("keys").alias("k"))
-    other = rows.select(*KEY, "k", F.col("norm").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
-    near = 100 * 2 * F.least("n", "n_b") >= percent * (F.col("n") + F.col("n_b"))
-    pairs = rows.join(other, [*KEY, "k"]).filter((F.col("at") < F.col("at_b")) & near).select(*KEY, F.col("norm").alias("a"), "b").distinct()
+    rows = many.mapInArrow(keyed, f"{fields}, keys array<string>").select(*KEY, "norm", "at", F.length("norm").alias("n"), F.explode("keys").alias("k"))
+    few = norms.join(crowds.filter(F.col("c").between(2, FEW)).select(*KEY), KEY, "left_semi").select(*KEY, "norm", "at", F.length("norm").alias("n"))
+    pairs = met(few, KEY).unionByName(met(rows, [*KEY, "k"]).distinct())
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [ratio(a, b) >= percent / 100 for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            keep = [like(a, b, percent) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(verified, pairs.schema)
