@@ -5,9 +5,9 @@ from __future__ import annotations
 from caseloom.functions import fields, passages, text
 from caseloom.operators import answers, catalog, furniture, layout, linkage, listings, merge, names, retrieval, sequence, state, store, timeline
 from caseloom.plans import calendar, contracts, deadlines, evidence, validators
-from caseloom.streaming import events
+from caseloom.streaming import events, joins
 
-MODULES = [retrieval, answers, sequence, merge, linkage, timeline, store, state, layout, listings, catalog, furniture, names, calendar, deadlines, evidence, validators, contracts, text, fields, passages, events]
+MODULES = [retrieval, answers, sequence, merge, linkage, timeline, store, state, layout, listings, catalog, furniture, names, calendar, deadlines, evidence, validators, contracts, text, fields, passages, events, joins]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
