@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.passages import folded
 from caseloom.operators.retrieval import SQL_BM25, SQL_LEXICAL, SQL_STOP, SQL_TOKENS, SQL_WORD, STOP_WORDS, WORD, _query, _scored_docs, best_of, bm25_heads, excerpt, for_each_query, nearest, occurrences
-from caseloom.sources.tables import table
+from caseloom.sources.tables import kept, spread, table
 
 # Weights of a passage's signals: vector, covered words, amount, request, date.
 WEIGHTS = {"semantic": 0.34, "coverage": 0.20, "amount": 0.15, "request": 0.10, "date": 0.06}
@@ -29,7 +29,7 @@ def _folded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents of each question by its folded words, with or without accents on either side."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", folded(F.col("text")).alias("low"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", folded(F.col("text")).alias("low"))
     scored = for_each_query(docs, _folded_queries(spark, sf_dir), lambda q: F.round(folded_score(F.col("low"), q["tokens"]), 6), "doc_id")
     return best_of(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20)
 
@@ -37,8 +37,8 @@ def folded_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fts_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 160 best by BM25 of each question, put in the order of their folded score, then BM25; ten stay."""
     heads = bm25_heads(spark, sf_dir, 160).withColumnRenamed("score", "bm25")
-    docs = table(spark, sf_dir, "documents").select("doc_id", folded(F.col("text")).alias("low"))
-    both = docs.join(F.broadcast(heads), "doc_id").join(F.broadcast(_folded_queries(spark, sf_dir)), "query_id")  # heads: 160 rows a question
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(kept(heads, "heads"), "doc_id")  # 160 rows a question
+    both = spread(docs, "doc_id").withColumn("low", folded(F.col("text"))).join(_folded_queries(spark, sf_dir), "query_id")
     scored = both.select("query_id", "doc_id", "bm25", F.round(folded_score(F.col("low"), F.col("tokens")), 6).alias("lexical"))
     return best_of(scored, ["query_id"], [F.desc("lexical"), F.desc("bm25"), F.asc("doc_id")], 10)
 
@@ -47,7 +47,7 @@ def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best lines of documents for each question: covered words, amounts, requests, dates, and the document's vector."""
     near = nearest(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0"), 200).select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("semantic"))
     near = near.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "semantic"))).alias("near"))
-    lines = table(spark, sf_dir, "documents").join(near, "doc_id", "left").select("doc_id", "near", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter("trim(line) <> ''")
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(near, "doc_id", "left").select("doc_id", "near", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter("trim(line) <> ''")
     words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD + "{2,}"), F.lit(0)))
     lines = lines.select("doc_id", "no", "near", words.alias("words"), F.col("line").rlike("[0-9][0-9.,]* *%").alias("amount"), F.col("line").rlike("(?i)(requests?|asks?|bitte|demande|pide)").alias("request"), F.col("line").rlike("[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}").alias("date"))
 
@@ -66,7 +66,7 @@ def semantic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words else, no digits, worth their content words times the neighbour's relevance."""
     vectors = table(spark, sf_dir, "embeddings")
     near = nearest(vectors, vectors.filter("vec_id % 100 = 0"), 5, itself=False).select("query_id", F.col("vec_id").alias("doc_id"), "score")
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(near), "doc_id")  # five rows a question
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(near, "doc_id")  # five rows a question
     w = texts.select("query_id", "score", F.regexp_extract_all("text", F.lit(WORD + "+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
     sizes = F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("size")
     runs = w.select("query_id", "score", "w", sizes).filter("size(w) >= size").select("query_id", "score", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))).alias("run"))
@@ -98,7 +98,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = best_of(_scored_docs(spark, sf_dir, "source"), ["query_id"], [F.desc("lexical"), F.asc("doc_id")], 3)
     top = top.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "doc_id")))  # of three rows
     docs = table(spark, sf_dir, "documents").select("doc_id", excerpt(F.col("text"), 200).alias("excerpt"))
-    return docs.join(F.broadcast(top), "doc_id")
+    return docs.join(top, "doc_id")
 
 
 def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:

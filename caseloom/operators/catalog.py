@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
-from caseloom.operators.retrieval import SQL_LEXICAL, SQL_TOKENS, SQL_WORD, WORD, _query, _scored_docs, best_of, occurrences
+from caseloom.operators.retrieval import SQL_LEXICAL, SQL_TOKENS, SQL_WORD, WORD, _low_docs, _query, _scored_docs, best_of, occurrences, question_blocks, union_of
 from caseloom.sources.tables import table
 
 
@@ -89,13 +89,13 @@ def hierarchical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each question's words that each source's documents hold."""
-    queries = _query(spark, sf_dir).select("query_id", "tokens")
-    asked = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "tokens")).alias("asked")))
-    docs = table(spark, sf_dir, "documents").select("source", F.lower("text").alias("low")).join(asked)
-    # one pass over a text; an explicit null keeps sources that hold no word
-    held = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(q["tokens"]).alias("n"), F.filter(q["tokens"], lambda t: F.contains("low", t)).alias("held")))
-    rows = docs.select("source", F.explode(held).alias("h")).select("source", "h.query_id", "h.n", F.explode_outer("h.held").alias("word")).distinct()
-    return rows.groupBy("query_id", "source").agg(F.count("word").alias("n_covered"), F.round(F.count("word") / F.first("n"), 6).alias("coverage"))
+    docs, rows = _low_docs(spark, sf_dir, "source"), []
+    for block in question_blocks(_query(spark, sf_dir).select("query_id", "tokens")):
+        asked = F.broadcast(block.agg(F.collect_list(F.struct("query_id", "tokens")).alias("asked")))
+        # one pass over a text; an explicit null keeps sources that hold no word
+        held = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(q["tokens"]).alias("n"), F.filter(q["tokens"], lambda t: F.contains("low", t)).alias("held")))
+        rows.append(docs.join(asked).select("source", F.explode(held).alias("h")).select("source", "h.query_id", "h.n", F.explode_outer("h.held").alias("word")).distinct())
+    return union_of(rows).groupBy("query_id", "source").agg(F.count("word").alias("n_covered"), F.round(F.count("word") / F.first("n"), 6).alias("coverage"))
 
 
 def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from caseloom.sources.tables import table
+from caseloom.sources.tables import kept, spread, table
 
 
 def unique_links(left: DataFrame, right: DataFrame, left_id: str, right_id: str, phases: list[tuple[str, str]]) -> DataFrame:
@@ -85,10 +85,10 @@ def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
     at = F.array_max(inner)["i"]
     key = F.when(F.size("w") >= 4, F.xxhash64(F.element_at("w", at), F.element_at("w", at + 1))).otherwise(F.lit(0).cast("bigint"))
     asked = items.select("item_id", normalised("text").alias("quote")).filter("quote <> ''").withColumn("w", words).select("item_id", "quote", key.alias("key"))
-    own = docs.select("doc_id", normalised("text").alias("text")).filter("text <> ''").withColumn("w", F.split("text", " "))
+    own = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", normalised("text").alias("text")).filter("text <> ''").withColumn("w", F.split("text", " "))
     pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64(a, b))
     keyed = own.select("doc_id", "text", F.explode(F.array_distinct(F.array_append(pairs, F.lit(0).cast("bigint")))).alias("key"))
-    return keyed.join(F.broadcast(asked), "key").filter(F.contains("text", "quote")).select("item_id", "doc_id")
+    return keyed.join(kept(asked, "quotes"), "key").filter(F.contains("text", "quote")).select("item_id", "doc_id")
 
 
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:

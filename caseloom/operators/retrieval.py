@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.sources.tables import kept, table
+from caseloom.sources.tables import kept, spread, table
 
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
+#: Bytes and number of questions that are put to all rows in one pass.
+BLOCK_BYTES, BLOCK_QUESTIONS = 4_000_000, 1_000
 
 #: A word's letter: letters and digits of all scripts, the low line, and everything from A-grave to y-diaeresis.
 WORD = r"[\p{L}\p{N}_\x{C0}-\x{FF}]"
@@ -61,12 +64,30 @@ def best_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
+def question_blocks(queries: DataFrame, size: Column | None = None) -> list[DataFrame]:
+    """``queries`` (with a ``query_id``) in blocks of about half of ``BLOCK_BYTES`` and ``BLOCK_QUESTIONS``, counted first:
+    what a pass over all rows carries to every task is bounded, more questions make more passes. ``size`` is the bytes of
+    a question, or else those of its columns as JSON."""
+    size = F.octet_length(F.to_json(F.struct(*queries.columns))) if size is None else size
+    total = queries.agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
+    n = max(-(-2 * (total["bytes"] or 0) // BLOCK_BYTES), -(-2 * total["n"] // BLOCK_QUESTIONS))
+    if n <= 1 or (total["bytes"] <= BLOCK_BYTES and total["n"] <= BLOCK_QUESTIONS):
+        return [queries]
+    held = kept(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n))), "questions")
+    return [held.filter(F.col("_block") == i).drop("_block") for i in range(n)]
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, keys: list[str], name: str) -> DataFrame:
     """1-based rank of the ``wanted`` rows in ``scored``, ordered by ``score`` from the top and the last of ``keys``
     (a whole number), apart for each value of the other key.
 
     No task ever sorts everything: every batch of rows is counted between the wanted ones, and counts combine.
-    ``wanted`` must be short; it is top-k lists in all uses here, so it fits the driver.
+    ``wanted`` must be short: it is the heads of a few hundred rows of one block of questions, which bounds what comes to
+    the driver and goes to the tasks.
     """
     by, key = keys
     lists: dict = {}
@@ -99,49 +120,66 @@ def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, keys: list[str]
     return named.join(ranks, ["by", "slot"]).select(F.col("by").alias(by), F.col("id").alias(key), F.col("rank").alias(name))
 
 
-def hybrid_of_each(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """Reciprocal rank fusion of columns ``lexical`` and ``semantic`` for each query; the lexical leg counts where it
-    is over 0, the semantic one where it is not null.
+def fused(legs: dict[str, DataFrame], k: int, by: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """``by, key, rank_<leg>..., score``: the ``k`` best of each question of one block by reciprocal rank fusion of
+    ``legs`` (``by, key, score``); a row that a leg lacks gets nothing from it.
 
-    A row under rank 2 * (60 + k) - 60 in both legs scores less than any of the first k of a leg, so only the
-    heads of the legs can be in the result.
+    A row under rank 2 * (60 + k) - 60 in two legs scores less than any of the first k of a leg, so only the heads of the
+    legs can be in the result. Only heads are written: ranks of rows that are in another leg's head are counted in a
+    second pass over the scores, which are worked out again and never stored.
     """
-    head, keys = 2 * (RRF_K + k) - RRF_K, [query, key]
-    lex, sem = scored.filter("lexical > 0"), scored.filter("semantic is not null")
-    few = best_of(lex, [query], [F.desc("lexical"), F.asc(key)], head).select(*keys).union(best_of(sem, [query], [F.desc("semantic"), F.asc(key)], head).select(*keys)).distinct()
-    fused = few.join(ranks_from(lex, few, "lexical", keys, "rank_lex"), keys, "left").join(ranks_from(sem, few, "semantic", keys, "rank_sem"), keys, "left")
-    score = F.coalesce(1 / (RRF_K + F.col("rank_lex")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("rank_sem")), F.lit(0.0))
-    return best_of(fused.withColumn("score", F.round(score, 6)), [query], [F.desc("score"), F.asc(key)], k)
+    head, keys = len(legs) * (RRF_K + k) - RRF_K, [by, key]
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.asc(key)))
+    tops = {name: kept(leg.withColumn("_r", place).filter(F.col("_r") <= head).select(*keys, F.col("_r").cast("bigint").alias(f"rank_{name}")), "heads") for name, leg in legs.items()}
+    few = kept(union_of([top.select(*keys) for top in tops.values()]).distinct(), "heads")
+    score, out = F.lit(0.0), few
+    for name, leg in legs.items():
+        rest = kept(few.join(tops[name].select(*keys), keys, "left_anti"), "heads")
+        ranks = tops[name] if rest.isEmpty() else tops[name].unionByName(ranks_from(leg, rest, "score", keys, f"rank_{name}"))
+        out = out.join(ranks, keys, "left")
+        score = score + F.coalesce(1 / (RRF_K + F.col(f"rank_{name}")), F.lit(0.0))
+    return best_of(out.withColumn("score", F.round(score, 6)), [by], [F.desc("score"), F.asc(key)], k)
 
 
 def hybrid(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """``hybrid_of_each`` for one query, best first."""
-    one = hybrid_of_each(scored.withColumn("_q", F.lit(0)), k, "_q", key)
-    return one.drop("_q").orderBy(F.desc("score"), key)
+    """``fused`` for one question, best first, of columns ``lexical``, which counts over 0, and ``semantic``, where not null."""
+    own = scored.withColumn("_q", F.lit(0))
+    leg = lambda c: own.select("_q", key, F.col(c).alias("score"))
+    return fused({"lex": leg("lexical").filter("score > 0"), "sem": leg("semantic").filter("score is not null")}, k, "_q", key).drop("_q").orderBy(F.desc("score"), key)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions: every benchmark item whose id is divisible by 100."""
     asked = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0 and text is not null")
-    return F.broadcast(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), query_tokens(F.col("text")).alias("tokens")))
+    return asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), query_tokens(F.col("text")).alias("tokens"))
 
 
-def for_each_query(docs: DataFrame, queries: DataFrame, score, *columns: str) -> DataFrame:
-    """``query_id``, ``columns`` and ``score`` where ``score(query)`` is over 0: all questions are put to a text while it
-    is at hand, so that neither texts nor scores are worked out again for a question or a filter.
-
-    ``queries`` become one row of an array.
-    """
-    asked = F.broadcast(queries.agg(F.collect_list(F.struct(*queries.columns)).alias("_asked")))
+def put_to(docs: DataFrame, asked: DataFrame, score, *columns: str) -> DataFrame:
+    """``for_each_query`` for one block of questions, which are one row of an array."""
+    asked = F.broadcast(asked.agg(F.collect_list(F.struct(*asked.columns)).alias("_asked")))
     told = F.transform("_asked", lambda q: F.struct(q["query_id"].alias("query_id"), score(q).alias("score")))
     rows = docs.join(asked).select(*columns, F.explode(told).alias("_t"))
     return rows.select("_t.query_id", *columns, "_t.score").filter("score > 0")
 
 
+def for_each_query(docs: DataFrame, queries: DataFrame, score, *columns: str) -> DataFrame:
+    """``query_id``, ``columns`` and ``score`` where ``score(query)`` is over 0: all questions of a block are put to a text
+    while it is at hand, so that neither texts nor scores are worked out again for a question or a filter. There is one
+    pass over ``docs`` for each block of ``queries``."""
+    return union_of([put_to(docs, block, score, *columns) for block in question_blocks(queries)])
+
+
+def _lexical(q: Column) -> Column:
+    return F.round(lexical_score(F.col("low"), q["query"], q["tokens"]), 6)
+
+
+def _low_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", *columns, "text")
+    return spread(docs, "doc_id").select("doc_id", *columns, F.lower("text").alias("low"))
+
+
 def _scored_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", *columns, F.lower("text").alias("low"))
-    score = lambda q: F.round(lexical_score(F.col("low"), q["query"], q["tokens"]), 6)
-    return for_each_query(docs, _query(spark, sf_dir), score, "doc_id", *columns).withColumnRenamed("score", "lexical")
+    return for_each_query(_low_docs(spark, sf_dir, *columns), _query(spark, sf_dir), _lexical, "doc_id", *columns).withColumnRenamed("score", "lexical")
 
 
 def _matrices(vectors: DataFrame) -> DataFrame:
@@ -162,14 +200,19 @@ def _matrices(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding").mapInPandas(pack, f"vec_ids array<bigint>, labels array<{label}>, dim bigint, data binary")
 
 
+def _asked_vectors(queries: DataFrame) -> list[DataFrame]:
+    """``query_ids, query_dim, query_data`` of each block of queries."""
+    blocks = question_blocks(queries.withColumn("query_id", F.col("vec_id")), 8 * F.coalesce(F.size("embedding"), F.lit(0)))
+    return [_matrices(b).select(F.col("vec_ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("data").alias("query_data")) for b in blocks]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
     """``query_id, vec_id, label, score``: the ``k`` rows of ``vectors`` of highest cosine for each of ``queries``.
 
-    Blocks of vectors meet blocks of queries as matrices, and each pair of blocks keeps ``k`` rows a query. The
-    cosine is 0 for empty vectors, different lengths and zero norms; ties go to the lower id. Without ``itself``
+    Blocks of vectors meet blocks of queries as matrices, and each pair of blocks keeps ``k`` rows a query; there is
+    one pass over the vectors for each block of queries. The cosine is 0 for empty vectors, different lengths and zero norms; ties go to the lower id. Without ``itself``
     a query's own row is not among its neighbours.
     """
-    asked = _matrices(queries).select(F.col("vec_ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("data").alias("query_data"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -191,8 +234,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True)
                         yield pd.DataFrame({"query_id": q, "vec_id": ids[at], "label": [r.labels[i] for i in at], "score": line[at]})
 
     label = vectors.schema["label"].dataType.simpleString()
-    found = _matrices(vectors).crossJoin(F.broadcast(asked)).mapInPandas(score, f"query_id bigint, vec_id bigint, label {label}, score double")
-    return best_of(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    mine = _matrices(vectors)
+    found = [mine.crossJoin(F.broadcast(asked)).mapInPandas(score, f"query_id bigint, vec_id bigint, label {label}, score double") for asked in _asked_vectors(queries)]
+    return best_of(union_of(found), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +259,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, vec_id, semantic``: the cosine of every vector with every one of ``queries``, block by block."""
+    """``query_id, vec_id, semantic``: the cosine of every vector with every one of ``queries``, in blocks of both."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -226,8 +270,8 @@ def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
                 for q, vector in zip(own, np.frombuffer(r.query_data).reshape(len(own), -1)):
                     yield pd.DataFrame({"query_id": q, "vec_id": ids, "semantic": np.round(mine @ vector, 6) + 0.0 if alike else np.zeros(len(ids))})
 
-    asked = _matrices(queries).select(F.col("vec_ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("data").alias("query_data"))
-    return _matrices(vectors).crossJoin(F.broadcast(asked)).mapInPandas(score, "query_id bigint, vec_id bigint, semantic double")
+    mine = _matrices(vectors)
+    return union_of([mine.crossJoin(F.broadcast(asked)).mapInPandas(score, "query_id bigint, vec_id bigint, semantic double") for asked in _asked_vectors(queries)])
 
 
 def excerpt(text: Column, size: int = 400) -> Column:
@@ -237,14 +281,17 @@ def excerpt(text: Column, size: int = 400) -> Column:
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions are those of the benchmark; the vector of a question is that of its number, if there is one.
-    Texts are scored once and written, for those that score only; the heads of the result get their excerpt."""
-    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    probes = vectors.join(_query(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi")
-    semantic = similarities(vectors, probes).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
-    both = kept(_scored_docs(spark, sf_dir).join(semantic, ["query_id", "doc_id"], "full").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))), "scored")
-    best = hybrid_of_each(both, 20).select("query_id", "doc_id", "rank_lex", "rank_sem", "score")
-    return docs.select("doc_id", excerpt(F.col("text")).alias("excerpt")).join(F.broadcast(best), "doc_id").select("query_id", "doc_id", "rank_lex", "rank_sem", "score", "excerpt")
+    """The questions are those of the benchmark; the vector of a question is that of its number, if there is one. Block by
+    block, only the heads of both legs are written; the heads of the result get their excerpt."""
+    docs, low = table(spark, sf_dir, "documents"), _low_docs(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings")
+    placed = vectors.join(docs.select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+    best = []
+    for block in question_blocks(_query(spark, sf_dir)):
+        probes = vectors.join(block.select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi")
+        semantic = similarities(placed, probes).select("query_id", F.col("vec_id").alias("doc_id"), F.col("semantic").alias("score"))
+        best.append(kept(fused({"lex": put_to(low, block, _lexical, "doc_id"), "sem": semantic}, 20), "fused"))
+    return union_of(best).join(docs.select("doc_id", excerpt(F.col("text")).alias("excerpt")), "doc_id").select("query_id", "doc_id", "rank_lex", "rank_sem", "score", "excerpt")
 
 
 def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,17 +300,16 @@ def relative_threshold_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def bm25_heads(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The ``k`` best documents of each question by BM25 over whole words. Of each text only the questions' words go on, counted; the corpus statistics are one
-    aggregate of the same pass."""
+    """The ``k`` best documents of each question by BM25 over whole words. Words are rows only until they meet the
+    questions', and are counted there; the corpus statistics are an aggregate of the same words."""
     asked = _query(spark, sf_dir).select("query_id", F.explode("tokens").alias("term"))
-    terms = F.broadcast(asked.agg(F.collect_set("term").alias("terms")))
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD + "{2,}"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).join(terms)
-    docs = kept(docs.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("len"), F.filter("w", lambda x: F.array_contains("terms", x)).alias("w")), "words")
-    size = F.broadcast(docs.agg(F.count("*").alias("n_all"), F.avg("len").alias("mean")))
-    tf = docs.select("doc_id", "len", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", words.alias("w"))
+    sizes = docs.select(F.when(F.col("w").isNotNull(), F.size("w")).alias("len")).agg(F.count("*").alias("n_all"), F.avg("len").alias("mean"))
+    rows = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term")
+    tf = kept(rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "words")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    both = tf.join(F.broadcast(df), "term").join(size).join(F.broadcast(asked), "term")
+    both = tf.join(df, "term").join(F.broadcast(kept(sizes, "sizes"))).join(asked, "term")  # sizes: one row
     idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
     scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))

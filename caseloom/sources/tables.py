@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to all cores where its scan has too few splits to keep them busy, as with one small file;
+    a scan with enough of them stays as it is, so nothing large is ever shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names for driver and executors; a temporary one stands in only where
     Spark runs in one process, as in tests."""

@@ -168,3 +168,22 @@ def test_coverage_has_no_set_of_a_source(spark, asked):
         words = set(re.findall(r"\w{2,}", text.lower())) - set(retrieval.STOP_WORDS)
         want |= {(q, s, sum(any(w in t for o, t in docs if o == s) for w in words), len(words)) for s in {s for s, _ in docs} if q % 100 == 0}
     assert {(r.query_id, r.source, r.n_covered, r.coverage) for r in query.collect()} == {(q, s, n, round(n / m, 6)) for q, s, n, m in want}
+
+
+def test_blocks_of_questions_change_nothing(spark, sf_dir, monkeypatch):
+    from caseloom.operators import answers, catalog
+
+    queries = [retrieval.hybrid_rrf, retrieval.lexical_score_topk, retrieval.cosine_topk, answers.folded_score_topk, catalog.subject_coverage]
+    asked = retrieval.table(spark, sf_dir, "benchmark").filter("text is not null").selectExpr("item_id as query_id", "text as query")
+    asked = asked.withColumn("tokens", retrieval.query_tokens(F.col("query")))
+    for module in (retrieval, catalog):
+        monkeypatch.setattr(module, "_query", lambda *_: asked)
+    assert len(retrieval.question_blocks(asked)) == 1
+    whole = [sorted(map(str, q(spark, sf_dir).collect())) for q in queries]
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 9)
+    blocks = retrieval.question_blocks(asked)
+    assert len(blocks) > 2 and sum(b.count() for b in blocks) == asked.count()
+    assert [sorted(map(str, q(spark, sf_dir).collect())) for q in queries] == whole
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 1000)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 3000)
+    assert len(retrieval.question_blocks(asked)) > 2 and len(retrieval.question_blocks(asked.limit(0))) == 1
