@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from caseloom.functions.passages import _folds, one_spaced
 from caseloom.functions.text import count_of
-from caseloom.sources.tables import table
+from caseloom.sources.tables import table, texts
 
 
 def ladder(text: Column, *rules: tuple[str, str]) -> Column:
@@ -93,20 +93,43 @@ class _Tables(HTMLParser):
             self.cells[-1][4] += data
 
 
+#: As HTML has it, no cell spans more columns than that.
+MOST_COLUMNS = 1000
+
+
 def grid_cells(page: str | None) -> list[tuple[int, int, int, str]]:
-    """``table, row, column, text`` of every place of a page's tables; a cell fills all places that it spans."""
+    """``table, row, column, text`` of every place of a page's tables; a cell fills all places that it spans.
+
+    A cell spans no more rows than its table has below it, and no more columns than ``MOST_COLUMNS``. What a cell takes of
+    the rows below is kept as one interval; only the places of the open row are a set. Of cells that meet, the earlier has
+    the place.
+    """
     parser, out = _Tables(), []
     parser.feed(page or "")
-    taken: set[tuple[int, int, int]] = set()
+    rows: dict[int, dict[int, list]] = {}
     for number, row, down, across, text in parser.cells:
-        column = 0
-        while (number, row, column) in taken:
-            column += 1
-        for r in range(row, row + down):
-            for c in range(column, column + across):
-                if (number, r, c) not in taken:
-                    taken.add((number, r, c))
-                    out.append((number, r, c, " ".join(text.split())))
+        rows.setdefault(number, {}).setdefault(row, []).append((down, min(across, MOST_COLUMNS), " ".join(text.split())))
+    for number, cells in rows.items():
+        height, held = max(cells) + 1, []  # first and last column, row behind the last, text
+        for row in range(height):
+            taken: set[int] = set()
+
+            def fill(first: int, last: int, text: str) -> None:
+                for c in range(first, last):
+                    if c not in taken:
+                        taken.add(c)
+                        out.append((number, row, c, text))
+
+            held = [h for h in held if h[2] > row]
+            for first, last, _, text in held:
+                fill(first, last, text)
+            column = 0
+            for down, across, text in cells.get(row, ()):
+                while column in taken:
+                    column += 1
+                fill(column, column + across, text)
+                if down > 1:
+                    held.append((column, column + across, row + down, text))
     return sorted(out)
 
 
@@ -120,7 +143,7 @@ def html_grids(pages: pd.Series) -> pd.Series:
 
 def name_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of every document in plain capitals."""
-    return table(spark, sf_dir, "documents").select("doc_id", upper_fold(F.left("text", F.lit(200))).alias("fold"))
+    return texts(spark, sf_dir).select("doc_id", upper_fold(F.left("text", F.lit(200))).alias("fold"))
 
 
 def process_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +179,7 @@ def excerpt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.regexp_instr("text", F.lit("[0-9]{4,}"))
     first = F.greatest(F.lit(1), at - 180)
     cut = one_spaced(F.substring(F.col("text"), first, at - first + 260))
-    return table(spark, sf_dir, "documents").filter(at > 0).select("doc_id", F.sha2(cut, 256).alias("excerpt_hash"), F.length(cut).cast("bigint").alias("n_chars"))
+    return texts(spark, sf_dir).filter(at > 0).select("doc_id", F.sha2(cut, 256).alias("excerpt_hash"), F.length(cut).cast("bigint").alias("n_chars"))
 
 
 def instruction_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,13 +190,13 @@ def instruction_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, pattern in families.items():
         out.append(count_of(rest, pattern).alias(f"n_{name}"))
         rest = F.regexp_replace(rest, pattern, " ")
-    return table(spark, sf_dir, "documents").select("doc_id", *out)
+    return texts(spark, sf_dir).select("doc_id", *out)
 
 
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every text, cut after a stop that a blank follows, numbered."""
     marked = F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\r\n]+", "$1\x01")
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(marked, "\x01")).alias("no", "s")).select("doc_id", "no", F.trim("s").alias("s")).filter("s <> ''")
+    s = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split(marked, "\x01")).alias("no", "s")).select("doc_id", "no", F.trim("s").alias("s")).filter("s <> ''")
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("s")).cast("bigint").alias("longest"), F.min(F.length("s")).cast("bigint").alias("shortest"))
 
 
@@ -181,19 +204,19 @@ def trailing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last run of capitalised words in the first line of a text: what is left of a name after header prose."""
     line = F.element_at(F.split("text", "\n"), 1)
     name = F.regexp_extract(line, r"(?:^|[^A-Za-z])([A-Z][a-z']+(?: [A-Z][a-z']+)*)[^A-Z]*$", 1)
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.when(name != "", name).alias("name"))
+    return texts(spark, sf_dir).filter("text is not null").select("doc_id", F.when(name != "", name).alias("name"))
 
 
 def sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without control characters and with even blanks, and how much went."""
     t = F.coalesce("text", F.lit(""))
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]+", ""), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("clean_hash"), (F.length(t) - F.length(clean)).cast("bigint").alias("n_removed"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(clean, 256).alias("clean_hash"), (F.length(t) - F.length(clean)).cast("bigint").alias("n_removed"))
 
 
 def tabular_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of which at least seven in ten lines have several cells, cut at bars, tabs or wide gaps."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
+    lines = texts(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
     cells = lines.select("doc_id", F.size(F.filter(F.split("line", r"\||\t| {2,}"), lambda c: F.trim(c) != "")).alias("n"))
     g = cells.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("n") >= 2).alias("n_rows"), F.max("n").cast("bigint").alias("n_columns"))
     return g.withColumn("is_grid", 10 * F.col("n_rows") >= 7 * F.col("n_lines"))
@@ -222,14 +245,14 @@ def reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with words joined that a line's end had cut, and single line ends as spaces; blank lines stay."""
     joined = F.regexp_replace(F.coalesce("text", F.lit("")), r"([a-z])-\n([a-z])", "$1$2")
     flow = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"\n\n+", "\x01"), r"\n", " "), "\x01", "\n\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(flow, 256).alias("flow_hash"), (F.length(F.coalesce("text", F.lit(""))) - F.length(flow)).cast("bigint").alias("n_joined"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(flow, 256).alias("flow_hash"), (F.length(F.coalesce("text", F.lit(""))) - F.length(flow)).cast("bigint").alias("n_joined"))
 
 
 _BLOCKS = ((r"^\s*(?:[-*+] |[0-9]+[.)] )", "LIST"), (r"\|.*\|", "TABLE"), (r"^\s*[\"'«“>]", "QUOTE"), (r"^[^a-z]{4,80}$", "TITLE"), (r"^.{1,60}[^.!?;:,\s]\s*$", "SECTION"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter("trim(line) <> ''")
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter("trim(line) <> ''")
     return lines.withColumn("role", F.coalesce(ladder(F.col("line"), *_BLOCKS), F.lit("PARAGRAPH")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
-from caseloom.sources.tables import table
+from caseloom.sources.tables import table, texts
 
 _BLANKS = r"[ \t\r\n\f\x0B]+"
 
@@ -62,12 +62,12 @@ def furniture_signature(line: Column) -> Column:
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    docs = texts(spark, sf_dir).select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "chunk"))
     return docs.select("doc_id", F.col("chunk_no").cast("bigint"), F.length("chunk").cast("bigint").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_hash"))
 
 
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(folded(F.col("text")), 256).alias("fold_hash"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(folded(F.col("text")), 256).alias("fold_hash"))
 
 
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def clip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def furniture_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that differ only in numbers, marks and page references, in two documents or more of a source."""
     # signed before the lines are exploded, so that the filter does not work every signature out again
-    signed = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.transform(F.split("text", "\n"), furniture_signature)).alias("signature")).filter(F.length("signature") >= 4)
+    signed = texts(spark, sf_dir).select("source", "doc_id", F.explode(F.transform(F.split("text", "\n"), furniture_signature)).alias("signature")).filter(F.length("signature") >= 4)
     # documents are counted after the rows of one document have been combined, so a hot line costs no task more
     own = signed.groupBy("source", F.sha2("signature", 256).alias("signature_hash"), "doc_id").agg(F.count("*").alias("n"))
     return own.groupBy("source", "signature_hash").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines")).filter("n_docs >= 2")
@@ -114,7 +114,7 @@ def all_terms(text: Column) -> Column:
 
 def explicit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All terms of each document; a document without one has no row."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(all_terms(F.col("text"))))
+    return texts(spark, sf_dir).select("doc_id", F.inline(all_terms(F.col("text"))))
 
 
 def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ def verified_citations(texts: DataFrame, sources: DataFrame, key: str, number: s
 
 def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that a text cites, held against the benchmark's items: verified and invented ones."""
-    return verified_citations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return verified_citations(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 QUERIES = {f.__name__: f for f in (text_chunks, accent_fold, context_windows, clip_turns, furniture_families, explicit_terms, url_identity, citation_verify)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.sources.tables import table
+from caseloom.sources.tables import table, texts
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -74,7 +74,7 @@ SIGNALS = {
 
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in quality_columns(F.col("text")).items()))
+    return texts(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in quality_columns(F.col("text")).items()))
 
 
 def quality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def security_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     first = lambda p: F.regexp_extract(text, p, 0)
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", first(r"[a-z0-9]+@[a-z0-9]+\.[a-z]+").alias("first_email"), first(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}").alias("first_ip"), first(r"(SPDX|Copyright|License)[^\n]*").alias("license_line"), count_of(text, "[0-9]{4,}").alias("n_long_numbers")
     )
 

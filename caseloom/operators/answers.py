@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.passages import folded
-from caseloom.operators.retrieval import SQL_BM25, SQL_LEXICAL, SQL_STOP, SQL_TOKENS, SQL_WORD, STOP_WORDS, WORD, _query, _scored_docs, best_of, bm25_heads, excerpt, for_each_query, nearest, occurrences
+from caseloom.operators.retrieval import SQL_BM25, SQL_LEXICAL, SQL_STOP, SQL_TOKENS, SQL_WORD, STOP_WORDS, WORD, _query, _scored_docs, best_of, bm25_heads, excerpt, for_each_query, nearest, occurrences, put_to, question_blocks, similarities, union_of
 from caseloom.sources.tables import kept, spread, table
 
 # Weights of a passage's signals: vector, covered words, amount, request, date.
@@ -45,11 +45,8 @@ def fts_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best lines of documents for each question: covered words, amounts, requests, dates, and the document's vector."""
-    near = nearest(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0"), 200).select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("semantic"))
-    near = near.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "semantic"))).alias("near"))
-    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(near, "doc_id", "left").select("doc_id", "near", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter("trim(line) <> ''")
+    vectors = table(spark, sf_dir, "embeddings")
     words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD + "{2,}"), F.lit(0)))
-    lines = lines.select("doc_id", "no", "near", words.alias("words"), F.col("line").rlike("[0-9][0-9.,]* *%").alias("amount"), F.col("line").rlike("(?i)(requests?|asks?|bitte|demande|pide)").alias("request"), F.col("line").rlike("[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}").alias("date"))
 
     def score(q: Column) -> Column:
         coverage = F.size(F.array_intersect(q["tokens"], F.col("words"))) / F.greatest(F.size(q["tokens"]), F.lit(1))
@@ -57,8 +54,15 @@ def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         semantic = F.coalesce(F.try_element_at("near", q["query_id"]), F.lit(0.0))
         return F.when(coverage > 0, F.round(WEIGHTS["semantic"] * semantic + WEIGHTS["coverage"] * coverage + signal, 6)).otherwise(0.0)
 
-    scored = for_each_query(lines, _query(spark, sf_dir), score, "doc_id", "no")
-    return best_of(scored, ["query_id"], [F.desc("score"), F.asc("doc_id"), F.asc("no")], 20).withColumn("no", F.col("no").cast("bigint"))
+    found = []
+    for block in question_blocks(_query(spark, sf_dir)):
+        probes = vectors.join(block.select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi")
+        # a document's cosines to the questions of one block, once for all of its lines
+        near = similarities(vectors, probes).groupBy(F.col("vec_id").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct("query_id", "semantic"))).alias("near"))
+        lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(near, "doc_id", "left").select("doc_id", "near", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter("trim(line) <> ''")
+        lines = lines.select("doc_id", "no", "near", words.alias("words"), F.col("line").rlike("[0-9][0-9.,]* *%").alias("amount"), F.col("line").rlike("(?i)(requests?|asks?|bitte|demande|pide)").alias("request"), F.col("line").rlike("[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}").alias("date"))
+        found.append(put_to(lines, block, score, "doc_id", "no"))
+    return best_of(union_of(found), ["query_id"], [F.desc("score"), F.asc("doc_id"), F.asc("no")], 20).withColumn("no", F.col("no").cast("bigint"))
 
 
 def semantic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +132,7 @@ ORACLE = {
     "folded_score_topk": f"WITH {SQL_TOKENS}, {_SQL_FOLDED} SELECT query_id, doc_id, lexical AS score FROM fs WHERE lexical > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) <= 20",
     "fts_rerank": f"""WITH {SQL_BM25}, {_SQL_FOLDED}, h AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 160)
 SELECT query_id, doc_id, score AS bm25, lexical FROM h JOIN fs USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, score DESC, doc_id) <= 10""",
-    "passage_scores": f"""WITH {SQL_TOKENS}, {_SQL_NEAR}, ne AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 200),
+    "passage_scores": f"""WITH {SQL_TOKENS}, {_SQL_NEAR}, ne AS (FROM nn),
 n AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 u AS (SELECT doc_id, no, line, list_distinct(regexp_extract_all(lower(line), '{SQL_WORD}{{2,}}')) AS w FROM n WHERE trim(line, ' ') <> ''), k AS (SELECT query_id, list(tok) AS toks FROM t GROUP BY 1),
 s AS (SELECT k.query_id, u.doc_id, no, len(list_intersect(toks, w)) AS hit, round(0.34::DOUBLE * coalesce(ne.score, 0) + 0.20::DOUBLE * (len(list_intersect(toks, w))::DOUBLE / len(toks)) + 0.15::DOUBLE * regexp_matches(line, '[0-9][0-9.,]* *%')::INT + 0.10::DOUBLE * regexp_matches(line, '(?i)(requests?|asks?|bitte|demande|pide)')::INT

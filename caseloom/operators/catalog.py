@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
 from caseloom.operators.retrieval import SQL_LEXICAL, SQL_TOKENS, SQL_WORD, WORD, _low_docs, _query, _scored_docs, best_of, occurrences, question_blocks, union_of
-from caseloom.sources.tables import table
+from caseloom.sources.tables import table, texts
 
 
 def as_ranges(df: DataFrame, keys: list[str], number: str, name: str = "ranges") -> DataFrame:
@@ -49,7 +49,7 @@ def search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a pattern in every text; texts that cannot be searched are reported, not left out."""
     text = F.col("text")
     state = F.when(text.isNull() | (F.trim(text) == ""), "UNAVAILABLE").when(count_of(text, "[0-9]{4,}") > 0, "HIT").otherwise("MISS")
-    return table(spark, sf_dir, "documents").select("doc_id", count_of(text, "[0-9]{4,}").alias("n_hits"), state.alias("state"))
+    return texts(spark, sf_dir).select("doc_id", count_of(text, "[0-9]{4,}").alias("n_hits"), state.alias("state"))
 
 
 def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def phrases(docs: DataFrame, longest: int = 4) -> DataFrame:
 
 def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight phrases of one, two, three and four words that stand in most documents of each language."""
-    counts = phrases(table(spark, sf_dir, "documents")).groupBy("lang", "n_words", "phrase").agg(F.count("*").alias("n_docs"))
+    counts = phrases(texts(spark, sf_dir)).groupBy("lang", "n_words", "phrase").agg(F.count("*").alias("n_docs"))
     # the best eight of each language are among those of each part of it, so no task gets a language whole
     part = Window.partitionBy("lang", "n_words", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(F.desc("n_docs"), "phrase")
     few = counts.withColumn("r", F.row_number().over(part)).filter("r <= 8")
@@ -102,7 +102,7 @@ def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must be read again by other means: blank, almost blank, broken or unmapped characters, mostly symbols."""
     t = F.coalesce("text", F.lit(""))
     left = lambda outside: F.length(F.regexp_replace(t, outside, "")).cast("bigint")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = texts(spark, sf_dir).select(
         "doc_id", F.length(t).alias("n"), left("[ \\t\\r\\n]+").alias("body"), left(r"[^\p{L}\p{N}]+").alias("alnum"), left(r"[^#$%&*|~^<>{}\[\]\\+=_]+").alias("n_symbols"),
         left(r"[^\x00-\x08\x0B\x0C\x0E-\x1F]+").alias("n_c0"), left(r"[^\x{E000}-\x{F8FF}\x{FFFD}]+").alias("n_unmapped"),
     )

@@ -57,14 +57,15 @@ def applies(applicability: Column, medium: Column) -> Column:
 
 
 def numbered(calendar: DataFrame) -> DataFrame:
-    """A calendar (day, status) with, for each day, the next business day after it (``after``), the first from it on
+    """Calendars (region, day, status) with, for each day, the next business day after it (``after``), the first from it on
     (``from_here``), and how many days count before it in each mode (``business``, ``continuous``, ``plain``)."""
-    back, ahead = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("day")  # the calendar alone
+    ahead = Window.partitionBy("region").orderBy("day")  # the days of one calendar
+    back = ahead.rowsBetween(Window.unboundedPreceding, -1)
     free, recess = F.col("status") == "BUSINESS_DAY", wraps(F.col("day"), "12-20", "01-20")
     open_day = F.when(free, F.col("day"))
     count = lambda c: F.coalesce(F.sum(c.cast("int")).over(back), F.lit(0))
     return calendar.select(
-        "day", "status",
+        "region", "day", "status",
         F.min(open_day).over(ahead.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
         F.min(open_day).over(ahead.rowsBetween(0, Window.unboundedFollowing)).alias("from_here"),
         count(free & ~recess).alias("business"), count(~recess).alias("continuous"), count(free).alias("plain"),
@@ -79,6 +80,13 @@ def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", "o_custkey", regime.alias("regime"), act.alias("act"), "available", F.when(F.col("o_orderstatus") == "F", F.date_add("available", 3)).alias("published"), "o_orderstatus")
 
 
+def _placed_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts with the region of their party, whose calendar counts; an act without a known party has none."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    party = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(nations, "c_nationkey").drop("c_nationkey").dropDuplicates(["o_custkey"])
+    return _acts(spark, sf_dir).join(party, "o_custkey", "left")
+
+
 def _rules(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(RULES, _RULE))
 
@@ -153,12 +161,16 @@ def calendar_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("available").agg(F.count("*").alias("n_history"), F.min(F.when(F.col("is_current"), F.col("o_orderkey"))).alias("current")).withColumn("available", F.date_format("available", "yyyy-MM-dd"))
 
 
+def _triggered(acts: DataFrame, cal: DataFrame) -> DataFrame:
+    """``acts`` with the day derived from the calendar of their region, the trigger, and the day on which counting starts."""
+    a = acts.join(cal.select("region", F.col("day").alias("available"), F.col("after").alias("derived")), ["region", "available"], "left").withColumn("trigger", F.coalesce("published", "derived"))
+    return a.join(cal.select("region", F.col("day").alias("trigger"), F.col("after").alias("start")), ["region", "trigger"], "left")
+
+
 def communication_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day that sets an act's term running: the publication if it is told, else the next business day after it was
     available; counting starts on the next business day after that."""
-    cal = numbered(_composed(spark, sf_dir).filter("region = 0").select("day", "status"))
-    a = _acts(spark, sf_dir).join(cal.select(F.col("day").alias("available"), F.col("after").alias("derived")), "available", "left")
-    a = a.withColumn("trigger", F.coalesce("published", "derived")).join(cal.select(F.col("day").alias("trigger"), F.col("after").alias("start")), "trigger", "left")
+    a = _triggered(_placed_acts(spark, sf_dir), numbered(_composed(spark, sf_dir)))
     method = F.when(F.col("published").isNotNull(), "DECLARED").when(F.col("derived").isNotNull(), "DERIVED").otherwise("UNRESOLVED")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return a.select("o_orderkey", iso("trigger"), iso("start"), method.alias("method"))
@@ -171,18 +183,17 @@ def deadline_calculation(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves on where the policy says so; a policy that doesn't tell its bounds, an act without regime, and a calendar that
     ends too early leave the act open.
     """
-    cal = numbered(_composed(spark, sf_dir).filter("region = 0").select("day", "status"))
-    a = _acts(spark, sf_dir).withColumn("term", F.when(F.col("act") == "APPEAL", 15).when(F.col("act") == "DEFENCE", 10).otherwise(5))
-    a = a.join(cal.select(F.col("day").alias("available"), F.col("after").alias("derived")), "available", "left").withColumn("trigger", F.coalesce("published", "derived"))
-    a = a.join(cal.select(F.col("day").alias("trigger"), F.col("after").alias("start")), "trigger", "left")
+    cal = numbered(_composed(spark, sf_dir))
+    a = _placed_acts(spark, sf_dir).withColumn("term", F.when(F.col("act") == "APPEAL", 15).when(F.col("act") == "DEFENCE", 10).otherwise(5))
+    a = _triggered(a, cal)
     mode = F.when(F.col("regime").isin("CPC", "CLT"), "business").when(F.col("regime") == "CPP", "continuous").when(F.col("regime") == "LAW_9099", "plain")
-    counts = cal.select(F.col("day").alias("start"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ("business", "continuous", "plain"))), F.array("business", "continuous", "plain"))).alias("mode", "before"))
-    a = a.withColumn("mode", mode).join(counts, ["start", "mode"], "left").withColumn("ordinal", F.col("before") + F.col("term") - 1)
+    counts = cal.select("region", F.col("day").alias("start"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ("business", "continuous", "plain"))), F.array("business", "continuous", "plain"))).alias("mode", "before"))
+    a = a.withColumn("mode", mode).join(counts, ["region", "start", "mode"], "left").withColumn("ordinal", F.col("before") + F.col("term") - 1)
     ends = None
     for name in ("business", "continuous", "plain"):
-        part = cal.filter(F.col(f"is_{name}")).select(F.lit(name).alias("mode"), F.col(name).alias("ordinal"), F.col("day").alias("last_counted"), "from_here")
+        part = cal.filter(F.col(f"is_{name}")).select("region", F.lit(name).alias("mode"), F.col(name).alias("ordinal"), F.col("day").alias("last_counted"), "from_here")
         ends = part if ends is None else ends.unionByName(part)
-    a = a.join(ends, ["mode", "ordinal"], "left")
+    a = a.join(ends, ["region", "mode", "ordinal"], "left")
     due = F.when(F.col("regime").isin("CPC", "CPP"), F.col("from_here")).otherwise(F.col("last_counted"))
     code = first_code((F.col("regime").isNull(), "COUNTING_POLICY_UNRESOLVED"), (F.col("regime") == "LAW_9099", "COUNTING_BOUNDARY_UNSPECIFIED"), (F.col("trigger").isNull(), "COMMUNICATION_TRIGGER_MISSING"), (F.col("start").isNull() | due.isNull(), "CALENDAR_COVERAGE_MISSING"))
     status = F.when(code.isNull(), "CALCULATED").when(code == "COUNTING_BOUNDARY_UNSPECIFIED", "REVIEW_REQUIRED").otherwise("UNRESOLVED")
@@ -278,10 +289,11 @@ c AS (SELECT day, region, status, CASE WHEN status = 'SUSPENDED' THEN 'COURT' EL
 k AS (SELECT *, CASE status WHEN 'SUSPENDED' THEN 40 WHEN 'HOLIDAY' THEN 20 ELSE 10 END AS r, CASE scope WHEN 'COMARCA' THEN 40 WHEN 'COURT' THEN 30 ELSE 10 END AS s FROM c),
 w AS (SELECT *, count(*) OVER (PARTITION BY region, day) AS n_claims FROM k QUALIFY row_number() OVER (PARTITION BY region, day ORDER BY r DESC, s DESC, source DESC, status DESC, scope DESC) = 1)"""
 _SQL_NUMBERED = f"""{_SQL_CAL},
-m0 AS (SELECT day, status, status = 'BUSINESS_DAY' AS free, strftime(day, '%m-%d') >= '12-20' OR strftime(day, '%m-%d') <= '01-20' AS recess FROM w WHERE region = 0),
-m AS (SELECT *, min(CASE WHEN free THEN day END) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after, min(CASE WHEN free THEN day END) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM m0),
-x AS (SELECT a.*, coalesce(published, m.after) AS trigger, m.after AS derived FROM a LEFT JOIN m ON m.day = available),
-y AS (SELECT x.*, m.after AS start FROM x LEFT JOIN m ON m.day = trigger)"""
+m0 AS (SELECT region, day, status, status = 'BUSINESS_DAY' AS free, strftime(day, '%m-%d') >= '12-20' OR strftime(day, '%m-%d') <= '01-20' AS recess FROM w),
+m AS (SELECT *, min(CASE WHEN free THEN day END) OVER (PARTITION BY region ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after, min(CASE WHEN free THEN day END) OVER (PARTITION BY region ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM m0),
+pa AS (SELECT c_custkey, any_value(n_regionkey) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+x AS (SELECT a.*, pa.region, coalesce(published, m.after) AS trigger, m.after AS derived FROM a LEFT JOIN pa ON o_custkey = c_custkey LEFT JOIN m ON m.day = available AND m.region = pa.region),
+y AS (SELECT x.*, m.after AS start FROM x LEFT JOIN m ON m.day = trigger AND m.region = x.region)"""
 _SQL_RULES = "ru AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in RULES) + ") t(rule_id, rr, ra, precedence, category, days, vf, vt))"
 ORACLE = {
     "registry_days": f"WITH {_SQL_REGISTRY} SELECT n_name AS Descricao, region, strftime(day, '%Y-%m-%d') AS day, status FROM g",
@@ -297,10 +309,10 @@ SELECT event_type, CASE WHEN kind = 'ALL' OR (kind <> 'LOCAL' AND kind = medium)
     "calendar_range": f"WITH {_SQL_ACTS} SELECT strftime(available, '%Y-%m-%d') AS available, count(*) AS n_history, max(o_orderkey) AS current FROM a WHERE available BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' GROUP BY 1",
     "communication_trigger": f"WITH {_SQL_NUMBERED} SELECT o_orderkey, strftime(trigger, '%Y-%m-%d') AS trigger, strftime(start, '%Y-%m-%d') AS start, CASE WHEN published IS NOT NULL THEN 'DECLARED' WHEN derived IS NOT NULL THEN 'DERIVED' ELSE 'UNRESOLVED' END AS method FROM y",
     "deadline_calculation": f"""WITH {_SQL_NUMBERED},
-b AS (SELECT mode, day, row_number() OVER (PARTITION BY mode ORDER BY day) AS o, here FROM (SELECT 'B' AS mode, * FROM m WHERE free AND NOT recess UNION ALL SELECT 'C', * FROM m WHERE NOT recess UNION ALL SELECT 'P', * FROM m WHERE free)),
+b AS (SELECT region, mode, day, row_number() OVER (PARTITION BY region, mode ORDER BY day) AS o, here FROM (SELECT 'B' AS mode, * FROM m WHERE free AND NOT recess UNION ALL SELECT 'C', * FROM m WHERE NOT recess UNION ALL SELECT 'P', * FROM m WHERE free)),
 t AS (SELECT y.*, CASE act WHEN 'APPEAL' THEN 15 WHEN 'DEFENCE' THEN 10 ELSE 5 END AS term, CASE WHEN regime IN ('CPC', 'CLT') THEN 'B' WHEN regime = 'CPP' THEN 'C' WHEN regime = 'LAW_9099' THEN 'P' END AS mode FROM y),
-f AS (SELECT t.o_orderkey, min(b.o) AS o FROM t JOIN (SELECT day, mode, o FROM b) b ON b.mode = t.mode AND b.day >= t.start AND b.day < t.start + 45 GROUP BY 1),
-z AS (SELECT t.*, CASE WHEN regime IN ('CPC', 'CPP') THEN b.here ELSE b.day END AS due FROM t LEFT JOIN f USING (o_orderkey) LEFT JOIN b ON b.mode = t.mode AND b.o = f.o + t.term - 1),
+f AS (SELECT t.o_orderkey, min(b.o) AS o FROM t JOIN (SELECT region, day, mode, o FROM b) b ON b.mode = t.mode AND b.region = t.region AND b.day >= t.start AND b.day < t.start + 45 GROUP BY 1),
+z AS (SELECT t.*, CASE WHEN regime IN ('CPC', 'CPP') THEN b.here ELSE b.day END AS due FROM t LEFT JOIN f USING (o_orderkey) LEFT JOIN b ON b.mode = t.mode AND b.region = t.region AND b.o = f.o + t.term - 1),
 v AS (SELECT *, CASE WHEN regime IS NULL THEN 'COUNTING_POLICY_UNRESOLVED' WHEN regime = 'LAW_9099' THEN 'COUNTING_BOUNDARY_UNSPECIFIED' WHEN trigger IS NULL THEN 'COMMUNICATION_TRIGGER_MISSING' WHEN start IS NULL OR due IS NULL THEN 'CALENDAR_COVERAGE_MISSING' END AS code FROM z)
 SELECT o_orderkey, regime, term, CASE WHEN code IS NULL THEN strftime(due, '%Y-%m-%d') END AS due, CASE WHEN code IS NULL THEN 'CALCULATED' WHEN code = 'COUNTING_BOUNDARY_UNSPECIFIED' THEN 'REVIEW_REQUIRED' ELSE 'UNRESOLVED' END AS status, code FROM v""",
     "counting_policy": f"""WITH {_SQL_ACTS},

@@ -20,6 +20,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for work on their whole texts: on all cores also where they are one small file."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names for driver and executors; a temporary one stands in only where
     Spark runs in one process, as in tests."""
