@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from caseloom.sources.tables import table, texts
 
@@ -106,21 +111,70 @@ CONTENT_SIGNALS = {
 _HEAVY = list(CONTENT_SIGNALS)[1:7]
 
 
+# Words that say a passage is quoted as evidence, and words that say it is about such instructions.
+EVIDENTIARY = r"(?i)\b(?:a instru[cç][aã]o dizia|o invasor enviou|exemplo\s*:|transcri[cç][aã]o\s*:|cita[cç][aã]o\s*:|o texto continha)\b"
+DESCRIPTIVE = r"(?i)\b(?:artigo acad[eê]mico|pesquisa acad[eê]mica|laudo t[eé]cnico|explica|analisa|descreve|conceito de prompt injection)\b"
+#: Characters on both sides of a signal that tell its context.
+CONTEXT_CHARS = 180
+#: Each pattern of a signal holds one of these; a text without any has no signal.
+_NEEDED = {
+    "IGNORE_PREVIOUS_INSTRUCTIONS": ("instru",),
+    "OVERRIDE_SYSTEM_INSTRUCTIONS": ("prompt", "instru"),
+    "REQUEST_SYSTEM_PROMPT": ("prompt",),
+    "REQUEST_SECRET_OR_CREDENTIAL": ("secret", "credential", "api", "password", "segredo", "credenciais", "senha"),
+    "EXECUTE_TOOL_OR_COMMAND": ("tool", "command", "terminal", "shell", "ferramenta", "comando"),
+    "ACCESS_UNRELATED_FILES": ("file", "arquivo"),
+    "EXFILTRATE_DATA": ("data", "file", "content", "dados", "arquivo", "conte"),
+    "MODEL_OR_AGENT_DIRECTIVE": ("chatgpt", "claude", "assist", "model", "agent"),
+}
+_RISKS = ["low", "medium", "high"]
+
+
+def _inspector():
+    """A function from a text to its signals (by name, comma-joined), context and risk."""
+    patterns = {k: re.compile(p) for k, p in CONTENT_SIGNALS.items()}
+    evidence, description = re.compile(EVIDENTIARY), re.compile(DESCRIPTIVE)
+
+    def inspected(text: str | None) -> tuple[str, str, str]:
+        t = text or ""
+        t = " ".join((t if unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)).split())
+        # letters that a pattern without regard to case takes for i and s
+        low = t.lower() if t.isascii() else t.replace("ſ", "s").lower().replace("\u0307", "").replace("ı", "i")
+        hits = {k: m for k, p in patterns.items() if any(w in low for w in _NEEDED[k]) and (m := p.search(t))}
+        windows = [t[max(0, m.start() - CONTEXT_CHARS) : m.end() + CONTEXT_CHARS] for m in hits.values()]
+        if not hits:
+            context = "unknown"
+        elif any(evidence.search(w) and re.search("[\'\"“]", w) for w in windows):
+            context = "quoted_or_evidentiary"
+        else:
+            context = "descriptive" if any(description.search(w) for w in windows) else "ambiguous"
+        heavy = sum(k in _HEAVY for k in hits)
+        return ",".join(sorted(hits)), context, "high" if heavy >= 2 else "medium" if hits else "low"
+
+    return inspected
+
+
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("signals", "context", "risk")]))
+def content_security(text: pd.Series) -> pd.DataFrame:
+    """Signals, context and risk of each text, after compatibility forms and white space are evened out; a null text is
+    empty. Compatibility forms are what the JVM lacks."""
+    inspected = _inspector()
+    return pd.DataFrame([inspected(t) for t in text], columns=["signals", "context", "risk"])
+
+
 def content_risk(text: Column) -> tuple[Column, Column]:
     """The signals of a text in the order of their names, comma-joined, and its risk: high with two of high impact."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
-    found = F.array_compact(F.array(*(F.when(t.rlike(p), k) for k, p in sorted(CONTENT_SIGNALS.items()))))
-    heavy = F.size(F.array_intersect(found, F.array(*map(F.lit, _HEAVY))))
-    return F.array_join(found, ","), F.when(heavy >= 2, "high").when(F.size(found) > 0, "medium").otherwise("low")
+    told = content_security(text)
+    return told["signals"], told["risk"]
 
 
 def security_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gravest risk of each source's documents and turns of its like, the signals of all, and how many texts have any."""
-    signals, risk = content_risk(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("source", signals.alias("s"), risk.alias("r"))
-    rank = F.when(F.col("r") == "high", 2).when(F.col("r") == "medium", 1).otherwise(0)
-    every = F.array_distinct(F.flatten(F.collect_set(F.split("s", ","))))  # of at most 256 different lists
-    return rows.groupBy("source").agg(F.max(rank).cast("bigint").alias("risk"), F.array_join(F.array_sort(F.filter(every, lambda x: x != "")), ",").alias("signals"), F.count_if(F.col("s") != "").alias("n_flagged"), F.count("*").alias("n"))
+    """The gravest risk of each source's documents, the signals of all, their context where it is one, and how many have any."""
+    rows = texts(spark, sf_dir).select("source", content_security("text").alias("c")).select("source", "c.*")
+    rank = F.when(F.col("risk") == "high", 2).when(F.col("risk") == "medium", 1).otherwise(0)
+    every = F.array_distinct(F.flatten(F.collect_set(F.split("signals", ","))))  # of at most 256 different lists
+    context = F.when(F.min("context") == F.max("context"), F.min("context")).otherwise("ambiguous")
+    return rows.groupBy("source").agg(F.max(rank).cast("bigint").alias("risk"), F.array_join(F.array_sort(F.filter(every, lambda x: x != "")), ",").alias("signals"), context.alias("context"), F.count_if(F.col("signals") != "").alias("n_flagged"), F.count("*").alias("n"))
 
 
 def regex_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +234,7 @@ SELECT *, CASE WHEN override::INT + secret::INT + exfiltrate::INT >= 2 THEN 'hig
     + " OR ".join(CONTENT_SIGNALS)
     + " AS f FROM y) SELECT source, max(CASE WHEN h >= 2 THEN 2 WHEN f THEN 1 ELSE 0 END)::BIGINT AS risk, concat_ws(',', "
     + ", ".join(f"CASE WHEN bool_or({k}) THEN '{k}' END" for k in sorted(CONTENT_SIGNALS))
-    + ") AS signals, count(*) FILTER (f) AS n_flagged, count(*) AS n FROM z GROUP BY source",
+    + ") AS signals, CASE WHEN count(*) FILTER (f) = 0 THEN 'unknown' ELSE 'ambiguous' END AS context, count(*) FILTER (f) AS n_flagged, count(*) AS n FROM z GROUP BY source",
     "regex_extract_fields": r"""
 SELECT doc_id, regexp_extract(t, '[a-z0-9]+@[a-z0-9]+\.[a-z]+') AS first_email, regexp_extract(t, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') AS first_ip, regexp_extract(t, '(SPDX|Copyright|License)[^\n]*') AS license_line,
   len(regexp_extract_all(t, '[0-9]{4,}')) AS n_long_numbers FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",

@@ -61,7 +61,7 @@ def test_content_risk(spark):
 def test_counting_days(spark):
     first = date(2026, 3, 1)
     days = [(first + timedelta(i), "HOLIDAY" if (first + timedelta(i)).weekday() >= 5 or first + timedelta(i) == date(2026, 3, 4) else "BUSINESS_DAY") for i in range(40)]
-    cal = {r["day"]: r for r in deadlines.numbered(spark.createDataFrame(days, "day date, status string")).collect()}
+    cal = {r["day"]: r for r in deadlines.numbered(spark.createDataFrame([(7, *d) for d in days], "region int, day date, status string")).collect()}
     start = cal[date(2026, 3, 2)]["after"]  # published on the second
     third = cal[start]["business"] + 3 - 1
     due = [d for d, r in cal.items() if r["is_business"] and r["business"] == third]
