@@ -117,6 +117,7 @@ _LOOSE_DOMAIN = re.compile(rf"@{_LABEL}(?:\s+\.\s+[a-z0-9-]+)+")
 _BLANKS = re.compile(r"\s+")
 _HELD = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", re.I)
 _DOT_WORDS = frozenset(_DOT.split("|"))
+_CUES = _DOT_WORDS | _DIGIT_WORDS.keys()
 _TOKEN = re.compile(r"\w+")
 #: Characters that a pattern without regard to case takes for an ASCII letter though they are none.
 _FOLDED = re.compile("[ſKİı]")
@@ -194,14 +195,16 @@ def hinted(text: str) -> bool:
     low = text.lower()
     if "plus" in low and _PLUS.search(text):
         return True
+    words = _TOKEN.findall(low)
+    cues = _CUES.intersection(words)
+    if not cues.isdisjoint(_DOT_WORDS):
+        return True
     run = 0
-    for w in _TOKEN.findall(low):
+    for w in words if cues else ():
         if w in _DIGIT_WORDS:
             run += 1
             if run == 3:
                 return True
-        elif w in _DOT_WORDS:
-            return True
         elif not w.isdigit():
             run = 0
     return False
