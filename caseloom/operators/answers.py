@@ -120,7 +120,32 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", F.coalesce(F.array_join(F.transform("p", lambda x: x["s"]), " "), F.lit("NO_SOURCE")).alias("answer"), F.coalesce(F.size("p"), F.lit(0)).cast("bigint").alias("n_citations"))
 
 
-QUERIES = {f.__name__: f for f in (folded_score_topk, fts_rerank, passage_scores, semantic_terms, one_per_group, issue_retrieval, citation_context, extractive_answer)}
+def cited_claims(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """``query_id, place, n, claim, doc_id, state``: each number in brackets of ``answers (query_id, answer)`` with the words
+    before it, held against the source of that number (``query_id, n, doc_id, excerpt``).
+
+    VERIFIED: the source holds the words, white space aside; UNSUPPORTED: it does not; INVENTED: there is no such source. A
+    number may stand for several, ``[1, 3]``; the words before it are then held against each. Answers without a citation
+    and null ones have no row.
+    """
+    one = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    cited = r"(?s)(.*?)\[\s*(?:Fonte\s+)?([0-9]{1,9}(?:\s*,\s*[0-9]{1,9})*)\s*\]"
+    pairs = F.arrays_zip(F.regexp_extract_all("answer", F.lit(cited), F.lit(1)).alias("claim"), F.regexp_extract_all("answer", F.lit(cited), F.lit(2)).alias("ns"))
+    rows = answers.select("query_id", F.posexplode(pairs).alias("place", "c")).select("query_id", "place", one(F.col("c.claim")).alias("claim"), F.explode(F.split("c.ns", r"\s*,\s*")).alias("n"))
+    held = sources.select(F.col("query_id").alias("_q"), F.col("n").cast("bigint").alias("_n"), "doc_id", one(F.col("excerpt")).alias("said"))
+    both = rows.withColumn("n", F.col("n").cast("bigint")).join(held, (F.col("query_id") == F.col("_q")) & (F.col("n") == F.col("_n")), "left")
+    state = F.when(F.col("_n").isNull(), "INVENTED").when(F.contains("said", "claim"), "VERIFIED").otherwise("UNSUPPORTED")
+    return both.select("query_id", F.col("place").cast("bigint").alias("place"), "n", "claim", "doc_id", state.alias("state"))
+
+
+def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations of each question's answer, and whether their sources hold what is cited."""
+    sources = kept(_sources(spark, sf_dir).select("query_id", "n", "doc_id", "excerpt"), "sources")
+    found = cited_claims(extractive_answer(spark, sf_dir).select("query_id", "answer"), sources)
+    return found.select("query_id", "place", "n", F.sha2("claim", 256).alias("claim"), "doc_id", "state")
+
+
+QUERIES = {f.__name__: f for f in (answer_citations, folded_score_topk, fts_rerank, passage_scores, semantic_terms, one_per_group, issue_retrieval, citation_context, extractive_answer)}
 
 _FOLD = "replace(strip_accents(lower({})), 'ß', 'ss')"
 _SQL_FOLDED = f"""z AS (SELECT DISTINCT query_id, {_FOLD.format('tok')} AS tok FROM t),
@@ -148,6 +173,8 @@ SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY worth
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN g = 1 THEN 0 ELSE 1 END, lexical DESC, doc_id) AS position, source, doc_id, lexical FROM s QUALIFY position <= 12""",
     "issue_retrieval": f"""WITH {SQL_LEXICAL}, s AS (SELECT query_id, doc_id, CASE WHEN lexical >= 10 THEN 'WHOLE' ELSE 'WORDS' END AS route, lexical FROM l WHERE lexical > 0) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY route, lexical DESC, doc_id) <= 5""",
     "citation_context": f"""WITH {_SQL_SOURCES} SELECT query_id, count(*) AS n_sources, sha256(string_agg('[' || n || '] (' || source || ' | Doc ' || doc_id || '):' || chr(10) || trim(x, ' '), chr(10) || chr(10) ORDER BY n)) AS context_hash FROM src GROUP BY 1""",
+    "answer_citations": rf"""WITH {_SQL_SOURCES}, a AS (SELECT *, trim(regexp_extract(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), '^ ?([^.!?]*[.!?]?)', 1), ' ') AS claim FROM src)
+SELECT query_id, n - 1 AS place, n, sha256(claim) AS claim, doc_id, 'VERIFIED' AS state FROM a""",
     "extractive_answer": rf"""WITH {_SQL_SOURCES}, a AS (SELECT query_id, string_agg(trim(regexp_extract(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), '^ ?([^.!?]*[.!?]?)', 1), ' ') || ' [' || n || ']', ' ' ORDER BY n) AS answer, count(*) AS k FROM src GROUP BY 1)
 SELECT query_id, coalesce(answer, 'NO_SOURCE') AS answer, coalesce(k, 0) AS n_citations FROM q LEFT JOIN a USING (query_id)""",
 }

@@ -144,3 +144,15 @@ def test_suppression_against_brute_force(spark):
             if not any(2 * n > w * h + c * d - n or 10 * n > 6 * min(w * h, c * d) for n, (_, a, b, c, d) in zip(shared, kept)):
                 kept.append((i, x, y, w, h))
         assert got[p] == [k[0] for k in kept]
+
+
+def test_citations_of_an_answer(spark):
+    from caseloom.operators.answers import cited_claims
+
+    answers = spark.createDataFrame([(1, "The court  ruled. [1] Costs are\nowed. [Fonte 2, 3] Nothing [9] end"), (2, "no citation"), (3, None), (4, "Own words [1]")], "query_id int, answer string")
+    sources = spark.createDataFrame([(1, 1, 10, "x The court ruled. y"), (1, 2, 20, "Costs  are owed."), (1, 3, 30, "Costs."), (4, 1, None, None)], "query_id int, n int, doc_id int, excerpt string")
+    got = {(r["query_id"], r["place"], r["n"], r["claim"], r["doc_id"], r["state"]) for r in cited_claims(answers, sources).collect()}
+    assert got == {
+        (1, 0, 1, "The court ruled.", 10, "VERIFIED"), (1, 1, 2, "Costs are owed.", 20, "VERIFIED"), (1, 1, 3, "Costs are owed.", 30, "UNSUPPORTED"),
+        (1, 2, 9, "Nothing", None, "INVENTED"), (4, 0, 1, "Own words", None, "UNSUPPORTED"),
+    }
