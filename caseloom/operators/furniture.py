@@ -13,6 +13,7 @@ itself. Lines decide in rounds, as soon as what stands before them has.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.passages import furniture_signature
-from caseloom.sources.tables import kept, table
+from caseloom.sources.tables import kept, texts
 
 #: Least similarity in percent, most pages between two of a run, fewest characters of a line that counts, and lines of a
 #: document's region that are few.
-SIMILARITY, PAGE_GAP, LEAST_CHARS, FEW = 85, 2, 4, 16
+SIMILARITY, PAGE_GAP, LEAST_CHARS, FEW = 85, 2, 4, 128
 KEY = ["doc", "region"]
 
 
@@ -35,16 +36,40 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+@functools.lru_cache(maxsize=4096)
 def pairs_of(line: str) -> Counter:
+    """How often each pair of neighbouring letters stands in a line; a line meets several others in a row."""
     return Counter(map(str.__add__, line, line[1:]))
 
 
+@functools.lru_cache(maxsize=4096)
+def _places(line: str) -> dict[str, int]:
+    """The places of each character of a line as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(line):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of a longest common subsequence, all places of ``a`` at once; matching blocks hold no more."""
+    places, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for c in b:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def like(a: str, b: str, percent: int = SIMILARITY) -> bool:
-    """Whether the matching blocks of both lines hold ``percent`` of them; seldom asked where too few pairs are shared."""
+    """Whether the matching blocks of both lines hold ``percent`` of them; asked only where enough pairs are shared and a
+    common subsequence is long enough."""
     total = len(a) + len(b)
     matched = -(-percent * total // 200)
-    if a != b and (pairs_of(a) & pairs_of(b)).total() < 3 * matched - total - 1:
-        return False
+    if a != b:
+        one, two = pairs_of(a), pairs_of(b)
+        if sum(map(min, one.values(), map(two.__getitem__, one))) < 3 * matched - total - 1 or 200 * common_length(a, b) < percent * total:
+            return False
     return ratio(a, b) >= percent / 100
 
 
@@ -142,7 +167,7 @@ PAGE_LINES = 3
 
 def fuzzy_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring first and last lines of the pages of each document, three lines to a page."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    docs = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     place = F.col("line") % PAGE_LINES
     region = F.when(place == 0, "header").when(place == PAGE_LINES - 1, "footer")
     lines = docs.select(F.col("doc_id").alias("doc"), region.alias("region"), F.floor(F.col("line") / PAGE_LINES).alias("page"), "line", "text").filter("region is not null")

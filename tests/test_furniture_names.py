@@ -48,6 +48,19 @@ def test_shared_pairs_are_a_necessary_condition():
             assert set(furniture.rarest(a, {})) & set(furniture.rarest(b, {})) and furniture.like(a, b), (a, b)
 
 
+def test_common_length_bounds_the_blocks():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 40))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        assert furniture.common_length(a, b) == row[-1] >= furniture.ratio(a, b) * (len(a) + len(b)) / 2 - 1e-9
+        assert furniture.like(a, b) == (furniture.ratio(a, b) >= 0.85)
+
+
 def test_recurring_lines_against_all_pairs(spark):
     rnd = random.Random(2)
     base = ["court of appeals first chamber", "confidential draft of the parties", "case number # page", "annex to the minutes"]
