@@ -3,7 +3,7 @@
 from caseloom.operators import stamps
 
 CASE, OTHER = "1000045-12.2024.8.26.0100", "2222222-12.2024.8.26.0100"
-FULL = f"Este documento é cópia do original, assinado digitalmente por ANA  MARIA e Tribunal de Justiça do Estado de São Paulo, protocolado em 02/03/2024 às 10:15, sob o número WPRC24700. Para conferir o original, acesse https://esaj.tjsp.jus.br/pastadigital, informe o processo {CASE} e código AB12cd."
+FULL = f"Este documento é cópia do original, assinado digitalmente por ANA  MARIA e Tribunal de Justiça do Estado de São Paulo, protocolado em 02/03/2024 às 10:15, sob o número WPRC24700. Para conferir o original, acesse https://example.org/pastadigital, informe o processo {CASE} e código AB12cd."
 RELEASED = f"Este documento foi liberado nos autos em 05/03/2024 às 9:05, assinado digitalmente por José Lima. Para conferir o original informe o processo {OTHER} e o código ZZ9."
 
 
@@ -17,7 +17,7 @@ def test_fields_of_a_stamp(spark):
     from pyspark.sql import functions as F
 
     got = {r["i"]: tuple(r["f"]) for r in df.select("i", stamps.fields(F.col("t")).alias("f")).collect()}
-    assert got[0] == ("PROTOCOLADO", "02/03/2024", "10:15", "ANA MARIA", "WPRC24700", "AB12cd", "https://esaj.tjsp.jus.br/pastadigital", [CASE])
+    assert got[0] == ("PROTOCOLADO", "02/03/2024", "10:15", "ANA MARIA", "WPRC24700", "AB12cd", "https://example.org/pastadigital", [CASE])
     assert got[1] == ("LIBERADO NOS AUTOS", "05/03/2024", "9:05", "José Lima", None, "ZZ9", None, [OTHER])
     assert got[2] == (None, None, None, "Só Nome", None, None, None, [])
     assert got[3] == (None,) * 7 + ([],) and got[4][:3] == ("LIBERADO NOS AUTOS", None, "7:00")
