@@ -29,9 +29,9 @@ def pieces(lines: DataFrame) -> DataFrame:
     return g.select(F.concat_ws("-", "movement_id", "l_linenumber").alias("piece_id"), "movement_id", "n", "units", row_hash("n", "units").alias("digest"))
 
 
-def movement_runs(spark: SparkSession, sf_dir: str) -> tuple[StoredTable, StoredTable]:
+def movement_runs(spark: SparkSession, sf_dir: str, with_pieces: bool) -> tuple[StoredTable, StoredTable]:
     """Three runs: all that is there; only movements that moved since, where silence deletes nothing; all that is still
-    named, where silence deletes. Pieces follow the movements that a run wrote, pruned with them."""
+    named, where silence deletes. Pieces, if wanted, follow the movements that a run wrote, pruned with them."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_shipdate").cast("timestamp_ntz").alias("l_shipdate"))
     before = lambda day: F.col("l_shipdate") < F.to_timestamp_ntz(F.lit(day))
     path = shared_path(spark, "movements")
@@ -45,6 +45,8 @@ def movement_runs(spark: SparkSession, sf_dir: str) -> tuple[StoredTable, Stored
         if i == 2:
             wanted = wanted.filter(F.col("moved_on") >= NAMED_SINCE)
         moves.merge(wanted, prune=i != 1)
+        if not with_pieces:
+            continue
         changed = moves.changes()
         own = pieces(seen).join(changed.filter("action <> 'PRUNE'").select("movement_id"), "movement_id", "left_semi")
         parts.merge(own, prune=True, scope=("movement_id", changed.select("movement_id")))
@@ -53,12 +55,12 @@ def movement_runs(spark: SparkSession, sf_dir: str) -> tuple[StoredTable, Stored
 
 def stored_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored movements after three runs, with the runs that made and last changed each."""
-    return movement_runs(spark, sf_dir)[0].read().select("movement_id", "n_pieces", "units", "moved_on", CREATED, UPDATED)
+    return movement_runs(spark, sf_dir, False)[0].read().select("movement_id", "n_pieces", "units", "moved_on", CREATED, UPDATED)
 
 
 def stored_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored pieces after three runs: those of pruned movements went with them."""
-    return movement_runs(spark, sf_dir)[1].read().select("piece_id", "movement_id", "n", "units", CREATED, UPDATED)
+    return movement_runs(spark, sf_dir, True)[1].read().select("piece_id", "movement_id", "n", "units", CREATED, UPDATED)
 
 
 def pull(events: DataFrame, stored: StoredTable, marks: StoredTable, until: str, fails) -> None:
