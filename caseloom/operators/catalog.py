@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import count_of
 from caseloom.operators.retrieval import SQL_LEXICAL, SQL_TOKENS, SQL_WORD, WORD, _low_docs, _query, _scored_docs, best_of, occurrences, question_blocks, union_of
-from caseloom.sources.tables import table, texts
+from caseloom.sources.tables import kept, table, texts
 
 
 def as_ranges(df: DataFrame, keys: list[str], number: str, name: str = "ranges") -> DataFrame:
@@ -68,14 +74,108 @@ def phrases(docs: DataFrame, longest: int = 4) -> DataFrame:
     return df.filter("phrase is not null")
 
 
+#: Buckets that the phrases of one language and length are counted in, and the fullest that are looked into first.
+BUCKETS, FULLEST = 1 << 16, 32
+
+
+def _runs_of(batch: pa.RecordBatch, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the words of ``batch (lang, w)``, and of every run of so many neighbours of one text its row, the
+    place of its first word and its bucket."""
+    lists = batch.column("w")
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    coded = flat.dictionary_encode()
+    own = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+    runs = own
+    for n in range(1, longest + 1):
+        if n > 1:
+            runs = runs[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[n - 1 :]
+        at = np.flatnonzero(row[: len(runs)] == row[n - 1 :])
+        yield n, flat, row[at], at, ((runs[at] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype("int64")
+
+
+def fill_of_buckets(words: DataFrame, longest: int) -> DataFrame:
+    """``lang, n_words, bucket, n``: how often a phrase of the bucket stands in ``words (lang, w)``, so that no phrase in it
+    stands in more texts."""
+
+    def told(total: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, n), counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), n)), pa.array(at), pa.array(counts[at])], ["lang", "n_words", "bucket", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            codes, langs = pd.factorize(batch.column("lang").to_pandas(), use_na_sentinel=False)
+            langs = [x if isinstance(x, str) else None for x in langs]
+            for n, _, row, _, bucket in _runs_of(batch, longest):
+                for i, lang in enumerate(langs):
+                    total[lang, n] = total.get((lang, n), 0) + np.bincount(bucket[codes[row] == i], minlength=BUCKETS)
+            if len(total) > 64:
+                yield from told(total)
+                total = {}
+        yield from told(total)
+
+    rows = words.mapInArrow(counted, "lang string, n_words bigint, bucket bigint, n bigint")
+    return rows.groupBy("lang", "n_words", "bucket").agg(F.sum("n").alias("n"))
+
+
+def phrases_in(words: DataFrame, buckets: DataFrame, longest: int) -> DataFrame:
+    """``lang, n_words, phrase, n_docs``: the phrases of ``words (lang, w)`` whose bucket is one of ``buckets``, and how many
+    texts each stands in. To the tasks goes one bit for each bucket of a language and length."""
+    wanted = {}
+    for r in buckets.groupBy("lang", "n_words").agg(F.collect_list("bucket").alias("b")).collect():
+        bits = np.zeros(BUCKETS, bool)
+        bits[r["b"]] = True
+        wanted[r["lang"], r["n_words"]] = np.packbits(bits)
+    shared = words.sparkSession.sparkContext.broadcast(wanted)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang")
+            codes, names = pd.factorize(langs.to_pandas(), use_na_sentinel=False)
+            names = [x if isinstance(x, str) else None for x in names]
+            for n, flat, row, at, bucket in _runs_of(batch, longest):
+                bits = [np.unpackbits(shared.value[x, n]) if (x, n) in shared.value else np.zeros(BUCKETS, "uint8") for x in names]
+                hit = np.stack(bits)[codes[row], bucket] > 0 if bits else np.zeros(0, bool)
+                row, at = row[hit], at[hit]
+                parts = [flat.take(pa.array(at + i)) for i in range(n)]
+                said = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
+                once = pa.table({"row": row, "phrase": said}).group_by(["row", "phrase"]).aggregate([])
+                rows = pa.table({"lang": langs.take(once["row"].combine_chunks()), "n_words": np.full(len(once), n), "phrase": once["phrase"]})
+                yield from rows.combine_chunks().to_batches()
+
+    return words.mapInArrow(found, "lang string, n_words bigint, phrase string").groupBy("lang", "n_words", "phrase").agg(F.count("*").alias("n_docs"))
+
+
+def common_phrases(words: DataFrame, k: int, longest: int = 4) -> DataFrame:
+    """``lang, n_words, phrase, n_docs, rank``: of each language and length the ``k`` phrases that most texts of ``words
+    (lang, w)`` hold.
+
+    Nearly all phrases stand in one text, so they are counted in buckets first, and only those of some buckets by
+    themselves. Those of the fullest buckets give ``k`` phrases with their counts; a bucket that is less full than the least
+    of these holds none of the best, all others are looked into. Nothing is left out: where texts have few phrases in
+    common, more buckets are looked into.
+    """
+    keys, most = ["lang", "n_words"], Window.partitionBy("lang", "n_words").orderBy(F.desc("n"), "bucket")
+    fill = kept(fill_of_buckets(words, longest).withColumn("r", F.row_number().over(most)), "buckets")
+    first = kept(phrases_in(words, fill.filter(F.col("r") <= FULLEST), longest), "phrases")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_docs"), "phrase"))
+    least = F.broadcast(first.withColumn("r", rank).filter(F.col("r") == k).select(F.col("lang").alias("l"), F.col("n_words").alias("w"), "n_docs"))
+    more = fill.filter(F.col("r") > FULLEST).join(least, F.col("lang").eqNullSafe(F.col("l")) & (F.col("n_words") == F.col("w")), "left")
+    more = more.filter(F.col("n") >= F.coalesce("n_docs", F.lit(0))).select(*keys, "bucket")
+    counts = first if more.isEmpty() else first.unionByName(phrases_in(words, more, longest))
+    # the best of each language are among those of each part of it, so no task gets a language whole
+    part = Window.partitionBy(*keys, F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(F.desc("n_docs"), "phrase")
+    few = counts.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k)
+    return few.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "phrase", "n_docs", "rank")
+
+
 def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight phrases of one, two, three and four words that stand in most documents of each language."""
-    counts = phrases(texts(spark, sf_dir)).groupBy("lang", "n_words", "phrase").agg(F.count("*").alias("n_docs"))
-    # the best eight of each language are among those of each part of it, so no task gets a language whole
-    part = Window.partitionBy("lang", "n_words", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(F.desc("n_docs"), "phrase")
-    few = counts.withColumn("r", F.row_number().over(part)).filter("r <= 8")
-    rank = F.row_number().over(Window.partitionBy("lang", "n_words").orderBy(F.desc("n_docs"), "phrase"))
-    return few.withColumn("rank", rank).filter("rank <= 8").select("lang", "n_words", "phrase", "n_docs", "rank")
+    words = texts(spark, sf_dir).select("lang", F.regexp_extract_all(F.lower("text"), F.lit(WORD + "+"), F.lit(0)).alias("w"))
+    return common_phrases(kept(words, "words"), 8)
 
 
 def hierarchical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

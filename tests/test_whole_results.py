@@ -80,6 +80,24 @@ def test_phrase_mining_counts_documents(spark, sf_dir):
     assert all(seen[k][p] == n for k, v in got.items() for p, n in v)
 
 
+@pytest.mark.parametrize("fullest, buckets", [(32, 1 << 16), (1, 1 << 16), (1, 8)])
+def test_phrases_of_any_bucket(spark, monkeypatch, fullest, buckets):
+    """Few phrases in common, equal counts, a language that is null, one with less than eight phrases; full buckets too."""
+    monkeypatch.setattr(catalog, "FULLEST", fullest)
+    if buckets < 1 << 16:  # all phrases in eight buckets
+        real = catalog._runs_of
+        monkeypatch.setattr(catalog, "_runs_of", lambda b, n: ((m, f, r, a, k % buckets) for m, f, r, a, k in real(b, n)))
+    draw = np.random.default_rng(3)
+    docs = [(lang, [f"w{x}" for x in draw.zipf(1.4, 40) % 50]) for lang in ("de", None, "en") for _ in range(30)] + [("pt", ["a", "b"]), ("pt", ["a"]), ("es", [])]
+    seen = {}
+    for lang, w in docs:
+        for n in range(1, 5):
+            seen.setdefault((lang, n), Counter()).update({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)})
+    want = {(*k, p, c, i + 1) for k, v in seen.items() for i, (p, c) in enumerate(sorted(v.items(), key=lambda x: (-x[1], x[0]))[:8])}
+    got = catalog.common_phrases(spark.createDataFrame(docs, "lang string, w array<string>").filter("size(w) > 0"), 8)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def cosines(sf_dir):
     df = frame(sf_dir, "embeddings", "vec_id", "embedding").sort_values("vec_id")
     m = np.stack(df["embedding"]).astype("float64")
