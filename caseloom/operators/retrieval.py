@@ -182,60 +182,63 @@ def _scored_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return for_each_query(_low_docs(spark, sf_dir, *columns), _query(spark, sf_dir), _lexical, "doc_id", *columns).withColumnRenamed("score", "lexical")
 
 
-def _matrices(vectors: DataFrame) -> DataFrame:
-    """``vec_ids, labels, dim, data``: a row for each length of vector in a batch; null vectors have length 0."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            own = [np.asarray([] if v is None else v, dtype="float64") for v in df["embedding"]]
-            sizes = np.array([v.size for v in own], dtype="int64")
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                rows = np.stack([own[i] for i in at])
-                norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-                unit = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-                yield pd.DataFrame({"vec_ids": [df["vec_id"].to_numpy()[at].tolist()], "labels": [df["label"].astype(object).to_numpy()[at].tolist()], "dim": [int(dim)], "data": [unit.tobytes()]})
-
-    label = vectors.schema["label"].dataType.simpleString()
-    return vectors.select("vec_id", "label", "embedding").mapInPandas(pack, f"vec_ids array<bigint>, labels array<{label}>, dim bigint, data binary")
-
-
-def _asked_vectors(queries: DataFrame) -> list[DataFrame]:
-    """``query_ids, query_dim, query_data`` of each block of queries."""
+def _units(vectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of ``vectors`` the places of those and their unit vectors; null vectors have length 0."""
+    own = [np.asarray([] if v is None else v, dtype="float64") for v in vectors]
+    sizes = np.array([v.size for v in own], dtype="int64")
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        rows = np.stack([own[i] for i in at])
+        norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        yield int(dim), at, np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
+def _asked_vectors(queries: DataFrame) -> list:
+    """For each block of queries, at the tasks: ``dim, ids, unit vectors`` of each length. What a task holds of them is the
+    bound of a block, whatever the number of vectors."""
     blocks = question_blocks(queries.withColumn("query_id", F.col("vec_id")), 8 * F.coalesce(F.size("embedding"), F.lit(0)))
-    return [_matrices(b).select(F.col("vec_ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("data").alias("query_data")) for b in blocks]
+    out = []
+    for block in blocks:
+        rows = block.select("vec_id", "embedding").collect()  # a block's bytes and questions are bounded
+        ids = np.array([r[0] for r in rows], dtype="int64")
+        out.append(queries.sparkSession.sparkContext.broadcast([(dim, ids[at], unit) for dim, at, unit in _units([r[1] for r in rows])]))
+    return out
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
     """``query_id, vec_id, label, score``: the ``k`` rows of ``vectors`` of highest cosine for each of ``queries``.
 
-    Blocks of vectors meet blocks of queries as matrices, and each pair of blocks keeps ``k`` rows a query; there is
-    one pass over the vectors for each block of queries. The cosine is 0 for empty vectors, different lengths and zero norms; ties go to the lower id. Without ``itself``
-    a query's own row is not among its neighbours.
+    Each batch of vectors meets the queries as matrices and keeps ``k`` rows a query, so a task holds one batch at a time;
+    there is one pass over the vectors for each block of queries. The cosine is 0 for empty vectors, different lengths and
+    zero norms; ties go to the lower id. Without ``itself`` a query's own row is not among its neighbours.
     """
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for r in df.itertuples(index=False):
-                ids, own = np.asarray(r.vec_ids), np.asarray(r.query_ids)
-                alike = r.dim == r.query_dim and r.dim > 0
-                mine = np.frombuffer(r.data).reshape(len(ids), -1) if alike else None
-                for start in range(0, len(own), 256):
-                    some = own[start : start + 256]
-                    cos = np.frombuffer(r.query_data).reshape(len(own), -1)[start : start + 256] @ mine.T if alike else np.zeros((len(some), len(ids)))
-                    cos = np.round(cos, 6) + 0.0
-                    if not itself:
-                        cos[some[:, None] == ids[None, :]] = -np.inf
-                    n = min(k, len(ids))
-                    least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
-                    for q, line, low in zip(some, cos, least):
-                        at = np.flatnonzero((line >= low) & (line > -np.inf))
-                        at = at[np.lexsort((ids[at], -line[at]))[:n]]
-                        yield pd.DataFrame({"query_id": q, "vec_id": ids[at], "label": [r.labels[i] for i in at], "score": line[at]})
+    def scorer(shared):
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                for dim, here, mine in _units(df["embedding"]):
+                    ids, labels = df["vec_id"].to_numpy()[here], df["label"].astype(object).to_numpy()[here]
+                    for query_dim, own, asked in shared.value:
+                        for start in range(0, len(own), 256):
+                            some = own[start : start + 256]
+                            cos = asked[start : start + 256] @ mine.T if dim == query_dim and dim > 0 else np.zeros((len(some), len(ids)))
+                            cos = np.round(cos, 6) + 0.0
+                            if not itself:
+                                cos[some[:, None] == ids[None, :]] = -np.inf
+                            n = min(k, len(ids))
+                            least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
+                            q, at = np.nonzero((cos >= least[:, None]) & (cos > -np.inf))
+                            order = np.lexsort((ids[at], -cos[q, at], q))
+                            q, at = q[order], at[order]
+                            few = np.arange(len(q)) - np.searchsorted(q, q, "left") < n  # of equal scores the lower ids
+                            q, at = q[few], at[few]
+                            yield pd.DataFrame({"query_id": some[q], "vec_id": ids[at], "label": labels[at], "score": cos[q, at]})
+
+        return score
 
     label = vectors.schema["label"].dataType.simpleString()
-    mine = _matrices(vectors)
-    found = [mine.crossJoin(F.broadcast(asked)).mapInPandas(score, f"query_id bigint, vec_id bigint, label {label}, score double") for asked in _asked_vectors(queries)]
+    rows = vectors.select("vec_id", "label", "embedding")
+    found = [rows.mapInPandas(scorer(asked), f"query_id bigint, vec_id bigint, label {label}, score double") for asked in _asked_vectors(queries)]
     return best_of(union_of(found), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
@@ -259,19 +262,22 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, vec_id, semantic``: the cosine of every vector with every one of ``queries``, in blocks of both."""
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for r in df.itertuples(index=False):
-                ids, own = np.asarray(r.vec_ids), np.asarray(r.query_ids)
-                alike = r.dim == r.query_dim and r.dim > 0
-                mine = np.frombuffer(r.data).reshape(len(ids), -1) if alike else None
-                for q, vector in zip(own, np.frombuffer(r.query_data).reshape(len(own), -1)):
-                    yield pd.DataFrame({"query_id": q, "vec_id": ids, "semantic": np.round(mine @ vector, 6) + 0.0 if alike else np.zeros(len(ids))})
-
-    mine = _matrices(vectors)
-    return union_of([mine.crossJoin(F.broadcast(asked)).mapInPandas(score, "query_id bigint, vec_id bigint, semantic double") for asked in _asked_vectors(queries)])
+    """``query_id, vec_id, semantic``: the cosine of every vector with every one of ``queries``, batch by batch."""
+
+    def scorer(shared):
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                for dim, here, mine in _units(df["embedding"]):
+                    ids = df["vec_id"].to_numpy()[here]
+                    for query_dim, own, asked in shared.value:
+                        for q, vector in zip(own, asked):
+                            yield pd.DataFrame({"query_id": q, "vec_id": ids, "semantic": np.round(mine @ vector, 6) + 0.0 if dim == query_dim and dim > 0 else np.zeros(len(ids))})
+
+        return score
+
+    rows = vectors.select("vec_id", "embedding")
+    found = [rows.mapInPandas(scorer(asked), "query_id bigint, vec_id bigint, semantic double") for asked in _asked_vectors(queries)]
+    return union_of(found)
 
 
 def excerpt(text: Column, size: int = 400) -> Column:

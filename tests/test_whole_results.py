@@ -219,3 +219,21 @@ def test_blocks_of_questions_change_nothing(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 1000)
     monkeypatch.setattr(retrieval, "BLOCK_BYTES", 3000)
     assert len(retrieval.question_blocks(asked)) > 2 and len(retrieval.question_blocks(asked.limit(0))) == 1
+
+
+def test_vectors_meet_questions_without_a_join(spark):
+    """Pairs of matrices as rows of a join come to a task by the thousand; ties, lengths, nulls and zero norms as before."""
+    rows = [(i, i % 3, None if i == 7 else [0.0, 0.0] if i == 8 else [1.0, float(i % 5), 2.0] if i % 4 == 0 else [1.0, float(i % 4)]) for i in range(301)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)
+    found = retrieval.nearest(vectors, vectors.filter("vec_id % 100 = 0 or vec_id in (7, 8)"), 20, itself=False)
+    also = retrieval.similarities(vectors, vectors.filter("vec_id % 100 = 0"))
+    assert not any(j in df._jdf.queryExecution().toString() for df in (found, also) for j in ("NestedLoop", "Cartesian"))
+
+    def cos(a, b):
+        if not a or not b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return float(np.round(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)), 6))
+
+    every = {q: {i: cos(e, v) for i, _, v in rows} for q, _, e in rows}
+    assert {(r.query_id, r.vec_id): pytest.approx(r.semantic, abs=2e-6) for r in also.collect()} == {(q, i): c for q in (0, 100, 200, 300) for i, c in every[q].items()}
+    assert listed(found, "vec_id") == {q: first({i: c for i, c in every[q].items() if i != q}, 20) for q in (0, 7, 8, 100, 200, 300)}
