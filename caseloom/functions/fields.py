@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from caseloom.functions.passages import _folds, one_spaced
 from caseloom.functions.text import count_of
-from caseloom.sources.tables import table, texts
+from caseloom.sources.tables import dealt, table, texts
 
 
 def ladder(text: Column, *rules: tuple[str, str]) -> Column:
@@ -293,7 +293,7 @@ def heading_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as Markdown, and its blocks under their headings: two levels, a list that is one block, and an end."""
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("- piece "), n.cast("string"))), "\n\n").alias("items"), F.count("*").alias("n"))
+    l = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("- piece "), n.cast("string"))), "\n\n").alias("items"), F.count("*").alias("n"))
     o = table(spark, sf_dir, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
     text = F.concat(F.lit("# "), F.col("o_orderpriority"), F.lit(" #\n\nIntro of "), F.col("o_orderkey").cast("string"), F.lit("\n\n## Pieces\n\n"), F.col("items"), F.lit("\n\n# End\nLast line"))
     blocks = heading_blocks(o.select("o_orderkey", text.alias("md")), "o_orderkey", "md")

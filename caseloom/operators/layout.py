@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.sources.tables import table
+from caseloom.sources.tables import dealt, table
 
 WIDTH, HEIGHT = 600, 800
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page, box, x0, y0, x1, y1, score, kind``: whole numbers all."""
-    l = table(spark, sf_dir, "lineitem").distinct()
+    l = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").distinct()
     x0, y0 = (F.col("l_partkey") * 7 % 400).cast("int"), (F.col("l_suppkey") * 53 % 700).cast("int")
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
     return l.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.retrieval import _query, best_of, for_each_query
-from caseloom.sources.tables import table
+from caseloom.sources.tables import dealt, table
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -200,9 +200,10 @@ def case_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recipient_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who a movement is for: the suppliers of its returned pieces, else those of all pieces, else the party itself."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pieces = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
+    lines = pieces.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name")), F.col("o_custkey") == F.col("c_custkey"))
-    named = lines.select("o_orderkey", F.col("s_name").alias("name"), "l_returnflag")
+    named = dealt(lines.select("o_orderkey", F.col("s_name").alias("name"), "l_returnflag"), "o_orderkey", pieces.count())
     tiers = [named.filter("l_returnflag = 'R'").select("o_orderkey", "name").distinct(), named.select("o_orderkey", "name").distinct(), own.select("o_orderkey", "name")]
     return first_tier(tiers, "o_orderkey").groupBy("o_orderkey", "tier").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("label"))
 

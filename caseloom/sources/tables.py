@@ -20,6 +20,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
 
 
+#: Rows of a part in ``dealt``.
+PART_ROWS = 250_000
+
+
+def dealt(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ``key``, in so many parts that each has about ``PART_ROWS`` of its ``rows`` (counted if not given)
+    where the session's number of parts would make them larger: what a task sorts, groups or collects of a key's rows then
+    stays the same however large the table is, and later steps by ``key`` need no other shuffle."""
+    parts = -(-(df.count() if rows is None else rows) // PART_ROWS)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` for work on their whole texts: on all cores also where they are one small file."""
     return spread(table(spark, sf_dir, "documents"), "doc_id")

@@ -237,3 +237,17 @@ def test_vectors_meet_questions_without_a_join(spark):
     every = {q: {i: cos(e, v) for i, _, v in rows} for q, _, e in rows}
     assert {(r.query_id, r.vec_id): pytest.approx(r.semantic, abs=2e-6) for r in also.collect()} == {(q, i): c for q in (0, 100, 200, 300) for i, c in every[q].items()}
     assert listed(found, "vec_id") == {q: first({i: c for i, c in every[q].items() if i != q}, 20) for q in (0, 7, 8, 100, 200, 300)}
+
+
+def test_pages_are_dealt_once_and_in_more_parts_as_they_grow(spark, sf_dir, monkeypatch):
+    from caseloom.functions import fields
+    from caseloom.operators import layout, timeline
+    from caseloom.sources import tables
+
+    few = [tuple(r) for r in layout.cell_matrix(spark, sf_dir).collect()]
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    for query in (layout.cell_matrix, layout.reading_slots, layout.column_slots, fields.heading_paths, timeline.recipient_label):
+        found = query(spark, sf_dir)
+        assert f", {n})" in found._jdf.queryExecution().executedPlan().toString(), query.__name__
+    assert sorted(few) == sorted(tuple(r) for r in layout.cell_matrix(spark, sf_dir).collect())
