@@ -21,12 +21,12 @@ PULLED = ("2024-01-10", "2024-01-20", "2024-01-31")
 
 def movements(lines: DataFrame) -> DataFrame:
     g = lines.groupBy(F.col("l_orderkey").alias("movement_id")).agg(F.count("*").alias("n_pieces"), F.sum("l_quantity").cast("bigint").alias("units"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("moved_on"))
-    return g.withColumn("digest", row_hash("n_pieces", "units", "moved_on"))
+    return g.withColumn("digest", F.xxhash64("n_pieces", "units", "moved_on"))
 
 
 def pieces(lines: DataFrame) -> DataFrame:
     g = lines.groupBy(F.col("l_orderkey").alias("movement_id"), "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("units"))
-    return g.select(F.concat_ws("-", "movement_id", "l_linenumber").alias("piece_id"), "movement_id", "n", "units", row_hash("n", "units").alias("digest"))
+    return g.select(F.concat_ws("-", "movement_id", "l_linenumber").alias("piece_id"), "movement_id", "n", "units", F.xxhash64("n", "units").alias("digest"))
 
 
 def movement_runs(spark: SparkSession, sf_dir: str, with_pieces: bool) -> tuple[StoredTable, StoredTable]:
@@ -35,21 +35,20 @@ def movement_runs(spark: SparkSession, sf_dir: str, with_pieces: bool) -> tuple[
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_shipdate").cast("timestamp_ntz").alias("l_shipdate"))
     before = lambda day: F.col("l_shipdate") < F.to_timestamp_ntz(F.lit(day))
     path = shared_path(spark, "movements")
-    moves, parts = StoredTable(spark, f"{path}/movements", "movement_id"), StoredTable(spark, f"{path}/pieces", "piece_id")
+    moves, parts = StoredTable(spark, f"{path}/movements", "movement_id"), StoredTable(spark, f"{path}/pieces", "piece_id", by="movement_id")
+    n = moves.parts(lines.count())
     for i, day in enumerate(SHIPPED):
-        seen = lines.filter(before(day))
-        if i == 1:
-            since = seen.filter(~before(SHIPPED[0])).select("l_orderkey").distinct()
-            seen = seen.join(since, "l_orderkey", "left_semi")
+        # all that follows goes by order, so a run's lines are shuffled once for each table
+        seen = lines.filter(before(day)).repartition(n, "l_orderkey")
         wanted = movements(seen)
-        if i == 2:
-            wanted = wanted.filter(F.col("moved_on") >= NAMED_SINCE)
-        moves.merge(wanted, prune=i != 1)
+        if i:
+            wanted = wanted.filter(F.col("moved_on") >= (SHIPPED[0], NAMED_SINCE)[i - 1])
+        moves.merge(wanted, prune=i != 1, parts=n)
         if not with_pieces:
             continue
         changed = moves.changes()
-        own = pieces(seen).join(changed.filter("action <> 'PRUNE'").select("movement_id"), "movement_id", "left_semi")
-        parts.merge(own, prune=True, scope=("movement_id", changed.select("movement_id")))
+        own = pieces(seen.join(changed.filter("action <> 'PRUNE'").select(F.col("movement_id").alias("l_orderkey")).repartition(n, "l_orderkey"), "l_orderkey", "left_semi"))
+        parts.merge(own, prune=True, scope=("movement_id", changed.select("movement_id")), parts=n)
     return moves, parts
 
 
@@ -132,7 +131,7 @@ def invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda kind, c: F.concat_ws(":", F.lit(kind), c)
 
     def hashes(seen: DataFrame) -> DataFrame:
-        digest = movements(seen).select(F.col("movement_id").alias("o_orderkey"), "digest")
+        digest = movements(seen).select(F.col("movement_id").alias("o_orderkey"), F.col("digest").cast("string").alias("digest"))
         own = orders.join(digest, "o_orderkey", "left").select(name("order", "o_orderkey").alias("artifact"), F.coalesce("digest", F.lit("")).alias("source_hash"))
         fixed = [df.select(name(kind, c).alias("artifact"), F.lit("").alias("source_hash")).distinct() for kind, df, c in (("customer", customers, "c_custkey"), ("nation", nations, "n_nationkey"), ("region", nations, "n_regionkey"))]
         return own.unionByName(fixed[0]).unionByName(fixed[1]).unionByName(fixed[2])

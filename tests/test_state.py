@@ -107,3 +107,24 @@ def test_staleness_runs_along_dependants(spark):
     got = {r["artifact"]: r["reason"] for r in state.stale_artifacts(built, now, needs).collect()}
     assert got == {"a": "CHANGED", "b": "DEPENDENCY", "c": "DEPENDENCY", "gone": "GONE", "new": "NEW", "y": "DEPENDENCY"}
     assert state.stale_artifacts(built.limit(0), now.limit(0), needs).count() == 0
+
+
+def test_a_merge_deals_rows_by_their_case_and_writes_them_once(spark, tmp_path):
+    table, want = StoredTable(spark, f"file://{tmp_path}/t", "k", buckets=4, by="scope"), {}
+    first = {k: (f"s{k % 7}", "a", "v") for k in range(60)}
+    second = {k: (f"s{k % 7}", "b" if k % 2 else "a", "w") for k in range(80) if k % 7 < 3 and k % 5}
+    for version, (wanted, scope) in enumerate(((first, None), (second, {"s0", "s1", "s2"})), 1):
+        n = table.parts()
+        told = table.merge(frame(spark, wanted).repartition(n, "scope"), True, scope and ("scope", spark.createDataFrame([(s,) for s in scope], "s string")), parts=n)
+        want = slow_merge(want, wanted, version, True, scope)
+        assert stored(table) == want and told["rows"] == len(want)
+        # one file for each bucket and part, and nothing beside them
+        files = [f for f in tmp_path.glob(f"t/{told['changes']}/**/*") if f.suffix == ".parquet"]
+        assert len(files) <= n and {f.parent.parent for f in files} == {tmp_path / "t" / told["changes"]}
+        assert len(list((tmp_path / "t" / told["changes"]).parent.iterdir())) == 1
+    of = table.read().withColumn("place", F.input_file_name()).select("scope", F.regexp_extract("place", r"bucket=(\d+)", 1).alias("b")).distinct()
+    assert of.groupBy("scope").count().filter("count > 1").isEmpty()
+    assert {(r["k"], r["action"]) for r in table.changes().collect()} == {(k, "INSERT") for k in second.keys() - first.keys()} | {(k, "UPDATE") for k in second.keys() & first.keys() if k % 2} | {(k, "PRUNE") for k in first if k % 7 < 3 and k not in second}
+    before = sorted(tmp_path.glob("t/data/*"))
+    table.merge(frame(spark, {k: row for k, (row, _, _) in want.items()}))
+    assert sorted(tmp_path.glob("t/data/*")) == before  # a run that changes nothing leaves nothing
