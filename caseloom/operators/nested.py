@@ -2,48 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.sources.tables import kept, table
+from caseloom.sources.tables import dealt, kept, parts, table
 
 #: Collections of an analysis whose items have a key and a text.
 COLLECTIONS = ("facts", "claims", "requests", "evidence", "decisions")
 
 
-def _opened(rows: DataFrame, value: str) -> DataFrame:
-    """Each member of the objects and arrays in ``value``: the other columns, ``pos``, ``key`` (null in arrays), ``value``."""
+#: Levels that ``leaves`` opens in one step.
+LEVELS = 16
+#: For how many rows a value with its leaves counts in the size of a part.
+VALUE_ROWS = 8
+
+
+def _opened(rows: DataFrame, value: str, outer: bool = False) -> DataFrame:
+    """Each member of the objects and arrays in ``value``: the other columns, ``pos``, ``key`` (null in arrays), ``value``.
+    With ``outer``, a value without members gives one row of nulls."""
     rows.createOrReplaceTempView("_opened")
-    rest = ", ".join(f"t.`{c}`" for c in rows.columns if c != value)
-    out = rows.sparkSession.sql(f"SELECT {rest}, e.pos, e.key, e.value FROM _opened t, LATERAL variant_explode(t.`{value}`) e")
+    rest = ", ".join(f"t.`{c}`" for c in rows.columns if outer or c != value)
+    out = rows.sparkSession.sql(f"SELECT {rest}, e.pos, e.key, e.value FROM _opened t, LATERAL variant_explode{'_outer' if outer else ''}(t.`{value}`) e")
     rows.sparkSession.catalog.dropTempView("_opened")
     return out
 
 
+def brackets(text: Column) -> Column:
+    """The brackets of a JSON text in their order; those in strings are none."""
+    plain = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\.", "")).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', ""), r"[^\[\]{}]+", "")
+
+
+def depth(shape: Column) -> Column:
+    """How deep ``brackets`` are nested."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(F.split(shape, ""), start, step, lambda a: a["most"])
+
+
 def leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key, path, kind, leaf``: every value in the JSON of ``text`` that holds no others, with the way to it.
 
-    A way is ``$.a[0].b``; empty objects and arrays are leaves of their own. Text that is null or no JSON has none. One
-    round opens one level of all rows at once, so there are as many rounds as levels, however many values.
+    A way is ``$.a[0].b``; empty objects and arrays are leaves of their own. Text that is null or no JSON has none. The
+    values are read once and written with their brackets, which tell how many levels there are; then the levels are opened
+    one after the other in each row, and what is open no more stays as it is. Values are dealt by ``key``, and so are their
+    leaves; nothing else is shuffled, and nothing written but between each ``LEVELS`` levels.
     """
-    open_ = rows.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("v")).filter("v is not null")
-    found = []
-    while True:
-        shape = F.schema_of_variant("v")
-        # an empty object or array has no members to open
-        holds = (shape.startswith("OBJECT<") & (shape != "OBJECT<>")) | (shape.startswith("ARRAY<") & (F.to_json("v") != "[]"))
-        level = kept(open_.select(key, "path", "v", holds.alias("holds"), shape.alias("kind")), "variant")
-        found.append(level.filter("not holds").select(key, "path", "kind", F.to_json("v").alias("leaf")))
-        if level.filter("holds").isEmpty():
-            break
+    held = kept(rows.select(F.col(key).alias("_id"), F.try_parse_json(F.col(text)).alias("v"), brackets(F.col(text)).alias("shape")).filter("v is not null"), "variant")
+    most = held.select("shape").distinct().agg(F.max(depth(F.col("shape")))).first()[0] or 0
+    open_ = dealt(held.select("_id", F.lit("$").alias("path"), "v"), "_id", VALUE_ROWS * held.count())
+    for level in range(most):
+        if level and level % LEVELS == 0:
+            open_ = kept(open_, "variant")
         step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        # a member "key" would hide that of the row
-        inside = _opened(level.filter("holds").select(F.col(key).alias("_id"), "path", "v"), "v")
-        open_ = inside.select(F.col("_id").alias(key), F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        member = F.col("pos").isNotNull()
+        open_ = _opened(open_, "v", outer=True).select("_id", F.when(member, F.concat("path", step)).otherwise(F.col("path")).alias("path"), F.when(member, F.col("value")).otherwise(F.col("v")).alias("v"))
+    return open_.select(F.col("_id").alias(key), "path", F.schema_of_variant("v").alias("kind"), F.to_json("v").alias("leaf"))
 
 
 def known_objects(analyses: DataFrame) -> DataFrame:
@@ -54,10 +72,10 @@ def known_objects(analyses: DataFrame) -> DataFrame:
     as JSON. An id is a hash of where the object comes from, so it changes with its source. Other members, items without a
     key, and analyses that are null or no JSON give nothing.
     """
-    top = _opened(analyses.select("process_id", "movement_id", "source_hash", F.try_parse_json("analysis").alias("v")).filter(F.expr("schema_of_variant(v) LIKE 'OBJECT<%'")), "v")
+    top = _opened(analyses.select("process_id", "movement_id", "source_hash", F.try_parse_json("analysis").alias("v")), "v").filter("key is not null")
     top = top.select("process_id", "movement_id", "source_hash", F.col("key").alias("collection"), F.col("value").alias("v"))
-    wanted = top.filter(F.col("collection").isin(*COLLECTIONS, "relations") & F.expr("schema_of_variant(v) LIKE 'ARRAY<%'"))
-    items = _opened(wanted, "v").select("process_id", "movement_id", "source_hash", "collection", "value").filter(F.expr("schema_of_variant(value) LIKE 'OBJECT<%'"))
+    # members of arrays have no key, those of objects have one
+    items = _opened(top.filter(F.col("collection").isin(*COLLECTIONS, "relations")), "v").filter("key is null").select("process_id", "movement_id", "source_hash", "collection", "value")
     of = lambda name: F.try_variant_get("value", f"$.{name}", "string")
     relation = F.to_json(F.struct(of("object").alias("object"), of("predicate").alias("predicate"), of("subject").alias("subject")))
     told = items.select("process_id", "movement_id", "source_hash", "collection", of("key").alias("k"), F.when(F.col("collection") == "relations", relation).otherwise(of("text")).alias("text")).filter("k is not null")
@@ -67,14 +85,18 @@ def known_objects(analyses: DataFrame) -> DataFrame:
 
 def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as movements whose analysis is a JSON of their lines: facts, requests (what came back) and relations."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"))
-    key = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))
-    fact = F.struct(key.alias("key"), F.concat_ws(" ", F.lit("part"), "part", F.lit("times"), "n").alias("text"))
-    request = F.when(F.col("flag") == "R", F.struct(key.alias("key"), F.concat(F.lit("return of "), "part").alias("text")))
-    relation = F.struct(key.alias("key"), F.concat(F.lit("s"), "supplier").alias("subject"), F.lit("ships").alias("predicate"), F.concat(F.lit("p"), "part").alias("object"))
-    own = lines.groupBy("l_orderkey").agg(*[F.sort_array(F.collect_list(c)).alias(n) for n, c in (("facts", fact), ("requests", request), ("relations", relation))])
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").distinct()
-    return own.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("process_id"), F.col("o_orderkey").alias("movement_id"), F.sha2("o_orderstatus", 256).alias("source_hash"), F.to_json(F.struct("facts", "requests", "relations")).alias("analysis"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
+    n = parts(lines)
+    # lines and orders are dealt once, by order, and what follows stays with its order
+    each = lines.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"))
+    key = F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("key")
+    own = each.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(key, "n", "flag", "part", "supplier"))).alias("x"))
+    facts = F.transform("x", lambda x: F.struct(x["key"].alias("key"), F.concat_ws(" ", F.lit("part"), x["part"].cast("string"), F.lit("times"), x["n"].cast("string")).alias("text")))
+    requests = F.transform(F.filter("x", lambda x: x["flag"] == "R"), lambda x: F.struct(x["key"].alias("key"), F.concat(F.lit("return of "), x["part"].cast("string")).alias("text")))
+    relations = F.transform("x", lambda x: F.struct(x["key"].alias("key"), F.concat(F.lit("s"), x["supplier"].cast("string")).alias("subject"), F.lit("ships").alias("predicate"), F.concat(F.lit("p"), x["part"].cast("string")).alias("object")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(n, "o_orderkey").distinct()
+    analysis = F.to_json(F.struct(facts.alias("facts"), requests.alias("requests"), relations.alias("relations")))
+    return own.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("process_id"), F.col("l_orderkey").alias("movement_id"), F.sha2("o_orderstatus", 256).alias("source_hash"), analysis.alias("analysis"))
 
 
 def prior_known(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 PART_ROWS = 250_000
 
 
+def parts(df: DataFrame, rows: int | None = None) -> int:
+    """How many parts give each about ``PART_ROWS`` of the ``rows`` of ``df`` (counted if not given); no fewer than the
+    session's number."""
+    return max(-(-(df.count() if rows is None else rows) // PART_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """``df`` dealt by ``key``, in so many parts that each has about ``PART_ROWS`` of its ``rows`` (counted if not given)
     where the session's number of parts would make them larger: what a task sorts, groups or collects of a key's rows then

@@ -166,6 +166,23 @@ def test_nested_values_of_any_depth(spark):
     assert nested.leaves(df.limit(0), "key", "text").count() == 0
 
 
+def test_nested_values_are_written_once(spark, monkeypatch):
+    deep = lambda n: json.loads("[" * n + '{"a": "]]}", "b\\"[[": [1]}' + "]" * n)
+    rows, calls, plain = [(i, json.dumps(deep(n))) for i, n in enumerate((0, 1, 5, 40))] + [(9, "[" * 500)], [], nested.kept
+    monkeypatch.setattr(nested, "kept", lambda df, name: calls.append(name) or plain(df, name))
+    df = spark.createDataFrame(rows, "key bigint, text string")
+    got = sorted((r["key"], r["path"], json.loads(r["leaf"])) for r in nested.leaves(df, "key", "text").collect())
+    assert got == sorted((i, p, v) for i, t in rows[:-1] for p, v in slow_leaves(json.loads(t)))
+    assert len(calls) == 1 + 41 // nested.LEVELS  # 42 levels, opened 16 at a time
+    calls.clear()
+    assert nested.leaves(df.filter("key < 3"), "key", "text").count() == 6 and len(calls) == 1
+
+
+def test_analyses_are_dealt_once(spark, sf_dir):
+    plan = nested.prior_known(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and orders, both by order
+
+
 def test_known_objects(spark):
     analysis = {"facts": [{"key": "f1", "text": "A"}, {"key": "f1", "text": "A"}, {"text": "no key"}, 5], "claims": {}, "other": [{"key": "x", "text": "y"}], "relations": [{"key": "r", "subject": "s", "predicate": "p", "object": "o", "more": [1]}]}
     rows = [(1, 2, "h", json.dumps(analysis)), (1, 3, "h", None), (1, 4, "h", "[1]"), (1, 5, "h", "oops"), (1, 6, "h2", json.dumps(analysis))]
