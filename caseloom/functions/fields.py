@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -104,10 +106,13 @@ def grid_cells(page: str | None) -> list[tuple[int, int, int, str]]:
     the rows below is kept as one interval; only the places of the open row are a set. Of cells that meet, the earlier has
     the place.
     """
-    parser, out = _Tables(), []
-    parser.feed(page or "")
+    out, told = [], plain_cells(page)
+    if told is None:
+        parser = _Tables()
+        parser.feed(page or "")
+        told = parser.cells
     rows: dict[int, dict[int, list]] = {}
-    for number, row, down, across, text in parser.cells:
+    for number, row, down, across, text in told:
         rows.setdefault(number, {}).setdefault(row, []).append((down, min(across, MOST_COLUMNS), " ".join(text.split())))
     for number, cells in rows.items():
         height, held = max(cells) + 1, []  # first and last column, row behind the last, text
@@ -133,12 +138,46 @@ def grid_cells(page: str | None) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+#: What ``plain_cells`` reads: tags of tables and paragraphs, at most with a bare span, and text without a bracket. An ampersand
+#: begins a named reference of those whose end is told, or there is none.
+_PLAIN = re.compile(r"(?:[^<&]|&(?:amp|lt|gt|quot|#[0-9]{2,4});|</?(?:table|tr|td|th|p)>|<t[dh] (?:row|col)span=[0-9]{1,5}>)*+")
+_TAG = re.compile(r"<(/?)(table|tr|t[dh]|p)(?: (row|col)span=([0-9]+))?>([^<]*)")
+
+
+def plain_cells(page: str | None) -> list[list] | None:
+    """What ``_Tables`` finds in a page of nothing but plain tags, without a parser of HTML; None for any other page."""
+    if not page or _PLAIN.fullmatch(page) is None:
+        return None
+    cells, table, row, open_ = [], -1, -1, False
+    for close, tag, way, span, text in _TAG.findall(page):
+        if close:
+            open_ = open_ and tag == "p"
+        elif tag == "table":
+            table, row = table + 1, -1
+        elif tag == "tr":
+            row += 1
+        elif tag != "p":
+            n = max(1, int(span or 1))
+            cells.append([table, row, n if way == "row" else 1, n if way == "col" else 1, ""])
+            open_ = True
+        if open_ and text:
+            cells[-1][4] += unescape(text) if "&" in text else text
+    return cells
+
+
 _CELL = StructType([StructField(n, IntegerType()) for n in ("table", "row", "column")] + [StructField("text", StringType())])
+_ARROW_CELL = pa.struct([(n, pa.int32()) for n in ("table", "row", "column")] + [("text", pa.string())])
 
 
-@F.pandas_udf(ArrayType(_CELL))
-def html_grids(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: [dict(zip(("table", "row", "column", "text"), c)) for c in grid_cells(p)])
+@F.arrow_udf(ArrayType(_CELL))
+def html_grids(pages: pa.Array) -> pa.Array:
+    ends, found = [0], []
+    for page in pages:
+        found += grid_cells(page.as_py())
+        ends.append(len(found))
+    columns = zip(*found) if found else ((),) * 4
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_CELL)], fields=list(_ARROW_CELL))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def name_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +272,14 @@ def gfm_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables whose first cell spans all rows and whose foot spans two columns, read back place by place."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
+    l = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"), "l_orderkey")
     g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
     rows = F.array_join(F.transform("x", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.concat(F.lit("<th rowspan="), F.size("x").cast("string"), F.lit(">"), F.col("l_orderkey").cast("string"), F.lit("</th>"))).otherwise(""), F.lit("<td>"), r["l_linenumber"].cast("string"), F.lit("</td><td>"), r["l_returnflag"], F.lit(" &amp; </td>"))), "</tr>")
     page = F.concat(F.lit("<p>x</p><table>"), rows, F.lit("</tr><tr><td colspan=2>sum</td><td>"), F.size("x").cast("string"), F.lit("</td></tr></table>"))
-    cells = g.select("l_orderkey", F.inline(html_grids(page)))
-    return cells.groupBy("l_orderkey", "column").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda c: c["text"]), "|"), 256).alias("column_hash"))
+    # a row is one order's whole page, so its columns are read off its own cells
+    columns = F.transform(F.array_distinct(F.transform("cells", lambda c: c["column"])), lambda k: F.struct(k.alias("column"), F.array_sort(F.transform(F.filter("cells", lambda c: c["column"] == k), lambda c: F.struct(c["row"], c["text"]))).alias("x")))
+    held = g.select("l_orderkey", html_grids(page).alias("cells")).select("l_orderkey", F.inline(columns))
+    return held.select("l_orderkey", "column", F.size("x").cast("bigint").alias("n_rows"), F.sha2(F.array_join(F.transform("x", lambda c: c["text"]), "|"), 256).alias("column_hash"))
 
 
 def reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:

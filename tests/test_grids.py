@@ -31,6 +31,22 @@ def test_spans_fill_the_same_places():
         assert fields.grid_cells(page) == slow(page)
 
 
+def test_plain_pages_are_read_without_a_parser():
+    rnd, plain = random.Random(2), 0
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th rowspan=2>", "<td colspan=3>", "<td rowspan=0>", "</th>", "<p>", "</p>", "a", " b\n", "1 > 0", "&amp;", "&lt;b", "&#65;", "&#0065;"]
+    odd = ["<TD>", "<td class=x>", "<td rowspan='2'>", "<!-- <td> -->", "&", "&copy", "<br>", "< td>", "<td", "<script><td></script>", "&#x41;", "<td rowspan=999999>"]
+    for i in range(4000):
+        page = "<table><tr>" + "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14))) + (rnd.choice(odd) if i % 4 == 0 else "") + rnd.choice(["", "end", "&amp;"])
+        parser, told = fields._Tables(), fields.plain_cells(page)
+        parser.feed(page)
+        assert told is None or told == parser.cells
+        assert (told is None) == (i % 4 == 0)
+        plain += told is not None
+    assert plain == 3000 and fields.plain_cells("") is None
+    began, page = time.time(), "<table>" + "<tr><td>x</td><td> &amp; </td></tr>" * 100_000 + "</table>"
+    assert len(fields.plain_cells(page)) == 200_000 and time.time() - began < 2
+
+
 def test_hostile_spans_end_soon():
     began = time.time()
     page = "<table><tr><td rowspan=65000 colspan=65000>x</td></tr><tr><td>y</td></tr></table>"
