@@ -7,13 +7,8 @@ watermark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseloom.sources.tables import shared_path
 
@@ -65,24 +60,38 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(s.dropDuplicates(["user_id", "event_type", "day"]), "dedup").select("user_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-def _classified(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """CREATED, CHANGED or UNCHANGED for each row of one kind of event of a user, against the one before it; the last
-    payload is what the state keeps from batch to batch."""
-    last = state.get[0] if state.exists else None
-    # only the rows of one key in one micro-batch; an event's place is its time, then its id
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    before = rows["payload"].shift(1)
-    before.iloc[0] = last
-    change = np.where(before.isna(), "CREATED", np.where(before == rows["payload"], "UNCHANGED", "CHANGED"))
-    state.update((rows["payload"].iloc[-1],))
-    yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "change": change})
+def changes(stream: DataFrame, name: str) -> DataFrame:
+    """``event_id, change`` of a stream of ``user_id, event_type, event_id, ts, payload``: CREATED, CHANGED or UNCHANGED
+    against the event before it of its user and kind; an event's place in a micro-batch is its time, then its id.
+
+    What the stream remembers is the last payload of each user and kind. A micro-batch reads it where the one before has
+    written it and writes its own rows and what is last now into a folder of its number, over what a run that was cut short
+    may have left there: one shuffle a batch, and no group in one piece.
+    """
+    spark = stream.sparkSession
+    place = shared_path(spark, name)
+    kinds = stream.select("user_id", "event_type", "payload", F.lit(True).alias("last"), F.lit(True).alias("told"), "event_id", F.lit("").alias("change")).schema
+    w = Window.partitionBy("user_id", "event_type").orderBy("told", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("told", F.lit(True))
+        if number:
+            held = batch.sparkSession.read.schema(kinds).parquet(f"{place}/out/batch={number - 1}").filter("last")
+            rows = rows.unionByName(held.select("user_id", "event_type", "payload", F.lit(False).alias("told")), allowMissingColumns=True)
+        before = F.lag("payload").over(w)
+        change = F.when(before.isNull(), "CREATED").when(before == F.col("payload"), "UNCHANGED").otherwise("CHANGED")
+        rows = rows.select("user_id", "event_type", "payload", F.lead(F.lit(True)).over(w).isNull().alias("last"), "told", "event_id", change.alias("change"))
+        rows.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    # a stream without files has written no batch
+    spark.createDataFrame([], kinds).write.mode("overwrite").parquet(f"{place}/out/batch=none")
+    return spark.read.schema(kinds).parquet(f"{place}/out").filter("told").select("event_id", "change")
 
 
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How every event's payload compares with the one before it of its user and kind, kept in the stream's state."""
-    rows = event_stream(spark, sf_dir).select("user_id", "event_type", "event_id", "ts", F.coalesce("props", F.lit("")).alias("payload"))
-    told = rows.groupBy("user_id", "event_type").applyInPandasWithState(_classified, "event_id bigint, change string", "payload string", "append", GroupStateTimeout.NoTimeout)
-    return run_to_end(told, "changes")
+    """How every event's payload compares with the one before it of its user and kind, over all micro-batches."""
+    return changes(event_stream(spark, sf_dir).select("user_id", "event_type", "event_id", "ts", F.coalesce("props", F.lit("")).alias("payload")), "changes")
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
