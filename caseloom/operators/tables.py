@@ -11,10 +11,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.sources.tables import kept, table
+from caseloom.sources.tables import dealt, kept, table
 
 #: Points: gaps that may part sections and rows, shifts of columns and of left edges, margins of a header line, and how far
 #: a cell must reach into a column to span it.
@@ -220,16 +220,16 @@ def continued_tables(tables: DataFrame) -> DataFrame:
     The last table of a page goes on in the first of the next page if both have as many columns and their headers do not
     differ; a header without words fits any. A page whose only table goes both ways carries a chain on.
     """
-    ends = tables.groupBy("doc", "page").agg(F.min("no").alias("first"), F.max("no").alias("last"))
-    at = lambda which: ends.join(tables, (ends["doc"] == tables["doc"]) & (ends["page"] == tables["page"]) & (F.col(which) == F.col("no"))).select(ends["doc"], ends["page"], "no", "columns", F.transform("header", lambda h: F.lower(F.trim(F.regexp_replace(F.coalesce(h, F.lit("")), r"\s+", " ")))).alias("header"))
-    a, b = at("last").alias("a"), at("first").alias("b")
-    worded = lambda c: F.exists(c, lambda h: h != "")
-    fits = (F.col("a.columns") == F.col("b.columns")) & (~worded("a.header") | ~worded("b.header") | (F.col("a.header") == F.col("b.header")))
-    name = lambda s: F.struct(F.col(f"{s}.doc").alias("doc"), F.col(f"{s}.page").alias("page"), F.col(f"{s}.no").alias("no"))
-    links = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.page") + 1 == F.col("b.page")) & fits).select(name("b").alias("node"), name("a").alias("prior"))
-    chains = chained(kept(links, "continued")).select("node.doc", "node.page", "node.no", F.col("head.page").alias("logical_page"), F.col("head.no").alias("logical_no"), F.col("place").alias("part"))
-    whole = tables.select("doc", "page", "no").join(chains, ["doc", "page", "no"], "left")
-    return whole.select("doc", "page", "no", F.coalesce("logical_page", "page").alias("logical_page"), F.coalesce("logical_no", "no").alias("logical_no"), F.coalesce("part", F.lit(0)).cast("bigint").alias("part"))
+    plain = F.transform("header", lambda h: F.lower(F.trim(F.regexp_replace(F.coalesce(h, F.lit("")), r"\s+", " "))))
+    w = Window.partitionBy("doc").orderBy("page", "no")
+    rows = tables.select("doc", "page", "no", F.struct("page", "columns", plain.alias("header"), F.exists(plain, lambda h: h != "").alias("worded")).alias("t"))
+    a, b = F.col("a"), F.col("t")
+    # where the table before is on the page before, it is the last there and this one the first here
+    fits = (a["page"] + 1 == b["page"]) & (a["columns"] == b["columns"]) & (~a["worded"] | ~b["worded"] | (a["header"] == b["header"]))
+    goes = F.coalesce(fits & F.col("doc").isNotNull(), F.lit(False))
+    rows = rows.withColumn("a", F.lag("t").over(w)).select("doc", "page", "no", goes.alias("goes"))
+    head = F.last(F.when(~F.col("goes"), F.struct("page", "no")), ignorenulls=True).over(w)
+    return rows.withColumn("head", head).select("doc", "page", "no", F.col("head.page").alias("logical_page"), F.col("head.no").alias("logical_no"), F.coalesce(F.col("page") - F.col("head.page"), F.lit(0)).cast("bigint").alias("part"))
 
 
 def tables_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +237,10 @@ def tables_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     in them as columns."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").distinct()
     pages = o.select("o_custkey", "o_orderkey", F.expr("row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)").alias("page"))
-    cells = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.sort_array(F.collect_set("l_returnflag")).alias("header"))
+    cells = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", "l_returnflag"), "l_orderkey").groupBy("l_orderkey", "l_linestatus").agg(F.sort_array(F.collect_set("l_returnflag")).alias("header"))
     held = cells.join(pages, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), "page", F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("no"), F.size("header").alias("columns"), "header")
-    return continued_tables(held)
+    # an order has a table or two
+    return continued_tables(dealt(held, "doc", 2 * table(spark, sf_dir, "orders").count()))
 
 
 #: Characters of a page in ``paragraphs_over_pages``.

@@ -111,6 +111,14 @@ def test_tables_go_on_over_pages(spark):
     assert got == {("d", 1, 1): (1, 1, 0), ("d", 1, 2): (1, 2, 0), ("d", 2, 1): (1, 2, 1), ("d", 3, 1): (1, 2, 2), ("d", 3, 2): (3, 2, 0), ("d", 4, 1): (4, 1, 0), ("d", 6, 1): (6, 1, 0), ("e", 5, 1): (5, 1, 0)}
 
 
+def test_long_chains_of_tables_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(tables, "kept", lambda *_: 1 / 0)  # nothing is written between
+    rows = [("d", p, 1, 2, ["A"]) for p in range(1, 400)] + [(None, 1, 1, 2, ["A"]), (None, 2, 1, 2, ["A"]), ("e", None, 1, 2, ["A"]), ("e", 1, 1, 2, None), ("e", 2, 1, 2, ["A"])]
+    df = spark.createDataFrame(rows, "doc string, page int, no int, columns int, header array<string>").repartition(3)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in tables.continued_tables(df).collect()}
+    assert got == {(d, p, n): (1, 1, p - 1) if d == "d" else (p, n, 0) for d, p, n, *_ in rows}
+
+
 def test_paragraphs_go_on_over_pages(spark):
     pages = [("d", 1, "Head.\nA paragraph that"), ("d", 2, "goes on and"), ("d", 3, "ends here.\nAnother ends."), ("d", 4, "New one with hy-"), ("d", 5, "phen.\n- item"), ("d", 6, "lower but after an item."), ("d", 7, None), ("d", 8, "x"), ("d", 9, "# heading"), ("d", 10, "# Two"), ("d", 11, "# Three")]
     df = spark.createDataFrame(pages, "doc string, page int, text string")
