@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from caseloom.sources.tables import shared_path, table
 
@@ -18,6 +19,8 @@ SLICE_DAYS, LATE_DAYS, LATE_K, FIRST_DAY = 5, 6, 90, "2024-01-01"
 #: What each stream waits for, and how long after a view a purchase may follow it.
 WAITS = {"view": 2, "purchase": 3}
 FOLLOWS_HOURS = 24
+#: Rows of a stream, over all its slices, for each part of its state.
+STATE_ROWS = 1_000_000
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,23 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.withColumn("slice", F.floor((F.date_diff(F.to_date("ts"), F.to_date(F.lit(FIRST_DAY))) + late) / SLICE_DAYS).cast("int"))
 
 
+def state_parts(spark: SparkSession, rows: int) -> int:
+    """In how many parts a stream of ``rows`` keeps its state. Every part is loaded and committed again in each micro-batch,
+    with or without rows, so there are only as many as there are cores, or as keep a part at ``STATE_ROWS``."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+
+
+def started(writer: DataStreamWriter, spark: SparkSession, parts: int) -> StreamingQuery:
+    """The stream, begun with its state in ``parts``; it takes the session's settings as it begins."""
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    spark.conf.set(name, parts)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, own)
+
+
 def run_slices(rows: DataFrame, build, name: str) -> tuple[DataFrame, int]:
     """Feed ``rows`` slice by slice to the stream that ``build`` makes of a reader, and return what it has written and
     how many rows its stateful operators have dropped as late."""
@@ -34,11 +54,12 @@ def run_slices(rows: DataFrame, build, name: str) -> tuple[DataFrame, int]:
     place = shared_path(spark, name)
     schema = rows.drop("slice").schema
     rows.write.partitionBy("slice").parquet(f"{place}/arrived")
+    parts = state_parts(spark, spark.read.parquet(f"{place}/arrived").count())
     slices = [r["slice"] for r in spark.read.parquet(f"{place}/arrived").select("slice").distinct().orderBy("slice").collect()]
     for i in slices:
         spark.read.schema(schema).parquet(f"{place}/arrived/slice={i}").write.parquet(f"{place}/in/{i}")
         stream = build(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{place}/in"))
-        query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        query = started(stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True), spark, parts)
         query.awaitTermination()
         dropped += sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     return spark.read.schema(stream.schema).parquet(f"{place}/out"), dropped

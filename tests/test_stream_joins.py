@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+from caseloom.streaming import joins
 from caseloom.streaming.joins import followed, run_slices
 
 DAY0 = datetime(2024, 1, 1)
@@ -43,3 +44,21 @@ def test_streams_without_rows(spark):
     got, dropped = run_slices(df, followed, "nothing")
     assert got.count() == 0 and dropped == 0
     assert run_slices.__doc__
+
+
+def test_parts_of_the_state_follow_the_rows(spark):
+    rows = [(i, 1, ("view", "purchase")[i % 2], DAY0 + timedelta(hours=i), 0, i // 3) for i in range(6)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp, k int, slice int")
+    own, queries = spark.conf.get("spark.sql.shuffle.partitions"), []
+    plain = joins.started
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        joins.started = lambda *a: queries.append(plain(*a)) or queries[-1]
+        got, _ = run_slices(df, followed, "parts")
+        assert got.count() == 9 - 3 and spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        joins.started = plain
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    held = {op["numShufflePartitions"] for q in queries for p in q.recentProgress for op in p["stateOperators"]}
+    assert held == {spark.sparkContext.defaultParallelism}
+    assert joins.state_parts(spark, 36_000_001) == 37
