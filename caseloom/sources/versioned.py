@@ -152,6 +152,8 @@ class StoredTable:
             self._remove(run)
             return {**old, "counts": counts}
         folders = dict(old["buckets"])
+        if "rows" not in old:  # written when buckets went by another hash: all of them are replaced
+            folders, touched = {}, touched | {r["bucket"] for r in told}
         full = {r["bucket"] for r in told if r[_DONE] != "PRUNE"}
         for b in touched:
             folders.pop(str(b), None)
