@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +37,100 @@ def occurrences(text: Column, token: Column) -> Column:
     return F.when(F.contains(text, token), n).otherwise(0.0)
 
 
-def lexical_score(text: Column, query: Column, tokens: Column) -> Column:
-    """10 for the whole query; for each token that is there 1, and 0.2 for each of up to five occurrences.
-
-    ``text`` must be a column that is lower-case already: what stands in the loop runs for every token.
+#: Cells of texts times tokens that a task holds at a time, texts of such a piece, and bytes that are looked at in one step.
+CELLS, PIECE_TEXTS, STEP = 2_000_000, 1_000, 1 << 20
+
+
+class Tokens:
+    """Byte strings of two bytes or more as a trie: a table of the first two bytes, sorted keys of all other branches."""
+
+    def __init__(self, tokens: list[bytes]):
+        if any(len(t) < 2 for t in tokens):
+            raise ValueError("a token has two bytes at least")
+        self.tokens, self.longest = tokens, max(map(len, tokens), default=2)
+        nodes: dict[bytes, int] = {}
+        for t in tokens:
+            for n in range(2, len(t) + 1):
+                nodes.setdefault(t[:n], len(nodes))
+        self.first = np.full(1 << 16, -1, np.int32)
+        self.token = np.full(len(nodes), -1, np.int32)  # of the node that ends it
+        self.inner = np.zeros(len(nodes), bool)
+        branches = []
+        for start, node in nodes.items():
+            if len(start) == 2:
+                self.first[start[0] << 8 | start[1]] = node
+            else:
+                branches.append((nodes[start[:-1]] << 8 | start[-1], node))
+                self.inner[nodes[start[:-1]]] = True
+        for i, t in enumerate(tokens):
+            self.token[nodes[t]] = i
+        self.keys, self.nodes = np.array(sorted(branches), np.int64).reshape(-1, 2).T.copy()
+        #: Tokens that may overlap themselves.
+        self.bordered = [i for i, t in enumerate(tokens) if any(t.startswith(t[n:]) for n in range(1, len(t)))]
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """How often each token stands in each text, read from the left without overlaps. All tokens are followed from all
+        places of the texts at once; what that takes beside the texts is bounded by ``STEP``."""
+        data = np.frombuffer(b"\xff".join([*texts, b"\xff" * self.longest]), np.uint8)  # that byte is in no text
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        out = np.zeros(len(texts) * len(self.tokens), np.int64)
+        for start in range(0, len(data) - self.longest, STEP):
+            part = data[start : start + STEP + self.longest]
+            node = self.first[part[: min(STEP, len(data) - start - self.longest)].astype(np.uint16) << 8 | part[1 : 1 + min(STEP, len(data) - start - self.longest)]]
+            at = np.flatnonzero(node >= 0)
+            node, found, depth = node[at], [], 2
+            while len(at):
+                done = self.token[node] >= 0
+                found.append((at[done], self.token[node[done]]))
+                on = self.inner[node]
+                at, node = at[on], node[on]
+                key = node.astype(np.int64) << 8 | part[at + depth]
+                slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                on = self.keys[slot] == key if len(key) else np.zeros(0, bool)
+                at, node, depth = at[on], self.nodes[slot[on]], depth + 1
+            for place, token in found:
+                text = np.searchsorted(ends, place + start, "right")
+                out += np.bincount(text * len(self.tokens) + token, minlength=len(out))
+        out = out.reshape(len(texts), len(self.tokens))
+        for i in self.bordered:
+            for text in np.flatnonzero(out[:, i] > 1):
+                out[text, i] = texts[text].count(self.tokens[i])
+        return out
+
+
+def word_scores(docs: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """``query_id, columns, score`` of the ``docs`` (with ``low``) that score over 0 for one block of questions ``asked``
+    (``query_id, query, tokens``): 10 for the whole query; for each token that is there 1, and 0.2 for each of up to five
+    occurrences, inside words too. ``low`` is lower-case already.
+
+    A text is read once for the tokens of all questions. Scores are added up in fifths, so they are exact.
     """
-
-    def one(total: Column, n: Column) -> Column:
-        return total + F.when(n > 0, 1.0 + 0.2 * F.least(n, F.lit(5.0))).otherwise(0.0)
-
-    counts = F.transform(tokens, lambda token: occurrences(text, token))
-    return F.when(F.contains(text, F.lower(query)), 10.0).otherwise(0.0) + F.aggregate(counts, F.lit(0.0), one)
+    rows = asked.select("query_id", "tokens", F.lower("query").alias("whole")).collect()  # a block's bytes and questions are bounded
+    place = {t: i for i, t in enumerate(sorted({t.encode() for r in rows for t in r["tokens"]}))}
+    questions = []
+    for r in rows:
+        whole, own = r["whole"].encode(), [t.encode() for t in r["tokens"]]
+        # a text that lacks a token of the query does not hold the query
+        questions.append((r["query_id"], whole, np.array([place[t] for t in own], np.int64), np.array([place[t] for t in own if t in whole], np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast((Tokens(list(place)), questions))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, questions = shared.value
+        most = max(1, min(PIECE_TEXTS, CELLS // max(1, len(tokens.tokens))))
+        for batch in batches:
+            for piece in (batch.slice(i, most) for i in range(0, batch.num_rows, most)):
+                texts = piece.column("low").cast(pa.binary()).to_pylist()
+                n = tokens.counts([t or b"" for t in texts])
+                worth = np.where(n > 0, 5 + np.minimum(n, 5), 0)
+                for query, whole, own, needed in questions:
+                    fifths = worth[:, own].sum(axis=1)
+                    for i in np.flatnonzero((n[:, needed] > 0).all(axis=1)):
+                        fifths[i] += 50 * (texts[i] is not None and whole in texts[i])
+                    at = np.flatnonzero(fifths)
+                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(at), pa.int64()), *(piece.column(c).take(pa.array(at)) for c in columns), pa.array(fifths[at] / 5)], ["query_id", *columns, "score"])
+
+    fields = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    return docs.select(*columns, "low").mapInArrow(scored, f"query_id bigint, {fields}score double")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -81,62 +165,88 @@ def union_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, keys: list[str], name: str) -> DataFrame:
-    """1-based rank of the ``wanted`` rows in ``scored``, ordered by ``score`` from the top and the last of ``keys``
-    (a whole number), apart for each value of the other key.
+def ranks_from(scored: DataFrame, wanted: DataFrame, score: str, keys: list[str], name: str, head: int = 0) -> tuple[DataFrame, DataFrame]:
+    """1-based rank of the ``wanted`` rows among those of ``scored``, ordered by ``score`` from the top and the last of
+    ``keys`` (a whole number), apart for each value of the other key; and the first ``head`` rows of each, with their rank.
 
-    No task ever sorts everything: every batch of rows is counted between the wanted ones, and counts combine.
-    ``wanted`` must be short: it is the heads of a few hundred rows of one block of questions, which bounds what comes to
-    the driver and goes to the tasks.
+    There is one pass over ``scored``, and no task ever sorts everything: every batch of rows is counted between the wanted
+    ones, and counts combine; a task keeps ``head`` rows of each value. ``wanted`` has its scores and must be short: it is the
+    heads of a few hundred rows of one block of questions, which bounds what comes to the driver and goes to the tasks.
     """
     by, key = keys
     lists: dict = {}
-    for r in wanted.join(scored, keys).select(by, key, score).distinct().collect():
+    for r in wanted.select(by, key, score).distinct().collect():
         lists.setdefault(r[0], []).append((-r[2], r[1]))
     bounds = {q: (np.array([x for x, _ in sorted(rows)], float), np.array([i for _, i in sorted(rows)], np.int64)) for q, rows in lists.items()}
     shared = scored.sparkSession.sparkContext.broadcast(bounds)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
+        best: dict = {}
         for df in batches:
             for q, rows in df.groupby("by", sort=False):
+                down, own = -rows["score"].to_numpy(), rows["key"].to_numpy()
+                if head:
+                    before = best.get(q, (np.zeros(0), np.zeros(0, np.int64)))
+                    least = before[0][-1] if len(before[0]) == head else np.inf
+                    some, ids = (np.concatenate([x, y[down <= least]]) for x, y in zip(before, (down, own)))
+                    first = np.lexsort((ids, some))[:head]
+                    best[q] = some[first], ids[first]
                 if q not in shared.value:
                     continue
                 at, ids = shared.value[q]
-                low, high = np.searchsorted(at, -rows["score"].to_numpy(), "left"), np.searchsorted(at, -rows["score"].to_numpy(), "right")
-                own = rows["key"].to_numpy()
+                low, high = np.searchsorted(at, down, "left"), np.searchsorted(at, down, "right")
                 for tie in np.unique(low[high > low]):  # of rows with a wanted score the lesser ids come first
                     same = (low == tie) & (high > low)
                     low[same] = tie + np.searchsorted(ids[tie : high[same][0]], own[same], "left")
                 total[q] = total.get(q, 0) + np.bincount(low, minlength=len(at) + 1)[: len(at)]
         for q, n in total.items():
-            yield pd.DataFrame({"by": q, "slot": np.arange(len(n)), "n": n})
+            yield pd.DataFrame({"by": q, "slot": np.arange(len(n)), "n": n, "key": 0, "score": 0.0})
+        for q, (down, ids) in best.items():
+            yield pd.DataFrame({"by": q, "slot": -1, "n": 0, "key": ids, "score": -down})
 
     slots = [(q, n, int(i)) for q, (_, ids) in bounds.items() for n, i in enumerate(ids)]
     kind = scored.schema[by].dataType.simpleString()
-    rows = scored.select(F.col(by).alias("by"), F.col(score).alias("score"), F.col(key).alias("key")).mapInPandas(counted, f"by {kind}, slot bigint, n bigint")
-    ranks = rows.groupBy("by", "slot").agg(F.sum("n").alias("n")).withColumn("rank", F.sum("n").over(Window.partitionBy("by").orderBy("slot")))  # of a list's places
-    named = scored.sparkSession.createDataFrame(slots, f"by {kind}, slot bigint, id bigint")
-    return named.join(ranks, ["by", "slot"]).select(F.col("by").alias(by), F.col("id").alias(key), F.col("rank").alias(name))
+    rows = scored.select(F.col(by).alias("by"), F.col(score).alias("score"), F.col(key).alias("key"))
+    rows = kept(rows.mapInPandas(counted, f"by {kind}, slot bigint, n bigint, key bigint, score double"), "counts")
+    ranks = rows.filter("slot >= 0").groupBy("by", "slot").agg(F.sum("n").alias("n")).withColumn("rank", F.sum("n").over(Window.partitionBy("by").orderBy("slot")))  # of a list's places
+    named = scored.sparkSession.createDataFrame(slots, f"by {kind}, slot bigint, id bigint").coalesce(1)
+    ranked = named.join(ranks, ["by", "slot"]).select(F.col("by").alias(by), F.col("id").alias(key), F.col("rank").alias(name))
+    place = F.row_number().over(Window.partitionBy("by").orderBy(F.desc("score"), F.asc("key"))).cast("bigint")
+    top = rows.filter("slot < 0").select(F.col("by").alias(by), F.col("key").alias(key), place.alias(name)).filter(F.col(name) <= head)
+    return ranked, top
 
 
-def fused(legs: dict[str, DataFrame], k: int, by: str = "query_id", key: str = "doc_id") -> DataFrame:
+def fused(legs: dict[str, Callable[[DataFrame | None], DataFrame]], k: int, by: str = "query_id", key: str = "doc_id") -> DataFrame:
     """``by, key, rank_<leg>..., score``: the ``k`` best of each question of one block by reciprocal rank fusion of
-    ``legs`` (``by, key, score``); a row that a leg lacks gets nothing from it.
+    ``legs``; a row that a leg lacks gets nothing from it. A leg is a function of a table with some ``key`` that gives ``by,
+    key, score`` of these rows, or of all rows for none.
 
     A row under rank 2 * (60 + k) - 60 in two legs scores less than any of the first k of a leg, so only the heads of the
-    legs can be in the result. Only heads are written: ranks of rows that are in another leg's head are counted in a
-    second pass over the scores, which are worked out again and never stored.
+    legs can be in the result. Only heads are written. A leg's pass finds its head and counts the ranks of what the legs
+    before it have in theirs; all legs but the last have a second pass for the heads of the legs after them, so the leg
+    whose scores cost most goes last.
     """
     head, keys = len(legs) * (RRF_K + k) - RRF_K, [by, key]
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.asc(key)))
-    tops = {name: kept(leg.withColumn("_r", place).filter(F.col("_r") <= head).select(*keys, F.col("_r").cast("bigint").alias(f"rank_{name}")), "heads") for name, leg in legs.items()}
-    few = kept(union_of([top.select(*keys) for top in tops.values()]).distinct(), "heads")
+    few, found = None, {name: [] for name in legs}
+
+    def passed(name: str, rows: DataFrame | None, head: int = 0) -> DataFrame:
+        leg = legs[name]
+        wanted = leg(None).limit(0) if rows is None else leg(rows.select(key).distinct()).join(F.broadcast(rows), keys)
+        ranks, top = ranks_from(leg(None), wanted, "score", keys, f"rank_{name}", head)
+        found[name].append(kept(ranks.unionByName(top).distinct(), "ranks"))
+        return top
+
+    for name in legs:
+        top = passed(name, few, head).select(*keys)
+        few = kept(top if few is None else few.unionByName(top).distinct(), "heads")
+    for name in list(legs)[:-1]:
+        rest = kept(few.join(found[name][0].select(*keys), keys, "left_anti"), "heads")
+        if not rest.isEmpty():
+            passed(name, rest)
     score, out = F.lit(0.0), few
-    for name, leg in legs.items():
-        rest = kept(few.join(tops[name].select(*keys), keys, "left_anti"), "heads")
-        ranks = tops[name] if rest.isEmpty() else tops[name].unionByName(ranks_from(leg, rest, "score", keys, f"rank_{name}"))
-        out = out.join(ranks, keys, "left")
+    for name in legs:
+        out = out.join(union_of(found[name]), keys, "left")
         score = score + F.coalesce(1 / (RRF_K + F.col(f"rank_{name}")), F.lit(0.0))
     return best_of(out.withColumn("score", F.round(score, 6)), [by], [F.desc("score"), F.asc(key)], k)
 
@@ -144,8 +254,12 @@ def fused(legs: dict[str, DataFrame], k: int, by: str = "query_id", key: str = "
 def hybrid(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """``fused`` for one question, best first, of columns ``lexical``, which counts over 0, and ``semantic``, where not null."""
     own = scored.withColumn("_q", F.lit(0))
-    leg = lambda c: own.select("_q", key, F.col(c).alias("score"))
-    return fused({"lex": leg("lexical").filter("score > 0"), "sem": leg("semantic").filter("score is not null")}, k, "_q", key).drop("_q").orderBy(F.desc("score"), key)
+
+    def leg(c: str, condition: str) -> Callable[[DataFrame | None], DataFrame]:
+        rows = own.select("_q", key, F.col(c).alias("score")).filter(condition)
+        return lambda only: rows if only is None else rows.join(F.broadcast(only), key, "left_semi")
+
+    return fused({"lex": leg("lexical", "score > 0"), "sem": leg("semantic", "score is not null")}, k, "_q", key).drop("_q").orderBy(F.desc("score"), key)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,17 +283,15 @@ def for_each_query(docs: DataFrame, queries: DataFrame, score, *columns: str) ->
     return union_of([put_to(docs, block, score, *columns) for block in question_blocks(queries)])
 
 
-def _lexical(q: Column) -> Column:
-    return F.round(lexical_score(F.col("low"), q["query"], q["tokens"]), 6)
-
-
-def _low_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def _low_docs(spark: SparkSession, sf_dir: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", *columns, "text")
+    docs = docs if only is None else docs.join(F.broadcast(only), "doc_id", "left_semi")
     return spread(docs, "doc_id").select("doc_id", *columns, F.lower("text").alias("low"))
 
 
 def _scored_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return for_each_query(_low_docs(spark, sf_dir, *columns), _query(spark, sf_dir), _lexical, "doc_id", *columns).withColumnRenamed("score", "lexical")
+    docs = _low_docs(spark, sf_dir, *columns)
+    return union_of([word_scores(docs, block, "doc_id", *columns) for block in question_blocks(_query(spark, sf_dir))]).withColumnRenamed("score", "lexical")
 
 
 def _units(vectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -289,14 +401,20 @@ def excerpt(text: Column, size: int = 400) -> Column:
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions are those of the benchmark; the vector of a question is that of its number, if there is one. Block by
     block, only the heads of both legs are written; the heads of the result get their excerpt."""
-    docs, low = table(spark, sf_dir, "documents"), _low_docs(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings")
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     placed = vectors.join(docs.select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
     best = []
     for block in question_blocks(_query(spark, sf_dir)):
         probes = vectors.join(block.select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi")
-        semantic = similarities(placed, probes).select("query_id", F.col("vec_id").alias("doc_id"), F.col("semantic").alias("score"))
-        best.append(kept(fused({"lex": put_to(low, block, _lexical, "doc_id"), "sem": semantic}, 20), "fused"))
+
+        def near(only: DataFrame | None, probes: DataFrame = probes) -> DataFrame:
+            rows = placed if only is None else placed.join(F.broadcast(only), F.col("vec_id") == F.col("doc_id"), "left_semi")
+            return similarities(rows, probes).select("query_id", F.col("vec_id").alias("doc_id"), F.col("semantic").alias("score"))
+
+        def worded(only: DataFrame | None, block: DataFrame = block) -> DataFrame:
+            return word_scores(_low_docs(spark, sf_dir, only=only), block, "doc_id")
+
+        best.append(kept(fused({"sem": near, "lex": worded}, 20), "fused"))
     return union_of(best).join(docs.select("doc_id", excerpt(F.col("text")).alias("excerpt")), "doc_id").select("query_id", "doc_id", "rank_lex", "rank_sem", "score", "excerpt")
 
 
