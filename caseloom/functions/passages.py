@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def folded(text: Column) -> Column:
     plain = F.translate(low, *_folds())
     for one, several in _SPELLED.items():
         plain = F.replace(plain, F.lit(one), F.lit(several))
-    return F.when(low.rlike(r"[^\x00-\x7F]"), plain).otherwise(low)
+    return F.when(F.octet_length(low) != F.length(low), plain).otherwise(low)  # not by a pattern: several in a row slow each other
 
 
 def one_spaced(text: Column) -> Column:
@@ -57,8 +59,10 @@ def clipped(text: Column, limit: int) -> Column:
 
 def furniture_signature(line: Column) -> Column:
     """What stays of a line from page to page: no page references, digits as ``#``, letters only."""
-    plain = F.regexp_replace(folded(line), r"(^|[^a-z0-9])(pages?|pag|p|fls?|seite) *[0-9]+", "$1 ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[0-9]+", "#"), "[^a-z#]+", " "))
+    plain = folded(line)
+    numbered = F.regexp_replace(F.regexp_replace(plain, r"(^|[^a-z0-9])(pages?|pag|p|fls?|seite) *[0-9]+", "$1 "), "[0-9]+", "#")
+    digits = reduce(or_, (F.contains(line, F.lit(d)) for d in "0123456789"))  # few lines have any
+    return F.trim(F.regexp_replace(F.when(digits, numbered).otherwise(plain), "[^a-z#]+", " "))
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

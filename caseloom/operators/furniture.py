@@ -18,12 +18,13 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.passages import furniture_signature
-from caseloom.sources.tables import kept, texts
+from caseloom.sources.tables import dealt, kept, texts
 
 #: Least similarity in percent, most pages between two of a run, fewest characters of a line that counts, and lines of a
 #: document's region that are few.
@@ -61,6 +62,69 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _reach(row: int, size: int, done: int, left: int) -> int:
+    """No common subsequence is longer: the bits of ``row`` that are off tell how much of each start of a line of ``size`` is
+    common with the letters read; of the rest no more is common than either side has ``left``. Starts go by sixteenths."""
+    step = max(4, size // 16)
+    out = 0
+    for i in range(0, size, step):
+        end = min(size, i + step)
+        out = max(out, min(done, end - (row & (1 << end) - 1).bit_count()) + min(size - i, left))
+    return out
+
+
+def common_lengths(a: str, lines: list[str], least: list[int]) -> list[int]:
+    """``common_length`` of ``a`` and each of ``lines``, whose places lie side by side, a bit apart for what is carried; 0 for
+    all if none can have its ``least`` any more, which is looked at on the way."""
+    places: dict[str, int] = {}
+    full = at = 0
+    for line in lines:
+        for c, bits in _places(line).items():
+            places[c] = places.get(c, 0) | bits << at
+        full |= (1 << len(line)) - 1 << at
+        at += len(line) + 1
+
+    def rows() -> Iterator[int]:
+        left = row
+        for line in lines:
+            yield left & (1 << len(line)) - 1
+            left >>= len(line) + 1
+
+    row, done = full, 0
+    for part in (0.4, 0.5, 0.6, 0.75, 1):
+        until = int(part * len(a))
+        for c in a[done:until]:
+            met = row & places.get(c, 0)
+            row = (row + met | row - met) & full
+        done = until
+        if part < 1 and all(_reach(own, len(line), done, len(a) - done) < n for own, line, n in zip(rows(), lines, least)):
+            return [0] * len(lines)
+    return [len(line) - own.bit_count() for own, line in zip(rows(), lines)]
+
+
+def letters_of(lines: list[str]) -> np.ndarray:
+    """How often each letter stands in each line; letters that share a column only make lines look more alike."""
+    return np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 128, minlength=128) for x in lines], np.int32).reshape(-1, 128)
+
+
+def all_like(pairs: list[tuple[str, str]], percent: int = SIMILARITY) -> list[bool]:
+    """``like`` of each pair; only pairs with enough letters in common are looked at, and a line's pairs together."""
+    place: dict[str, int] = {}
+    one, two = np.array([[place.setdefault(x, len(place)) for x in pair] for pair in pairs], np.int64).reshape(-1, 2).T
+    letters = letters_of(list(place))
+    size = letters.sum(axis=1)
+    common = np.concatenate([np.zeros(0, np.int64), *(np.minimum(letters[one[i : i + 4096]], letters[two[i : i + 4096]]).sum(axis=1) for i in range(0, len(pairs), 4096))])
+    out, partners = [False] * len(pairs), {}
+    for i in np.flatnonzero(200 * common >= percent * (size[one] + size[two])):
+        partners.setdefault(pairs[i][0], []).append(i)
+    for a, own in partners.items():
+        lines = [pairs[i][1] for i in own]
+        least = [-(-percent * (len(a) + len(b)) // 200) for b in lines]
+        for i, b, n, m in zip(own, lines, common_lengths(a, lines, least), least):
+            out[i] = n >= m and ratio(a, b) >= percent / 100
+    return out
+
+
 def like(a: str, b: str, percent: int = SIMILARITY) -> bool:
     """Whether the matching blocks of both lines hold ``percent`` of them; asked only where enough pairs are shared and a
     common subsequence is long enough."""
@@ -93,9 +157,9 @@ def rarest(line: str, counts: dict[str, int], percent: int = SIMILARITY) -> list
 
 
 def alike(norms: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """``doc, region, a, b``: norms of one document and region that are alike, ``a`` the earlier by ``at``."""
-    crowds = norms.groupBy(*KEY).agg(F.count("*").alias("c"))
-    many = norms.join(crowds.filter(F.col("c") > FEW).select(*KEY), KEY, "left_semi")
+    """``doc, region, a, b, at``: norms of one document and region that are alike, ``a`` the earlier by ``at``. ``norms`` has
+    with each (``doc, region, norm, at``) the number ``c`` of those of its document and region."""
+    many = norms.filter(F.col("c") > FEW)
     letters = many.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))).alias("pair"))
     counts = {r["pair"]: r["n"] for r in letters.groupBy("pair").agg(F.count("*").alias("n")).collect()}  # a-z, # and blank: 784 at most
 
@@ -107,28 +171,29 @@ def alike(norms: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     def met(rows: DataFrame, on: list[str]) -> DataFrame:
         other = rows.select(*on, F.col("norm").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
         near = 100 * 2 * F.least("n", "n_b") >= percent * (F.col("n") + F.col("n_b"))
-        return rows.join(other, on).filter((F.col("at") < F.col("at_b")) & near).select(*KEY, F.col("norm").alias("a"), "b")
+        earlier = F.struct("at", "norm") < F.struct("at_b", "b")
+        return rows.join(other, on).filter(earlier & near).select(*KEY, F.col("norm").alias("a"), "b", "at")
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in norms.schema)
     rows = many.mapInArrow(keyed, f"{fields}, keys array<string>").select(*KEY, "norm", "at", F.length("norm").alias("n"), F.explode("keys").alias("k"))
-    few = norms.join(crowds.filter(F.col("c").between(2, FEW)).select(*KEY), KEY, "left_semi").select(*KEY, "norm", "at", F.length("norm").alias("n"))
+    few = norms.filter(F.col("c").between(2, FEW)).select(*KEY, "norm", "at", F.length("norm").alias("n"))
     pairs = met(few, KEY).unionByName(met(rows, [*KEY, "k"]).distinct())
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [like(a, b, percent) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            keep = all_like(list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())), percent)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(verified, pairs.schema)
 
 
-def families(norms: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """``doc, region, norm, head``: each norm with the norm that heads its family."""
-    edges = kept(alike(norms, percent), "alike")
+def families(edges: DataFrame) -> DataFrame:
+    """``doc, region, norm, head``: each norm that follows another in its family, by ``edges`` as ``alike`` gives them, with
+    the norm that heads it; all others head their own."""
     # only norms with an earlier one like them have anything to decide
     open_ = kept(edges.select(*KEY, F.col("b").alias("norm")).distinct(), "open")
-    decided = norms.select(*KEY, "norm").join(open_, [*KEY, "norm"], "left_anti").withColumn("heads", F.lit(True))
-    decided = kept(decided.join(edges.select(*KEY, F.col("a").alias("norm")).distinct(), [*KEY, "norm"], "left_semi"), "decided")
+    decided = edges.select(*KEY, F.col("a").alias("norm")).distinct().join(open_, [*KEY, "norm"], "left_anti").withColumn("heads", F.lit(True))
+    decided = kept(decided, "decided")
     while not open_.isEmpty():
         told = edges.join(open_.withColumnRenamed("norm", "b"), [*KEY, "b"], "left_semi").join(decided.withColumnRenamed("norm", "a"), [*KEY, "a"], "left")
         state = told.groupBy(*KEY, F.col("b").alias("norm")).agg(F.max(F.coalesce("heads", F.lit(False))).alias("follows"), F.count_if(F.col("heads").isNull()).alias("waiting"))
@@ -136,11 +201,8 @@ def families(norms: DataFrame, percent: int = SIMILARITY) -> DataFrame:
         decided = kept(decided.unionByName(fresh), "decided")
         open_ = kept(open_.join(fresh, [*KEY, "norm"], "left_anti"), "open")
     heads = decided.filter("heads").select(*KEY, F.col("norm").alias("a"))
-    order = norms.select(*KEY, F.col("norm").alias("a"), "at")
-    followed = edges.join(heads, [*KEY, "a"]).join(order, [*KEY, "a"]).groupBy(*KEY, F.col("b").alias("norm")).agg(F.min_by("a", "at").alias("first"))
-    own = decided.select(*KEY, "norm", "heads").join(followed, [*KEY, "norm"], "left")
-    led = own.filter("not heads").select(*KEY, "norm", F.col("first").alias("head"))
-    return norms.select(*KEY, "norm").join(led, [*KEY, "norm"], "left").withColumn("head", F.coalesce("head", "norm"))
+    followed = edges.join(heads, [*KEY, "a"]).groupBy(*KEY, F.col("b").alias("norm")).agg(F.min_by("a", F.struct("at", "a")).alias("head"))
+    return followed.join(decided.filter("not heads").select(*KEY, "norm"), [*KEY, "norm"], "left_semi")
 
 
 def recurring(lines: DataFrame, percent: int = SIMILARITY, gap: int = PAGE_GAP) -> DataFrame:
@@ -150,10 +212,17 @@ def recurring(lines: DataFrame, percent: int = SIMILARITY, gap: int = PAGE_GAP)
     recur nowhere; equal rows are one; an empty table gives none. Work grows with the lines that share a rare pair of
     letters in one document and region; the number of rounds with the longest chain of lines that each wait for the one before.
     """
-    held = lines.select("doc", "region", "page", "line", furniture_signature(F.col("text")).alias("norm")).filter(F.length("norm") >= LEAST_CHARS).distinct()
-    held = kept(held, "furniture")
-    norms = kept(held.groupBy("doc", "region", "norm").agg(F.min(F.struct("page", "line", "norm")).alias("at")), "norms")
-    placed = held.join(families(norms, percent), [*KEY, "norm"])
+    # signatures are written before they are asked for their length, else each would be made twice
+    signed = kept(lines.select(*KEY, "page", "line", furniture_signature(F.col("text")).alias("norm")), "signatures")
+    held = dealt(signed.filter(F.length("norm") >= LEAST_CHARS).dropna(subset=KEY), "doc").distinct()
+    norm, place = Window.partitionBy(*KEY, F.xxhash64("norm"), "norm"), F.struct("page", "line")  # a hash sorts faster than a line
+    held = held.withColumn("at", F.min(place).over(norm)).withColumn("again", F.max(place).over(norm) != F.col("at")).withColumn("first", place == F.col("at"))
+    held = kept(held.withColumn("c", F.count_if("first").over(Window.partitionBy(*KEY))), "furniture")
+    edges = kept(alike(held.filter("first"), percent), "alike")
+    # a line that stands once and is like no other comes again nowhere, and that is most of them
+    linked = edges.select(*KEY, F.col("a").alias("norm")).unionByName(edges.select(*KEY, F.col("b").alias("norm"))).distinct()
+    once = held.filter("not again and c > 1").join(linked, [*KEY, "norm"], "left_semi")
+    placed = held.filter("again").unionByName(once).join(families(edges), [*KEY, "norm"], "left").withColumn("head", F.coalesce("head", "norm"))
     w = Window.partitionBy("doc", "region", "head").orderBy("page", "line")
     cut = F.when(F.col("page") - F.lag("page").over(w) <= gap, 0).otherwise(1)
     runs = placed.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -167,7 +236,9 @@ PAGE_LINES = 3
 
 def fuzzy_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring first and last lines of the pages of each document, three lines to a page."""
-    docs = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    parts = F.split("text", "\n")
+    several = texts(spark, sf_dir).filter(F.size(parts) > PAGE_LINES)  # on one page no line comes again
+    docs = several.select("doc_id", F.posexplode(parts).alias("line", "text"))
     place = F.col("line") % PAGE_LINES
     region = F.when(place == 0, "header").when(place == PAGE_LINES - 1, "footer")
     lines = docs.select(F.col("doc_id").alias("doc"), region.alias("region"), F.floor(F.col("line") / PAGE_LINES).alias("page"), "line", "text").filter("region is not null")
